@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from clickforge.plans import oracle as O
+from clickforge.plans import oracle_features as OF
 
 ORACLE: dict[str, str] = {
     "metrics_by_model": O.metric_row_sql(["model"]),
     "metrics_by_segment": O.metric_row_sql(["model", "segment"]),
+    "label_detection": OF.label_detection_sql("labels", OF.LABELS_COLUMNS),
+    "label_detection_impressions": OF.label_detection_sql("impressions", OF.IMPRESSION_COLUMNS,
+                                                          ("impressions",)),
+    "feature_types": OF.feature_types_sql(),
+    "category_normalize": OF.category_normalize_sql(),
+    "frequency_codes": OF.frequency_codes_sql(),
+    "target_encoding": OF.target_encoding_sql(),
+    "cross_codes": OF.cross_codes_sql(),
+    "feature_matrix": OF.feature_matrix_sql(),
 }

@@ -33,3 +33,83 @@ def metrics_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G22 per (model, segment): the grouped form of the metric record."""
     return M.metric_row(V.long_predictions(spark, sf_dir), ["model", "segment"])
+
+
+# ------------------------------------------------------- detection / schema
+from clickforge.operators import detect as D  # noqa: E402
+from clickforge.operators import encode as E  # noqa: E402
+from clickforge.plans import features as FE  # noqa: E402
+from clickforge.sources.tables import read_table  # noqa: E402
+
+
+@register("label_detection")
+def label_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5/G6 on the ``labels`` table: stage 2 rejects ``quality`` on its rate,
+    stage 3 picks ``toxic``."""
+    return D.label_candidates(read_table(spark, sf_dir, "labels"))
+
+
+@register("label_detection_impressions")
+def label_detection_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5/G6 over every column of the impression table (stage 1 finds ``clicked``)."""
+    return D.label_candidates(V.impressions(spark, sf_dir))
+
+
+@register("feature_types")
+def feature_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4 (+ G4 exact distinct counts for name-matched columns)."""
+    return D.feature_types(V.impressions(spark, sf_dir))
+
+
+def _split_col():
+    return F.when(V.is_test_row(), "test").otherwise("train").alias("split")
+
+
+def _fit(spark: SparkSession, sf_dir: str):
+    imp = V.impressions(spark, sf_dir)
+    tr, te = V.split_train_test(imp)
+    return FE.fit(tr, te)
+
+
+@register("category_normalize")
+def category_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categorical columns to int32 codes ('.0' stripping, -1 default)."""
+    imp = V.impressions(spark, sf_dir)
+    cats = [c for c in D.EXPECTED_CATEGORICAL]
+    from clickforge.functions import exprs as X
+    return imp.select("row_key", _split_col(), *[X.category_int(F.col(c)).alias(c) for c in cats])
+
+
+@register("frequency_codes")
+def frequency_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 + S1/S2: frequency code table over train ∪ test values."""
+    fm, _, _ = _fit(spark, sf_dir)
+    return fm.codes.select("column_name", "value", F.col("train_count").cast("long").alias("train_count"),
+                           "code")
+
+
+@register("target_encoding")
+def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 fit table (G1, G2, J5): smoothed in-sample click rate per code."""
+    fm, _, _ = _fit(spark, sf_dir)
+    return fm.target_enc.select("column_name", "value", "n", F.round("mean", 6).alias("mean"),
+                                F.round("enc", 6).alias("enc"))
+
+
+@register("cross_codes")
+def cross_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 + X-4: interaction codes, fitted per table (reference behaviour)."""
+    fm, ctr, cte = _fit(spark, sf_dir)
+    a = E.fit_cross_codes(ctr).select(F.lit("train").alias("split"), "*")
+    b = E.fit_cross_codes(cte).select(F.lit("test").alias("split"), "*")
+    return a.unionByName(b)
+
+
+@register("feature_matrix")
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the full feature table for train and test (B1-B11, W1, F1, W2, X-1..X-3)."""
+    imp = V.impressions(spark, sf_dir)
+    tr, te = V.split_train_test(imp)
+    _, a, b = FE.build_features(tr, te)
+    return a.select("row_key", F.lit("train").alias("split"), *a.columns[1:]) \
+        .unionByName(b.select("row_key", F.lit("test").alias("split"), *b.columns[1:]))
