@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from clickforge.plans import oracle as O
 from clickforge.plans import oracle_features as OF
+from clickforge.plans import oracle_more as OM
 
 ORACLE: dict[str, str] = {
     "metrics_by_model": O.metric_row_sql(["model"]),
@@ -17,4 +18,21 @@ ORACLE: dict[str, str] = {
     "target_encoding": OF.target_encoding_sql(),
     "cross_codes": OF.cross_codes_sql(),
     "feature_matrix": OF.feature_matrix_sql(),
+    "leaderboard": OM.leaderboard_sql(),
+    "best_model": OM.best_model_sql(),
+    "ap_rowwise": OM.ap_rowwise_sql(),
+    "loss_metrics": OM.loss_metrics_sql(),
+    "prediction_summary": OM.prediction_summary_sql(),
+    "class_weights": OM.class_weights_sql(),
+    "click_rate_by_value": OM.click_rate_by_value_sql(),
+    "stratified_folds": OM.folds_sql(),
+    "stratified_holdout": OM.holdout_sql(),
+    "generated_ids": OM.ids_sql(),
+    "ctr_correction": OM.ctr_correction_sql(),
+    "prediction_quantiles": OM.quantiles_sql(),
+    "post_process": OM.post_process_sql(),
+    "submission": OM.submission_sql(),
+    "ensemble_weights": OM.ensemble_weights_sql(),
+    "ensemble_strategies": OM.ensemble_strategies_sql(),
+    "comparison_report": OM.comparison_report_sql(),
 }

@@ -113,3 +113,136 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, a, b = FE.build_features(tr, te)
     return a.select("row_key", F.lit("train").alias("split"), *a.columns[1:]) \
         .unionByName(b.select("row_key", F.lit("test").alias("split"), *b.columns[1:]))
+
+
+# ------------------------------------------------- metrics, folds, scoring
+from clickforge.operators import calibrate as CAL  # noqa: E402
+from clickforge.operators import compare as CMP  # noqa: E402
+from clickforge.operators import ensemble as ENS  # noqa: E402
+from clickforge.operators import split as SPL  # noqa: E402
+
+
+@register("leaderboard")
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: metric record per model ranked by combined score."""
+    return CMP.leaderboard(V.long_predictions(spark, sf_dir))
+
+
+@register("best_model")
+def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: best model by AUC."""
+    mr = M.metric_row(V.long_predictions(spark, sf_dir), ["model"], bounded=True)
+    return CMP.best_by(mr, "auc")
+
+
+@register("ap_rowwise")
+def ap_rowwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision at every positive, ties broken by row key."""
+    return M.ap_rowwise(V.long_predictions(spark, sf_dir), ["model"], bounded=True)
+
+
+@register("loss_metrics")
+def loss_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log losses, competition and combined scores per model."""
+    lp = V.long_predictions(spark, sf_dir)
+    ap = M.ranking_metrics(lp, ["model"], bounded=True)
+    return M.loss_metrics(lp, ["model"], with_ap=ap)
+
+
+@register("prediction_summary")
+def prediction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, population std, min, max per model."""
+    return M.prediction_summary(V.long_predictions(spark, sf_dir), ["model"])
+
+
+@register("class_weights")
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1, G8, G9 per split."""
+    imp = V.impressions(spark, sf_dir).withColumn("split", _split_col())
+    return M.round_doubles(M.class_weights(imp, "clicked", ["split"]), 6)
+
+
+@register("click_rate_by_value")
+def click_rate_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 + G3: click rate and count per raw category value of the train split."""
+    tr, _ = V.split_train_test(V.impressions(spark, sf_dir))
+    lv = E.long_values(tr, D.EXPECTED_CATEGORICAL, extra=["clicked"])
+    return lv.groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.count("clicked").alias("n_labelled"),
+        F.round(F.avg(F.col("clicked").cast("double")), 6).alias("ctr"))
+
+
+@register("stratified_folds")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5 stratified folds in md5(row_key || 42) order."""
+    imp = V.impressions(spark, sf_dir).select("row_key", "clicked")
+    return SPL.stratified_folds(imp, "clicked", 5, 42)
+
+
+@register("stratified_holdout")
+def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """80/20 split per class."""
+    imp = V.impressions(spark, sf_dir).select("row_key", "clicked")
+    return SPL.stratified_holdout(imp, "clicked", 0.2, 42)
+
+
+@register("generated_ids")
+def generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TEST_%07d ids for the test split in key order."""
+    _, te = V.split_train_test(V.impressions(spark, sf_dir).select("row_key"))
+    return SPL.generated_ids(te)
+
+
+@register("ctr_correction")
+def ctr_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-17: two-pass rescale of model 1 scores to the 0.0191 click rate."""
+    pr = V.predictions(spark, sf_dir).select("row_key", F.col("p_m1").alias("p"))
+    out = CAL.ctr_correction(pr, "p")
+    return out.select("row_key", F.round("p_corrected", 9).alias("p_corrected"), "ctr_ok")
+
+
+@register("prediction_quantiles")
+def prediction_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 inputs: exact 1st/50th/99th percentiles per model (linear interpolation)."""
+    q = CAL.exact_quantiles(V.long_predictions(spark, sf_dir), "p", [0.01, 0.5, 0.99], ["model"])
+    return M.round_doubles(q.select("model", F.col("q0").alias("p01"), F.col("q1").alias("p50"),
+                                    F.col("q2").alias("p99")), 9)
+
+
+@register("post_process")
+def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 with P2 off: outlier clip -> CTR alignment (0.0201) -> clip, model 2."""
+    pr = V.predictions(spark, sf_dir).select("row_key", F.col("p_m2").alias("p"))
+    out = CAL.post_process(pr, "p", diversity=False)
+    return out.select("row_key", F.round("p", 9).alias("p"))
+
+
+@register("submission")
+def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test-split scores (model 3) corrected to 0.0191 with generated ids."""
+    pr = V.predictions(spark, sf_dir)
+    _, te = V.split_train_test(pr.select("row_key", F.col("p_m3").alias("p")))
+    c = CAL.ctr_correction(te, "p")
+    ids = SPL.generated_ids(c)
+    return ids.select("ID", F.round("p_corrected", 9).alias("clicked"))
+
+
+@register("ensemble_weights")
+def ensemble_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Performance, bias-penalised and CTR-corrected weights."""
+    long = V.long_predictions(spark, sf_dir)
+    return M.round_doubles(ENS.weight_table(ENS.model_scores(long)), 6)
+
+
+@register("ensemble_strategies")
+def ensemble_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strategy scores and the chosen strategy."""
+    wide = V.predictions(spark, sf_dir).drop("segment")
+    return ENS.strategy_selection(wide, list(V.MODEL_COLUMNS))
+
+
+@register("comparison_report")
+def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary over the model comparison."""
+    mr = M.metric_row(V.long_predictions(spark, sf_dir), ["model"], bounded=True)
+    return M.round_doubles(CMP.comparison_summary(mr), 6)
