@@ -5,6 +5,7 @@ from __future__ import annotations
 from clickforge.plans import oracle as O
 from clickforge.plans import oracle_features as OF
 from clickforge.plans import oracle_more as OM
+from clickforge.plans import oracle_requests as OR
 
 ORACLE: dict[str, str] = {
     "metrics_by_model": O.metric_row_sql(["model"]),
@@ -35,4 +36,9 @@ ORACLE: dict[str, str] = {
     "ensemble_weights": OM.ensemble_weights_sql(),
     "ensemble_strategies": OM.ensemble_strategies_sql(),
     "comparison_report": OM.comparison_report_sql(),
+    "request_features": OR.request_features_sql(),
+    "request_responses": OR.request_responses_sql(),
+    "serving_stats": OR.serving_stats_sql(),
+    "api_usage": OR.api_usage_sql(),
+    "recent_predictions": OR.recent_predictions_sql(),
 }

@@ -246,3 +246,47 @@ def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary over the model comparison."""
     mr = M.metric_row(V.long_predictions(spark, sf_dir), ["model"], bounded=True)
     return M.round_doubles(CMP.comparison_summary(mr), 6)
+
+
+# ------------------------------------------------------- requests / serving
+from clickforge.operators import requests as RQ  # noqa: E402
+
+
+def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = V.requests(spark, sf_dir)
+    prior = RQ.fit_ad_prior(req)
+    factor = RQ.alignment_factor(prior, req)
+    return RQ.score_requests(req, prior, factor)
+
+
+@register("request_features")
+def request_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 with X-6..X-12 and X-18 over every request."""
+    return RQ.request_features(V.requests(spark, sf_dir))
+
+
+@register("request_responses")
+def request_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 / X-13..X-16: aligned scores and decision fields per request."""
+    return M.round_doubles(scored_requests(spark, sf_dir), 9)
+
+
+@register("serving_stats")
+def serving_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G27 + W7: serving statistics with the last 1000 predictions."""
+    return M.round_doubles(RQ.serving_stats(scored_requests(spark, sf_dir)), 9)
+
+
+@register("api_usage")
+def api_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call counts, error count, success rate and decision usage rates."""
+    r = scored_requests(spark, sf_dir).withColumn("shown", F.col("recommendation") == "show")
+    return M.round_doubles(RQ.api_usage(r, ["shown", "postprocessing_applied"]), 9)
+
+
+@register("recent_predictions")
+def recent_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 1000 most recent responses (a top-k report)."""
+    r = scored_requests(spark, sf_dir)
+    return M.round_doubles(RQ.recent_rows(r, [], 1000, ["ts", "event_id"])
+                           .select("event_id", "ts", "ctr_prediction", "ctr_category"), 9)
