@@ -53,20 +53,36 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
-def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str = "p",
-                    buckets: int = 64, bounded: bool = False) -> DataFrame:
-    """G12 + G13 per group: exact ROC-AUC (ties get half credit) and step-wise
-    average precision over distinct clipped scores.
+def score_counts(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str = "p",
+                 materialize: bool = True) -> DataFrame:
+    """One row per (group, distinct score, label) with its row count.
+
+    This is the only pass over the prediction table: partial aggregation runs
+    map-side, so the shuffle carries at most (distinct scores x 2) rows per
+    task and a score shared by a third of all rows is one row after it. Every
+    metric below is a function of these counts. The result is checkpointed to
+    the shared checkpoint folder so the three consumers (loss sums, ranking,
+    bucket bounds) read it instead of rescanning the source.
+    """
+    keys = list(keys)
+    c = df.where(F.col(y).isNotNull()).groupBy(
+        *keys, F.col(p).cast("double").alias("__s"), F.col(y).cast("long").alias("__y")
+    ).agg(F.count(F.lit(1)).alias("__c"))
+    return c.checkpoint(eager=True) if materialize else c
+
+
+def ranking_from_counts(sc: DataFrame, keys: Sequence[str], buckets: int = 64,
+                        bounded: bool = False) -> DataFrame:
+    """G12 + G13 per group from ``score_counts``: exact ROC-AUC (ties get half
+    credit) and step-wise average precision over distinct clipped scores.
 
-    Pass 1 collapses rows to distinct raw scores (partial aggregation happens
-    map-side, so a score shared by a third of all rows is one row after the
-    shuffle). Pass 2 adds exclusive running counts in descending score order.
+    Exclusive running counts in descending score order come from
+    ``value_prefix_sums`` (quantile buckets, no unpartitioned window).
     """
     keys = list(keys)
     lo, hi = EPS, 1 - EPS
-    d = df.where(_finite(F.col(p)) & F.col(y).isNotNull()) \
-        .groupBy(*keys, F.col(p).alias("__s")) \
-        .agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("long")).alias("__pos"))
+    d = sc.where(_finite(F.col("__s"))).groupBy(*keys, "__s").agg(
+        F.sum("__c").alias("__n"), F.sum(F.col("__c") * F.col("__y")).alias("__pos"))
     d = value_prefix_sums(d, keys, "__s", ["__n", "__pos"], descending=True,
                           buckets=buckets, bounded=bounded)
     neg = F.col("__n") - F.col("__pos")
@@ -80,7 +96,7 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: s
         neg_before.alias("__neg_before"), neg.alias("__neg"),
     )
     agg = per.groupBy(*keys).agg(
-        F.sum("__n").alias("__N"), F.sum("__pos").alias("__P"),
+        F.sum("__n").alias("__rows"), F.sum("__pos").alias("__npos"),
         F.sum(F.col("__pos") * F.col("__neg_before")).alias("__auc_wrong"),
         F.sum(F.col("__pos") * F.col("__neg")).alias("__auc_ties"),
         F.sum(F.when((F.col("__s") > lo) & (F.col("__s") < hi),
@@ -89,7 +105,7 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: s
         F.sum(F.when(F.col("__s") >= hi, F.col("__n"))).alias("__top_n"),
         F.sum(F.when(F.col("__s") <= lo, F.col("__pos"))).alias("__bot_pos"),
     )
-    P, N = F.col("__P"), F.col("__N")
+    P, N = F.col("__npos"), F.col("__rows")
     NEG = N - P
     # rank-sum AUC: positives ranked above negatives + half of tied pairs
     auc = (P * NEG - F.col("__auc_wrong") - 0.5 * F.col("__auc_ties")) / (P * NEG)
@@ -102,29 +118,43 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: s
                       F.when(two, ap_sum / P).otherwise(F.lit(0.0)).alias("ap"))
 
 
-def _base_aggs(y: Column, p: Column) -> list[Column]:
+def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str = "p",
+                    buckets: int = 64, bounded: bool = False) -> DataFrame:
+    """G12 + G13 per group over a prediction table."""
+    return ranking_from_counts(score_counts(df, keys, y, p), keys, buckets, bounded)
+
+
+def base_from_counts(sc: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """G10, G15-G17, G21, G23 per group from ``score_counts`` (weighted sums).
+    The population std is two-pass (mean first), as numerically safe as a
+    streaming variance."""
+    keys = list(keys)
+    c, yv, p = F.col("__c"), F.col("__y").cast("double"), F.col("__s")
     pc = clip(p)
-    ll = -(y * F.log(pc) + (1 - y) * F.log(1 - pc))
-    w = F.when(y == 1, F.lit(POS_WEIGHT)).otherwise(F.lit(NEG_WEIGHT))
+    ll = -(yv * F.log(pc) + (1 - yv) * F.log(1 - pc))
+    w = F.when(yv == 1, F.lit(POS_WEIGHT)).otherwise(F.lit(NEG_WEIGHT))
     pred1 = p >= THRESHOLD
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.sum(y.cast("long")).alias("n_pos"),
-        F.sum(F.when(~_finite(p), 1).otherwise(0)).alias("__bad"),
-        F.sum(F.when(pred1 & (y == 1), 1).otherwise(0)).alias("tp"),
-        F.sum(F.when(pred1 & (y == 0), 1).otherwise(0)).alias("fp"),
-        F.sum(F.when(~pred1 & (y == 0), 1).otherwise(0)).alias("tn"),
-        F.sum(F.when(~pred1 & (y == 1), 1).otherwise(0)).alias("fn"),
-        F.avg(ll).alias("__ll"),
-        (F.sum(w * ll) / F.sum(w)).alias("__wll"),
-        F.avg(F.when(y == 0, -F.log(1 - pc))).alias("__ll_neg"),
-        F.avg(F.when(y == 1, -F.log(pc))).alias("__ll_pos"),
-        F.avg(y.cast("double")).alias("actual_ctr"),
-        F.avg(p).alias("predicted_ctr"),
-        F.stddev_pop(p).alias("pred_std"),
-        F.min(p).alias("pred_min"),
-        F.max(p).alias("pred_max"),
-    ]
+    has_p = p.isNotNull()
+    cnt = lambda cond: F.sum(F.when(cond, c).otherwise(0))
+    a = sc.groupBy(*keys).agg(
+        F.sum(c).alias("n"),
+        F.sum(c * F.col("__y")).alias("n_pos"),
+        cnt(~_finite(p)).alias("__bad"),
+        cnt(pred1 & (yv == 1)).alias("tp"), cnt(pred1 & (yv == 0)).alias("fp"),
+        cnt(~pred1 & (yv == 0)).alias("tn"), cnt(~pred1 & (yv == 1)).alias("fn"),
+        (F.sum(c * ll) / F.sum(c)).alias("__ll"),
+        (F.sum(c * w * ll) / F.sum(c * w)).alias("__wll"),
+        (F.sum(F.when(yv == 0, -c * F.log(1 - pc))) / F.sum(F.when(yv == 0, c))).alias("__ll_neg"),
+        (F.sum(F.when(yv == 1, -c * F.log(pc))) / F.sum(F.when(yv == 1, c))).alias("__ll_pos"),
+        (F.sum(c * yv) / F.sum(c)).alias("actual_ctr"),
+        (F.sum(F.when(has_p, c * p)) / F.sum(F.when(has_p, c))).alias("predicted_ctr"),
+        F.min(p).alias("pred_min"), F.max(p).alias("pred_max"),
+    )
+    m = a.select(*keys, F.col("predicted_ctr").alias("__mean"))
+    v = join_small(sc, m, keys, "left", bounded=True).groupBy(*keys).agg(
+        F.sqrt(F.sum(F.when(has_p, c * (p - F.col("__mean")) * (p - F.col("__mean"))))
+               / F.sum(F.when(has_p, c))).alias("pred_std"))
+    return join_small(a, v, keys, "left", bounded=True)
 
 
 def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicked",
@@ -137,9 +167,9 @@ def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicke
     combined score and threshold metrics 0); the CTR block is always computed.
     """
     keys = list(keys)
-    yc = F.col(y).cast("double")
-    base = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(*_base_aggs(yc, F.col(p)))
-    rank = ranking_metrics(df, keys, y, p, buckets=buckets, bounded=bounded)
+    sc = score_counts(df, keys, y, p)
+    base = base_from_counts(sc, keys)
+    rank = ranking_from_counts(sc, keys, buckets=buckets, bounded=bounded)
     j = join_small(base, rank, keys, "left", bounded=True)
     n, npos = F.col("n"), F.col("n_pos")
     ok = (npos > 0) & (npos < n) & (F.col("__bad") == 0)
@@ -173,13 +203,13 @@ def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicke
     return round_doubles(out, digits)
 
 
-def loss_metrics(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicked",
-                 p: str = "p", digits: int | None = 6, with_ap: DataFrame | None = None) -> DataFrame:
+def loss_metrics(df: DataFrame | None, keys: Sequence[str] = ("model",), y: str = "clicked",
+                 p: str = "p", digits: int | None = 6, with_ap: DataFrame | None = None,
+                 counts: DataFrame | None = None) -> DataFrame:
     """Log loss, class-balanced log loss, weighted log loss, and the
     competition score ``0.5*AP + 0.5/(1+balanced)`` when AP is supplied."""
     keys = list(keys)
-    yc = F.col(y).cast("double")
-    a = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(*_base_aggs(yc, F.col(p)))
+    a = base_from_counts(counts if counts is not None else score_counts(df, keys, y, p), keys)
     bal = 0.5 * F.coalesce(F.col("__ll_neg"), F.lit(0.0)) + 0.5 * F.coalesce(F.col("__ll_pos"), F.lit(0.0))
     out = a.select(*keys, F.col("__ll").alias("log_loss"), bal.alias("balanced_log_loss"),
                    F.col("__wll").alias("weighted_log_loss"))

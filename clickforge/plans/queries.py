@@ -144,9 +144,9 @@ def ap_rowwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("loss_metrics")
 def loss_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log losses, competition and combined scores per model."""
-    lp = V.long_predictions(spark, sf_dir)
-    ap = M.ranking_metrics(lp, ["model"], bounded=True)
-    return M.loss_metrics(lp, ["model"], with_ap=ap)
+    sc = M.score_counts(V.long_predictions(spark, sf_dir), ["model"])
+    ap = M.ranking_from_counts(sc, ["model"], bounded=True)
+    return M.loss_metrics(None, ["model"], with_ap=ap, counts=sc)
 
 
 @register("prediction_summary")
