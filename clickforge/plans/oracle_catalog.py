@@ -41,4 +41,6 @@ ORACLE: dict[str, str] = {
     "serving_stats": OR.serving_stats_sql(),
     "api_usage": OR.api_usage_sql(),
     "recent_predictions": OR.recent_predictions_sql(),
+    "stream_scoring": OR.request_responses_sql(),
+    "stream_window_stats": OR.stream_window_stats_sql(),
 }

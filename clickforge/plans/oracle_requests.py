@@ -121,3 +121,21 @@ def recent_predictions_sql() -> str:
     return scored_ctes() + """
 select event_id, ts, round(ctr_prediction, 9) as ctr_prediction, ctr_category
 from scored order by ts desc, event_id desc limit 1000"""
+
+
+def stream_window_stats_sql() -> str:
+    return scored_ctes() + """,
+w AS (select time_bucket(interval '1 day', ts) as window_start, model_used,
+        count(*) as requests, count(case when success then 1 end) as successful,
+        avg(ctr_prediction) as mean_prediction, avg(cast(clicked as double)) as click_rate
+      from scored group by 1, 2)
+select window_start, window_start + interval '1 day' as window_end, model_used, requests, successful,
+  round(mean_prediction, 9) as mean_prediction, round(click_rate, 9) as click_rate,
+  round(mean_prediction - click_rate, 9) as ctr_bias,
+  round(case when abs(mean_prediction - click_rate) < 0.0001 then 1.0
+             when abs(mean_prediction - click_rate) < 0.0005 then 0.9
+             when abs(mean_prediction - click_rate) < 0.001 then 0.7
+             when abs(mean_prediction - click_rate) < 0.002 then 0.5
+             else greatest(0.0, 1.0 - abs(mean_prediction - click_rate) * 100) end, 9) as ctr_score
+from w
+where window_start + interval '1 day' <= (select max(ts) from scored) - interval '1 hour'"""

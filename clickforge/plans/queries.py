@@ -290,3 +290,10 @@ def recent_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = scored_requests(spark, sf_dir)
     return M.round_doubles(RQ.recent_rows(r, [], 1000, ["ts", "event_id"])
                            .select("event_id", "ts", "ctr_prediction", "ctr_category"), 9)
+
+
+# ---------------------------------------------------------------- streaming
+from clickforge.streaming import serving as ST  # noqa: E402
+
+register("stream_scoring")(ST.stream_scoring)
+register("stream_window_stats")(ST.stream_window_stats)

@@ -75,7 +75,11 @@ def long_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat request table derived from ``events``."""
-    ev = read_table(spark, sf_dir, "events")
+    return requests_from_events(read_table(spark, sf_dir, "events"))
+
+
+def requests_from_events(ev: DataFrame) -> DataFrame:
+    """Request projection of an events table or stream (stateless)."""
     k = F.get_json_object("props", "$.k").cast("int")
     page = (F.when(F.col("event_type") == "view", "home")
             .when(F.col("event_type") == "click", "product")
