@@ -297,3 +297,69 @@ from clickforge.streaming import serving as ST  # noqa: E402
 
 register("stream_scoring")(ST.stream_scoring)
 register("stream_window_stats")(ST.stream_window_stats)
+
+
+# -------------------------------------------------------- models (rows-only)
+from clickforge.operators import ensemble as _ens  # noqa: E402
+from clickforge.plans import models as ML  # noqa: E402
+
+
+def _train_features(spark: SparkSession, sf_dir: str):
+    imp = V.impressions(spark, sf_dir)
+    tr, te = V.split_train_test(imp)
+    fm, a, b = FE.build_features(tr, te, keep_label=True)
+    return fm, a, b
+
+
+@register("cv_folds")
+def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 + M4 + G18 + G24: 5-fold CV of boosted trees; per-fold scores and
+    the refit round count (M6)."""
+    fm, a, _ = _train_features(spark, sf_dir)
+    folds = ML.cross_validate(a, fm.feature_order, k=5, max_iter=15)
+    folds = folds.checkpoint(eager=True)
+    rounds = ML.refit_rounds(folds)
+    return M.round_doubles(folds.withColumn("refit_rounds", F.lit(rounds)), 6)
+
+
+@register("model_comparison")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M3, M7, M8, L1: holdout comparison of two GBT presets and LR."""
+    fm, a, _ = _train_features(spark, sf_dir)
+    return ML.compare_models(a, fm.feature_order, max_iter=15)
+
+
+@register("isotonic_calibration")
+def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isotonic calibration of model 3 scores against clicks, with the
+    metric record before and after."""
+    pr = V.predictions(spark, sf_dir).select("row_key", F.col("clicked").alias("__y"), F.col("p_m3").alias("p"))
+    cal = ML.isotonic_calibration(pr.where(F.col("__y").isNotNull()))
+    long = cal.select(F.lit("raw").alias("model"), F.col("__y").alias("clicked"), "p").unionByName(
+        cal.select(F.lit("isotonic").alias("model"), F.col("__y").alias("clicked"),
+                   F.col("p_calibrated").alias("p")))
+    return M.metric_row(long, ["model"], bounded=True)
+
+
+@register("stacking_ensemble")
+def stacking_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E7 + E8 + E10: stacking meta-learner and the two-level ensemble with
+    fallback, evaluated per ensemble."""
+    wide = V.predictions(spark, sf_dir).drop("segment").where(F.col("clicked").isNotNull())
+    models = list(V.MODEL_COLUMNS)
+    st = ML.stacking(wide, models)
+    strat = _ens.strategy_selection(wide, models)
+    best = strat.where("selected").select("strategy", "combined_score")
+    weights = _ens.weight_table(_ens.model_scores(_ens.to_long(wide, models, ["row_key", "clicked"])))
+    sp = _ens.strategy_predictions(st, models, weights)
+    chosen = best.first()
+    dyn_col = chosen["strategy"] if chosen else "simple_average"
+    sc_stack = M.metric_row(st.select(F.lit("stacking").alias("model"), "clicked", F.col("p_stack").alias("p")),
+                            ["model"], bounded=True).select("combined_score").first()["combined_score"]
+    sc_dyn = chosen["combined_score"] if chosen else 0.0
+    two = _ens.two_level(F.col("p_stack"), F.lit(sc_stack), F.col(dyn_col), F.lit(sc_dyn))
+    p_final, src = _ens.with_fallback(two, F.col(models[0]))
+    long = sp.select("clicked", F.lit("stacking").alias("model"), F.col("p_stack").alias("p")).unionByName(
+        sp.select("clicked", F.lit("dynamic").alias("model"), F.col(dyn_col).alias("p"))).unionByName(
+        sp.select("clicked", F.lit("main").alias("model"), p_final.alias("p")))
+    return M.metric_row(long, ["model"], bounded=True)
