@@ -43,4 +43,6 @@ ORACLE: dict[str, str] = {
     "recent_predictions": OR.recent_predictions_sql(),
     "stream_scoring": OR.request_responses_sql(),
     "stream_window_stats": OR.stream_window_stats_sql(),
+    "experiment_log": OM.experiment_log_sql(),
+    "experiment_summary": OM.experiment_summary_sql(),
 }

@@ -189,3 +189,39 @@ def comparison_report_sql() -> str:
   round(max(combined_score), 6) as best_score,
   case when max(combined_score) >= 0.34 then 'deploy_best' else 'improve_models' end as recommendation
 from {sub(metric_row_sql(['model']))}"""
+
+
+def _experiment_metrics_sql() -> str:
+    """Per-model metric values of the two logged runs, rounded as the text log prints them."""
+    full = metric_row_ctes("long_predictions", ["model"]).replace("mr_", "fa_")
+    trn = metric_row_ctes("lp_train", ["model"]).replace("mr_", "tr_")
+
+    def sel(pfx, run, num):
+        ok = f"(b.n_pos > 0 and b.n_pos < b.n and b.bad = 0)"
+        auc = "(u.pp*(u.nn-u.pp) - u.wrong - 0.5*u.ties) / (u.pp*(u.nn-u.pp))"
+        return f"""select {num} as experiment_num, '{run}' as run_model, b.model,
+  round(case when {ok} then {auc} end, 4) as auc, round(case when {ok} then a.ap else 0.0 end, 4) as ap,
+  round(b.actual_ctr, 6) as actual_ctr, round(b.predicted_ctr, 6) as predicted_ctr,
+  round(b.predicted_ctr - b.actual_ctr, 6) as ctr_bias
+from {pfx}_base b join {pfx}_auc u on u.model = b.model join {pfx}_ap a on a.model = b.model"""
+    return (with_views("long_predictions") +
+            ",\nlp_train AS (select * from long_predictions where substr(row_key,1,1) not in ('d','e','f'))"
+            + full + trn + f""",
+runs AS ({sel('fa', 'all_rows', 1)}
+  union all {sel('tr', 'train_split', 2)}),
+firsts AS (select experiment_num, arg_min(auc, model) as first_auc, count(*) as successful_models
+           from runs group by experiment_num)""")
+
+
+def experiment_log_sql() -> str:
+    return _experiment_metrics_sql() + """
+select r.experiment_num, r.run_model, r.model, r.auc, r.ap, r.actual_ctr, r.predicted_ctr, r.ctr_bias,
+  f.first_auc, cast(f.successful_models as int) as successful_models
+from runs r join firsts f on f.experiment_num = r.experiment_num"""
+
+
+def experiment_summary_sql() -> str:
+    return _experiment_metrics_sql() + """
+select count(*) as n_experiments, arg_max(experiment_num, first_auc) as best_experiment,
+  max(first_auc) as best_auc, max(experiment_num) as latest_experiment
+from firsts"""

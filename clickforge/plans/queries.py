@@ -363,3 +363,39 @@ def stacking_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
         sp.select("clicked", F.lit("dynamic").alias("model"), F.col(dyn_col).alias("p"))).unionByName(
         sp.select("clicked", F.lit("main").alias("model"), p_final.alias("p")))
     return M.metric_row(long, ["model"], bounded=True)
+
+
+# ------------------------------------------------------ experiment tracking
+import uuid  # noqa: E402
+
+from clickforge.session import checkpoint_dir  # noqa: E402
+from clickforge.sources import experiments as EXP  # noqa: E402
+
+
+def _experiment_runs(spark: SparkSession, sf_dir: str):
+    lp = V.long_predictions(spark, sf_dir)
+    tr = lp.where(~V.is_test_row())
+    runs = []
+    for name, src in (("all_rows", lp), ("train_split", tr)):
+        mr = M.metric_row(src, ["model"], bounded=True, digits=None)
+        stats = M.prediction_summary(src.where(F.col("model") == "m3"), [], digits=None)
+        runs.append((name, {"models": "m1,m2,m3", "rows": name}, mr, stats))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/experiments/{uuid.uuid4().hex[:12]}"
+    return EXP.log_and_parse(runs, folder, spark)
+
+
+@register("experiment_log")
+def experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 + A11 + O4 + A12: log two evaluation runs to the experiment table and
+    text log, then parse the text back into per-model rows."""
+    return _experiment_runs(spark, sf_dir).drop("ts", "notes")
+
+
+@register("experiment_summary")
+def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 + L3 + L4: count, best experiment by first AUC, latest experiment."""
+    parsed = _experiment_runs(spark, sf_dir).checkpoint(eager=True)
+    cnt = parsed.agg(F.countDistinct("experiment_num").alias("n_experiments"))
+    best = EXP.best_experiment(parsed)
+    latest = EXP.recent_experiments(parsed, 1).select(F.col("experiment_num").alias("latest_experiment"))
+    return cnt.crossJoin(best).crossJoin(latest)
