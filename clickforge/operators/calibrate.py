@@ -136,3 +136,24 @@ def post_process(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR
     if alignment:
         d = align_ctr(d, p, target, keys)
     return d.withColumn(p, _clip(F.col(p), SERVING_LO, SERVING_HI))
+
+
+def table_scoring(df: DataFrame, p: str = "p", key: str = "row_key", batch_size: int | None = None,
+                  target: float = SERVING_TARGET_CTR, diversity: bool = True, seed: int = 42) -> DataFrame:
+    """P5: post-process scores (P4) globally or per ``batch_size`` rows in key
+    order (the reference's batches), clip, then rescale globally when the mean
+    is off the target by more than 0.002. Batch ids come from the bucketed
+    ``row_index`` (no global sort)."""
+    from clickforge.operators.ranking import row_index
+    keys: list[str] = []
+    d = df
+    if batch_size:
+        d = row_index(d, [], F.col(key).cast("string"), name="__i") \
+            .withColumn("batch_id", F.floor(F.col("__i") / batch_size).cast("long")).drop("__i")
+        keys = ["batch_id"]
+    d = post_process(d, p, target, keys, diversity=diversity, seed=seed)
+    m = d.agg(F.avg(p).alias("__m"))
+    d = d.crossJoin(F.broadcast(m))
+    scaled = _clip(F.col(p) * (target / F.col("__m")), SERVING_LO, SERVING_HI)
+    return d.withColumn(p, F.when((F.abs(F.col("__m") - target) > 0.002) & (F.col("__m") > 0), scaled)
+                        .otherwise(F.col(p))).drop("__m")

@@ -45,4 +45,12 @@ ORACLE: dict[str, str] = {
     "stream_window_stats": OR.stream_window_stats_sql(),
     "experiment_log": OM.experiment_log_sql(),
     "experiment_summary": OM.experiment_summary_sql(),
+    "sample_rows": OM.sample_rows_sql(),
+    "dataset_check": OM.dataset_check_sql(),
+    "alignment_check": OM.alignment_check_sql(),
+    "distinct_counts": OM.distinct_counts_sql(),
+    "minimal_features": OM.minimal_features_sql(),
+    "basic_features": OM.basic_features_sql(),
+    "table_scoring": OM.table_scoring_sql(),
+    "submission_csv": OM.submission_csv_sql(),
 }

@@ -225,3 +225,68 @@ def experiment_summary_sql() -> str:
 select count(*) as n_experiments, arg_max(experiment_num, first_auc) as best_experiment,
   max(first_auc) as best_auc, max(experiment_num) as latest_experiment
 from firsts"""
+
+
+def sample_rows_sql() -> str:
+    return with_views("impressions") + "\nselect * from impressions order by md5(row_key || '42') limit 1000"
+
+
+def dataset_check_sql() -> str:
+    return """select 'train' as table_name, count(*) as row_count, count(*) = 10704179 as rows_ok from lineitem
+union all select 'test', count(*), count(*) = 1527298 from events"""
+
+
+def alignment_check_sql() -> str:
+    return with_views("impressions") + """,
+l AS (select row_key from impressions where substr(row_key,1,1) in ('d','e','f')),
+j AS (select l.row_key as lk, r.row_key as rk from l full outer join impressions r on l.row_key = r.row_key)
+select count(lk) as left_rows, count(rk) as right_rows,
+  count(case when rk is null then 1 end) as left_only, count(case when lk is null then 1 end) as right_only,
+  count(case when rk is null then 1 end) = 0 and count(case when lk is null then 1 end) = 0 as aligned
+from j"""
+
+
+def distinct_counts_sql() -> str:
+    from clickforge.plans.oracle_features import IMPRESSION_COLUMNS
+    parts = " union all ".join(
+        f"select '{c}' as column_name, count({c}) as non_null, count(distinct {c}) as n_distinct from impressions"
+        for c, _ in IMPRESSION_COLUMNS)
+    return with_views("impressions") + "\n" + parts
+
+
+def minimal_features_sql() -> str:
+    cols = ["inventory_id", "day_of_week", "hour", "feat_a_1", "feat_a_2", "feat_a_3",
+            "history_b_1", "history_b_2", "history_b_3"]
+    sel = ", ".join(f"coalesce({c}, 0) as {c}" for c in cols)
+    return with_views("impressions") + f"""
+select row_key, {sel},
+  case when substr(row_key,1,1) in ('d','e','f') then 'test' else 'train' end as split
+from impressions"""
+
+
+def basic_features_sql() -> str:
+    from clickforge.plans.oracle_features import CATS, NUMS, code_ctes, coded_ctes, normalized_ctes
+    return (normalized_ctes() + code_ctes() + coded_ctes() +
+            f"\nselect row_key, split, {', '.join(CATS + NUMS)} from coded")
+
+
+def table_scoring_sql() -> str:
+    clip = lambda x: f"greatest(least({x}, 0.9999), 0.0001)"
+    return with_views("predictions") + f""",
+src AS (select row_key, p_m2 as p, cast(floor((row_number() over (order by row_key) - 1) / 80000) as bigint) as batch_id
+        from predictions where substr(row_key,1,1) in ('d','e','f')),
+q AS (select batch_id, greatest(quantile_cont(p, 0.01) * 0.1, 0.0001) as lo,
+        least(quantile_cont(p, 0.99) * 1.1, 0.9999) as hi from src group by batch_id),
+a AS (select s.row_key, s.batch_id, greatest(least(s.p, q.hi), q.lo) as p1 from src s join q on q.batch_id = s.batch_id),
+m AS (select batch_id, avg(p1) as m from a group by batch_id),
+b AS (select a.row_key, a.batch_id,
+        {clip("case when abs(m.m - 0.0201) > 0.001 and m.m > 0 then " + clip("a.p1 * (0.0201 / m.m)") + " else a.p1 end")} as p2
+      from a join m on m.batch_id = a.batch_id),
+g AS (select avg(p2) as gm from b)
+select row_key, batch_id,
+  round(case when abs(gm - 0.0201) > 0.002 and gm > 0 then {clip("p2 * (0.0201 / gm)")} else p2 end, 9) as p
+from b cross join g"""
+
+
+def submission_csv_sql() -> str:
+    return submission_sql()

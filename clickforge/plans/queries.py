@@ -399,3 +399,79 @@ def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = EXP.best_experiment(parsed)
     latest = EXP.recent_experiments(parsed, 1).select(F.col("experiment_num").alias("latest_experiment"))
     return cnt.crossJoin(best).crossJoin(latest)
+
+
+# ------------------------------------------------- sources, checks, scoring
+from clickforge.operators import clean as CL  # noqa: E402
+from clickforge.sources import tables as TB  # noqa: E402
+
+
+@register("sample_rows")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: exact-n reproducible sample (1000 rows by md5(row_key || 42))."""
+    return TB.sample_rows(V.impressions(spark, sf_dir), 1000, "row_key", 42)
+
+
+@register("dataset_check")
+def dataset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 + A6: row counts of the two input tables against the expected counts."""
+    tables = {"train": read_table(spark, sf_dir, "lineitem"), "test": read_table(spark, sf_dir, "events")}
+    TB.load_pair(tables["train"], tables["test"])
+    chk = TB.dataset_check(tables, {"train": TB.EXPECTED_TRAIN_ROWS, "test": TB.EXPECTED_TEST_ROWS})
+    return chk.select("table_name", "row_count", "rows_ok")
+
+
+@register("alignment_check")
+def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test-split predictions against all labelled impressions, by key."""
+    pr = V.predictions(spark, sf_dir).where(V.is_test_row()).select("row_key")
+    return CL.alignment_check(pr, V.impressions(spark, sf_dir).select("row_key"))
+
+
+@register("distinct_counts")
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct non-null values of every impression column."""
+    imp = V.impressions(spark, sf_dir)
+    return D.column_stats(imp, distinct_for=imp.columns).select("column_name", "non_null", "n_distinct")
+
+
+@register("minimal_features")
+def minimal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric columns common to train and test, NULL -> 0."""
+    tr, te = V.split_train_test(V.impressions(spark, sf_dir))
+    a, b = CL.minimal_features(tr, te.drop("clicked"), "clicked")
+    return a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
+
+
+@register("basic_features")
+def basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned and frequency-coded features without derived columns."""
+    tr, te = V.split_train_test(V.impressions(spark, sf_dir))
+    a, b = FE.basic_features(tr, te)
+    return a.select("row_key", F.lit("train").alias("split"), *a.columns[1:]) \
+        .unionByName(b.select("row_key", F.lit("test").alias("split"), *b.columns[1:]))
+
+
+@register("table_scoring")
+def table_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: test-split scores post-processed per 80,000-row batch, then the
+    global rescale; P2 noise off so the result is deterministic."""
+    te = V.predictions(spark, sf_dir).where(V.is_test_row()).select("row_key", F.col("p_m2").alias("p"))
+    out = CAL.table_scoring(te, "p", batch_size=80000, diversity=False)
+    return out.select("row_key", "batch_id", F.round("p", 9).alias("p"))
+
+
+@register("diversity_noise")
+def diversity_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2 (random, rows-only): noise for a model with < 1000 distinct scores."""
+    pr = V.predictions(spark, sf_dir).select("row_key", F.col("p_m1").alias("p"))
+    return CAL.post_process(pr, "p", diversity=True, seed=7)
+
+
+@register("submission_csv")
+def submission_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 + A8: write the submission as CSV to the shared folder, read it
+    back through the template schema."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/submissions/{uuid.uuid4().hex[:12]}"
+    TB.write_submission(REGISTRY["submission"](spark, sf_dir), path)
+    return TB.read_id_template(spark, path)
