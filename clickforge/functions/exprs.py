@@ -90,15 +90,18 @@ def time_period(hour: Column) -> Column:
 def md5_mod(c: Column, m: int = 1_000_000) -> Column:
     """X-6: ``int(md5(text), 16) % m`` over all 128 bits.
 
-    The digest is split in two 64-bit halves (hi, lo); since
-    ``(hi*2^64 + lo) mod m = ((hi mod m)*(2^64 mod m) + lo mod m) mod m``, the
-    result is exact with decimal(20,0) arithmetic.
+    The digest is read as four 32-bit words w0..w3 and reduced Horner-style,
+    ``r = (r * 2^32 + w) mod m``; with ``m < 2^31`` every intermediate fits
+    in a signed 64-bit long, so this stays in plain long arithmetic inside
+    whole-stage codegen (no decimals, no UDF).
     """
+    assert 0 < m < 2 ** 31
     h = F.md5(c.cast("string"))
-    hi = F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)")
-    lo = F.conv(F.substring(h, 17, 16), 16, 10).cast("decimal(20,0)")
-    two64 = (2 ** 64) % m
-    return F.pmod(F.pmod(hi, F.lit(m)) * F.lit(two64) + F.pmod(lo, F.lit(m)), F.lit(m)).cast("long")
+    r = F.lit(0).cast("long")
+    for i in range(4):
+        w = F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
+        r = F.pmod(r * F.lit(2 ** 32) + w, F.lit(m))
+    return r
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:

@@ -30,15 +30,16 @@ MAX_CATEGORY_VALUES = 10000
 INT_FLOAT_TYPES = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
-def column_stats(df: DataFrame, distinct_for: Sequence[str] = ()) -> DataFrame:
+def column_stats(df: DataFrame, distinct_for: Sequence[str] = (), inf_for: Sequence[str] = ()) -> DataFrame:
     """G4/G5 for every column: ordinal, numeric flag, binary flag (non-null
     values within {0,1}; an all-null column passes), rate, non-null count,
     how many of the values 0 and 1 occur, and — only for ``distinct_for`` —
     the exact distinct count. One aggregate job for the whole table; the
     distinct counts are the only part that is not a plain partial aggregate,
     so they are limited to the columns a decision needs."""
+    from clickforge.functions.exprs import category_has_inf
     aggs, meta = [], []
-    distinct_for = set(distinct_for)
+    distinct_for, inf_for = set(distinct_for), set(inf_for)
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         num = isinstance(f.dataType, (T.NumericType, T.BooleanType))
@@ -48,15 +49,18 @@ def column_stats(df: DataFrame, distinct_for: Sequence[str] = ()) -> DataFrame:
         rate = F.avg(F.when(~F.isnan(v), v)) if num else F.lit(None).cast("double")
         nd = F.countDistinct(c) if f.name in distinct_for else F.lit(None)
         zo = (F.max((v == 0.0).cast("int")) + F.max((v == 1.0).cast("int"))) if num else F.lit(0)
+        inf = F.max(category_has_inf(c).cast("int")) == 1 if f.name in inf_for else F.lit(False)
         aggs += [binary.alias(f"b{i}"), rate.alias(f"r{i}"), F.count(c).alias(f"c{i}"),
-                 nd.alias(f"d{i}"), F.coalesce(zo, F.lit(0)).alias(f"z{i}")]
+                 nd.alias(f"d{i}"), F.coalesce(zo, F.lit(0)).alias(f"z{i}"),
+                 F.coalesce(inf, F.lit(False)).alias(f"x{i}")]
         meta.append((i, f.name, num))
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column_name"),
                      F.lit(num).alias("is_numeric"), F.col(f"b{i}").alias("is_binary"),
                      F.col(f"r{i}").alias("rate"), F.col(f"c{i}").cast("long").alias("non_null"),
                      F.col(f"d{i}").cast("long").alias("n_distinct"),
-                     F.col(f"z{i}").cast("long").alias("n_binary_values"))
+                     F.col(f"z{i}").cast("long").alias("n_binary_values"),
+                     F.col(f"x{i}").alias("has_inf"))
             for i, name, num in meta]
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
@@ -145,3 +149,41 @@ def feature_types(df: DataFrame, expected: Sequence[str] = EXPECTED_CATEGORICAL,
     kind = (F.when(F.col("matched").isNotNull(), "categorical")
             .when(pat & F.col("int_float"), "continuous").otherwise("other"))
     return j.select("column_name", "ordinal", kind.alias("kind"), "matched", "n_distinct")
+
+
+def name_matched(columns: Sequence[str], expected: Sequence[str] = EXPECTED_CATEGORICAL) -> list[str]:
+    return [c for c in columns if any(e in c.lower() for e in expected)]
+
+
+def profile(df: DataFrame, expected: Sequence[str] = EXPECTED_CATEGORICAL) -> dict[str, dict]:
+    """One aggregate job -> per-column statistics on the driver (one small
+    record per column: the schema width bounds it). Distinct counts and
+    infinity flags only for the name-matched categorical candidates."""
+    cand = name_matched(df.columns, expected)
+    rows = column_stats(df, distinct_for=cand, inf_for=cand).collect()
+    return {r["column_name"]: r.asDict() for r in rows}
+
+
+def confirm_label_from(prof: dict[str, dict], provided: str | None = "clicked",
+                       candidates: Sequence[str] = CONFIRM_CANDIDATES) -> str:
+    """G7 decided from a profile (same rule as ``confirm_label``)."""
+    for name in ([provided] if provided else []) + list(candidates):
+        r = prof.get(name)
+        if r and r["is_binary"] and r["n_binary_values"] == 2:
+            return name
+    return "clicked"
+
+
+def categorical_from(prof: dict[str, dict], columns: Sequence[str],
+                     expected: Sequence[str] = EXPECTED_CATEGORICAL,
+                     max_values: int = MAX_CATEGORY_VALUES) -> list[str]:
+    """B4 categorical list decided from a profile, in table order."""
+    chosen: list[str] = []
+    for e in expected:
+        for c in columns:
+            r = prof.get(c)
+            if e in c.lower() and r and r["n_distinct"] is not None and r["n_distinct"] < max_values:
+                if c not in chosen:
+                    chosen.append(c)
+                break
+    return [c for c in columns if c in chosen]

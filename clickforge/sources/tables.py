@@ -16,7 +16,7 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               skip_corrupt: bool = False, rebalance: bool = False) -> DataFrame:
+               skip_corrupt: bool = False, rebalance: bool = True) -> DataFrame:
     """A1: parquet scan. ``skip_corrupt`` is the reference's "log and skip an
     unreadable row group" behaviour, made explicit (off by default)."""
     reader = spark.read
