@@ -1,8 +1,13 @@
-"""CTR correction, exact quantiles and post-processing.
-
-Every table-wide scalar (a mean, a percentile) is a one-row aggregate joined
-back with a broadcast cross join: the plan stays lazy and nothing goes
-through the driver.
+"""CTR correction, exact quantiles and post-processing.
+
+Each step of these chains needs a table-wide scalar (a mean, a percentile)
+of the *previous* step's output. Chaining "aggregate, join back, aggregate
+again" over the rows would re-derive the source once per step and double
+the plan each time. Instead the scores are reduced ONCE to a checkpointed
+``(group, value, count)`` table; every step maps values deterministically,
+so all scalars of the chain are weighted aggregates over that small table.
+The rows are then touched by one projection with the final scalars
+(broadcast when they are one row, or one row per group).
 """
 
 from __future__ import annotations
@@ -12,21 +17,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickforge.operators.ranking import join_small, value_prefix_sums
+from clickforge.operators.ranking import join_small, row_index, value_prefix_sums
 
 # Fixed values from the reference post-processing.
 TRAIN_TARGET_CTR = 0.0191
 SERVING_TARGET_CTR = 0.0201
 CTR_GATE = 0.001
+FINAL_GATE = 0.002
 EPS = 1e-15
 SERVING_LO = 0.0001
 SERVING_HI = 0.9999
 DIVERSITY_THRESHOLD = 1000
 NOISE_FACTOR = 0.008
 
+V, C = "__v", "__c"
+
 
-def _clip(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.least(c, F.lit(hi)), F.lit(lo))
+def _clip(c: Column, lo, hi) -> Column:
+    lo = lo if isinstance(lo, Column) else F.lit(lo)
+    hi = hi if isinstance(hi, Column) else F.lit(hi)
+    return F.greatest(F.least(c, hi), lo)
 
 
 def _with_scalar(df: DataFrame, agg: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,105 +47,157 @@ def _with_scalar(df: DataFrame, agg: DataFrame, keys: Sequence[str]) -> DataFram
     return join_small(df, agg, keys, "left")
 
 
+def value_counts(df: DataFrame, p: str, keys: Sequence[str] = (), materialize: bool = True) -> DataFrame:
+    """``(keys, __v, __c)``: distinct scores with their row counts (NULL kept
+    as its own value). Partial aggregation runs map-side; checkpointed."""
+    vc = df.groupBy(*keys, F.col(p).cast("double").alias(V)).agg(F.count(F.lit(1)).alias(C))
+    return vc.checkpoint(eager=True) if materialize else vc
+
+
+def _wmean(expr: Column) -> Column:
+    """Row mean of ``expr`` over a value-count table (NULLs skipped, like avg)."""
+    return F.sum(F.when(expr.isNotNull(), F.col(C) * expr)) / F.sum(F.when(expr.isNotNull(), F.col(C)))
+
+
+def _correction_scalars(vc: DataFrame, keys: Sequence[str], target: float) -> DataFrame:
+    keys = list(keys)
+    p0 = _clip(F.col(V), EPS, 1 - EPS)
+    m1 = vc.groupBy(*keys).agg(_wmean(p0).alias("__m1"))
+    a = _with_scalar(vc, m1, keys)
+    p1 = _p1(p0, target)
+    m2 = a.groupBy(*keys).agg(F.first("__m1").alias("__m1"), _wmean(p1).alias("__m2"))
+    b = _with_scalar(vc, m2, keys)
+    p2 = _p2(_p1(p0, target), target)
+    return b.groupBy(*keys).agg(F.first("__m1").alias("__m1"), F.first("__m2").alias("__m2"),
+                                (F.abs(_wmean(p2) - target) < CTR_GATE).alias("ctr_ok"))
+
+
+def _p1(p0: Column, target: float) -> Column:
+    return F.when(F.col("__m1") > 0, _clip(p0 * (target / F.col("__m1")), EPS, 1 - EPS)).otherwise(F.lit(target))
+
+
+def _p2(p1: Column, target: float) -> Column:
+    return F.when(F.abs(F.col("__m2") - target) > CTR_GATE,
+                  _clip(p1 * (target / F.col("__m2")), EPS, 1 - EPS)).otherwise(p1)
+
+
 def ctr_correction(df: DataFrame, p: str = "p", target: float = TRAIN_TARGET_CTR,
                    keys: Sequence[str] = (), out: str = "p_corrected") -> DataFrame:
     """X-17: clip, scale to the target mean (constant target when the mean is
     0), clip; if the mean is still off by more than 0.001, scale once more.
     Adds ``out`` and the gate column ``ctr_ok`` (final mean within 0.001)."""
     keys = list(keys)
-    c0 = _clip(F.col(p), EPS, 1 - EPS)
-    d = df.withColumn("__p0", c0)
-    m1 = d.groupBy(*keys).agg(F.avg("__p0").alias("__m1"))
-    d = _with_scalar(d, m1, keys)
-    p1 = F.when(F.col("__m1") > 0, _clip(F.col("__p0") * (target / F.col("__m1")), EPS, 1 - EPS)) \
-        .otherwise(F.lit(target))
-    d = d.withColumn("__p1", p1)
-    m2 = d.groupBy(*keys).agg(F.avg("__p1").alias("__m2"))
-    d = _with_scalar(d, m2, keys)
-    p2 = F.when(F.abs(F.col("__m2") - target) > CTR_GATE,
-                _clip(F.col("__p1") * (target / F.col("__m2")), EPS, 1 - EPS)).otherwise(F.col("__p1"))
-    d = d.withColumn(out, p2)
-    m3 = d.groupBy(*keys).agg((F.abs(F.avg(out) - target) < CTR_GATE).alias("ctr_ok"))
-    d = _with_scalar(d, m3, keys)
-    return d.drop("__p0", "__m1", "__p1", "__m2")
+    sc = _correction_scalars(value_counts(df, p, keys), keys, target)
+    d = _with_scalar(df, sc, keys)
+    val = _p2(_p1(_clip(F.col(p), EPS, 1 - EPS), target), target)
+    return d.withColumn(out, val).drop("__m1", "__m2")
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = (),
-                    buckets: int = 64, prefix: str = "q") -> DataFrame:
+                    buckets: int = 64, prefix: str = "q", counts: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy ``linear``, DuckDB
     ``quantile_cont``) per group, without holding a group's values in memory.
 
     Values collapse to ``(value, n)``; exclusive running counts in ascending
     order come from ``value_prefix_sums``; the value at position i is the one
     with ``before <= i < before + n``. Output: one row per group with columns
-    ``q<idx>`` in the order of ``qs``.
+    ``q<idx>`` in the order of ``qs``. ``counts`` may pass a ``value_counts``
+    table (column ``__v``) instead of ``df``.
     """
     keys = list(keys)
-    d = df.where(F.col(value).isNotNull() & ~F.isnan(value)) \
-        .groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    if counts is None:
+        counts = value_counts(df, value, keys)
+    d = counts.where(F.col(V).isNotNull() & ~F.isnan(V)).select(*keys, V, F.col(C).alias("__n"))
     tot = d.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    d = value_prefix_sums(d, keys, "__v", ["__n"], descending=False, buckets=buckets)
+    d = value_prefix_sums(d, keys, V, ["__n"], descending=False, buckets=buckets)
     d = _with_scalar(d, tot, keys)
     aggs = []
     for i, q in enumerate(qs):
         pos = (F.col("__total") - 1) * q
         lo, hi = F.floor(pos), F.ceil(pos)
         cover = lambda t: (F.col("__n_before") <= t) & (t < F.col("__n_before") + F.col("__n"))
-        aggs += [F.max(F.when(cover(lo), F.col("__v"))).alias(f"__lo{i}"),
-                 F.max(F.when(cover(hi), F.col("__v"))).alias(f"__hi{i}"),
+        aggs += [F.max(F.when(cover(lo), F.col(V))).alias(f"__lo{i}"),
+                 F.max(F.when(cover(hi), F.col(V))).alias(f"__hi{i}"),
                  F.first(pos - lo).alias(f"__f{i}")]
     a = d.groupBy(*keys).agg(*aggs)
     return a.select(*keys, *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}"))
                              .alias(f"{prefix}{i}") for i in range(len(qs))])
 
 
-def clip_outliers(df: DataFrame, p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
-    """Clip to [max(0.1*q01, 1e-4), min(1.1*q99, 0.9999)]."""
-    q = exact_quantiles(df, p, [0.01, 0.99], keys)
-    q = q.select(*keys, F.greatest(F.col("q0") * 0.1, F.lit(SERVING_LO)).alias("__lo"),
-                 F.least(F.col("q1") * 1.1, F.lit(SERVING_HI)).alias("__hi"))
-    d = _with_scalar(df, q, keys)
-    return d.withColumn(p, F.greatest(F.least(F.col(p), F.col("__hi")), F.col("__lo"))).drop("__lo", "__hi")
+def _outlier_bounds(vc: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """P1 bounds ``[max(0.1*q01, 1e-4), min(1.1*q99, 0.9999)]`` per group."""
+    q = exact_quantiles(None, V, [0.01, 0.99], keys, counts=vc)
+    return q.select(*keys, F.greatest(F.col("q0") * 0.1, F.lit(SERVING_LO)).alias("__lo"),
+                    F.least(F.col("q1") * 1.1, F.lit(SERVING_HI)).alias("__hi"))
 
 
-def diversity_noise(df: DataFrame, p: str = "p", keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """When a group has fewer than 1000 distinct scores, add Gaussian noise
-    with sd ``max(0.008*std_pop, 1e-6)`` and clip. ``randn(seed)`` is
-    deterministic per partition, so a recomputed partition is identical."""
-    keys = list(keys)
-    s = df.groupBy(*keys).agg(F.countDistinct(p).alias("__nd"), F.stddev_pop(p).alias("__sd"))
-    d = _with_scalar(df, s, keys)
-    sd = F.greatest(F.col("__sd") * NOISE_FACTOR, F.lit(1e-6))
-    noisy = _clip(F.col(p) + F.randn(seed) * sd, SERVING_LO, SERVING_HI)
-    return d.withColumn(p, F.when(F.col("__nd") < DIVERSITY_THRESHOLD, noisy).otherwise(F.col(p))) \
-        .drop("__nd", "__sd")
-
-
-def align_ctr(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR,
-              keys: Sequence[str] = ()) -> DataFrame:
-    """If the mean is off the target by more than 0.001 (and positive),
-    scale to the target and clip to [1e-4, 0.9999]."""
-    keys = list(keys)
-    m = df.groupBy(*keys).agg(F.avg(p).alias("__m"))
-    d = _with_scalar(df, m, keys)
-    scaled = _clip(F.col(p) * (target / F.col("__m")), SERVING_LO, SERVING_HI)
-    return d.withColumn(p, F.when((F.abs(F.col("__m") - target) > CTR_GATE) & (F.col("__m") > 0), scaled)
-                        .otherwise(F.col(p))).drop("__m")
+def _aligned(x: Column, target: float) -> Column:
+    """P3 for one value given the group mean ``__m`` of the inputs."""
+    return F.when((F.abs(F.col("__m") - target) > CTR_GATE) & (F.col("__m") > 0),
+                  _clip(x * (target / F.col("__m")), SERVING_LO, SERVING_HI)).otherwise(x)
 
 
 def post_process(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR,
                  keys: Sequence[str] = (), outliers: bool = True, diversity: bool = True,
                  alignment: bool = True, seed: int = 42) -> DataFrame:
-    """P1 -> P2 -> P3 -> clip, each switchable. ``keys=['batch_id']``
-    reproduces the reference's per-batch processing; the default is global."""
+    """P1 -> P2 -> P3 -> clip to [1e-4, 0.9999], each switchable.
+    ``keys=['batch_id']`` reproduces the reference's per-batch processing.
+
+    Without P2 every scalar comes from the value-count table. P2 adds row
+    noise, so its output is checkpointed once and P3's mean is taken there.
+    """
+    keys = list(keys)
     d = df
+    vc = value_counts(df, p, keys)
+    x = F.col(p)
     if outliers:
-        d = clip_outliers(d, p, keys)
+        d = _with_scalar(d, _outlier_bounds(vc, keys), keys)
+        x = _clip(x, F.col("__lo"), F.col("__hi"))
     if diversity:
-        d = diversity_noise(d, p, keys, seed)
+        vx = _clip(F.col(V), F.col("__lo"), F.col("__hi")) if outliers else F.col(V)
+        base = _with_scalar(vc, _outlier_bounds(vc, keys), keys) if outliers else vc
+        st = base.groupBy(*keys, vx.alias("__x")).agg(F.sum(C).alias(C))
+        mu = st.groupBy(*keys).agg(_wmean(F.col("__x")).alias("__mu"),
+                                   F.count(F.lit(1)).alias("__nd"))
+        sd = _with_scalar(st, mu, keys).groupBy(*keys).agg(
+            F.first("__nd").alias("__nd"),
+            F.sqrt(_wmean((F.col("__x") - F.col("__mu")) * (F.col("__x") - F.col("__mu")))).alias("__sd"))
+        d = _with_scalar(d, sd, keys)
+        noise = F.randn(seed) * F.greatest(F.col("__sd") * NOISE_FACTOR, F.lit(1e-6))
+        x = F.when(F.col("__nd") < DIVERSITY_THRESHOLD, _clip(x + noise, SERVING_LO, SERVING_HI)).otherwise(x)
+        d = d.withColumn(p, x).drop("__lo", "__hi", "__nd", "__sd").checkpoint(eager=True)
+        x = F.col(p)
+        if alignment:
+            m = d.groupBy(*keys).agg(F.avg(p).alias("__m"))
+            d = _with_scalar(d, m, keys)
+            x = _aligned(x, target)
+        return d.withColumn(p, _clip(x, SERVING_LO, SERVING_HI)).drop("__m")
     if alignment:
-        d = align_ctr(d, p, target, keys)
-    return d.withColumn(p, _clip(F.col(p), SERVING_LO, SERVING_HI))
+        # mean of the P1 output, from the value counts
+        vx = _clip(F.col(V), F.col("__lo"), F.col("__hi")) if outliers else F.col(V)
+        base = _with_scalar(vc, _outlier_bounds(vc, keys), keys) if outliers else vc
+        m = base.groupBy(*keys).agg(_wmean(vx).alias("__m"))
+        d = _with_scalar(d, m, keys)
+        x = _aligned(x, target)
+    return d.withColumn(p, _clip(x, SERVING_LO, SERVING_HI)).drop("__lo", "__hi", "__m")
+
+
+def clip_outliers(df: DataFrame, p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
+    """P1 alone."""
+    return post_process(df, p, keys=keys, outliers=True, diversity=False, alignment=False)
+
+
+def diversity_noise(df: DataFrame, p: str = "p", keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """P2 alone: when a group has fewer than 1000 distinct scores, add
+    Gaussian noise with sd ``max(0.008*std_pop, 1e-6)`` and clip.
+    ``randn(seed)`` is deterministic per partition."""
+    return post_process(df, p, keys=keys, outliers=False, diversity=True, alignment=False, seed=seed)
+
+
+def align_ctr(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR,
+              keys: Sequence[str] = ()) -> DataFrame:
+    """P3 alone."""
+    return post_process(df, p, target, keys, outliers=False, diversity=False, alignment=True)
 
 
 def table_scoring(df: DataFrame, p: str = "p", key: str = "row_key", batch_size: int | None = None,
@@ -143,17 +205,22 @@ def table_scoring(df: DataFrame, p: str = "p", key: str = "row_key", batch_size:
     """P5: post-process scores (P4) globally or per ``batch_size`` rows in key
     order (the reference's batches), clip, then rescale globally when the mean
     is off the target by more than 0.002. Batch ids come from the bucketed
-    ``row_index`` (no global sort)."""
-    from clickforge.operators.ranking import row_index
+    ``row_index`` (no global sort) and are checkpointed with the scores."""
     keys: list[str] = []
     d = df
     if batch_size:
-        d = row_index(d, [], F.col(key).cast("string"), name="__i") \
-            .withColumn("batch_id", F.floor(F.col("__i") / batch_size).cast("long")).drop("__i")
+        d = row_index(d.select(key, p), [], F.col(key).cast("string"), name="__i") \
+            .withColumn("batch_id", F.floor(F.col("__i") / batch_size).cast("long")).drop("__i") \
+            .checkpoint(eager=True)
         keys = ["batch_id"]
     d = post_process(d, p, target, keys, diversity=diversity, seed=seed)
-    m = d.agg(F.avg(p).alias("__m"))
+    if diversity:
+        d = d.checkpoint(eager=True)
+        m = d.agg(F.avg(p).alias("__g"))
+    else:
+        # final mean from the value counts of the post-processed scores
+        m = value_counts(d, p, keys).agg(_wmean(F.col(V)).alias("__g"))
     d = d.crossJoin(F.broadcast(m))
-    scaled = _clip(F.col(p) * (target / F.col("__m")), SERVING_LO, SERVING_HI)
-    return d.withColumn(p, F.when((F.abs(F.col("__m") - target) > 0.002) & (F.col("__m") > 0), scaled)
-                        .otherwise(F.col(p))).drop("__m")
+    scaled = _clip(F.col(p) * (target / F.col("__g")), SERVING_LO, SERVING_HI)
+    return d.withColumn(p, F.when((F.abs(F.col("__g") - target) > FINAL_GATE) & (F.col("__g") > 0), scaled)
+                        .otherwise(F.col(p))).drop("__g")

@@ -267,7 +267,8 @@ def ap_rowwise(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicke
     keys = list(keys)
     base = df.where(F.col(y).isNotNull() & _finite(F.col(p))) \
         .select(*keys, F.col(p).alias("__s"), F.col(y).cast("long").alias("__y"), key)
-    d = base.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__pos"))
+    d = base.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__pos")) \
+        .checkpoint(eager=True)
     d = value_prefix_sums(d, keys, "__s", ["__n", "__pos"], descending=True, buckets=buckets,
                           bounded=bounded).drop("__n", "__pos")
     r = row_index(base, [*keys, "__s"], F.col(key).cast("string"), prefix_len=prefix_len, sums=["__y"], bounded=False, name="__i")

@@ -254,8 +254,9 @@ from clickforge.operators import requests as RQ  # noqa: E402
 
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = V.requests(spark, sf_dir)
-    prior = RQ.fit_ad_prior(req)
-    factor = RQ.alignment_factor(prior, req)
+    # fitted state (one row per ad, one scalar row) is checkpointed once
+    prior = RQ.fit_ad_prior(req).checkpoint(eager=True)
+    factor = RQ.alignment_factor(prior, req).checkpoint(eager=True)
     return RQ.score_requests(req, prior, factor)
 
 
