@@ -53,4 +53,6 @@ ORACLE: dict[str, str] = {
     "basic_features": OM.basic_features_sql(),
     "table_scoring": OM.table_scoring_sql(),
     "submission_csv": OM.submission_csv_sql(),
+    "evaluation_report": OM.comparison_report_sql(),
+    "scoring_features": f"select * from ({OF.feature_matrix_sql()}) where split = 'test'",
 }

@@ -320,7 +320,9 @@ def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = ML.cross_validate(a, fm.feature_order, k=5, max_iter=15)
     folds = folds.checkpoint(eager=True)
     rounds = ML.refit_rounds(folds)
-    return M.round_doubles(folds.withColumn("refit_rounds", F.lit(rounds)), 6)
+    summary = CMP.fold_summary(folds.withColumn("model", F.lit("gbt_a")),
+                               ["competition_score", "ap", "balanced_log_loss"]).drop("model")
+    return M.round_doubles(folds.withColumn("refit_rounds", F.lit(rounds)).crossJoin(F.broadcast(summary)), 6)
 
 
 @register("model_comparison")
@@ -476,3 +478,39 @@ def submission_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/submissions/{uuid.uuid4().hex[:12]}"
     TB.write_submission(REGISTRY["submission"](spark, sf_dir), path)
     return TB.read_id_template(spark, path)
+
+
+@register("evaluation_report")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O5 + A10: the comparison report written as JSON to the shared folder
+    and read back with its declared schema."""
+    rep = comparison_report(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/reports/{uuid.uuid4().hex[:12]}"
+    TB.write_report(rep, path)
+    return spark.read.schema(rep.schema).json(path)
+
+
+@register("experiment_export")
+def experiment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiments exported as one JSON object each (model results
+    nested), read back and flattened (rows-only: timestamps are wall-clock)."""
+    lp = V.long_predictions(spark, sf_dir)
+    mr = M.metric_row(lp, ["model"], bounded=True, digits=None)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/experiments/{uuid.uuid4().hex[:12]}"
+    EXP.append_experiment(EXP.experiment_rows(mr, 1, "all_rows", {"models": "m1,m2,m3"}), f"{folder}/table")
+    EXP.export_json(spark.read.parquet(f"{folder}/table"), f"{folder}/json")
+    js = spark.read.json(f"{folder}/json")
+    return js.select("experiment_num", "run_model", F.explode("model_performances").alias("m")) \
+        .select("experiment_num", "run_model", "m.*")
+
+
+@register("scoring_features")
+def scoring_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B8 + B10 + B11 + B12: test-side features aligned to the training
+    column order with score-time cleaning (NaN -> 0, ±inf -> ±1e6)."""
+    imp = V.impressions(spark, sf_dir)
+    tr, te = V.split_train_test(imp)
+    fm, _, b = FE.build_features(tr, te)
+    b = CL.finite_clean(b, cols=fm.feature_order, mode="score")
+    return CL.align_features(b, fm.feature_order).select("row_key", F.lit("test").alias("split"),
+                                                          *fm.feature_order)
