@@ -94,7 +94,7 @@ def ctr_correction(df: DataFrame, p: str = "p", target: float = TRAIN_TARGET_CTR
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = (),
-                    buckets: int = 64, prefix: str = "q", counts: DataFrame | None = None) -> DataFrame:
+                    buckets: int | None = None, prefix: str = "q", counts: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy ``linear``, DuckDB
     ``quantile_cont``) per group, without holding a group's values in memory.
 

@@ -71,7 +71,7 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str
     return c.checkpoint(eager=True) if materialize else c
 
 
-def ranking_from_counts(sc: DataFrame, keys: Sequence[str], buckets: int = 64,
+def ranking_from_counts(sc: DataFrame, keys: Sequence[str], buckets: int | None = None,
                         bounded: bool = False) -> DataFrame:
     """G12 + G13 per group from ``score_counts``: exact ROC-AUC (ties get half
     credit) and step-wise average precision over distinct clipped scores.
@@ -119,7 +119,7 @@ def ranking_from_counts(sc: DataFrame, keys: Sequence[str], buckets: int = 64,
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str = "p",
-                    buckets: int = 64, bounded: bool = False) -> DataFrame:
+                    buckets: int | None = None, bounded: bool = False) -> DataFrame:
     """G12 + G13 per group over a prediction table."""
     return ranking_from_counts(score_counts(df, keys, y, p), keys, buckets, bounded)
 
@@ -158,7 +158,7 @@ def base_from_counts(sc: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicked",
-               p: str = "p", buckets: int = 64, bounded: bool = False,
+               p: str = "p", buckets: int | None = None, bounded: bool = False,
                digits: int | None = 6) -> DataFrame:
     """G22 (with G10-G21 inside): one metric record per group.
 
@@ -253,7 +253,7 @@ def weight_column(df: DataFrame, y: str = "clicked", pos_weight: Column | float
 
 
 def ap_rowwise(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicked",
-               p: str = "p", key: str = "row_key", buckets: int = 64,
+               p: str = "p", key: str = "row_key", buckets: int | None = None,
                prefix_len: int = 3, bounded: bool = False, digits: int | None = 6) -> DataFrame:
     """Row-by-row AP (precision at every positive in score order), ties
     broken by ``key`` ascending.

@@ -76,9 +76,16 @@ def prefix_sums_bucketed(df: DataFrame, keys: Sequence[str], bucket: str,
     return j.select(*df.columns, *cols)
 
 
+def default_buckets(spark) -> int:
+    """Buckets per group: one per shuffle partition (16..4096), so a single
+    group can use the whole cluster and the offsets table stays small."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(16, min(4096, n))
+
+
 def value_prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
-                      descending: bool = True, buckets: int = 64, inclusive: bool = False,
-                      bounded: bool = False, accuracy: int = 10000) -> DataFrame:
+                      descending: bool = True, buckets: int | None = None, inclusive: bool = False,
+                      bounded: bool = False, accuracy: int | None = None) -> DataFrame:
     """Running sums over a table with one row per (keys, value).
 
     Buckets come from per-group quantile boundaries of the distinct values
@@ -86,6 +93,8 @@ def value_prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequ
     1/``buckets`` of a group's distinct values whatever the value skew.
     """
     keys = list(keys)
+    buckets = buckets or default_buckets(df.sparkSession)
+    accuracy = accuracy or max(10000, 10 * buckets)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*keys).agg(
         F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("__bounds"))
