@@ -124,7 +124,7 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: s
     return ranking_from_counts(score_counts(df, keys, y, p), keys, buckets, bounded)
 
 
-def base_from_counts(sc: DataFrame, keys: Sequence[str]) -> DataFrame:
+def base_from_counts(sc: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame:
     """G10, G15-G17, G21, G23 per group from ``score_counts`` (weighted sums).
     The population std is two-pass (mean first), as numerically safe as a
     streaming variance."""
@@ -151,10 +151,10 @@ def base_from_counts(sc: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min(p).alias("pred_min"), F.max(p).alias("pred_max"),
     )
     m = a.select(*keys, F.col("predicted_ctr").alias("__mean"))
-    v = join_small(sc, m, keys, "left", bounded=True).groupBy(*keys).agg(
+    v = join_small(sc, m, keys, "left", bounded=bounded).groupBy(*keys).agg(
         F.sqrt(F.sum(F.when(has_p, c * (p - F.col("__mean")) * (p - F.col("__mean"))))
                / F.sum(F.when(has_p, c))).alias("pred_std"))
-    return join_small(a, v, keys, "left", bounded=True)
+    return join_small(a, v, keys, "left", bounded=bounded)
 
 
 def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicked",
@@ -168,9 +168,9 @@ def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicke
     """
     keys = list(keys)
     sc = score_counts(df, keys, y, p)
-    base = base_from_counts(sc, keys)
+    base = base_from_counts(sc, keys, bounded=bounded)
     rank = ranking_from_counts(sc, keys, buckets=buckets, bounded=bounded)
-    j = join_small(base, rank, keys, "left", bounded=True)
+    j = join_small(base, rank, keys, "left", bounded=bounded)
     n, npos = F.col("n"), F.col("n_pos")
     ok = (npos > 0) & (npos < n) & (F.col("__bad") == 0)
     wll = F.col("__wll")
@@ -205,16 +205,16 @@ def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicke
 
 def loss_metrics(df: DataFrame | None, keys: Sequence[str] = ("model",), y: str = "clicked",
                  p: str = "p", digits: int | None = 6, with_ap: DataFrame | None = None,
-                 counts: DataFrame | None = None) -> DataFrame:
+                 counts: DataFrame | None = None, bounded: bool = True) -> DataFrame:
     """Log loss, class-balanced log loss, weighted log loss, and the
     competition score ``0.5*AP + 0.5/(1+balanced)`` when AP is supplied."""
     keys = list(keys)
-    a = base_from_counts(counts if counts is not None else score_counts(df, keys, y, p), keys)
+    a = base_from_counts(counts if counts is not None else score_counts(df, keys, y, p), keys, bounded)
     bal = 0.5 * F.coalesce(F.col("__ll_neg"), F.lit(0.0)) + 0.5 * F.coalesce(F.col("__ll_pos"), F.lit(0.0))
     out = a.select(*keys, F.col("__ll").alias("log_loss"), bal.alias("balanced_log_loss"),
                    F.col("__wll").alias("weighted_log_loss"))
     if with_ap is not None:
-        out = join_small(out, with_ap.select(*keys, "ap"), keys, "left", bounded=True)
+        out = join_small(out, with_ap.select(*keys, "ap"), keys, "left", bounded=bounded)
         out = out.withColumn("competition_score",
                              0.5 * F.col("ap") + 0.5 / (1 + F.col("balanced_log_loss")))
         out = out.withColumn("combined_score",
