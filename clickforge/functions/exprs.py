@@ -106,3 +106,24 @@ def md5_mod(c: Column, m: int = 1_000_000) -> Column:
 
 def clip(c: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.least(c, F.lit(hi)), F.lit(lo))
+
+
+def _session_tz() -> str:
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    return s.conf.get("spark.sql.session.timeZone") if s is not None else "UTC"
+
+
+def ntz_as_utc(c: Column) -> Column:
+    """A ``timestamp_ntz`` wall-clock value as the instant it names in UTC,
+    whatever the session time zone (casting alone would use the session's)."""
+    tz = _session_tz()
+    t = c.cast("timestamp")
+    return t if tz.upper() in ("UTC", "Z", "GMT") else F.from_utc_timestamp(t, tz)
+
+
+def utc_wall_clock(c: Column) -> Column:
+    """An instant rendered as its UTC wall-clock ``timestamp_ntz``."""
+    tz = _session_tz()
+    t = c if tz.upper() in ("UTC", "Z", "GMT") else F.to_utc_timestamp(c, tz)
+    return t.cast("timestamp_ntz")

@@ -81,7 +81,7 @@ def request_features(req: DataFrame, context_keys: Sequence[str] = ("bid_amount"
     pos = F.coalesce(F.col("position"), F.lit(DEFAULT_POSITION))
     cols["session_position"] = pos
     cols["is_first_position"] = (pos == 1).cast("int")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    micros = F.unix_micros(X.ntz_as_utc(F.col("ts")))
     cols["time_index"] = F.pmod(micros, F.lit(86_400_000_000)) / 86_400_000_000.0
     for k in context_keys:
         c = F.col(k)

@@ -3,12 +3,14 @@ operator group of SURVEY §2, each reading the given tables in full."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickforge.operators import metrics as M
+from clickforge.session import ensure_checkpoint_dir
 from clickforge.sources import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +18,15 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query; every registered query first makes sure the session
+    has a checkpoint folder (the configured one, or a local scratch folder
+    when running in local mode without one)."""
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+        REGISTRY[name] = run
         return fn
     return deco
 

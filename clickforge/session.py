@@ -38,6 +38,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Return the checkpoint folder the session names; when none is set and
+    Spark runs in local mode (tests, bench, a checking harness), create a
+    scratch folder for this run. A cluster without one is an error: only a
+    shared folder survives the loss of an executor."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    jd = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if jd.isDefined():
+        return jd.get()
+    if d:
+        spark.sparkContext.setCheckpointDir(d)
+        return d
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
+    d = tempfile.mkdtemp(prefix="clickforge-ckpt-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(d)
+    return d
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 

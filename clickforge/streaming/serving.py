@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickforge.functions import exprs as X
 from clickforge.operators import metrics as M
 from clickforge.operators import requests as RQ
 from clickforge.session import checkpoint_dir
@@ -67,15 +68,15 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_stats(scored: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """T2 + T3: per event-time window and model — requests, successes, mean
     prediction, click rate, CTR bias and the G20 alignment score."""
-    s = scored.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
+    s = scored.withColumn("event_time", X.ntz_as_utc(F.col("ts"))).withWatermark("event_time", delay)
     a = s.groupBy(F.window("event_time", window).alias("w"), "model_used").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count(F.when(F.col("success"), 1)).alias("successful"),
         F.avg("ctr_prediction").alias("mean_prediction"),
         F.avg(F.col("clicked").cast("double")).alias("click_rate"))
     bias = F.col("mean_prediction") - F.col("click_rate")
-    return a.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "model_used",
+    return a.select(X.utc_wall_clock(F.col("w.start")).alias("window_start"),
+                    X.utc_wall_clock(F.col("w.end")).alias("window_end"), "model_used",
                     "requests", "successful", "mean_prediction", "click_rate", bias.alias("ctr_bias"),
                     M.ctr_score_expr(F.abs(bias)).alias("ctr_score"))
 
