@@ -127,3 +127,12 @@ def utc_wall_clock(c: Column) -> Column:
     tz = _session_tz()
     t = c if tz.upper() in ("UTC", "Z", "GMT") else F.to_utc_timestamp(c, tz)
     return t.cast("timestamp_ntz")
+
+
+def stable_hash_mod(c: Column, m: int, method: str = "md5") -> Column:
+    """X-7: a reproducible replacement for a per-process salted hash bucket.
+    ``md5`` (default) matches Python/DuckDB exactly; ``xxhash`` is Spark's
+    64-bit xxHash, cheaper, for jobs that need no external oracle."""
+    if method == "xxhash":
+        return F.pmod(F.xxhash64(c.cast("string")), F.lit(m))
+    return md5_mod(c, m)
