@@ -43,8 +43,10 @@ def weighted_average(models: Sequence[str], weight_prefix: str = "w_") -> Column
 def model_scores(long: DataFrame, y: str = "clicked", keys: Sequence[str] = ()) -> DataFrame:
     """AUC, AP and |CTR bias| per model (E3-E5 inputs)."""
     keys = ["model", *keys]
-    r = M.ranking_metrics(long, keys, y, "p", bounded=True)
-    b = long.groupBy(*keys).agg(F.abs(F.avg("p") - F.avg(F.col(y).cast("double"))).alias("bias"))
+    sc = M.score_counts(long, keys, y, "p")          # one pass, checkpointed
+    r = M.ranking_from_counts(sc, keys, bounded=True)
+    b = M.base_from_counts(sc, keys).select(
+        *keys, F.abs(F.col("predicted_ctr") - F.col("actual_ctr")).alias("bias"))
     return r.join(b, keys)
 
 

@@ -35,11 +35,15 @@ def spread(df: DataFrame) -> DataFrame:
     left untouched: the check reads only the planned split count.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
 
 
+SPREAD_MIN_BYTES = 1 << 20   # tiny tables are not worth a shuffle
+
+
 def load_pair(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A2: both sides must be non-empty. ``isEmpty`` reads at most one row."""
     if train.isEmpty():
