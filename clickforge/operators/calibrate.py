@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickforge.session import materialize as materialize_table
+
 from clickforge.operators.ranking import join_small, row_index, value_prefix_sums
 
 # Fixed values from the reference post-processing.
@@ -51,7 +53,7 @@ def value_counts(df: DataFrame, p: str, keys: Sequence[str] = (), materialize: b
     """``(keys, __v, __c)``: distinct scores with their row counts (NULL kept
     as its own value). Partial aggregation runs map-side; checkpointed."""
     vc = df.groupBy(*keys, F.col(p).cast("double").alias(V)).agg(F.count(F.lit(1)).alias(C))
-    return vc.checkpoint(eager=True) if materialize else vc
+    return materialize_table(vc) if materialize else vc
 
 
 def _wmean(expr: Column) -> Column:
@@ -165,7 +167,7 @@ def post_process(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR
         d = _with_scalar(d, sd, keys)
         noise = F.randn(seed) * F.greatest(F.col("__sd") * NOISE_FACTOR, F.lit(1e-6))
         x = F.when(F.col("__nd") < DIVERSITY_THRESHOLD, _clip(x + noise, SERVING_LO, SERVING_HI)).otherwise(x)
-        d = d.withColumn(p, x).drop("__lo", "__hi", "__nd", "__sd").checkpoint(eager=True)
+        d = d.withColumn(p, x).drop("__lo", "__hi", "__nd", "__sd").transform(materialize_table)
         x = F.col(p)
         if alignment:
             m = d.groupBy(*keys).agg(F.avg(p).alias("__m"))
@@ -211,11 +213,11 @@ def table_scoring(df: DataFrame, p: str = "p", key: str = "row_key", batch_size:
     if batch_size:
         d = row_index(d.select(key, p), [], F.col(key).cast("string"), name="__i") \
             .withColumn("batch_id", F.floor(F.col("__i") / batch_size).cast("long")).drop("__i") \
-            .checkpoint(eager=True)
+            .transform(materialize_table)
         keys = ["batch_id"]
     d = post_process(d, p, target, keys, diversity=diversity, seed=seed)
     if diversity:
-        d = d.checkpoint(eager=True)
+        d = materialize_table(d)
         m = d.agg(F.avg(p).alias("__g"))
     else:
         # final mean from the value counts of the post-processed scores

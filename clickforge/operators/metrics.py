@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickforge.session import materialize as materialize_table
+
 from clickforge.operators.ranking import join_small, row_index, value_prefix_sums
 
 # Fixed values from the reference metrics.
@@ -68,7 +70,7 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str
     c = df.where(F.col(y).isNotNull()).groupBy(
         *keys, F.col(p).cast("double").alias("__s"), F.col(y).cast("long").alias("__y")
     ).agg(F.count(F.lit(1)).alias("__c"))
-    return c.checkpoint(eager=True) if materialize else c
+    return materialize_table(c) if materialize else c
 
 
 def ranking_from_counts(sc: DataFrame, keys: Sequence[str], buckets: int | None = None,
@@ -268,7 +270,7 @@ def ap_rowwise(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicke
     base = df.where(F.col(y).isNotNull() & _finite(F.col(p))) \
         .select(*keys, F.col(p).alias("__s"), F.col(y).cast("long").alias("__y"), key)
     d = base.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__pos")) \
-        .checkpoint(eager=True)
+        .transform(materialize_table)
     d = value_prefix_sums(d, keys, "__s", ["__n", "__pos"], descending=True, buckets=buckets,
                           bounded=bounded).drop("__n", "__pos")
     r = row_index(base, [*keys, "__s"], F.col(key).cast("string"), prefix_len=prefix_len, sums=["__y"], bounded=False, name="__i")

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickforge.session import materialize as materialize_table
+
 from clickforge.operators import metrics as M
 from clickforge.session import ensure_checkpoint_dir
 from clickforge.sources import views as V
@@ -264,8 +266,8 @@ from clickforge.operators import requests as RQ  # noqa: E402
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = V.requests(spark, sf_dir)
     # fitted state (one row per ad, one scalar row) is checkpointed once
-    prior = RQ.fit_ad_prior(req).checkpoint(eager=True)
-    factor = RQ.alignment_factor(prior, req).checkpoint(eager=True)
+    prior = materialize_table(RQ.fit_ad_prior(req))
+    factor = materialize_table(RQ.alignment_factor(prior, req))
     return RQ.score_requests(req, prior, factor)
 
 
@@ -327,7 +329,7 @@ def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     the refit round count (M6)."""
     fm, a, _ = _train_features(spark, sf_dir)
     folds = ML.cross_validate(a, fm.feature_order, k=5, max_iter=15)
-    folds = folds.checkpoint(eager=True)
+    folds = materialize_table(folds)
     rounds = ML.refit_rounds(folds)
     summary = CMP.fold_summary(folds.withColumn("model", F.lit("gbt_a")),
                                ["competition_score", "ap", "balanced_log_loss"]).drop("model")
@@ -406,7 +408,7 @@ def experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("experiment_summary")
 def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O3 + L3 + L4: count, best experiment by first AUC, latest experiment."""
-    parsed = _experiment_runs(spark, sf_dir).checkpoint(eager=True)
+    parsed = materialize_table(_experiment_runs(spark, sf_dir))
     cnt = parsed.agg(F.countDistinct("experiment_num").alias("n_experiments"))
     best = EXP.best_experiment(parsed)
     latest = EXP.recent_experiments(parsed, 1).select(F.col("experiment_num").alias("latest_experiment"))

@@ -73,3 +73,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not jd.isDefined():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut lineage by writing ``df`` as parquet under the shared checkpoint
+    folder and reading it back: columnar, compressed, with exact statistics
+    for the optimizer (AQE, broadcast decisions). A lost executor does not
+    send later stages back to the source scan."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

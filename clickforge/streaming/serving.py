@@ -17,6 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickforge.session import materialize as materialize_table
+
 from clickforge.functions import exprs as X
 from clickforge.operators import metrics as M
 from clickforge.operators import requests as RQ
@@ -53,8 +55,8 @@ def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     alignment factor are fitted on the request table beforehand (a global
     factor, never one derived from the row being scored)."""
     req_static = V.requests(spark, sf_dir)
-    prior = RQ.fit_ad_prior(req_static).checkpoint(eager=True)
-    factor = RQ.alignment_factor(prior, req_static).checkpoint(eager=True)
+    prior = materialize_table(RQ.fit_ad_prior(req_static))
+    factor = materialize_table(RQ.alignment_factor(prior, req_static))
     req = V.requests_from_events(event_stream(spark, sf_dir))
     return RQ.score_requests(req, prior, factor)
 
