@@ -130,12 +130,13 @@ def parse_entries(entries: DataFrame) -> DataFrame:
         F.regexp_extract(v, r"\nNotes: ([^\n]*)", 1).alias("notes"),
         F.regexp_extract(v, r"AUC: ([-0-9.naif]+)", 1).cast("double").alias("first_auc"),
         F.regexp_extract(v, r"Successful Models: (\d+)", 1).cast("int").alias("successful_models"),
+        F.regexp_extract(v, r"Execution Time: ([0-9.]+)s", 1).try_cast("double").alias("execution_time"),
         F.split(F.regexp_extract(v, r"--- Results ---\n\n([\s\S]*)", 1), r"\n  \[").alias("blocks"))
     b = head.select("*", F.posexplode("blocks").alias("pos", "blk")).drop("blocks")
     blk = F.col("blk")
     num = lambda label: F.regexp_extract(blk, label + r": ([-0-9.naif]+)", 1).try_cast("double")
     out = b.select(
-        "experiment_num", "ts", "run_model", "notes", "first_auc", "successful_models",
+        "experiment_num", "ts", "run_model", "notes", "first_auc", "successful_models", "execution_time",
         F.regexp_extract(blk, r"^\s*\[?([^\]\n]*)\]", 1).alias("model"),
         num("AUC").alias("auc"), num("AP").alias("ap"), num("Actual CTR").alias("actual_ctr"),
         num("Predicted CTR").alias("predicted_ctr"), num("CTR Bias").alias("ctr_bias"))
