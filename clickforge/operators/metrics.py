@@ -74,9 +74,11 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str
 
 
 def ranking_from_counts(sc: DataFrame, keys: Sequence[str], buckets: int | None = None,
-                        bounded: bool = False) -> DataFrame:
+                        bounded: bool = False, single_class_auc: float | None = None) -> DataFrame:
     """G12 + G13 per group from ``score_counts``: exact ROC-AUC (ties get half
     credit) and step-wise average precision over distinct clipped scores.
+    A single-class group has AUC NULL (evaluation) or ``single_class_auc``
+    (0.5 in the trainer's variant).
 
     Exclusive running counts in descending score order come from
     ``value_prefix_sums`` (quantile buckets, no unpartitioned window).
@@ -116,7 +118,9 @@ def ranking_from_counts(sc: DataFrame, keys: Sequence[str], buckets: int | None
               + F.coalesce(F.col("__bot_pos") * P / N, F.lit(0.0)))
     two = (P > 0) & (NEG > 0)
     return agg.select(*keys,
-                      F.when(two, auc).alias("auc"),
+                      F.when(two, auc).otherwise(
+                          F.lit(single_class_auc).cast("double") if single_class_auc is not None
+                          else F.lit(None).cast("double")).alias("auc"),
                       F.when(two, ap_sum / P).otherwise(F.lit(0.0)).alias("ap"))
 
 
