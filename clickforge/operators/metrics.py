@@ -57,19 +57,18 @@ def _finite(c: Column) -> Column:
 
 def score_counts(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str = "p",
                  materialize: bool = True) -> DataFrame:
-    """One row per (group, distinct score, label) with its row count.
+    """One row per (group, distinct score): rows ``__n`` and clicks ``__pos``.
 
     This is the only pass over the prediction table: partial aggregation runs
-    map-side, so the shuffle carries at most (distinct scores x 2) rows per
+    map-side, so the shuffle carries at most one row per distinct score per
     task and a score shared by a third of all rows is one row after it. Every
-    metric below is a function of these counts. The result is checkpointed to
-    the shared checkpoint folder so the three consumers (loss sums, ranking,
-    bucket bounds) read it instead of rescanning the source.
+    metric below is a function of these counts. The result is written to the
+    shared checkpoint folder so its consumers (loss sums, ranking, bucket
+    bounds) read it instead of rescanning the source.
     """
     keys = list(keys)
-    c = df.where(F.col(y).isNotNull()).groupBy(
-        *keys, F.col(p).cast("double").alias("__s"), F.col(y).cast("long").alias("__y")
-    ).agg(F.count(F.lit(1)).alias("__c"))
+    c = df.where(F.col(y).isNotNull()).groupBy(*keys, F.col(p).cast("double").alias("__s")).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("long")).alias("__pos"))
     return materialize_table(c) if materialize else c
 
 
@@ -85,8 +84,7 @@ def ranking_from_counts(sc: DataFrame, keys: Sequence[str], buckets: int | None
     """
     keys = list(keys)
     lo, hi = EPS, 1 - EPS
-    d = sc.where(_finite(F.col("__s"))).groupBy(*keys, "__s").agg(
-        F.sum("__c").alias("__n"), F.sum(F.col("__c") * F.col("__y")).alias("__pos"))
+    d = sc.where(_finite(F.col("__s")))
     d = value_prefix_sums(d, keys, "__s", ["__n", "__pos"], descending=True,
                           buckets=buckets, bounded=bounded)
     neg = F.col("__n") - F.col("__pos")
@@ -131,35 +129,36 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: s
 
 
 def base_from_counts(sc: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame:
-    """G10, G15-G17, G21, G23 per group from ``score_counts`` (weighted sums).
-    The population std is two-pass (mean first), as numerically safe as a
-    streaming variance."""
+    """G10, G15-G17, G21, G23 per group from ``score_counts`` (count-weighted
+    sums over distinct scores). The population std is two-pass (mean first),
+    as numerically safe as a streaming variance."""
     keys = list(keys)
-    c, yv, p = F.col("__c"), F.col("__y").cast("double"), F.col("__s")
+    n, pos, p = F.col("__n"), F.col("__pos"), F.col("__s")
+    neg = n - pos
     pc = clip(p)
-    ll = -(yv * F.log(pc) + (1 - yv) * F.log(1 - pc))
-    w = F.when(yv == 1, F.lit(POS_WEIGHT)).otherwise(F.lit(NEG_WEIGHT))
+    lp, ln = -F.log(pc), -F.log(1 - pc)          # loss of a click / of a non-click
     pred1 = p >= THRESHOLD
     has_p = p.isNotNull()
-    cnt = lambda cond: F.sum(F.when(cond, c).otherwise(0))
+    tot = lambda e, cond: F.sum(F.when(cond, e).otherwise(0))
     a = sc.groupBy(*keys).agg(
-        F.sum(c).alias("n"),
-        F.sum(c * F.col("__y")).alias("n_pos"),
-        cnt(~_finite(p)).alias("__bad"),
-        cnt(pred1 & (yv == 1)).alias("tp"), cnt(pred1 & (yv == 0)).alias("fp"),
-        cnt(~pred1 & (yv == 0)).alias("tn"), cnt(~pred1 & (yv == 1)).alias("fn"),
-        (F.sum(c * ll) / F.sum(c)).alias("__ll"),
-        (F.sum(c * w * ll) / F.sum(c * w)).alias("__wll"),
-        (F.sum(F.when(yv == 0, -c * F.log(1 - pc))) / F.sum(F.when(yv == 0, c))).alias("__ll_neg"),
-        (F.sum(F.when(yv == 1, -c * F.log(pc))) / F.sum(F.when(yv == 1, c))).alias("__ll_pos"),
-        (F.sum(c * yv) / F.sum(c)).alias("actual_ctr"),
-        (F.sum(F.when(has_p, c * p)) / F.sum(F.when(has_p, c))).alias("predicted_ctr"),
+        F.sum(n).alias("n"),
+        F.sum(pos).alias("n_pos"),
+        tot(n, ~_finite(p)).alias("__bad"),
+        tot(pos, pred1).alias("tp"), tot(neg, pred1).alias("fp"),
+        tot(neg, ~pred1).alias("tn"), tot(pos, ~pred1).alias("fn"),
+        (F.sum(pos * lp + neg * ln) / F.sum(n)).alias("__ll"),
+        (F.sum(POS_WEIGHT * pos * lp + NEG_WEIGHT * neg * ln)
+         / F.sum(POS_WEIGHT * pos + NEG_WEIGHT * neg)).alias("__wll"),
+        (F.sum(F.when(neg > 0, neg * ln)) / F.sum(F.when(neg > 0, neg))).alias("__ll_neg"),
+        (F.sum(F.when(pos > 0, pos * lp)) / F.sum(F.when(pos > 0, pos))).alias("__ll_pos"),
+        (F.sum(pos) / F.sum(n)).alias("actual_ctr"),
+        (F.sum(F.when(has_p, n * p)) / F.sum(F.when(has_p, n))).alias("predicted_ctr"),
         F.min(p).alias("pred_min"), F.max(p).alias("pred_max"),
     )
     m = a.select(*keys, F.col("predicted_ctr").alias("__mean"))
     v = join_small(sc, m, keys, "left", bounded=bounded).groupBy(*keys).agg(
-        F.sqrt(F.sum(F.when(has_p, c * (p - F.col("__mean")) * (p - F.col("__mean"))))
-               / F.sum(F.when(has_p, c))).alias("pred_std"))
+        F.sqrt(F.sum(F.when(has_p, n * (p - F.col("__mean")) * (p - F.col("__mean"))))
+               / F.sum(F.when(has_p, n))).alias("pred_std"))
     return join_small(a, v, keys, "left", bounded=bounded)
 
 
