@@ -34,11 +34,13 @@ def spread(df: DataFrame) -> DataFrame:
     in that task. Large inputs arrive as many files and row groups and are
     left untouched: the check reads only the planned split count.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        under = size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): leave the scan as is
+        return df
+    return df.repartition(cores) if under else df
 
 
 SPREAD_MIN_BYTES = 1 << 20   # tiny tables are not worth a shuffle
