@@ -65,3 +65,13 @@ def test_generated_ids_are_dense(spark):
     ids = SPL.generated_ids(te).select("ID").collect()
     got = sorted(r[0] for r in ids)
     assert got == [f"TEST_{i:07d}" for i in range(len(got))]
+
+
+def test_dataset_check_counts_rows_and_bytes(spark):
+    import os
+    from clickforge.sources import tables as TB
+    t = {"lineitem": TB.read_table(spark, SF_SMALL, "lineitem", rebalance=False)}
+    r = TB.dataset_check(t, {"lineitem": 6000}, {"lineitem": 10}).first()
+    assert r["row_count"] == t["lineitem"].count()
+    assert r["bytes"] == os.path.getsize(f"{SF_SMALL}/lineitem.parquet")
+    assert r["size_ok"] is True
