@@ -73,15 +73,19 @@ def _score(rate):
     return F.coalesce(s, F.lit(0.0))
 
 
-def label_candidates(df: DataFrame, candidates: Sequence[str] = TARGET_CANDIDATES) -> DataFrame:
+def label_candidates(df: DataFrame, candidates: Sequence[str] = TARGET_CANDIDATES,
+                     head_rows: int | None = None) -> DataFrame:
     """Every column with its detection stage and the chosen label.
 
     Stage 1: exact candidate name, in candidate-list order, binary with
     ``MIN_CTR <= rate <= MAX_CTR``. Stage 2: first column (table order) whose
     lower-case name contains any candidate, same test. Stage 3: best
     typical-range score among binary columns, first column wins ties.
+    ``head_rows`` reproduces the reference's decision on the first rows of the
+    file (``limit``: the scan's first rows in split order); the default uses
+    the whole table.
     """
-    st = column_stats(df)
+    st = column_stats(df.limit(head_rows) if head_rows else df)
     name = F.col("column_name")
     lname = F.lower(name)
     exact_pos = F.array_position(F.array(*[F.lit(c) for c in candidates]), name)
