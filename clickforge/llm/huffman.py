@@ -130,7 +130,7 @@ class Code:
         out = np.zeros((len(at), CHECKPOINT), np.uint16)
         last = n - (len(at) - 1) * CHECKPOINT  # ids of the last run
         for k in range(min(CHECKPOINT, n)):
-            live = len(at) - (k >= last)
+            live = len(out) - (k >= last)
             at = at[:live]
             seen = (pairs[at >> 5] << (at & 31).astype(np.uint64)) >> np.uint64(64 - MAX_BITS)
             out[:live, k] = self.symbol_at[seen]
