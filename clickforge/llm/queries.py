@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, packing, quality, simhash, token_counts
+from . import huffman, packing, quality, quality_rules, simhash, token_counts
 from .common import read
 
 
@@ -24,6 +24,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_distance=3)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = huffman.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -37,8 +41,11 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op5_simhash": op5_simhash,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_quality_rules": quality_rules.oracle_sql(),
+}
