@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from clickforge.session import ensure_checkpoint_dir
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASCII_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
@@ -29,9 +30,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it again: cuts
     lineage, so lost executors never send later jobs back before this point."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # what the write shuffled goes when it ends, not at some later garbage collection
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
 
