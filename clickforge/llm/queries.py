@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, licenses, packing, quality, quality_rules, simhash, suffix_dedup, token_counts
+from . import decontaminate, huffman, kneser_ney, licenses, packing, quality, quality_rules, simhash, suffix_dedup, token_counts
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(read(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.deduplicate(read(spark, sf_dir, "documents"), length=100)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -54,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_language_model": op3_language_model,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
