@@ -205,8 +205,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3) ->
                      pa.array(p[a:][who].view(np.int64)), pa.array(node[a:][who])], schema=ANCHORED_ARROW)
 
     anchored = save(points.mapInArrow(replicate, ANCHORED), "anchored")
-    # Anchors where a home meets other points; those with many points are cut into tiles.
-    sizes = anchored.groupBy("segment", "anchor").agg(F.count("*").alias("n"), F.max("home").alias("has_home")).where("n > 1 and has_home")
+    # Anchors where a home meets other points; the bits in which two points differ are known
+    # without comparing them. Anchors with many points are cut into tiles.
+    sizes = (anchored.groupBy("segment", "anchor")
+             .agg(F.count("*").alias("n"), F.max("home").alias("has_home"),
+                  F.bit_count(F.bit_or("print").bitwiseXOR(F.bit_and("print"))).alias("differ"))
+             .where((F.col("n") > 1) & F.col("has_home") & ((F.col("n") > 2) | (F.col("differ") <= max_distance))))
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int")
     placed = (anchored.join(sizes.select("segment", "anchor", tiles.alias("tiles")), ["segment", "anchor"])
