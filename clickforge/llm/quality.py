@@ -209,6 +209,19 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
     return documents(docs).mapInArrow(run, SCORED)
 
 
+def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ordered = docs.select("doc_id", "text", *rest)
+
+    def run(batches):
+        hashing = PrefixHash(3)
+        for rows, data, offs in text_blocks(batches):
+            yield rows.filter(pa.array(model.score(statistics(data, offs, hashing)) >= threshold))
+
+    return ordered.mapInArrow(run, ordered.schema).select(docs.columns)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: int = 2, folds: int = 4,
              max_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted (1: score >= ``threshold``)."""

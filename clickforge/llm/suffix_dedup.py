@@ -335,14 +335,17 @@ class Deduplicator:
         kept = b.data[~gone].tobytes()
         cut = b.offs - total[b.offs]
         texts = [kept[x:y] for x, y in zip(cut, cut[1:])]
+        if schema.field("kept").type == pa.string():  # a removed run may have cut characters
+            texts = [x.decode("utf-8", "ignore") for x in texts]
         return pa.table([left.column("ids").combine_chunks().flatten(), pa.array(b.sizes), pa.array(np.diff(total[b.offs])),
-                         pa.array(np.diff(spans[b.offs])), pa.array(texts, pa.binary()),
+                         pa.array(np.diff(spans[b.offs])), pa.array(texts, schema.field("kept").type),
                          *(left.column(f"keep_{c}").combine_chunks().flatten() for c in keep)], schema=schema)
 
 
-def deduplicate(docs: DataFrame, length: int = 100, keep: list[str] | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 100, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes
-    that stay) of every document, with the columns named in ``keep``."""
+    that stay; as_text: as a string, without the rest of characters that a run
+    has cut) of every document, with the columns named in ``keep``."""
     spark, keep = docs.sparkSession, keep or []
     blocks = save(to_blocks(docs, keep), "blocks")
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
@@ -363,10 +366,11 @@ def deduplicate(docs: DataFrame, length: int = 100, keep: list[str] | None = Non
     suffixes = with_marks(settled, work.emit_suffixes, SORT_KEYS)
     rest = save(by_bucket(suffixes, work.mark_suffixes), "suffixes")
     fields = [(f.name, f.dataType.simpleString()) for f in documents(docs, *keep).schema.fields if f.name in keep]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", `{n}` {t}" for n, t in fields)
+    schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")
+              + "".join(f", `{n}` {t}" for n, t in fields))
     kept_types = {f.name: f.type for f in _arrow(blocks)}
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                       ("kept", pa.binary()), *((n, kept_types[f"keep_{n}"].value_type) for n, _ in fields)])
+                       ("kept", pa.string() if as_text else pa.binary()), *((n, kept_types[f"keep_{n}"].value_type) for n, _ in fields)])
     return with_marks(settled.unionAll(rest).select("block", "first", "done"),
                       lambda left, right: work.remove(left, right, [n for n, _ in fields], arrow), schema, blocks)
 
