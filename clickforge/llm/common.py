@@ -159,3 +159,22 @@ def space_table() -> np.ndarray:
     t = np.zeros(256, bool)
     t[list(ASCII_SPACE)] = True
     return t
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length, their bytes in planes, compressed."""
+    raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+
+def unpack_arrays(body: bytes, n: int, *types) -> list[np.ndarray]:
+    """The arrays of ``n`` entries that :func:`pack_arrays` packed."""
+    if not n:
+        return [np.zeros(0, t) for t in types]
+    raw = np.frombuffer(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for t in types:
+        width = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(raw[at:at + n * width].reshape(width, n).T).reshape(-1).view(t))
+        at += n * width
+    return out

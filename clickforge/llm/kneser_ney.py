@@ -36,7 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, documents, drop, mix64, new_path, save, shuffle_partitions, space_table, text_blocks, word_spans, worker_cache
+from .common import (
+    PrefixHash, documents, drop, mix64, new_path, pack_arrays, save, shuffle_partitions, space_table, text_blocks,
+    unpack_arrays, word_spans, worker_cache)
 
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct keys a task gathers before it merges them.
@@ -50,22 +52,6 @@ SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_
                           ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length, their bytes in planes, compressed."""
-    raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(body: bytes, n: int, *types) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True), np.uint8)
-    out, at = [], 0
-    for t in types:
-        width = np.dtype(t).itemsize
-        out.append(np.ascontiguousarray(raw[at:at + n * width].reshape(width, n).T).reshape(-1).view(t))
-        at += n * width
-    return out
-
-
 def local_path(path: str) -> str:
     """The mounted folder behind a path of the shared folder."""
     url = urlparse(path)
@@ -143,12 +129,12 @@ class Gathered:
         ends = np.append(first[1:], len(k))
         for b, x, y in zip(used, first, ends):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([y - x], pa.int32()),
-                                              pa.array([_pack(k[x:y], c[x:y].astype(np.uint32))], pa.binary())], schema=ENTRIES_ARROW)
+                                              pa.array([pack_arrays(k[x:y], c[x:y].astype(np.uint32))], pa.binary())], schema=ENTRIES_ARROW)
         self.__init__()
 
 
 def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_unpack(x.as_py(), n, np.uint64, np.uint32) for x, n in zip(t.column("body"), t.column("n").to_pylist())]
+    parts = [unpack_arrays(x.as_py(), n, np.uint64, np.uint32) for x, n in zip(t.column("body"), t.column("n").to_pylist())]
     return merge([p[0] for p in parts], [p[1] for p in parts])
 
 
@@ -350,14 +336,14 @@ def train(texts: DataFrame) -> Model:
         for name, which in zip(("once", "twice", "more"), kinds):
             own = v[which & ~spread] - model.base[k]
             _put(folder, f"{name}-{k}", np.bincount(own, minlength=int(model.sizes[k])).astype(np.uint32))
-        out = [(0, k, 5, _pack(_of_counts(counts)))]
+        out = [(0, k, 5, pack_arrays(_of_counts(counts)))]
         if spread.any():
             ids = np.unique(v[spread])
             row = np.searchsorted(ids, v)
-            out.append((2, k, len(ids), _pack(ids, *(np.bincount(row[spread & which], minlength=len(ids)).astype(np.int64) for which in kinds))))
+            out.append((2, k, len(ids), pack_arrays(ids, *(np.bincount(row[spread & which], minlength=len(ids)).astype(np.int64) for which in kinds))))
         ids, n = np.unique(w, return_counts=True)
         for b, part in _groups(np.searchsorted(model.base, ids, "right") - 1):
-            out.append((1, b, part.stop - part.start, _pack(ids[part].astype(np.uint64), n[part].astype(np.uint32))))
+            out.append((1, b, part.stop - part.start, pack_arrays(ids[part].astype(np.uint64), n[part].astype(np.uint32))))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), PARTS_ARROW)], schema=PARTS_ARROW)
 
     parts = save(texts.mapInArrow(count_pairs, ENTRIES).groupBy("bucket").applyInArrow(lambda t: write_pairs(t), PARTS), "lm-parts")
@@ -368,16 +354,16 @@ def train(texts: DataFrame) -> Model:
         before = np.zeros(int(model.sizes[k]), np.uint32)
         before[ids.astype(np.int64) - model.base[k]] = n
         _put(folder, f"before-{k}", before)
-        return pa.table([pa.array([0], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([_pack(_of_counts(n))], pa.binary())], schema=ENTRIES_ARROW)
+        return pa.table([pa.array([0], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([pack_arrays(_of_counts(n))], pa.binary())], schema=ENTRIES_ARROW)
 
     words = parts.where("kind = 1").drop("kind").groupBy("bucket").applyInArrow(lambda t: write_before(t), ENTRIES).collect()  # a row a shard
-    model.word_of_counts = sum(_unpack(r["body"], 5, np.int64)[0] for r in words)
+    model.word_of_counts = sum(unpack_arrays(r["body"], 5, np.int64)[0] for r in words)
     model.kinds = sum(r["n"] for r in words)
     pairs = parts.where("kind = 0").collect()  # a row a shard
-    model.pair_of_counts = sum(_unpack(r["body"], 5, np.int64)[0] for r in pairs)
+    model.pair_of_counts = sum(unpack_arrays(r["body"], 5, np.int64)[0] for r in pairs)
     follow = np.zeros((len(model.hot), 3), np.int64)
     for r in parts.where("kind = 2").toLocalIterator():  # at most four words a shard, from each shard
-        ids, *n = _unpack(r["body"], r["n"], *[np.int64] * 4)
+        ids, *n = unpack_arrays(r["body"], r["n"], *[np.int64] * 4)
         follow[np.searchsorted(model.hot, ids)] += np.column_stack(n)
     model.hot_follow = follow
     drop(parts)

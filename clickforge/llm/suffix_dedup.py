@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, documents, drop, mix64, save, shuffle_partitions, text_blocks
+from .common import PrefixHash, documents, drop, mix64, pack_arrays, save, shuffle_partitions, text_blocks, unpack_arrays
 
 BLOCK_BYTES = 2 << 20
 #: Samples that a bucket holds at most, about; more input makes more buckets.
@@ -81,22 +81,6 @@ def cover_size(length: int) -> int:
     return fit[-1]
 
 
-def _planes(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length, their bytes in planes, compressed."""
-    raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
-
-
-def _unplane(body: bytes, n: int, *types) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    out, at = [], 0
-    for t in types:
-        width = np.dtype(t).itemsize
-        out.append(np.ascontiguousarray(raw[at:at + n * width].reshape(width, n).T).reshape(-1).view(t))
-        at += n * width
-    return out
-
-
 def _low40(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).reshape(-1).view("V5")
 
@@ -210,13 +194,13 @@ class Deduplicator:
                 b = self.open(pa.table(batch.slice(i, 1)))
                 keys, count = np.unique(self.sample_hashes(b)[1], return_counts=True)
                 twice = (count > 1).astype(np.uint8)
-                yield from self._rows(b.block, keys, b"", lambda a, z: _planes(_low40(keys[a:z]), twice[a:z])).to_batches()
+                yield from self._rows(b.block, keys, b"", lambda a, z: pack_arrays(_low40(keys[a:z]), twice[a:z])).to_batches()
 
     @staticmethod
     def mark_samples(t: pa.Table) -> pa.Table:
         """Sort one bucket: a bit for each entry whose hash stands in several places."""
         n, blocks, buckets = (t.column(c).to_pylist() for c in ("n", "block", "bucket"))
-        parts = [_unplane(x.as_py(), k, "V5", np.uint8) for x, k in zip(t.column("body"), n)]
+        parts = [unpack_arrays(x.as_py(), k, "V5", np.uint8) for x, k in zip(t.column("body"), n)]
         keys = np.concatenate([_from40(p[0]) for p in parts])
         twice = np.concatenate([p[1] for p in parts])
         _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
@@ -244,19 +228,19 @@ class Deduplicator:
         context = hashing.spans(hashing.prefix(b.data), low, high)
         context = mix64(context ^ mix64(((at - low) << 32 | (high - at)).astype(np.uint64)))
         first = b.earliest(context, h, at=at)
-        local = _planes(at[~first].astype(np.uint32))
+        local = pack_arrays(at[~first].astype(np.uint32))
         local = int((~first).sum()).to_bytes(4, "little") + local
         at, h, context = at[first], h[first], context[first]
         order = np.argsort(h, kind="stable")
         at, h, context = at[order], h[order], context[order]
         doc = b.ids[b.doc(at)]
-        return self._rows(b.block, h, local, lambda a, z: _planes(_low40(h[a:z]), context[a:z], doc[a:z], at[a:z].astype(np.uint32)))
+        return self._rows(b.block, h, local, lambda a, z: pack_arrays(_low40(h[a:z]), context[a:z], doc[a:z], at[a:z].astype(np.uint32)))
 
     @staticmethod
     def _sorted(t: pa.Table, *types):
         """The bucket's entries in corpus order within equal keys, and where each began."""
         n, blocks = t.column("n").to_numpy(), t.column("block").to_numpy()
-        parts = [_unplane(x.as_py(), int(k), *types, np.int64, np.uint32) for x, k in zip(t.column("body"), n)]
+        parts = [unpack_arrays(x.as_py(), int(k), *types, np.int64, np.uint32) for x, k in zip(t.column("body"), n)]
         *keys, doc, at = (np.concatenate(p) for p in zip(*parts))
         keys = [_from40(k) if k.dtype.kind == "V" else k for k in keys]
         order = np.lexsort((at, np.repeat(blocks, n), doc, *reversed(keys)))
@@ -272,7 +256,7 @@ class Deduplicator:
             here = slice(e - k, e)
             settled = at[here][done[here]]
             if m:
-                settled = np.concatenate([settled, _unplane(body, m, np.uint32)[0]])
+                settled = np.concatenate([settled, unpack_arrays(body, m, np.uint32)[0]])
             out.append((settled.astype("<u4").tobytes(), b"" if still is None else at[here][still[here]].astype("<u4").tobytes()))
         return pa.table([pa.array(blocks, pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([x for x, _ in out], pa.binary()),
                          pa.array([x for _, x in out], pa.binary())], schema=MARKS_ARROW)
@@ -298,12 +282,12 @@ class Deduplicator:
         at = np.flatnonzero(b.suffixes(still) & ~b.suffixes(done))
         h, h2 = (p.spans(p.prefix(b.data), at, at + self.length) for p in (PrefixHash(17), PrefixHash(19)))
         first = b.earliest(h2, h, at=at)
-        local = int((~first).sum()).to_bytes(4, "little") + _planes(at[~first].astype(np.uint32))
+        local = int((~first).sum()).to_bytes(4, "little") + pack_arrays(at[~first].astype(np.uint32))
         at, h, h2 = at[first], h[first], h2[first]
         order = np.argsort(h, kind="stable")
         at, h, h2 = at[order], h[order], h2[order]
         doc = b.ids[b.doc(at)]
-        return self._rows(b.block, h, local, lambda a, z: _planes(_low40(h[a:z]), h2[a:z], doc[a:z], at[a:z].astype(np.uint32)))
+        return self._rows(b.block, h, local, lambda a, z: pack_arrays(_low40(h[a:z]), h2[a:z], doc[a:z], at[a:z].astype(np.uint32)))
 
     @classmethod
     def mark_suffixes(cls, t: pa.Table) -> pa.Table:
