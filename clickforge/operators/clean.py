@@ -40,6 +40,13 @@ def drop_unused(train: DataFrame, test: DataFrame, key: str = KEY) -> tuple[Data
     return train, test
 
 
+def fill_missing(train: DataFrame, test: DataFrame, keep: Sequence[str] = (KEY,)) -> tuple[DataFrame, DataFrame]:
+    """A training column that the test side lacks cannot be prepared on both;
+    it becomes 0.0 on both sides. Decided from the schemas."""
+    lost = [c for c in train.columns if c not in test.columns and c not in keep]
+    return train.withColumns({c: F.lit(0.0) for c in lost}), test.withColumns({c: F.lit(0.0) for c in lost})
+
+
 def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, T.NumericType)
 
@@ -82,11 +89,6 @@ def clip_probability(c: Column, serving: bool = False) -> Column:
     return X.clip(c, 0.0001, 0.9999) if serving else X.clip(c, 1e-15, 1 - 1e-15)
 
 
-def repair_prediction(c: Column) -> Column:
-    """Clip, then NaN/NULL -> 0.5."""
-    return F.when(c.isNull() | F.isnan(c), F.lit(0.5)).otherwise(X.clip(c, 1e-15, 1 - 1e-15))
-
-
 # Fixed values from the reference: constant predictions used when a model fails.
 FAILED_PREDICTION = 0.0191
 SERVING_BASELINE = 0.0201

@@ -30,13 +30,33 @@ MAX_CATEGORY_VALUES = 10000
 INT_FLOAT_TYPES = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
-def column_stats(df: DataFrame, distinct_for: Sequence[str] = (), inf_for: Sequence[str] = ()) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
+    """``(column_name, n_distinct)`` of the non-null values. The columns are
+    unpivoted to ``(column_name, value)`` rows, deduplicated by partial
+    aggregation and counted: one row per distinct value is shuffled, not one
+    copy of the table per column. ``approximate`` uses mergeable sketches."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(c: str):
+        v = F.col(f"`{c}`")
+        return (v + F.lit(0.0) if isinstance(types[c], T.FractionalType) else v).cast("string")  # -0.0 is 0.0
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in columns])
+    long = df.select(F.explode(pairs).alias("e")).select("e.*")
+    if approximate:
+        return long.groupBy("column_name").agg(F.approx_count_distinct("value").alias("n_distinct"))
+    return long.groupBy("column_name", "value").agg(F.lit(1)).groupBy("column_name") \
+        .agg(F.count("value").alias("n_distinct"))
+
+
+def column_stats(df: DataFrame, distinct_for: Sequence[str] = (), inf_for: Sequence[str] = (),
+                 approximate: bool = False) -> DataFrame:
     """G4/G5 for every column: ordinal, numeric flag, binary flag (non-null
-    values within {0,1}; an all-null column passes), rate, non-null count,
-    how many of the values 0 and 1 occur, and — only for ``distinct_for`` —
-    the exact distinct count. One aggregate job for the whole table; the
-    distinct counts are the only part that is not a plain partial aggregate,
-    so they are limited to the columns a decision needs."""
+    values within {0,1}; an all-null column passes), the rate of binary
+    columns (counts of ones over non-null values; NULL for any other column,
+    as a rate is taken only after the binary test), non-null count, how many
+    of the values 0 and 1 occur, and — only for ``distinct_for`` — the distinct
+    count. One plain partial aggregate for the whole table."""
     from clickforge.functions.exprs import category_has_inf
     aggs, meta = [], []
     distinct_for, inf_for = set(distinct_for), set(inf_for)
@@ -46,23 +66,27 @@ def column_stats(df: DataFrame, distinct_for: Sequence[str] = (), inf_for: Seque
         v = c.cast("double") if num else None
         binary = (F.coalesce(F.bool_and(v.isin(0.0, 1.0)), F.lit(True)) if num
                   else (F.count(c) == 0))
-        rate = F.avg(F.when(~F.isnan(v), v)) if num else F.lit(None).cast("double")
-        nd = F.countDistinct(c) if f.name in distinct_for else F.lit(None)
+        rate = (F.when(binary, F.sum((v == 1.0).cast("long")) / F.nullif(F.count(c), F.lit(0)))
+                if num else F.lit(None).cast("double"))
         zo = (F.max((v == 0.0).cast("int")) + F.max((v == 1.0).cast("int"))) if num else F.lit(0)
         inf = F.max(category_has_inf(c).cast("int")) == 1 if f.name in inf_for else F.lit(False)
         aggs += [binary.alias(f"b{i}"), rate.alias(f"r{i}"), F.count(c).alias(f"c{i}"),
-                 nd.alias(f"d{i}"), F.coalesce(zo, F.lit(0)).alias(f"z{i}"),
+                 F.coalesce(zo, F.lit(0)).alias(f"z{i}"),
                  F.coalesce(inf, F.lit(False)).alias(f"x{i}")]
         meta.append((i, f.name, num))
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column_name"),
                      F.lit(num).alias("is_numeric"), F.col(f"b{i}").alias("is_binary"),
                      F.col(f"r{i}").alias("rate"), F.col(f"c{i}").cast("long").alias("non_null"),
-                     F.col(f"d{i}").cast("long").alias("n_distinct"),
                      F.col(f"z{i}").cast("long").alias("n_binary_values"),
                      F.col(f"x{i}").alias("has_inf"))
             for i, name, num in meta]
-    return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    out = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    columns = [f.name for f in df.schema.fields if f.name in distinct_for]
+    if not columns:
+        return out.withColumn("n_distinct", F.lit(None).cast("long"))
+    # one row per column on both sides
+    return out.join(F.broadcast(distinct_counts(df, columns, approximate)), "column_name", "left")
 
 
 def _score(rate):
@@ -82,8 +106,8 @@ def label_candidates(df: DataFrame, candidates: Sequence[str] = TARGET_CANDIDATE
     lower-case name contains any candidate, same test. Stage 3: best
     typical-range score among binary columns, first column wins ties.
     ``head_rows`` reproduces the reference's decision on the first rows of the
-    file (``limit``: the scan's first rows in split order); the default uses
-    the whole table.
+    file (``limit``: the scan's first rows in split order, as scans are never
+    rebalanced); the default uses the whole table.
     """
     st = column_stats(df.limit(head_rows) if head_rows else df)
     name = F.col("column_name")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickforge.operators import metrics as M
+from clickforge.operators.ranking import join_small
 
 # Fixed values from the reference ensembles.
 PERF_FLOOR = 0.1
@@ -47,7 +48,8 @@ def model_scores(long: DataFrame, y: str = "clicked", keys: Sequence[str] = ())
     r = M.ranking_from_counts(sc, keys, bounded=True)
     b = M.base_from_counts(sc, keys).select(
         *keys, F.abs(F.col("predicted_ctr") - F.col("actual_ctr")).alias("bias"))
-    return r.join(b, keys)
+    # every model keeps its row: one without any finite score has no AUC and gets the floor
+    return join_small(b, r, keys, "left", bounded=True)
 
 
 def weight_table(scores: DataFrame) -> DataFrame:

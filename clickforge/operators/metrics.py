@@ -128,10 +128,19 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: s
     return ranking_from_counts(score_counts(df, keys, y, p), keys, buckets, bounded)
 
 
-def base_from_counts(sc: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame:
-    """G10, G15-G17, G21, G23 per group from ``score_counts`` (count-weighted
-    sums over distinct scores). The population std is two-pass (mean first),
-    as numerically safe as a streaming variance."""
+def repair_counts(sc: DataFrame, keys: Sequence[str], bounded: bool = False) -> DataFrame:
+    """B16 on ``score_counts``: a group that holds any NULL, NaN or infinite score
+    has all its scores clipped, NaN and NULL become 0.5; others stay as they are."""
+    keys = list(keys)
+    bad = sc.groupBy(*keys).agg(F.max((~_finite(F.col("__s"))).cast("int")).alias("__any_bad"))
+    s = F.when(F.col("__any_bad") == 1, repair(F.col("__s"))).otherwise(F.col("__s"))
+    return join_small(sc, bad, keys, "left", bounded=bounded).groupBy(*keys, s.alias("__s")).agg(
+        F.sum("__n").alias("__n"), F.sum("__pos").alias("__pos"))
+
+
+def base_from_counts(sc: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """G10, G15-G17, G21 per group from ``score_counts`` (count-weighted sums
+    over distinct scores, one partial aggregate)."""
     keys = list(keys)
     n, pos, p = F.col("__n"), F.col("__pos"), F.col("__s")
     neg = n - pos
@@ -140,7 +149,7 @@ def base_from_counts(sc: DataFrame, keys: Sequence[str], bounded: bool = True) -
     pred1 = p >= THRESHOLD
     has_p = p.isNotNull()
     tot = lambda e, cond: F.sum(F.when(cond, e).otherwise(0))
-    a = sc.groupBy(*keys).agg(
+    return sc.groupBy(*keys).agg(
         F.sum(n).alias("n"),
         F.sum(pos).alias("n_pos"),
         tot(n, ~_finite(p)).alias("__bad"),
@@ -153,19 +162,14 @@ def base_from_counts(sc: DataFrame, keys: Sequence[str], bounded: bool = True) -
         (F.sum(F.when(pos > 0, pos * lp)) / F.sum(F.when(pos > 0, pos))).alias("__ll_pos"),
         (F.sum(pos) / F.sum(n)).alias("actual_ctr"),
         (F.sum(F.when(has_p, n * p)) / F.sum(F.when(has_p, n))).alias("predicted_ctr"),
-        F.min(p).alias("pred_min"), F.max(p).alias("pred_max"),
     )
-    m = a.select(*keys, F.col("predicted_ctr").alias("__mean"))
-    v = join_small(sc, m, keys, "left", bounded=bounded).groupBy(*keys).agg(
-        F.sqrt(F.sum(F.when(has_p, n * (p - F.col("__mean")) * (p - F.col("__mean"))))
-               / F.sum(F.when(has_p, n))).alias("pred_std"))
-    return join_small(a, v, keys, "left", bounded=bounded)
 
 
 def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicked",
                p: str = "p", buckets: int | None = None, bounded: bool = False,
-               digits: int | None = 6) -> DataFrame:
-    """G22 (with G10-G21 inside): one metric record per group.
+               digits: int | None = 6, repaired: bool = False) -> DataFrame:
+    """G22 (with G10-G21 inside): one metric record per group. ``repaired``
+    applies B16 first, as the model comparison does.
 
     Single-class groups, and groups holding a non-finite score, fall to the
     reference defaults for the core block (AUC null, AP 0, log loss 100,
@@ -173,7 +177,9 @@ def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicke
     """
     keys = list(keys)
     sc = score_counts(df, keys, y, p)
-    base = base_from_counts(sc, keys, bounded=bounded)
+    if repaired:
+        sc = repair_counts(sc, keys, bounded)
+    base = base_from_counts(sc, keys)
     rank = ranking_from_counts(sc, keys, buckets=buckets, bounded=bounded)
     j = join_small(base, rank, keys, "left", bounded=bounded)
     n, npos = F.col("n"), F.col("n_pos")
@@ -214,7 +220,7 @@ def loss_metrics(df: DataFrame | None, keys: Sequence[str] = ("model",), y: str
     """Log loss, class-balanced log loss, weighted log loss, and the
     competition score ``0.5*AP + 0.5/(1+balanced)`` when AP is supplied."""
     keys = list(keys)
-    a = base_from_counts(counts if counts is not None else score_counts(df, keys, y, p), keys, bounded)
+    a = base_from_counts(counts if counts is not None else score_counts(df, keys, y, p), keys)
     bal = 0.5 * F.coalesce(F.col("__ll_neg"), F.lit(0.0)) + 0.5 * F.coalesce(F.col("__ll_pos"), F.lit(0.0))
     out = a.select(*keys, F.col("__ll").alias("log_loss"), bal.alias("balanced_log_loss"),
                    F.col("__wll").alias("weighted_log_loss"))

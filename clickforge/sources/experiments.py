@@ -33,9 +33,10 @@ def experiment_rows(metrics: DataFrame, experiment_num: int | Column, run_model:
         F.lit(run_model).alias("run_model"), F.lit(notes).alias("notes"), pmap.alias("params"),
         F.col("model"), "auc", "ap", "actual_ctr", "predicted_ctr", "ctr_bias")
     if pred_stats is not None:
-        base = base.crossJoin(F.broadcast(pred_stats.select(
-            F.col("mean").alias("pred_mean"), F.col("std").alias("pred_std"),
-            F.col("min").alias("pred_min"), F.col("max").alias("pred_max")).limit(1)))
+        one = pred_stats.agg(F.count(F.lit(1)).alias("__rows"), *[
+            F.first(c).alias(f"pred_{c}") for c in ("mean", "std", "min", "max")])
+        one = one.where(F.assert_true(F.col("__rows") == 1, F.lit("one row of prediction statistics is expected")).isNull())
+        base = base.crossJoin(F.broadcast(one.drop("__rows")))  # one row
     else:
         base = base.select("*", *[F.lit(None).cast("double").alias(c)
                                   for c in ("pred_mean", "pred_std", "pred_min", "pred_max")])
@@ -49,16 +50,17 @@ def append_experiment(rows: DataFrame, table_path: str) -> None:
 
 
 def next_experiment_num(spark: SparkSession, table_path: str) -> int:
-    """O3 on the table: count of experiments + 1 (0 when the table is new)."""
-    try:
-        r = spark.read.parquet(table_path).agg(F.max("experiment_num").alias("m")).first()
-        return int(r["m"] or 0) + 1
-    except Exception:  # noqa: BLE001 - a missing table means no experiments yet
+    """O3 on the table: highest number + 1; 1 when there is no table yet. Any
+    other failure to read it is an error, never a new count."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return 1
+    r = spark.read.parquet(table_path).agg(F.max("experiment_num").alias("m")).first()
+    return int(r["m"] or 0) + 1
 
 
 def _fmt(c: str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.col(c))
+    return F.when(F.col(c).isNull() | F.isnan(c), F.lit("nan")).otherwise(F.format_string(f"%.{digits}f", F.col(c)))
 
 
 def render_text(table: DataFrame) -> DataFrame:
@@ -118,6 +120,11 @@ def read_text_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.col("value").contains("] Experiment #"))
 
 
+def number(text: Column, label: str) -> Column:
+    """The number after ``label:``; "nan" and anything else that is none is NULL."""
+    return F.regexp_extract(text, label + r": (-?[0-9]+(?:\.[0-9]+)?)\b", 1).try_cast("double")
+
+
 def parse_entries(entries: DataFrame) -> DataFrame:
     """Entry text -> ``(experiment_num, ts, run_model, notes, model, auc,
     ap, actual_ctr, predicted_ctr, ctr_bias, first_auc)``; one row per model
@@ -128,19 +135,20 @@ def parse_entries(entries: DataFrame) -> DataFrame:
         F.regexp_extract(v, r"^([^\]]*)\]", 1).alias("ts"),
         F.regexp_extract(v, r"\nModel: ([^\n]*)", 1).alias("run_model"),
         F.regexp_extract(v, r"\nNotes: ([^\n]*)", 1).alias("notes"),
-        F.regexp_extract(v, r"AUC: ([-0-9.naif]+)", 1).cast("double").alias("first_auc"),
+        number(v, "AUC").alias("first_auc"),
         F.regexp_extract(v, r"Successful Models: (\d+)", 1).cast("int").alias("successful_models"),
         F.regexp_extract(v, r"Execution Time: ([0-9.]+)s", 1).try_cast("double").alias("execution_time"),
         F.split(F.regexp_extract(v, r"--- Results ---\n\n([\s\S]*)", 1), r"\n  \[").alias("blocks"))
     b = head.select("*", F.posexplode("blocks").alias("pos", "blk")).drop("blocks")
     blk = F.col("blk")
-    num = lambda label: F.regexp_extract(blk, label + r": ([-0-9.naif]+)", 1).try_cast("double")
+    num = lambda label: number(blk, label)
     out = b.select(
         "experiment_num", "ts", "run_model", "notes", "first_auc", "successful_models", "execution_time",
         F.regexp_extract(blk, r"^\s*\[?([^\]\n]*)\]", 1).alias("model"),
         num("AUC").alias("auc"), num("AP").alias("ap"), num("Actual CTR").alias("actual_ctr"),
         num("Predicted CTR").alias("predicted_ctr"), num("CTR Bias").alias("ctr_bias"))
-    return out.where(F.col("auc").isNotNull() & (F.col("model") != "Prediction Stats"))
+    # blocks of models begin with an AUC line, whatever its value
+    return out.where(blk.rlike(r"\n    AUC: ") & (F.col("model") != "Prediction Stats"))
 
 
 def experiment_count(entries: DataFrame) -> DataFrame:

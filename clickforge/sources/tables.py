@@ -15,35 +15,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str,
-               skip_corrupt: bool = False, rebalance: bool = True) -> DataFrame:
-    """A1: parquet scan. ``skip_corrupt`` is the reference's "log and skip an
+def read_table(spark: SparkSession, sf_dir: str, name: str, skip_corrupt: bool = False) -> DataFrame:
+    """A1: parquet scan, its splits as the files give them (a caller that wants
+    others repartitions). ``skip_corrupt`` is the reference's "log and skip an
     unreadable row group" behaviour, made explicit (off by default)."""
     reader = spark.read
     if skip_corrupt:
         reader = reader.option("ignoreCorruptFiles", "true")
-    df = reader.parquet(table_path(sf_dir, name))
-    return spread(df) if rebalance else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores.
-
-    A table stored as one file with one row group scans in one task, and every
-    narrow step after it (hashing, projections, partial aggregation) would stay
-    in that task. Large inputs arrive as many files and row groups and are
-    left untouched: the check reads only the planned split count.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        under = size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < cores
-    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): leave the scan as is
-        return df
-    return df.repartition(cores) if under else df
-
-
-SPREAD_MIN_BYTES = 1 << 20   # tiny tables are not worth a shuffle
+    return reader.parquet(table_path(sf_dir, name))
 
 
 def load_pair(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:

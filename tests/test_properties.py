@@ -70,7 +70,7 @@ def test_generated_ids_are_dense(spark):
 def test_dataset_check_counts_rows_and_bytes(spark):
     import os
     from clickforge.sources import tables as TB
-    t = {"lineitem": TB.read_table(spark, SF_SMALL, "lineitem", rebalance=False)}
+    t = {"lineitem": TB.read_table(spark, SF_SMALL, "lineitem")}
     r = TB.dataset_check(t, {"lineitem": 6000}, {"lineitem": 10}).first()
     assert r["row_count"] == t["lineitem"].count()
     assert r["bytes"] == os.path.getsize(f"{SF_SMALL}/lineitem.parquet")
