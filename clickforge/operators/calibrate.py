@@ -12,6 +12,7 @@ The rows are then touched by one projection with the final scalars
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -133,6 +134,15 @@ def _outlier_bounds(vc: DataFrame, keys: Sequence[str]) -> DataFrame:
                     F.least(F.col("q1") * 1.1, F.lit(SERVING_HI)).alias("__hi"))
 
 
+def content_noise(key: str, seed: int) -> Column:
+    """Standard normal noise from ``md5(key || seed)`` (Box-Muller): the same for
+    a row wherever and however often it is computed."""
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
+    unit = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("double")
+    radius = F.sqrt(-2 * F.log((unit(1) + 1) / F.lit(4294967296.0)))
+    return radius * F.cos(unit(9) * F.lit(2 * math.pi / 4294967296.0))
+
+
 def _aligned(x: Column, target: float) -> Column:
     """P3 for one value given the group mean ``__m`` of the inputs."""
     return F.when((F.abs(F.col("__m") - target) > CTR_GATE) & (F.col("__m") > 0),
@@ -141,7 +151,7 @@ def _aligned(x: Column, target: float) -> Column:
 
 def post_process(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR,
                  keys: Sequence[str] = (), outliers: bool = True, diversity: bool = True,
-                 alignment: bool = True, seed: int = 42) -> DataFrame:
+                 alignment: bool = True, seed: int = 42, key: str = "row_key") -> DataFrame:
     """P1 -> P2 -> P3 -> clip to [1e-4, 0.9999], each switchable.
     ``keys=['batch_id']`` reproduces the reference's per-batch processing.
 
@@ -151,13 +161,14 @@ def post_process(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR
     keys = list(keys)
     d = df
     vc = value_counts(df, p, keys)
+    bounds = materialize_table(_outlier_bounds(vc, keys)) if outliers else None  # a row a group, read twice
     x = F.col(p)
     if outliers:
-        d = _with_scalar(d, _outlier_bounds(vc, keys), keys)
+        d = _with_scalar(d, bounds, keys)
         x = _clip(x, F.col("__lo"), F.col("__hi"))
     if diversity:
         vx = _clip(F.col(V), F.col("__lo"), F.col("__hi")) if outliers else F.col(V)
-        base = _with_scalar(vc, _outlier_bounds(vc, keys), keys) if outliers else vc
+        base = _with_scalar(vc, bounds, keys) if outliers else vc
         st = base.groupBy(*keys, vx.alias("__x")).agg(F.sum(C).alias(C))
         mu = st.groupBy(*keys).agg(_wmean(F.col("__x")).alias("__mu"),
                                    F.count(F.lit(1)).alias("__nd"))
@@ -165,7 +176,7 @@ def post_process(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR
             F.first("__nd").alias("__nd"),
             F.sqrt(_wmean((F.col("__x") - F.col("__mu")) * (F.col("__x") - F.col("__mu")))).alias("__sd"))
         d = _with_scalar(d, sd, keys)
-        noise = F.randn(seed) * F.greatest(F.col("__sd") * NOISE_FACTOR, F.lit(1e-6))
+        noise = content_noise(key, seed) * F.greatest(F.col("__sd") * NOISE_FACTOR, F.lit(1e-6))
         x = F.when(F.col("__nd") < DIVERSITY_THRESHOLD, _clip(x + noise, SERVING_LO, SERVING_HI)).otherwise(x)
         d = d.withColumn(p, x).drop("__lo", "__hi", "__nd", "__sd").transform(materialize_table)
         x = F.col(p)
@@ -177,7 +188,7 @@ def post_process(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR
     if alignment:
         # mean of the P1 output, from the value counts
         vx = _clip(F.col(V), F.col("__lo"), F.col("__hi")) if outliers else F.col(V)
-        base = _with_scalar(vc, _outlier_bounds(vc, keys), keys) if outliers else vc
+        base = _with_scalar(vc, bounds, keys) if outliers else vc
         m = base.groupBy(*keys).agg(_wmean(vx).alias("__m"))
         d = _with_scalar(d, m, keys)
         x = _aligned(x, target)
@@ -192,7 +203,7 @@ def clip_outliers(df: DataFrame, p: str = "p", keys: Sequence[str] = ()) -> Data
 def diversity_noise(df: DataFrame, p: str = "p", keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """P2 alone: when a group has fewer than 1000 distinct scores, add
     Gaussian noise with sd ``max(0.008*std_pop, 1e-6)`` and clip.
-    ``randn(seed)`` is deterministic per partition."""
+    The noise is a function of the row's key and the seed."""
     return post_process(df, p, keys=keys, outliers=False, diversity=True, alignment=False, seed=seed)
 
 

@@ -265,7 +265,7 @@ def weight_column(df: DataFrame, y: str = "clicked", pos_weight: Column | float
 
 def ap_rowwise(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicked",
                p: str = "p", key: str = "row_key", buckets: int | None = None,
-               prefix_len: int = 3, bounded: bool = False, digits: int | None = 6) -> DataFrame:
+               prefix_len: int | None = None, bounded: bool = False, digits: int | None = 6) -> DataFrame:
     """Row-by-row AP (precision at every positive in score order), ties
     broken by ``key`` ascending.
 
@@ -276,8 +276,8 @@ def ap_rowwise(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicke
     ``16**prefix_len`` partitions.
     """
     keys = list(keys)
-    base = df.where(F.col(y).isNotNull() & _finite(F.col(p))) \
-        .select(*keys, F.col(p).alias("__s"), F.col(y).cast("long").alias("__y"), key)
+    s = F.when(_finite(F.col(p)), F.col(p)).otherwise(repair(F.col(p)))  # B16: such rows keep their place
+    base = df.where(F.col(y).isNotNull()).select(*keys, s.alias("__s"), F.col(y).cast("long").alias("__y"), key)
     d = base.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__pos")) \
         .transform(materialize_table)
     d = value_prefix_sums(d, keys, "__s", ["__n", "__pos"], descending=True, buckets=buckets,

@@ -18,11 +18,14 @@ third of all rows is still spread over ``buckets`` window partitions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickforge.session import materialize
+
 
 def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
                bounded: bool = False) -> DataFrame:
@@ -77,10 +80,24 @@ def prefix_sums_bucketed(df: DataFrame, keys: Sequence[str], bucket: str,
 
 
 def default_buckets(spark) -> int:
-    """Buckets per group: one per shuffle partition (16..4096), so a single
-    group can use the whole cluster and the offsets table stays small."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(4096, n))
+    """Buckets per group: one per shuffle partition (16 at least), so a single
+    group can use the whole cluster, whatever its size."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def default_prefix(spark) -> int:
+    """Hex digits of a bucket prefix: enough for 16 buckets a shuffle partition."""
+    buckets, digits = 16 * default_buckets(spark), 3
+    while 16 ** digits < buckets:
+        digits += 1
+    return digits
+
+
+def _bucket_of(bounds: str, value: Column, coarse: int) -> Column:
+    """How many of the sorted bounds are below ``value``: first among every
+    ``coarse``-th bound, then among the bounds that follow the last one below."""
+    before = F.size(F.filter(f"{bounds}_c", lambda x: x < value)) * coarse
+    return before + F.size(F.filter(F.slice(bounds, before + 1, coarse), lambda x: x < value))
 
 
 def value_prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
@@ -96,28 +113,33 @@ def value_prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequ
     buckets = buckets or default_buckets(df.sparkSession)
     accuracy = accuracy or max(10000, 10 * buckets)
     probs = [i / buckets for i in range(1, buckets)]
+    coarse = max(1, math.isqrt(buckets))
     bounds = df.groupBy(*keys).agg(
         F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("__bounds"))
+    at = F.sequence(F.lit(coarse), F.greatest(F.size("__bounds"), F.lit(coarse)), F.lit(coarse))
+    bounds = bounds.withColumn("__bounds_c", F.filter(F.transform(at, lambda i: F.get("__bounds", i - 1)), lambda x: x.isNotNull()))
+    bounds = materialize(bounds)  # a row a group, read by the totals and by the rows
     j = join_small(df, bounds, keys, "left", bounded=bounded)
-    v = F.col(value).cast("double")
-    j = j.withColumn("__bk", F.size(F.filter("__bounds", lambda x: x < v))).drop("__bounds")
+    j = j.withColumn("__bk", _bucket_of("__bounds", F.col(value).cast("double"), coarse)).drop("__bounds", "__bounds_c")
     order = [F.col(value).desc() if descending else F.col(value).asc()]
     out = prefix_sums_bucketed(j, keys, "__bk", order, sums, bucket_desc=descending,
                                inclusive=inclusive, bounded=bounded)
     return out.drop("__bk")
 
 
-def row_index(df: DataFrame, keys: Sequence[str], hex_key: Column, prefix_len: int = 3,
+def row_index(df: DataFrame, keys: Sequence[str], hex_key: Column, prefix_len: int | None = None,
               sums: Sequence[str] = (), bounded: bool = True, name: str = "row_idx") -> DataFrame:
     """0-based position of each row within ``keys`` ordered by a unique hex
     string (an md5), plus optional inclusive running sums in that order.
 
-    The bucket is the first ``prefix_len`` hex digits: monotone in the key and
-    uniformly filled, at most ``16**prefix_len`` buckets per group, so the
-    offsets table has a proven size bound and is broadcast when the group
-    keys are themselves bounded.
+    The bucket is the first ``prefix_len`` hex digits (by default as many as
+    the shuffle partitions ask for): monotone in the key and uniformly filled,
+    at most ``16**prefix_len`` buckets per group, so the offsets table has a
+    proven size bound and is broadcast when the group keys are themselves
+    bounded. Any other text orders right too, but shares buckets by prefix.
     """
     keys = list(keys)
+    prefix_len = prefix_len or default_prefix(df.sparkSession)
     d = df.withColumn("__hk", hex_key).withColumn("__pf", F.substring("__hk", 1, prefix_len)) \
         .withColumn("__one", F.lit(1))
     out = prefix_sums_bucketed(d, keys, "__pf", [F.col("__hk").asc()], ["__one", *sums],

@@ -54,5 +54,19 @@ ORACLE: dict[str, str] = {
     "table_scoring": OM.table_scoring_sql(),
     "submission_csv": OM.submission_csv_sql(),
     "evaluation_report": OM.comparison_report_sql(),
+    "leaderboard_repaired": OM.leaderboard_repaired_sql(),
+    "metrics_unrepaired": OM.metrics_unrepaired_sql(),
+    "missing_column_features": OM.missing_column_sql(),
+    "cleaned_values": OM.cleaned_values_sql(),
+    "ensemble_main": OM.ensemble_main_sql(),
+    "keyed_metrics": OM.keyed_metrics_sql(),
+    "submission_template": OM.submission_template_sql(),
+    "label_confirmation": OM.label_confirmation_sql(),
+    "fold_metrics_summary": OM.fold_metrics_summary_sql(),
+    "training_report": OM.training_report_sql(),
+    "batches_by_name": OM.batches_by_name_sql(),
+    "default_predictions": OM.default_predictions_sql(),
+    "diversity_noise": OM.diversity_noise_sql(),
+    "experiment_export": OM.experiment_export_sql(),
     "scoring_features": f"select * from ({OF.feature_matrix_sql()}) where split = 'test'",
 }

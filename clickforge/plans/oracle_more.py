@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickforge.plans.oracle import CLIP, metric_row_ctes, metric_row_select, metric_row_sql
+from clickforge.plans.oracle import metric_row_ctes, metric_row_select, metric_row_sql
 from clickforge.plans.sqlviews import with_views
 
 
@@ -20,9 +20,11 @@ def best_model_sql() -> str:
 
 def ap_rowwise_sql() -> str:
     return with_views("long_predictions") + """,
+f AS (select model, clicked, row_key, case when p is null or isnan(p) then 0.5 when isinf(p) then
+        greatest(least(p, 1-1e-15), 1e-15) else p end as p from long_predictions where clicked is not null),
 r AS (select model, clicked,
         sum(clicked) over w as tp, row_number() over w as pos
-      from long_predictions where clicked is not null and isfinite(p)
+      from f
       window w as (partition by model order by p desc, row_key rows between unbounded preceding and current row))
 select model, round(case when sum(clicked) > 0 then coalesce(sum(case when clicked = 1 then tp / pos end), 0.0) / sum(clicked)
                         else 0.0 end, 6) as ap_rowwise
@@ -290,3 +292,119 @@ from b cross join g"""
 
 def submission_csv_sql() -> str:
     return submission_sql()
+
+
+def _dirty() -> str:
+    return with_views("long_predictions") + """,
+dirty AS (select model, clicked, case when model = 'm1' and segment = '3' then 'nan'::double
+    when model = 'm1' and segment = '4' then null when model = 'm2' and segment = '1' then 'inf'::double
+    when model = 'm2' and segment = '2' then '-inf'::double else p end as p from long_predictions)"""
+
+
+def metrics_unrepaired_sql() -> str:
+    return _dirty() + metric_row_ctes("dirty", ["model"]) + metric_row_select(["model"])
+
+
+def leaderboard_repaired_sql() -> str:
+    inner = _dirty() + """,
+repaired AS (select model, clicked, case when model = 'm3' then p when p is null or isnan(p) then 0.5
+    else greatest(least(p, 1-1e-15), 1e-15) end as p from dirty)""" + metric_row_ctes("repaired", ["model"]) + metric_row_select(["model"])
+    return f"select *, row_number() over (order by combined_score desc, model) as rank from {sub(inner)}"
+
+
+def missing_column_sql() -> str:
+    from clickforge.plans.oracle_features import code_ctes, coded_ctes, normalized_ctes
+    return (normalized_ctes() + code_ctes() + coded_ctes() +
+            "\nselect row_key, split, feat_a_1, cast(0 as float) as feat_a_2, hour from coded")
+
+
+def cleaned_values_sql() -> str:
+    v = """case age_group when '1' then 'nan'::double when '2' then 'inf'::double when '3' then '-inf'::double
+      when '4' then null else feat_a_3 end"""
+    return with_views("impressions") + f""",
+x AS (select row_key, {v} as v from impressions)
+select row_key, cast(case when v is null or isnan(v) or isinf(v) then 0.0 else v end as float) as train_value,
+  cast(case when v is null or isnan(v) then 0.0 when isinf(v) and v > 0 then 1e6 when isinf(v) then -1e6 else v end as float) as score_value
+from x"""
+
+
+def ensemble_main_sql() -> str:
+    return with_views("predictions") + """,
+x AS (select row_key, case when segment <> '5' then p_m1 end as a, case when segment <> '6' then p_m2 end as b,
+        case when segment <> '6' or p_m3 > 0.02 then p_m3 end as f from predictions)
+select row_key, round(coalesce((0.3 * a + 0.2 * b) / 0.5, f, 0.0191), 12) as p,
+  case when a is not null and b is not null then 'ensemble' when f is not null then 'single_model' else 'default' end as source,
+  round(0.5 * a + 0.5 * b, 12) as p_equal
+from x"""
+
+
+def keyed_metrics_sql() -> str:
+    return (with_views("predictions") + """,
+k AS (select 'm2' as model, p.p_m2 as p, i.clicked from predictions p join impressions i on p.row_key = i.row_key
+      where substr(i.row_key,1,1) in ('d','e','f'))""" + metric_row_ctes("k", ["model"]) + metric_row_select(["model"]))
+
+
+def submission_template_sql() -> str:
+    return (with_views("predictions") +
+            ",\nsrc AS (select row_key, p_m3 as p from predictions where substr(row_key,1,1) in ('d','e','f'))"
+            + correction_ctes("src", "p") +
+            "\nselect row_key, printf('T-%09d', row_number() over (order by row_key) - 1) as ID, "
+            "round(p_corrected, 9) as clicked from c3")
+
+
+def label_confirmation_sql() -> str:
+    return """select 'provided' as case_name, 'clicked' as label union all select 'candidate', 'target'
+union all select 'default', 'clicked'"""
+
+
+def fold_metrics_summary_sql() -> str:
+    return f"""select model, count(*) as n_folds, round(avg(weighted_log_loss), 6) as weighted_log_loss_mean,
+  round(stddev_pop(weighted_log_loss), 6) as weighted_log_loss_std, round(avg(predicted_ctr), 6) as predicted_ctr_mean,
+  round(stddev_pop(predicted_ctr), 6) as predicted_ctr_std
+from {sub(_unrounded(metric_row_sql(['model', 'segment'])))} group by model"""
+
+
+def _unrounded(sql: str) -> str:
+    return sql.replace(", 6)", ", 15)")
+
+
+def training_report_sql() -> str:
+    return f"""select count(*) as n_models, round(avg(auc), 6) as avg_auc, round(avg(ap), 6) as avg_ap,
+  round(avg(log_loss), 6) as avg_log_loss, round(avg(case when model = 'm3' then 1.0 else 0.0 end), 6) as calibrated_share
+from {sub(_unrounded(metric_row_sql(['model'])))}"""
+
+
+def batches_by_name_sql() -> str:
+    return with_views("impressions") + """
+select row_key, feat_a_1, null::double as feat_a_2, clicked from impressions where substr(row_key,1,1) not in ('d','e','f')
+union all select row_key, null, feat_a_2, null from impressions where substr(row_key,1,1) in ('d','e','f')"""
+
+
+def default_predictions_sql() -> str:
+    return with_views("predictions") + """
+select row_key, round(case when segment <> '2' then p_m1 else 0.0191 end, 9) as trained,
+  round(case when segment <> '2' then p_m1 else 0.0201 end, 9) as served from predictions"""
+
+
+def diversity_noise_sql() -> str:
+    unit = lambda at: f"cast(cast('0x' || substr(md5(row_key || '7'), {at}, 8) as ubigint) as double)"
+    return with_views("predictions") + f""",
+src AS (select row_key, p_m1 as p from predictions),
+q AS (select greatest(quantile_cont(p, 0.01) * 0.1, 0.0001) as lo, least(quantile_cont(p, 0.99) * 1.1, 0.9999) as hi from src),
+a AS (select row_key, greatest(least(p, hi), lo) as x from src cross join q),
+s AS (select count(distinct x) as nd, stddev_pop(x) as sd from a),
+n AS (select row_key, case when nd < 1000 then {_clip(f"x + sqrt(-2 * ln(({unit(1)} + 1) / 4294967296.0)) * cos({unit(9)} * (2 * pi() / 4294967296.0)) * greatest(sd * 0.008, 1e-6)", '0.0001', '0.9999')}
+        else x end as x from a cross join s),
+m AS (select avg(x) as m from n),
+b AS (select row_key, case when abs(m - 0.0201) > 0.001 and m > 0 then {_clip('x * (0.0201 / m)', '0.0001', '0.9999')} else x end as x from n cross join m)
+select row_key, round({_clip('x', '0.0001', '0.9999')}, 9) as p from b"""
+
+
+def experiment_export_sql() -> str:
+    full = metric_row_ctes("long_predictions", ["model"])
+    return with_views("long_predictions") + full + """
+select 1 as experiment_num, 'all_rows' as run_model, b.model,
+  round((u.pp*(u.nn-u.pp) - u.wrong - 0.5*u.ties) / (u.pp*(u.nn-u.pp)), 9) as auc, round(a.ap, 9) as ap,
+  round(b.actual_ctr, 9) as actual_ctr, round(b.predicted_ctr, 9) as predicted_ctr,
+  round(b.predicted_ctr - b.actual_ctr, 9) as ctr_bias
+from mr_base b join mr_auc u on u.model = b.model join mr_ap a on a.model = b.model"""

@@ -328,7 +328,7 @@ def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5 + M4 + G18 + G24: 5-fold CV of boosted trees; per-fold scores and
     the refit round count (M6)."""
     fm, a, _ = _train_features(spark, sf_dir)
-    folds = ML.cross_validate(a, fm.feature_order, k=5, max_iter=15)
+    folds, _ = ML.cross_validate(a, fm.feature_order, k=5)
     folds = materialize_table(folds)
     rounds = ML.refit_rounds(folds)
     # M6: final model on all training rows with the mean best iteration
@@ -344,15 +344,16 @@ def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1-M3, M7, M8, L1: holdout comparison of two GBT presets and LR."""
     fm, a, _ = _train_features(spark, sf_dir)
-    return ML.compare_models(a, fm.feature_order, max_iter=15)
+    return ML.compare_models(a, fm.feature_order)
 
 
 @register("isotonic_calibration")
 def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isotonic calibration of model 3 scores against clicks, with the
-    metric record before and after."""
-    pr = V.predictions(spark, sf_dir).select("row_key", F.col("clicked").alias("__y"), F.col("p_m3").alias("p"))
-    cal = ML.isotonic_calibration(pr.where(F.col("__y").isNotNull()))
+    """W8 + M12: isotonic calibration fitted on the out-of-fold scores of the
+    cross-validation, with the metric record (G22) before and after."""
+    fm, a, _ = _train_features(spark, sf_dir)
+    _, oof = ML.cross_validate(a, fm.feature_order, k=5)
+    cal = ML.isotonic_calibration(oof)
     long = cal.select(F.lit("raw").alias("model"), F.col("__y").alias("clicked"), "p").unionByName(
         cal.select(F.lit("isotonic").alias("model"), F.col("__y").alias("clicked"),
                    F.col("p_calibrated").alias("p")))
@@ -481,9 +482,9 @@ def table_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("diversity_noise")
 def diversity_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P2 (random, rows-only): noise for a model with < 1000 distinct scores."""
+    """P2 in P4: noise (from the row key) for a model with < 1000 distinct scores."""
     pr = V.predictions(spark, sf_dir).select("row_key", F.col("p_m1").alias("p"))
-    return CAL.post_process(pr, "p", diversity=True, seed=7)
+    return M.round_doubles(CAL.post_process(pr, "p", diversity=True, seed=7), 9)
 
 
 @register("submission_csv")
@@ -508,7 +509,7 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("experiment_export")
 def experiment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiments exported as one JSON object each (model results
-    nested), read back and flattened (rows-only: timestamps are wall-clock)."""
+    nested), read back and flattened."""
     lp = V.long_predictions(spark, sf_dir)
     mr = M.metric_row(lp, ["model"], bounded=True, digits=None)
     folder = f"{checkpoint_dir(spark).rstrip('/')}/experiments/{uuid.uuid4().hex[:12]}"
@@ -516,7 +517,8 @@ def experiment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     EXP.export_json(spark.read.parquet(f"{folder}/table"), f"{folder}/json")
     js = spark.read.json(f"{folder}/json")
     return js.select("experiment_num", "run_model", F.explode("model_performances").alias("m")) \
-        .select("experiment_num", "run_model", "m.*")
+        .select(F.col("experiment_num").cast("int").alias("experiment_num"), "run_model", "m.*") \
+        .transform(M.round_doubles, 9)
 
 
 @register("scoring_features")
@@ -529,3 +531,126 @@ def scoring_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = CL.finite_clean(b, cols=fm.feature_order, mode="score")
     return CL.align_features(b, fm.feature_order).select("row_key", F.lit("test").alias("split"),
                                                           *fm.feature_order)
+
+
+# ------------------------------------------------- hard rows and small items
+def _dirty_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long predictions in which some scores are NaN, infinite or NULL."""
+    lp = V.long_predictions(spark, sf_dir)
+    seg = F.col("segment")
+    bad = (F.when((F.col("model") == "m1") & (seg == "3"), F.lit(float("nan")))
+           .when((F.col("model") == "m1") & (seg == "4"), F.lit(None).cast("double"))
+           .when((F.col("model") == "m2") & (seg == "1"), F.lit(float("inf")))
+           .when((F.col("model") == "m2") & (seg == "2"), F.lit(float("-inf"))).otherwise(F.col("p")))
+    return lp.withColumn("p", bad)
+
+
+@register("leaderboard_repaired")
+def leaderboard_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 + B16: models with NaN, infinite and NULL scores are repaired, not lost."""
+    return CMP.leaderboard(_dirty_predictions(spark, sf_dir))
+
+
+@register("metrics_unrepaired")
+def metrics_unrepaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G22 on the same rows without repair: the reference's defaults for such models."""
+    return M.metric_row(_dirty_predictions(spark, sf_dir), ["model"], bounded=True)
+
+
+@register("missing_column_features")
+def missing_column_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that the test side lacks is 0.0 on both sides."""
+    tr, te = V.split_train_test(V.impressions(spark, sf_dir))
+    a, b = FE.basic_features(tr, te.drop("feat_a_2"))
+    pick = lambda d, s: d.select("row_key", F.lit(s).alias("split"), "feat_a_1", "feat_a_2", "hour")
+    return pick(a, "train").unionByName(pick(b, "test"))
+
+
+@register("cleaned_values")
+def cleaned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B9 and B10 on NaN, infinite and NULL values."""
+    imp = V.impressions(spark, sf_dir)
+    v = (F.when(F.col("age_group") == "1", F.lit(float("nan"))).when(F.col("age_group") == "2", F.lit(float("inf")))
+         .when(F.col("age_group") == "3", F.lit(float("-inf"))).when(F.col("age_group") == "4", F.lit(None).cast("double"))
+         .otherwise(F.col("feat_a_3")))
+    d = imp.select("row_key", v.alias("train_value"), v.alias("score_value"))
+    d = CL.finite_clean(d, cols=["train_value"], mode="train")
+    return CL.finite_clean(d, cols=["score_value"], mode="score").select("row_key", "train_value", "score_value")
+
+
+@register("ensemble_main")
+def ensemble_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 + E10: two sub-ensembles with given scores, and where they have no
+    score the first model's, else the constant, each with its source."""
+    seg = F.col("segment")
+    d = V.predictions(spark, sf_dir).select(
+        "row_key", F.when(seg != "5", F.col("p_m1")).alias("p_stack"), F.when(seg != "6", F.col("p_m2")).alias("p_dyn"),
+        F.when((seg != "6") | (F.col("p_m3") > 0.02), F.col("p_m3")).alias("p_first"))
+    two = _ens.two_level(F.col("p_stack"), F.lit(0.3), F.col("p_dyn"), F.lit(0.2))
+    p, source = _ens.with_fallback(two, F.col("p_first"))
+    zero = _ens.two_level(F.col("p_stack"), F.lit(0.0), F.col("p_dyn"), F.lit(0.0))
+    return d.select("row_key", F.round(p, 12).alias("p"), source.alias("source"), F.round(zero, 12).alias("p_equal"))
+
+
+@register("keyed_metrics")
+def keyed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prediction table and a label table joined by key, then G22."""
+    scores = V.predictions(spark, sf_dir).select("row_key", F.col("p_m2").alias("p"))
+    labels = V.impressions(spark, sf_dir).where(V.is_test_row()).select("row_key", "clicked")
+    return M.metric_row(scores.join(labels, "row_key").withColumn("model", F.lit("m2")), ["model"], bounded=True)
+
+
+@register("submission_template")
+def submission_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 + A8 + P7: corrected scores in key order, paired with the ids of a
+    template file in file order. (The template is written here in one file.)"""
+    _, te = V.split_train_test(V.predictions(spark, sf_dir).select("row_key", F.col("p_m3").alias("p")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/templates/{uuid.uuid4().hex[:12]}"
+    ids = SPL.generated_ids(te, fmt="T-%09d").select("ID", F.lit(0.0).alias("clicked"))
+    TB.write_submission(ids.coalesce(1).sortWithinPartitions("ID"), path)
+    out = SPL.attach_template_ids(CAL.ctr_correction(te, "p"), TB.read_id_template(spark, path))
+    return out.select("row_key", "ID", F.round("p_corrected", 9).alias("clicked"))
+
+
+@register("label_confirmation")
+def label_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The provided label, the first candidate that is binary, and the default."""
+    imp = V.impressions(spark, sf_dir)
+    cases = [("provided", D.confirm_label(imp)), ("candidate", D.confirm_label(imp.withColumnRenamed("clicked", "target"))),
+             ("default", D.confirm_label(imp.drop("clicked"), provided="seq"))]
+    out = None
+    for name, d in cases:
+        d = d.select(F.lit(name).alias("case_name"), "label")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@register("fold_metrics_summary")
+def fold_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and population std over folds (here: segments) per model."""
+    mr = M.metric_row(V.long_predictions(spark, sf_dir), ["model", "segment"], digits=None)
+    return M.round_doubles(CMP.fold_summary(mr, ["weighted_log_loss", "predicted_ctr"]), 6)
+
+
+@register("training_report")
+def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages over the trained models and the calibrated share."""
+    mr = M.metric_row(V.long_predictions(spark, sf_dir), ["model"], bounded=True, digits=None)
+    return M.round_doubles(CMP.training_summary(mr.withColumn("calibrated", F.col("model") == "m3")), 6)
+
+
+@register("batches_by_name")
+def batches_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: batches with different columns joined by name; what a batch lacks is NULL."""
+    tr, te = V.split_train_test(V.impressions(spark, sf_dir))
+    both = tr.select("row_key", "feat_a_1", "clicked").unionByName(te.select("feat_a_2", "row_key"), allowMissingColumns=True)
+    return both.select("row_key", "feat_a_1", "feat_a_2", "clicked")
+
+
+@register("default_predictions")
+def default_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The constants for failed models and failed requests."""
+    p = F.when(F.col("segment") != "2", F.col("p_m1"))
+    return V.predictions(spark, sf_dir).select(
+        "row_key", F.round(CL.default_prediction(p), 9).alias("trained"),
+        F.round(CL.default_prediction(p, CL.SERVING_BASELINE), 9).alias("served"))

@@ -121,8 +121,9 @@ def read_text_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number(text: Column, label: str) -> Column:
-    """The number after ``label:``; "nan" and anything else that is none is NULL."""
-    return F.regexp_extract(text, label + r": (-?[0-9]+(?:\.[0-9]+)?)\b", 1).try_cast("double")
+    """What the first ``label:`` is followed by; "nan" and anything else that is no number is NULL."""
+    token = F.regexp_extract(text, label + r": (\S+)", 1)
+    return F.when(token.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), token.try_cast("double"))
 
 
 def parse_entries(entries: DataFrame) -> DataFrame:

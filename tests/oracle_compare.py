@@ -29,7 +29,7 @@ def _norm(v):
             return "nan"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        return round(v, 5)
+        return v
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
@@ -42,7 +42,15 @@ def _norm(v):
 def rows_key(rows, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
-    return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
+    # exact columns order the rows; floats only among rows that agree in those
+    return sorted(out, key=lambda t: ([(x is None, str(x)) for x in t if not isinstance(x, float)],
+                                      [x for x in t if isinstance(x, float)]))
+
+
+def same_row(a, b) -> bool:
+    """Equal in all columns; floats up to the last bits of a sum's order."""
+    return all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12) if isinstance(x, float) and isinstance(y, float)
+               else x == y for x, y in zip(a, b))
 
 
 def compare(spark, name, fn, sql, sf_dir):
@@ -64,8 +72,8 @@ def compare(spark, name, fn, sql, sf_dir):
         problems.append(f"rows differ: spark={len(srows)} duck={len(drows)}")
     if not problems:
         a, b = rows_key(srows, scols), rows_key(drows, dcols)
-        if a != b:
-            diffs = [(x, y) for x, y in zip(a, b) if x != y][:3]
+        diffs = [(x, y) for x, y in zip(a, b) if not same_row(x, y)][:3]
+        if diffs:
             problems.append(f"values differ, e.g. {diffs}")
     return problems, ts, td, len(srows)
 

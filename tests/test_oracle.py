@@ -16,6 +16,16 @@ def test_query_matches_oracle(spark, name):
     assert not problems, problems
 
 
+FLOATS = ["label_detection", "label_detection_impressions", "target_encoding", "class_weights", "prediction_quantiles",
+          "ensemble_main", "leaderboard_repaired"]
+
+
+@pytest.mark.parametrize("name", FLOATS)
+def test_float_query_at_the_larger_size(spark, name):
+    problems, _, _, _ = compare(spark, name, QUERIES[name], ORACLE[name], "/root/testdata/sf0.01")
+    assert not problems, problems
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
