@@ -131,6 +131,15 @@ def fit_ad_prior(req: DataFrame, y: str = "clicked", key: str = "ad_id", smoothi
                         F.col("__g")).alias("p_raw"), F.col("__g").alias("prior_mean"))
 
 
+def time_cut(req: DataFrame, pct: int = 60) -> Column:
+    """Whether a request belongs to the last ``100 - pct`` percent of the time span:
+    models are fitted on what came before and score what comes after."""
+    micros = F.unix_micros(X.ntz_as_utc(F.col("ts")))
+    span = req.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    return micros >= lo + (hi - lo) * pct // 100
+
+
 def alignment_factor(prior: DataFrame, req: DataFrame, key: str = "ad_id",
                      target: float = BASELINE_CTR) -> DataFrame:
     """P3 factor computed once over a reference table (never from the row

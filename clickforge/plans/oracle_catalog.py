@@ -38,6 +38,7 @@ ORACLE: dict[str, str] = {
     "comparison_report": OM.comparison_report_sql(),
     "request_features": OR.request_features_sql(),
     "request_responses": OR.request_responses_sql(),
+    "response_records": OR.response_records_sql(),
     "serving_stats": OR.serving_stats_sql(),
     "api_usage": OR.api_usage_sql(),
     "recent_predictions": OR.recent_predictions_sql(),

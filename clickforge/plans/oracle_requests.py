@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
-from clickforge.operators.requests import DEFAULT_FEATURES
 from clickforge.plans.sqlviews import with_views
 
+# Fixed values, written out here so that a wrong constant in the operators shows.
+DEFAULT_FEATURES = {
+    "feat_e_1": 65.0, "feat_e_3": 5.0, "feat_e_4": -0.05, "feat_e_5": -0.02,
+    "feat_e_6": -0.04, "feat_e_7": 21.0, "feat_e_8": -172.0, "feat_e_9": -10.0,
+    "feat_e_10": -270.0, "feat_d_1": 0.39, "feat_d_2": 1.93, "feat_d_3": 1.76,
+    "feat_d_4": 6.0, "feat_d_5": -0.29, "feat_d_6": -0.41,
+    "feat_c_1": 0.0, "feat_c_2": 0.0, "feat_c_3": 0.0, "feat_c_4": 0.0,
+    "feat_c_5": 0.0, "feat_c_6": 0.0, "feat_c_7": 0.0, "feat_c_8": 0.0,
+    "feat_b_1": 0.0, "feat_b_2": 0.0, "feat_b_3": 0.0, "feat_b_4": 0.0,
+    "feat_b_5": 0.0, "feat_b_6": 0.0,
+}
+DEVICE_CODES = {"mobile": 1, "desktop": 2, "tablet": 3, "unknown": 0}
+PAGE_CODES = {"home": 1, "search": 2, "product": 3, "checkout": 4, "category": 5, "unknown": 0}
+DAY_CODES = {"monday": 1, "tuesday": 2, "wednesday": 3, "thursday": 4, "friday": 5,
+             "saturday": 6, "sunday": 7, "unknown": 0}
+
 
 def md5_mod(x: str, m: int) -> str:
     two64 = (2 ** 64) % m
@@ -19,7 +34,6 @@ def _codes(x: str, codes: dict[str, int]) -> str:
 
 
 def request_features_sql() -> str:
-    from clickforge.operators.requests import DAY_CODES, DEVICE_CODES, PAGE_CODES
     d = ",\n  ".join(f"cast({v} as float) as {k}" for k, v in DEFAULT_FEATURES.items())
     h = "coalesce(hour, 12)"
     pos = "coalesce(position, 1)"
@@ -52,15 +66,18 @@ from requests"""
 def scored_ctes() -> str:
     clip = lambda x: f"greatest(least({x}, 0.9999), 0.0001)"
     return with_views("requests") + f""",
-g AS (select avg(cast(clicked as double)) as g from requests),
+span AS (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from requests),
+early AS (select r.* from requests r cross join span where epoch_us(ts) < lo + (hi - lo) * 60 // 100),
+late AS (select r.* from requests r cross join span where epoch_us(ts) >= lo + (hi - lo) * 60 // 100),
+g AS (select avg(cast(clicked as double)) as g from early),
 prior AS (select ad_id, coalesce((count(clicked) * avg(cast(clicked as double)) + 100.0 * g.g) / (count(clicked) + 100.0), g.g) as p_raw
-          from requests cross join g group by ad_id, g.g),
+          from early cross join g group by ad_id, g.g),
 fac AS (select case when abs(m - 0.0201) > 0.001 and m > 0 then 0.0201 / m else 1.0 end as factor
-        from (select avg({clip('p.p_raw')}) as m from requests r left join prior p on r.ad_id is not distinct from p.ad_id)),
+        from (select avg({clip('p.p_raw')}) as m from early r left join prior p on r.ad_id is not distinct from p.ad_id)),
 s0 AS (select r.event_id, r.ts, r.clicked, r.bid_amount, p.p_raw is not null as success,
          case when p.p_raw is not null then {clip(f"{clip('p.p_raw')} * fac.factor")} else 0.0201 end as p,
          case when p.p_raw is not null then {clip('p.p_raw')} else 0.0201 end as raw
-       from requests r left join prior p on r.ad_id is not distinct from p.ad_id cross join fac),
+       from late r left join prior p on r.ad_id is not distinct from p.ad_id cross join fac),
 scored AS (
   select event_id, ts, clicked, 'ad_prior' as model_used, success,
     p as ctr_prediction, raw as raw_prediction, (p >= 0.5)::int as predicted_click,
@@ -81,6 +98,12 @@ select event_id, ts, clicked, model_used, success, round(ctr_prediction, 9) as c
 from scored"""
 
 
+def response_records_sql() -> str:
+    return scored_ctes() + """
+select event_id, round(ctr_prediction, 9) as ctr_prediction, predicted_click, ctr_category, recommendation, model_used,
+  postprocessing_applied from scored"""
+
+
 def serving_stats_sql() -> str:
     return scored_ctes() + """,
 base AS (

@@ -264,11 +264,14 @@ from clickforge.operators import requests as RQ  # noqa: E402
 
 
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later requests scored by a prior of earlier ones; ads that are new by then
+    have no prior and fail."""
     req = V.requests(spark, sf_dir)
+    late = RQ.time_cut(req)
     # fitted state (one row per ad, one scalar row) is checkpointed once
-    prior = materialize_table(RQ.fit_ad_prior(req))
-    factor = materialize_table(RQ.alignment_factor(prior, req))
-    return RQ.score_requests(req, prior, factor)
+    prior = materialize_table(RQ.fit_ad_prior(req.where(~late)))
+    factor = materialize_table(RQ.alignment_factor(prior, req.where(~late)))
+    return RQ.score_requests(req.where(late), prior, factor)
 
 
 @register("request_features")
@@ -283,6 +286,15 @@ def request_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.round_doubles(scored_requests(spark, sf_dir), 9)
 
 
+@register("response_records")
+def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-19: the nested response record of each request, read back by field."""
+    r = scored_requests(spark, sf_dir)
+    r = r.select("event_id", RQ.response_struct(r).alias("r"))
+    return M.round_doubles(r.select("event_id", "r.ctr_prediction", "r.predicted_click", "r.ctr_category", "r.recommendation",
+                                    "r.processing_pipeline.model_used", "r.processing_pipeline.postprocessing_applied"), 9)
+
+
 @register("serving_stats")
 def serving_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G27 + W7: serving statistics with the last 1000 predictions."""

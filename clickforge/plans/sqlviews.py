@@ -35,7 +35,7 @@ long_predictions AS (
 REQUESTS = """
 requests AS (
   select event_id, ts, concat('user_', cast(user_id as varchar)) as user_id,
-    concat('ad_', cast(event_id % 20 as varchar)) as ad_id,
+    concat('ad_', cast(event_id % 20 as varchar), case when event_id % 20 = 7 then concat('_', cast(cast(ts as date) as varchar)) else '' end) as ad_id,
     case when event_id%3=0 then 'Mobile' when event_id%3=1 then 'desktop' else null end as device,
     case event_type when 'view' then 'home' when 'click' then 'product' when 'purchase' then 'checkout'
                     when 'signup' then 'category' else 'weird' end as page,

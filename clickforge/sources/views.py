@@ -88,7 +88,9 @@ def requests_from_events(ev: DataFrame) -> DataFrame:
     return ev.select(
         "event_id", "ts",
         F.concat(F.lit("user_"), _s("user_id")).alias("user_id"),
-        F.concat(F.lit("ad_"), _s(F.col("event_id") % 20)).alias("ad_id"),
+        # ad 7 is launched anew every day, so later requests hold ads that earlier ones lack
+        F.concat(F.lit("ad_"), _s(F.col("event_id") % 20), F.when(F.col("event_id") % 20 == 7, F.concat(
+            F.lit("_"), F.to_date("ts").cast("string"))).otherwise(F.lit(""))).alias("ad_id"),
         F.when(F.col("event_id") % 3 == 0, "Mobile").when(F.col("event_id") % 3 == 1, "desktop")
          .alias("device"),
         page.alias("page"),

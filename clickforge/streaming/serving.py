@@ -52,12 +52,13 @@ def _run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateless scoring of the request stream. The ad prior and the
-    alignment factor are fitted on the request table beforehand (a global
+    alignment factor are fitted on the earlier requests beforehand (a global
     factor, never one derived from the row being scored)."""
     req_static = V.requests(spark, sf_dir)
-    prior = materialize_table(RQ.fit_ad_prior(req_static))
-    factor = materialize_table(RQ.alignment_factor(prior, req_static))
-    req = V.requests_from_events(event_stream(spark, sf_dir))
+    late = RQ.time_cut(req_static)
+    prior = materialize_table(RQ.fit_ad_prior(req_static.where(~late)))
+    factor = materialize_table(RQ.alignment_factor(prior, req_static.where(~late)))
+    req = V.requests_from_events(event_stream(spark, sf_dir)).where(late)
     return RQ.score_requests(req, prior, factor)
 
 
