@@ -4,6 +4,7 @@ checkpoint folder taken from the cluster configuration."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,13 +76,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_open_runs: list[list[str]] = []
+
+
 def materialize(df):
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint
     folder and reading it back: columnar, compressed, with exact statistics
     for the optimizer (AQE, broadcast decisions). A lost executor does not
-    send later stages back to the source scan."""
-    import uuid
+    send later stages back to the source scan. The result knows its
+    ``shared_path``; see :func:`release` and :class:`run_tables`."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if _open_runs:
+        _open_runs[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def release(spark, *paths: str) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing reads them."""
+    conf = spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+class run_tables:
+    """``with run_tables(spark):`` deletes on leaving every table that
+    :func:`materialize` wrote inside; results must have been consumed by then."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self) -> list[str]:
+        _open_runs.append([])
+        return _open_runs[-1]
+
+    def __exit__(self, *_) -> None:
+        release(self.spark, *_open_runs.pop())

@@ -61,3 +61,15 @@ def test_feature_model_transform_equals_pipeline(spark):
     a = sorted(tuple(r) for r in b.collect())
     c = sorted(tuple(r) for r in again.select(*b.columns).collect())
     assert a == c
+
+
+def test_intermediate_tables_go_with_their_run(spark):
+    import os
+
+    import __spark_entry__ as E
+    from clickforge.session import run_tables
+    with run_tables(spark) as paths:
+        E.queries()["best_model"](spark, "/root/testdata/sf0.001").collect()
+        made = [p.removeprefix("file:") for p in paths]
+        assert made and all(os.path.isdir(p) for p in made)
+    assert not any(os.path.exists(p) for p in made)
