@@ -20,13 +20,6 @@ KEEP_ID_COLUMNS = ("inventory_id",)
 SEQUENCE_COLUMN = "seq"
 
 
-def split_label(df: DataFrame, label: str, key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """B1: (features, labels). A missing label gives all-zero labels."""
-    y = F.col(label) if label in df.columns else F.lit(0)
-    ys = df.select(key, y.cast("int").alias("y"))
-    return df.drop(label), ys
-
-
 def id_like_columns(columns: Sequence[str]) -> list[str]:
     """Names holding 'id' (any case), except ``inventory_id``."""
     return [c for c in columns if "id" in c.lower() and c.lower() not in KEEP_ID_COLUMNS]

@@ -256,13 +256,6 @@ def class_weights(df: DataFrame, y: str = "clicked", keys: Sequence[str] = ()) -
                     F.when(nneg > 0, F.col("n") / (2 * nneg)).alias("balanced_neg"))
 
 
-def weight_column(df: DataFrame, y: str = "clicked", pos_weight: Column | float = 51.43,
-                  name: str = "weight") -> DataFrame:
-    """Row weight for weighted training: ``pos_weight`` for clicks, 1 otherwise."""
-    pw = pos_weight if isinstance(pos_weight, Column) else F.lit(pos_weight)
-    return df.withColumn(name, F.when(F.col(y) == 1, pw).otherwise(F.lit(1.0)))
-
-
 def ap_rowwise(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicked",
                p: str = "p", key: str = "row_key", buckets: int | None = None,
                prefix_len: int | None = None, bounded: bool = False, digits: int | None = 6) -> DataFrame:

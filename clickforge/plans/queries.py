@@ -445,11 +445,12 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dataset_check")
 def dataset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2 + A6: row counts of the two input tables against the expected counts."""
+    """A2 + A6: row counts and sizes of the two input tables against the expected ones."""
     tables = {"train": read_table(spark, sf_dir, "lineitem"), "test": read_table(spark, sf_dir, "events")}
     TB.load_pair(tables["train"], tables["test"])
-    chk = TB.dataset_check(tables, {"train": TB.EXPECTED_TRAIN_ROWS, "test": TB.EXPECTED_TEST_ROWS})
-    return chk.select("table_name", "row_count", "rows_ok")
+    chk = TB.dataset_check(tables, {"train": TB.EXPECTED_TRAIN_ROWS, "test": TB.EXPECTED_TEST_ROWS},
+                           {"train": TB.MIN_TRAIN_MB << 20, "test": TB.MIN_TEST_MB << 20})
+    return chk.select("table_name", "row_count", "rows_ok", "size_ok")
 
 
 @register("alignment_check")

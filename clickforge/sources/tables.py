@@ -46,11 +46,6 @@ def sample_rows(df: DataFrame, n: int, key: str = "row_key", seed: int = 42) ->
     return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")
 
 
-def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """A3 variant: approximate fraction, no global order at all."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
-
-
 # Fixed values from the reference configuration (dataset requirement check).
 EXPECTED_TRAIN_ROWS = 10_704_179
 EXPECTED_TEST_ROWS = 1_527_298
