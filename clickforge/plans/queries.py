@@ -359,6 +359,21 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ML.compare_models(a, fm.feature_order)
 
 
+@register("trained_submission")
+def trained_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training run end to end (rows-only): features, early-stopped holdout,
+    M6 refit on all rows, scores of the test side, X-17, W5, CSV and back."""
+    fm, a, b = _train_features(spark, sf_dir)
+    rounds = ML.holdout_rounds(a, fm.feature_order)
+    model = ML.refit(a, fm.feature_order, rounds)
+    scored = materialize_table(ML.score_table(model, b, fm.feature_order))
+    corrected = CAL.ctr_correction(scored, "p")
+    out = SPL.generated_ids(corrected).select("ID", F.col("p_corrected").alias("clicked"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/submissions/{uuid.uuid4().hex[:12]}"
+    TB.write_submission(out, path)
+    return TB.read_id_template(spark, path)
+
+
 @register("isotonic_calibration")
 def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W8 + M12: isotonic calibration fitted on the out-of-fold scores of the

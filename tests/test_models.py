@@ -79,3 +79,14 @@ def test_stacking(spark, table):
     assert len(out) == N and all(0 <= r["p_stack"] <= 1 for r in out)
     one = {r["row_key"]: r["p_stack"] for r in ML.stacking(wide, ["m1"]).collect()}
     assert all(one[r["row_key"]] == r["m1"] for r in wide.collect())
+
+
+def test_training_run_end_to_end(spark):
+    import __spark_entry__ as E
+    from clickforge.sources import views as V
+    sf = "/root/testdata/sf0.001"
+    out = E.queries()["trained_submission"](spark, sf).collect()
+    _, te = V.split_train_test(V.impressions(spark, sf))
+    assert sorted(r["ID"] for r in out) == [f"TEST_{i:07d}" for i in range(te.count())]
+    assert all(0 < r["clicked"] < 1 for r in out)
+    assert abs(sum(r["clicked"] for r in out) / len(out) - 0.0191) < 0.001
