@@ -430,6 +430,31 @@ def _experiment_runs(spark: SparkSession, sf_dir: str):
     return EXP.log_and_parse(runs, folder, spark)
 
 
+def _request_model(spark: SparkSession, sf_dir: str):
+    """Model and alignment factor from the earlier requests; whether a request is a later one."""
+    req = V.requests(spark, sf_dir)
+    late = RQ.time_cut(req)
+    early = req.where(~late)
+    model, names = ML.fit_request_model(early)
+    return model, names, ML.request_alignment(ML.score_requests(early, model, names)), late
+
+
+@register("request_model_scores")
+def request_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 with F5 and a fitted model (rows-only): later requests, post-processed
+    with the factor of the earlier ones."""
+    model, names, factor, late = _request_model(spark, sf_dir)
+    return ML.score_requests(V.requests(spark, sf_dir).where(late), model, names, factor)
+
+
+@register("stream_model_scores")
+def stream_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 with F5 and ``model.transform`` on the request stream (rows-only)."""
+    model, names, factor, late = _request_model(spark, sf_dir)
+    req = V.requests_from_events(ST.event_stream(spark, sf_dir)).where(late)
+    return ST._run_to_table(ML.score_requests(req, model, names, factor), "model_scoring")
+
+
 @register("experiment_log")
 def experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1 + A11 + O4 + A12: log two evaluation runs to the experiment table and

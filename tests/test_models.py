@@ -90,3 +90,19 @@ def test_training_run_end_to_end(spark):
     assert sorted(r["ID"] for r in out) == [f"TEST_{i:07d}" for i in range(te.count())]
     assert all(0 < r["clicked"] < 1 for r in out)
     assert abs(sum(r["clicked"] for r in out) / len(out) - 0.0191) < 0.001
+
+
+def test_request_model_in_batch_and_stream(spark):
+    import __spark_entry__ as E
+    from clickforge.sources import views as V
+    sf, q = "/root/testdata/sf0.001", E.queries()
+    pick = ["event_id", "success", "ctr_prediction", "recommendation"]
+    batch = sorted(tuple(r) for r in q["request_model_scores"](spark, sf).select(pick).collect())
+    stream = sorted(tuple(r) for r in q["stream_model_scores"](spark, sf).select(pick).collect())
+    assert len(batch) == len(stream) > 0
+    assert all(x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-6 for x, y in zip(batch, stream))
+    req = V.requests(spark, sf)
+    model, names = ML.fit_request_model(req)
+    lost = req.limit(3).withColumn("user_id", F.lit(None).cast("string"))
+    out = ML.score_requests(lost, model, names).collect()
+    assert all(not r["success"] and r["error"] and r["ctr_prediction"] == 0.0201 for r in out)
