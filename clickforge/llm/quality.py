@@ -226,5 +226,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
              max_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted (1: score >= ``threshold``)."""
     scored = score(docs, train(docs, labels, max_rows, held_out, folds))
-    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % folds == held_out).alias("held_out"),
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_out, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"),
                          "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ from .common import documents, save
 RATIOS = {
     "word_length": ("100 * word_chars div n_words", True, 150),
     "symbols": ("1000 * n_symbols div n_words", False, 100),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", False, 300),
+    "dup_lines": ("1000 * n_dup_lines div n_lines", False, 500),
     "repeats": ("1000 * n_repeat_words div n_words", False, 200),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
