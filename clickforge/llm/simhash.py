@@ -9,10 +9,15 @@ each segment, within the covering radius, and is replicated to every anchor
 within that radius plus the segment's share of the distance. So each linked
 pair meets at the home of either one, and is compared there bit by bit.
 
-Equal fingerprints are one point, so copies never meet as pairs. At an anchor
-the links of its points are reduced to a spanning forest before they leave the
-task; anchors with very many points are cut into tiles, and each pair of tiles
-is a group of its own. Components are joined over all anchors afterwards.
+An anchor's points are told apart further by the bytes of the other segment,
+one of which is equal in a linked pair, lest chance meetings grow with the
+square of the points.
+
+Equal fingerprints are one point, so copies never meet as pairs. Keyed points
+go to buckets; a task sorts one bucket and reduces the links of each group to a
+spanning forest before they leave it. Groups of very many points are cut into
+tiles, and each pair of tiles is a group of its own. Components are joined over
+all anchors afterwards.
 
 Cases: null or empty text has fingerprint 0 and links like any other; fewer
 words than a shingle count as one shingle; null doc_ids are kept with a null
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop, save, text_blocks
+from .common import documents, drop, mix64, pack_arrays, save, shuffle_partitions, text_blocks, unpack_arrays
 from .components import connected_components
 
 LOWER = bytes(range(256)).lower()
@@ -37,12 +42,16 @@ GOLAY = 0b101011100011
 TILE = 4096
 #: Pairs up to which groups are compared many at once.
 SMALL = 1024
+#: Keyed points that a bucket holds at most, about; more points make more buckets.
+BUCKET_ROWS = 1_000_000
 
 PRINTS = "doc_id long, print long"
 PRINTS_ARROW = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
-ANCHORED = "segment int, anchor long, home boolean, print long, node long"
-ANCHORED_ARROW = pa.schema([("segment", pa.int32()), ("anchor", pa.int64()), ("home", pa.bool_()),
-                            ("print", pa.int64()), ("node", pa.int64())])
+KEYED = "bucket int, n int, body binary"
+KEYED_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
+LINKS = "a long, b long, key long, print long, node long, home boolean"
+LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("print", pa.int64()),
+                         ("node", pa.int64()), ("home", pa.bool_())])
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -158,22 +167,31 @@ class Forest:
                 self.links.append((x, y))
 
 
-def compare_small(homes: pa.ListArray, guests: pa.ListArray, rows: np.ndarray, most: int, forest: Forest) -> None:
-    """Links between the homes and guests of many small groups at once."""
-    h_off, g_off = homes.offsets.to_numpy(), guests.offsets.to_numpy()
-    h_n, g_n = np.diff(h_off)[rows], np.diff(g_off)[rows]
+def keyed(prints: np.ndarray, code: GolayCode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, key, whether it is home): the anchors of each point, each once with
+    every byte of the other segment. That one differs in at most three bits, so
+    one of its four bytes is equal: a finer key with fewer chance meetings."""
+    who, segment, anchor, home = anchors(prints, code)
+    other = (prints[who] >> (32 * (1 - segment)).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+    base = segment.astype(np.uint64) << np.uint64(42) | anchor.astype(np.uint64) << np.uint64(8)
+    keys = [base | np.uint64(j) << np.uint64(40) | (other >> np.uint64(8 * j)) & np.uint64(0xFF) for j in range(4)]
+    return np.tile(who, 4), np.concatenate(keys), np.tile(home, 4)
+
+
+def compare_small(prints: np.ndarray, nodes: np.ndarray, homes: np.ndarray, h_n: np.ndarray, h_off: np.ndarray,
+                  g_n: np.ndarray, g_off: np.ndarray, most: int, forest: Forest) -> None:
+    """Links between the homes (``homes[h_off:h_off + h_n]``) and all points
+    (``g_off:g_off + g_n``) of many small groups at once."""
     size = h_n * g_n
     k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     width = np.repeat(g_n, size)
-    i = np.repeat(h_off[:-1][rows], size) + k // np.maximum(width, 1)
-    j = np.repeat(g_off[:-1][rows], size) + k % np.maximum(width, 1)
-    h, g = homes.values, guests.values
-    x, y = h.field("print").to_numpy().view(np.uint64)[i], g.field("print").to_numpy().view(np.uint64)[j]
-    near = np.flatnonzero((np.bitwise_count(x ^ y) <= most) & (x != y))
-    forest.join(zip(h.field("node").to_numpy()[i[near]].tolist(), g.field("node").to_numpy()[j[near]].tolist()))
+    i, j = homes[np.repeat(h_off, size) + k // width], np.repeat(g_off, size) + k % width
+    near = np.flatnonzero((np.bitwise_count(prints[i] ^ prints[j]) <= most) & (prints[i] != prints[j]))
+    forest.join(zip(nodes[i[near]].tolist(), nodes[j[near]].tolist()))
 
 
-def compare_large(home: np.ndarray, home_node: np.ndarray, guest: np.ndarray, guest_node: np.ndarray, most: int, forest: Forest) -> None:
+def compare_large(home: np.ndarray, home_node: np.ndarray, guest: np.ndarray, guest_node: np.ndarray, most: int,
+                  forest: Forest) -> None:
     """Links of one large group: a row of distances a home, trees kept as labels."""
     prints, first = np.unique(np.concatenate([home, guest]), return_index=True)
     node = np.concatenate([home_node, guest_node])[first]
@@ -187,61 +205,90 @@ def compare_large(home: np.ndarray, home_node: np.ndarray, guest: np.ndarray, gu
             forest.join((int(node[trees[0]]), int(node[t])) for t in trees[1:])
 
 
+def tiled(members: DataFrame, most: int) -> DataFrame:
+    """Links (a, b) within groups of very many points: a group (key) is cut into
+    tiles by a hash, and the homes of one tile meet the points of another in a
+    group of their own."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    homes = placed.where("home").withColumn("other", others)
+    guests = placed.withColumnRenamed("tile", "other").withColumn("tile", others).withColumn("home", F.lit(False))
+    columns = ["key", "tile", "other", "home", "print", "node"]
+    groups = homes.select(columns).unionAll(guests.select(columns)).groupBy("key", "tile", "other").agg(
+        F.collect_list(F.when(F.col("home"), F.struct("print", "node"))).alias("homes"),
+        F.collect_list(F.when(~F.col("home"), F.struct("print", "node"))).alias("guests")).where("size(homes) > 0")
+
+    def compare(batches):
+        for b in batches:
+            forest = Forest()
+            for homes_, guests_ in zip(b.column(0), b.column(1)):
+                h, g = homes_.values, guests_.values
+                compare_large(h.field("print").to_numpy().view(np.uint64), h.field("node").to_numpy(),
+                              g.field("print").to_numpy().view(np.uint64), g.field("node").to_numpy(), most, forest)
+            yield pa.record_batch([pa.array([x for x, _ in forest.links], pa.int64()),
+                                   pa.array([y for _, y in forest.links], pa.int64())], names=["a", "b"])
+
+    return groups.select("homes", "guests").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     if not 0 <= max_distance <= 3:
         raise ValueError("two segments with one differing bit each cover distances up to 3")
+    spark = docs.sparkSession
     prints = save(fingerprints(docs, shingle), "prints")
-    points = prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
+    points = save(prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node")), "points")
+    buckets = max(4 * shuffle_partitions(spark), points.count() * 115 // BUCKET_ROWS)
 
     def replicate(batches):
         code = GolayCode()
         for b in batches:
             p, node = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
             for a in range(0, len(p), 1 << 14):
-                who, segment, anchor, home = anchors(p[a:a + (1 << 14)], code)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(segment, pa.int32()), pa.array(anchor), pa.array(home),
-                     pa.array(p[a:][who].view(np.int64)), pa.array(node[a:][who])], schema=ANCHORED_ARROW)
-
-    anchored = save(points.mapInArrow(replicate, ANCHORED), "anchored")
-    # Anchors where a home meets other points; the bits in which two points differ are known
-    # without comparing them. Anchors with many points are cut into tiles.
-    sizes = (anchored.groupBy("segment", "anchor")
-             .agg(F.count("*").alias("n"), F.max("home").alias("has_home"),
-                  F.bit_count(F.bit_or("print").bitwiseXOR(F.bit_and("print"))).alias("differ"))
-             .where((F.col("n") > 1) & F.col("has_home") & ((F.col("n") > 2) | (F.col("differ") <= max_distance))))
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    tile = F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int")
-    placed = (anchored.join(sizes.select("segment", "anchor", tiles.alias("tiles")), ["segment", "anchor"])
-              .withColumn("tile", tile))
-    # A home of tile i meets the points of tile j in group (i, j).
-    homes = placed.where("home").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    guests = (placed.withColumnRenamed("tile", "other")
-              .withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("home", F.lit(False)))
-    columns = ["segment", "anchor", "tile", "other", "home", "print", "node"]
-    groups = homes.select(columns).unionAll(guests.select(columns))
-    links = (groups.groupBy("segment", "anchor", "tile", "other").agg(
-        F.collect_list(F.when(F.col("home"), F.struct("print", "node"))).alias("homes"),
-        F.collect_list(F.when(~F.col("home"), F.struct("print", "node"))).alias("guests"))
-        .where("size(homes) > 0").select("homes", "guests"))
-
-    def compare(batches):
-        for b in batches:
-            homes_, guests_, forest = b.column(0), b.column(1), Forest()
-            size = np.diff(homes_.offsets.to_numpy()).astype(np.int64) * np.diff(guests_.offsets.to_numpy())
-            compare_small(homes_, guests_, np.flatnonzero(size <= SMALL), max_distance, forest)
-            for k in np.flatnonzero(size > SMALL):
-                h, g = homes_[int(k)].values, guests_[int(k)].values
-                compare_large(h.field("print").to_numpy().view(np.uint64), h.field("node").to_numpy(),
-                              g.field("print").to_numpy().view(np.uint64), g.field("node").to_numpy(), max_distance, forest)
-            yield pa.record_batch([pa.array([x for x, _ in forest.links], pa.int64()),
-                                   pa.array([y for _, y in forest.links], pa.int64())], names=["a", "b"])
-
-    edges = save(links.mapInArrow(compare, "a long, b long"), "links")
-    drop(anchored)
+                who, key, home = keyed(p[a:a + (1 << 14)], code)
+                bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                who, key, home = who[order] + a, key[order], home[order].astype(np.uint8)
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                used = np.flatnonzero(np.diff(cuts))
+                body = [pack_arrays(key[x:y], p[who[x:y]], node[who[x:y]], home[x:y]) for x, y in zip(cuts[used], cuts[used + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.diff(cuts)[used], pa.int32()),
+                                                  pa.array(body, pa.binary())], schema=KEYED_ARROW)
+
+    def compare(t: pa.Table) -> pa.Table:
+        parts = [unpack_arrays(x.as_py(), n, np.uint64, np.uint64, np.int64, np.uint8)
+                 for x, n in zip(t.column("body"), t.column("n").to_pylist())]
+        key, print_, node, home = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(key, kind="stable")
+        key, print_, node, home = key[order], print_[order], node[order], home[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(first, len(key)))
+        homes = np.flatnonzero(home)
+        h_first = np.searchsorted(homes, first)
+        h_n = np.diff(np.append(h_first, len(homes)))
+        met = (n > 1) & (h_n > 0)
+        forest, large = Forest(), np.flatnonzero(met & (n > TILE))
+        small = np.flatnonzero(met & (n * h_n <= SMALL))
+        compare_small(print_, node, homes, h_n[small], h_first[small], n[small], first[small], max_distance, forest)
+        for k in np.flatnonzero(met & (n * h_n > SMALL) & (n <= TILE)):
+            g, h = slice(first[k], first[k] + n[k]), homes[h_first[k]:h_first[k] + h_n[k]]
+            compare_large(print_[h], node[h], print_[g], node[g], max_distance, forest)
+        rest = np.concatenate([np.arange(first[k], first[k] + n[k]) for k in large]) if len(large) else np.zeros(0, np.int64)
+        nothing = pa.nulls(len(forest.links), pa.int64())
+        links = pa.table([pa.array([x for x, _ in forest.links], pa.int64()), pa.array([y for _, y in forest.links], pa.int64()),
+                          nothing, nothing, nothing, pa.nulls(len(forest.links), pa.bool_())], schema=LINKS_ARROW)
+        left = pa.table([pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.int64()), pa.array(key[rest].view(np.int64)),
+                         pa.array(print_[rest].view(np.int64)), pa.array(node[rest]), pa.array(home[rest].astype(bool))], schema=LINKS_ARROW)
+        return pa.concat_tables([links, left])
+
+    found = save(points.mapInArrow(replicate, KEYED).groupBy("bucket").applyInArrow(lambda t: compare(t), LINKS), "links")
+    edges = found.where("a is not null").select("a", "b")
+    large = found.where("key is not null").drop("a", "b")
+    if not large.isEmpty():
+        edges = edges.unionAll(save(tiled(large, max_distance), "links-large"))
     components = connected_components(edges)
-    drop(edges)
+    drop(found)
     labelled = points.join(components, points["node"] == components["node"], "left").select(
         "print", F.coalesce("component", points["node"]).alias("component_id"))
     return (prints.join(labelled, "print", "left")

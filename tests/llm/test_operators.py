@@ -241,10 +241,10 @@ def test_pairs_within_three_bits_meet():
         y = x
         for b in rng.choice(64, rng.integers(0, 4), replace=False):
             y ^= 1 << int(b)
-        who, segment, anchor, home = simhash.anchors(np.array([x, y], np.uint64), code)
-        homes = {(s, a) for w, s, a, h in zip(who, segment, anchor, home) if w == 0 and h}
-        near = {(s, a) for w, s, a in zip(who, segment, anchor) if w == 1}
-        assert len(homes) == 2 and homes & near
+        who, key, home = simhash.keyed(np.array([x, y], np.uint64), code)
+        homes = {k for w, k, h in zip(who, key, home) if w == 0 and h}
+        near = {k for w, k in zip(who, key) if w == 1}
+        assert len(homes) == 8 and homes & near
 
 
 def test_simhash_components(docs, plain):
