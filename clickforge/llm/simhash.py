@@ -44,6 +44,8 @@ TILE = 4096
 SMALL = 1024
 #: Keyed points that a bucket holds at most, about; more points make more buckets.
 BUCKET_ROWS = 1_000_000
+#: Points whose anchors a task holds at a time.
+CHUNK = 4096
 
 PRINTS = "doc_id long, print long"
 PRINTS_ARROW = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
@@ -245,8 +247,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3) ->
         code = GolayCode()
         for b in batches:
             p, node = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            for a in range(0, len(p), 1 << 14):
-                who, key, home = keyed(p[a:a + (1 << 14)], code)
+            for a in range(0, len(p), CHUNK):
+                who, key, home = keyed(p[a:a + CHUNK], code)
                 bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 who, key, home = who[order] + a, key[order], home[order].astype(np.uint8)
