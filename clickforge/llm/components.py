@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import drop, save
 
+#: Rows of a file of the tables between rounds.
+FILE_ROWS = 200_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: long); component is the
@@ -17,21 +20,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     of stars. A round costs one aggregate and one join on the node; the hot
     centre of a star is aggregated before the shuffle (min), and joined to its
     neighbours by a join whose skewed partitions AQE splits. Each round is
-    written to the shared folder, the one before it dropped.
+    written to the shared folder, in as few files as its rows need, and the one
+    before it dropped.
     """
     pairs = (edges.where("a is not null and b is not null and a <> b")
              .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     pairs = save(pairs, "cc")
+    files = 1 + pairs.count() // FILE_ROWS  # no round has more rows than the first
     while True:
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .where("u <> v").distinct(), "cc")
+                     .where("u <> v").distinct().coalesce(files), "cc")
         # Small star: u > v holds; link all smaller neighbours and u itself to the smallest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = save(large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                                                      F.struct("u", F.col("m").alias("v")))).alias("e"))
-                     .select("e.u", "e.v").where("u <> v").distinct(), "cc")
+                     .select("e.u", "e.v").where("u <> v").distinct().coalesce(files), "cc")
         same = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
         before, after = same.first(), small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         drop(large)

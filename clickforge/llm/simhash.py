@@ -44,6 +44,8 @@ TILE = 4096
 SMALL = 1024
 #: Keyed points that a bucket holds at most, about; more points make more buckets.
 BUCKET_ROWS = 1_000_000
+#: Points of a file of the table of points.
+FILE_POINTS = 100_000
 #: Points whose anchors a task holds at a time.
 CHUNK = 4096
 
@@ -240,7 +242,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3) ->
         raise ValueError("two segments with one differing bit each cover distances up to 3")
     spark = docs.sparkSession
     prints = save(fingerprints(docs, shingle), "prints")
-    points = save(prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node")), "points")
+    points = prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
+    points = save(points.coalesce(1 + prints.count() // FILE_POINTS), "points")
     buckets = max(4 * shuffle_partitions(spark), points.count() * 115 // BUCKET_ROWS)
 
     def replicate(batches):
