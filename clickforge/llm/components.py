@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,29 @@ from .common import drop, save
 FILE_ROWS = 200_000
 
 
+def contracted(pairs: DataFrame, files: int) -> DataFrame:
+    """The same components with fewer steps to go: each of ``files`` parts of the
+    table, about FILE_ROWS rows, is replaced by stars around its smallest nodes."""
+
+    def contract(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                u, v = root(u), root(v)
+                parent[max(u, v)] = min(u, v)
+        stars = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        yield pa.record_batch([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["u", "v"])
+
+    return pairs.select("u", "v").coalesce(files).mapInArrow(contract, "u long, v long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: long); component is the
     smallest node that can be reached. Null ends are ignored.
@@ -25,8 +49,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = (edges.where("a is not null and b is not null and a <> b")
              .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    pairs = save(pairs, "cc")
-    files = 1 + pairs.count() // FILE_ROWS  # no round has more rows than the first
+    first = save(pairs, "cc")
+    files = 1 + first.count() // FILE_ROWS  # no round has more rows than the first
+    pairs = save(contracted(first, files), "cc")
+    drop(first)
     while True:
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -34,11 +60,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
                      .where("u <> v").distinct().coalesce(files), "cc")
         # Small star: u > v holds; link all smaller neighbours and u itself to the smallest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = save(large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                                                                     F.struct("u", F.col("m").alias("v")))).alias("e"))
-                     .select("e.u", "e.v").where("u <> v").distinct().coalesce(files), "cc")
-        same = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        before, after = same.first(), small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        links = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(links).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = save(contracted(small, files), "cc")
+        summary = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
+        before, after = pairs.agg(*summary).first(), small.agg(*summary).first()
         drop(large)
         drop(pairs)
         pairs = small
