@@ -9,6 +9,11 @@ A ratio's bounds are its upper (lower) quantile moved outwards by ``slack``
 times its distance from the median, at least by the ratio's margin. A join on
 language and source brings the bounds to the documents.
 
+Those bounds, which :func:`oracle_sql` states too, follow the junk once it is
+more than a twentieth of a group. :func:`robust_bounds` are the ones that a
+minority of any kind can't move: the median and ``spread`` times the median
+distance from it, both read from the same sketch.
+
 Cases: null or empty text has no words, fails the base rule and is not kept;
 null languages and sources are groups of their own; empty tables give empty
 results; repeated rows and ids are counted each; further columns are ignored.
@@ -102,12 +107,33 @@ def bounds(sketch: DataFrame, quantile_pct: int = 95, slack: int = 2) -> DataFra
     return q.groupBy("lang", "source").agg(*[pick(k, c) for k in RATIOS for c in ("low", "high")])
 
 
+def robust_bounds(sketch: DataFrame, spread: int = 7) -> DataFrame:
+    """As :func:`bounds`, from the median and the median distance from it, which
+    hold still until half of a group is bad. For normal values seven times that
+    distance is where ``bounds`` ends too, with 95 % and a slack of 2."""
+    group = ["lang", "source", "ratio"]
+    each = Window.partitionBy(*group)
+    half = lambda order: 2 * F.sum("n").over(each.orderBy(order)) >= F.sum("n").over(each)
+    first = lambda value: F.min(F.when(F.col("half"), F.col(value)))
+    q = (sketch.withColumn("half", half("value")).withColumn("mid", first("value").over(each))
+         .withColumn("far", F.abs(F.col("value") - F.col("mid"))).withColumn("half", half("far"))
+         .groupBy(*group, "mid").agg(first("far").alias("far")))
+    margin = F.create_map(*[x for k, (_, _, m) in RATIOS.items() for x in (F.lit(k), F.lit(m))])[F.col("ratio")]
+    off = F.greatest(spread * F.col("far"), margin)
+    # a bucket reaches a 32nd above its value
+    q = q.select(*group, (F.col("mid") - off).alias("low"), (F.col("mid") + F.expr("mid div 32") + off).alias("high"))
+    pick = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{k}_{c}")
+    return q.groupBy("lang", "source").agg(*[pick(k, c) for k in RATIOS for c in ("low", "high")])
+
+
 def apply_rules(docs: DataFrame, quantile_pct: int = 95, slack: int = 2, window: int = 8, min_words: int = 20,
-                max_repeat_pct: int = 30) -> DataFrame:
-    """The counts of every document, base_failed, and kept by base and adaptive rules."""
+                max_repeat_pct: int = 30, robust: bool = False) -> DataFrame:
+    """The counts of every document, base_failed, and kept by base and adaptive
+    rules; with ``robust`` the adaptive ones are :func:`robust_bounds`."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     counted = save(text_counts(docs, window).withColumn("base_failed", failed), "counts")
-    limits = save(bounds(sketches(counted.where("not base_failed")), quantile_pct, slack), "bounds")
+    sketch = sketches(counted.where("not base_failed"))
+    limits = save(robust_bounds(sketch) if robust else bounds(sketch, quantile_pct, slack), "bounds")
     limits = limits.withColumnRenamed("lang", "b_lang").withColumnRenamed("source", "b_source")
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source")), "left")
     inside = F.lit(True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import sys
 import zlib
 from collections import Counter
@@ -355,6 +356,21 @@ def test_quality_sketches_merge(spark, docs):
     assert spark_rows(parts.groupBy("lang", "source", "ratio", "value").sum("n").withColumnRenamed("sum(n)", "n")) == whole
 
 
+def prose_rows(n, junk, source, start=0):
+    """``n`` documents of one source, of which the last ``junk`` are full of symbols."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    texts = [" ".join(word() + (" #$% *|<" if i >= n - junk else "") for _ in range(60)) for i in range(n)]
+    return [(start + i, t, "en", source) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("junk", [5, 10, 20, 30])
+def test_junk_does_not_move_the_robust_bounds(spark, junk):
+    table = spark.createDataFrame(prose_rows(100, junk, "s"), "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality_rules.apply_rules(table, robust=True).where("kept").collect()}
+    assert kept == set(range(100 - junk))
+
+
 def test_licenses(spark):
     wrapped = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated\n"
                "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the\n"
