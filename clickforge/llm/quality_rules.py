@@ -12,7 +12,8 @@ language and source brings the bounds to the documents.
 Those bounds, which :func:`oracle_sql` states too, follow the junk once it is
 more than a twentieth of a group. :func:`robust_bounds` are the ones that a
 minority of any kind can't move: the median and ``spread`` times the median
-distance from it, both read from the same sketch.
+distance from it, both read from the same sketch; a group of few documents
+takes those of its language, or of all documents.
 
 Cases: null or empty text has no words, fails the base rule and is not kept;
 null languages and sources are groups of their own; empty tables give empty
@@ -107,23 +108,39 @@ def bounds(sketch: DataFrame, quantile_pct: int = 95, slack: int = 2) -> DataFra
     return q.groupBy("lang", "source").agg(*[pick(k, c) for k in RATIOS for c in ("low", "high")])
 
 
-def robust_bounds(sketch: DataFrame, spread: int = 7) -> DataFrame:
+def robust_bounds(sketch: DataFrame, spread: int = 7, min_docs: int = 20) -> DataFrame:
     """As :func:`bounds`, from the median and the median distance from it, which
     hold still until half of a group is bad. For normal values seven times that
-    distance is where ``bounds`` ends too, with 95 % and a slack of 2."""
-    group = ["lang", "source", "ratio"]
+    distance is where ``bounds`` ends too, with 95 % and a slack of 2. A group of
+    fewer than ``min_docs`` documents has the bounds of its language, and if
+    that has too few as well, those of all documents: sketches merge."""
+    # level 0: language and source, 1: language, 2: all
+    sketch = (sketch.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+              .groupBy("level", F.when(F.col("level") < 2, F.col("lang")).alias("lang"),
+                       F.when(F.col("level") < 1, F.col("source")).alias("source"), "ratio", "value")
+              .agg(F.sum("n").alias("n")))
+    group = ["level", "lang", "source", "ratio"]
     each = Window.partitionBy(*group)
     half = lambda order: 2 * F.sum("n").over(each.orderBy(order)) >= F.sum("n").over(each)
     first = lambda value: F.min(F.when(F.col("half"), F.col(value)))
     q = (sketch.withColumn("half", half("value")).withColumn("mid", first("value").over(each))
          .withColumn("far", F.abs(F.col("value") - F.col("mid"))).withColumn("half", half("far"))
-         .groupBy(*group, "mid").agg(first("far").alias("far")))
+         .groupBy(*group, "mid").agg(first("far").alias("far"), F.sum("n").alias("docs")))
     margin = F.create_map(*[x for k, (_, _, m) in RATIOS.items() for x in (F.lit(k), F.lit(m))])[F.col("ratio")]
     off = F.greatest(spread * F.col("far"), margin)
     # a bucket reaches a 32nd above its value
-    q = q.select(*group, (F.col("mid") - off).alias("low"), (F.col("mid") + F.expr("mid div 32") + off).alias("high"))
+    q = q.select(*group, "docs", (F.col("mid") - off).alias("low"), (F.col("mid") + F.expr("mid div 32") + off).alias("high"))
     pick = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{k}_{c}")
-    return q.groupBy("lang", "source").agg(*[pick(k, c) for k in RATIOS for c in ("low", "high")])
+    names = [f"{k}_{c}" for k in RATIOS for c in ("low", "high")]
+    q = save(q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *[pick(k, c) for k in RATIOS for c in ("low", "high")]),
+             "levels")
+    level = lambda n: q.where(F.col("level") == n).select(
+        F.col("lang").alias("its_lang"), F.struct("docs", *names).alias(f"at_{n}"))
+    return (q.where("level = 0").select("lang", "source", F.struct("docs", *names).alias("at_0"))
+            .join(level(1), F.col("lang").eqNullSafe(F.col("its_lang")), "left").join(level(2).drop("its_lang"), F.lit(True), "left")
+            .select("lang", "source", F.when(F.col("at_0.docs") >= min_docs, F.col("at_0"))
+                    .when(F.col("at_1.docs") >= min_docs, F.col("at_1")).otherwise(F.col("at_2")).alias("at"))
+            .select("lang", "source", *[f"at.{c}" for c in names]))
 
 
 def apply_rules(docs: DataFrame, quantile_pct: int = 95, slack: int = 2, window: int = 8, min_words: int = 20,

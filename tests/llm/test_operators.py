@@ -371,6 +371,15 @@ def test_junk_does_not_move_the_robust_bounds(spark, junk):
     assert kept == set(range(100 - junk))
 
 
+@pytest.mark.parametrize("lang", ["en", "fr", None])
+def test_a_small_group_is_judged_by_its_language_or_all(spark, lang):
+    """Groups of five with one or three junk documents beside one large group of English."""
+    few = [(i, t, lang, s) for i, t, _, s in prose_rows(5, 1, "few", 500) + prose_rows(5, 3, None, 600)]
+    table = spark.createDataFrame(prose_rows(100, 0, "many") + few, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality_rules.apply_rules(table, robust=True).where("kept").collect()}
+    assert kept == {*range(100), *range(500, 504), *range(600, 602)}
+
+
 def test_licenses(spark):
     wrapped = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated\n"
                "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the\n"
