@@ -45,6 +45,21 @@ def test_cross_validation(cv, table):
     assert sum(p > n for p in pos for n in neg) / (len(pos) * len(neg)) > 0.7
 
 
+def test_patience_acts_on_real_losses(cv):
+    assert all(r["rounds"] == r["best_iteration"] + ML.PATIENCE for r in cv[0].collect())
+
+
+def test_boosting_gives_the_model_of_the_best_round(table):
+    data = ML.with_weights(ML.assemble(table, ["a", "b", "c"]), 4.0).withColumn(ML.VALID, F.col("row_key").endswith("5") | F.col("row_key").endswith("2"))
+    model, losses, best = ML.boost(data, ML.GBT_A, patience=3)
+    assert model.getNumTrees == best == losses.index(min(losses)) + 1 and len(losses) == best + 3
+    valid = data.where(ML.VALID)
+    assert model.evaluateEachIteration(valid) == losses[:best]
+    again = ML.gbt(ML.GBT_A, best).fit(data.where(~F.col(ML.VALID)))
+    pick = lambda m: [r["p"] for r in ML.positive_probability(m.transform(valid)).orderBy("row_key").collect()]
+    assert pick(model) == pick(again)
+
+
 def test_same_seed_same_folds(table, cv):
     _, again = ML.cross_validate(table.repartition(7), ["a", "b", "c"], k=3, max_iter=1)
     want = {r["row_key"]: r["fold"] for r in cv[1].collect()}
