@@ -7,6 +7,12 @@ to the identifiers of known licence sentences. Ordered rules, each a sequence
 of identifiers, are then tried on the identifier sequence of a text: the first
 rule that fits takes its identifiers, so longer rules come first.
 
+:func:`oracle_sql` states these two cuts. :func:`scan` with ``paragraphs`` makes
+a third one for hard-wrapped files, in which headings, copyright lines and list
+numbers stand without a full stop: paragraphs are kept apart and their line ends
+taken as spaces, sentences end at colons and list numbers too, comment marks at
+line starts are dropped, and identifiers of parts are matched by further rules.
+
 Everything happens inside the row with SQL functions: no shuffle, no Python.
 
 Cases: null or empty text holds no licence; a text may hold several, each is
@@ -76,30 +82,79 @@ RULES = [
     ((42,), "MPL-2.0"),
     ((43,), "MPL-2.0"),
 ]
+# Parts that only the cut at paragraphs gives, and the rules over them, tried before RULES.
+PARTS = {
+    50: "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    51: "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    52: "you may obtain a copy of the license at",
+    53: "http www.apache.org licenses license 2.0",
+    54: "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    55: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    56: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    57: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    58: "apache license version 2.0 january 2004 http www.apache.org licenses",
+    59: "gnu general public license version 3 29 june 2007",
+    60: "gnu general public license version 2 june 1991",
+    61: "this program is free software",
+    62: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    63: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+}
+PART_RULES = [
+    ((50, 51, 3, 4), "MIT"),
+    ((50, 51), "MIT"),
+    ((11, 12, 52, 53, 54, 14), "Apache-2.0"),
+    ((40, 55, 56, 57), "BSD-3-Clause"),
+    ((40, 55, 56), "BSD-2-Clause"),
+    ((61, 62, 22, 23), "GPL-3.0-or-later"),
+    ((61, 63, 22, 23), "GPL-2.0-or-later"),
+    ((50,), "MIT"),
+    ((62,), "GPL-3.0-or-later"),
+    ((63,), "GPL-2.0-or-later"),
+    ((58,), "Apache-2.0"),
+    ((59,), "GPL-3.0"),
+    ((60,), "GPL-2.0"),
+]
+# Tried after all others, on what they leave.
+LAST_RULES = [((3, 4), "MIT"), ((22, 23), "GPL")]
 #: Each known sentence holds one of these; texts without any are not cut at all.
 TRIGGERS = ("licens", "software", "warrant", "permitted")
 CUT = r"\n+|[.!?]+\s+"
+PARAGRAPH_CUT = r"\n+|[.!?:]+\s+"
+
+
+def _paragraphs(text: Column) -> Column:
+    """The text with one line a paragraph: comment marks are dropped, list items
+    and copyright lines are paragraphs, single line ends become spaces."""
+    steps = [(r"\r\n?|\f", "\n"),
+             (r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|<!--+)?[ \t]*|[ \t]+$", ""),
+             (r"(?mi)^(copyright[ \t]+(?:\(c\)|©|[0-9]{4}).*)$", "\n$1\n"),
+             (r"(?<=\A|\n\n|[.:;,]\n|\band\n|\bor\n)(?:[0-9]{1,2}[.)]|\([a-z0-9]{1,2}\)|-)[ \t]+", "\n\n"),
+             (r"\n\n+", "\r"), (r"\n", " "), (r"\r", "\n")]
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
-def _sequence(text: Column) -> Column:
+def _sequence(text: Column, sentences: dict = SENTENCES, cut: str = CUT) -> Column:
     """Identifiers of the known sentences of a text in order, as ``<1><20>``."""
-    known = F.create_map(*[x for i, s in SENTENCES.items() for x in (F.lit(s), F.lit(f"<{i}>"))])
+    known = F.create_map(*[x for i, s in sentences.items() for x in (F.lit(s), F.lit(f"<{i}>"))])
     plain = lambda s: F.lower(F.regexp_replace(F.regexp_replace(s, r"[^A-Za-z0-9.]+", " "), r"^[ .]+|[ .]+$", ""))
-    return F.array_join(F.filter(F.transform(F.split(text, CUT), lambda s: F.try_element_at(known, plain(s))), lambda x: x.isNotNull()), "")
+    return F.array_join(F.filter(F.transform(F.split(text, cut), lambda s: F.try_element_at(known, plain(s))), lambda x: x.isNotNull()), "")
 
 
-def _apply(sequence: Column) -> Column:
+def _apply(sequence: Column, ordered: list = RULES) -> Column:
     """The licences of a sequence, in the order of the rules."""
-    rules = F.array(*[F.struct(F.lit("".join(f"<{i}>" for i in ids)).alias("ids"), F.lit(name).alias("name")) for ids, name in RULES])
+    rules = F.array(*[F.struct(F.lit("".join(f"<{i}>" for i in ids)).alias("ids"), F.lit(name).alias("name")) for ids, name in ordered])
     start = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("found"))
     return F.aggregate(rules, start, lambda a, r: F.struct(
         F.replace(a["left"], r["ids"], F.lit("|")).alias("left"),
         F.when(F.contains(a["left"], r["ids"]), F.array_append(a["found"], r["name"])).otherwise(a["found"]).alias("found")))["found"]
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, paragraphs: bool = False) -> DataFrame:
     """doc_id, sentences and wrapped (identifier sequences of both cuts), licenses
-    (distinct, sorted, comma-joined) of every document."""
+    (distinct, sorted, comma-joined) of every document; with ``paragraphs`` also
+    the sequence of the third cut, whose licences count too."""
     d = documents(docs)
     low = F.lower(F.col("text"))
     hit = F.lit(False)
@@ -108,8 +163,16 @@ def scan(docs: DataFrame) -> DataFrame:
     d = (d.withColumn("hit", hit)
          .withColumn("sentences", F.when(F.col("hit"), _sequence(F.col("text"))).otherwise(""))
          .withColumn("wrapped", F.when(F.col("hit"), _sequence(F.regexp_replace("text", r"\s+", " "))).otherwise("")))
-    both = F.array_sort(F.array_distinct(F.concat(_apply(F.col("sentences")), _apply(F.col("wrapped")))))
-    return d.select("doc_id", "sentences", "wrapped", F.array_join(both, ",").alias("licenses"))
+    found = [_apply(F.col("sentences")), _apply(F.col("wrapped"))]
+    if paragraphs:
+        third = _sequence(_paragraphs(F.col("text")), SENTENCES | PARTS, PARAGRAPH_CUT)
+        d = d.withColumn("paragraphs", F.when(F.col("hit"), third).otherwise(""))
+        found.append(_apply(F.col("paragraphs"), PART_RULES + RULES + LAST_RULES))
+    every = F.array_distinct(F.concat(*found))
+    if paragraphs:  # a name without version says nothing beside one with it
+        every = F.filter(every, lambda x: ~x.isin("BSD", "GPL") | ~F.exists(every, lambda y: y.startswith(F.concat(x, F.lit("-")))))
+    return d.select("doc_id", "sentences", "wrapped", *(["paragraphs"] if paragraphs else []),
+                    F.array_join(F.array_sort(every), ",").alias("licenses"))
 
 
 def oracle_sql() -> str:

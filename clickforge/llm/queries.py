@@ -56,6 +56,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op9_licenses_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_licenses, whose SQL fixes its two cuts, with the cut at paragraphs of hard-wrapped files."""
+    return licenses.scan(read(spark, sf_dir, "documents"), paragraphs=True)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op7_quality_rules_robust": op7_quality_rules_robust,
     "op8_token_files": op8_token_files,
     "op9_licenses": op9_licenses,
+    "op9_licenses_paragraphs": op9_licenses_paragraphs,
     "op10_token_counts": op10_token_counts,
 }
 

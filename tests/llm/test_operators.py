@@ -398,6 +398,92 @@ def test_licenses(spark):
     assert licenses.scan(data.empty(spark)).count() == 0 and licenses.scan(data.repeated(spark)).count() == len(data.rows()) + 4
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """BSD 3-Clause License
+
+Copyright (c) 2020, Jane Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+APACHE = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """Frob, a program
+Copyright (C) 2020 Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_standard_license_files_are_found(spark):
+    comment = lambda t, mark: "".join(f"{mark} {x}".rstrip() + "\n" for x in t.splitlines())
+    cases = [(MIT, "MIT"), (BSD, "BSD-3-Clause"), (BSD.replace("3. Neither", "Neither").split("Neither")[0], "BSD-2-Clause"),
+             (APACHE, "Apache-2.0"), (GPL, "GPL-3.0-or-later"), (GPL.replace("version 3", "version 2"), "GPL-2.0-or-later"),
+             (comment(GPL, "#"), "GPL-3.0-or-later"), ("/*\n" + comment(MIT, " *") + " */\nint x;", "MIT"), (MIT.replace("\n", "\r\n"), "MIT"),
+             (GPL.replace("Doe\n\n", "Doe\n"), "GPL-3.0-or-later"), ("Some words on software.\n\n- one\n- two\n", ""),
+             ("                                 Apache License\n                           Version 2.0, January 2004\n"
+              "                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n", "Apache-2.0"),
+             ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 FSF\n", "GPL-3.0"),
+             ("Frob\n\n" + GPL.split("\n\n")[-1], "GPL"),
+             ("Notes\n\nThis work is licensed under the GNU General Public License\nversion 3. Other words.", "GPL-3.0"), (MIT + "\n" + APACHE, "Apache-2.0,MIT")]
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r["licenses"] for r in licenses.scan(table, paragraphs=True).orderBy("doc_id").collect()] == [x for _, x in cases]
+
+
 def test_license_tables_are_sound():
     for s in licenses.SENTENCES.values():
         assert any(t in s for t in licenses.TRIGGERS) or "cc by" in s
