@@ -178,3 +178,48 @@ def unpack_arrays(body: bytes, n: int, *types) -> list[np.ndarray]:
         out.append(np.ascontiguousarray(raw[at:at + n * width].reshape(width, n).T).reshape(-1).view(t))
         at += n * width
     return out
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], max_bytes: int, may_cut: Callable) -> Iterator[tuple]:
+    """As :func:`text_blocks`, but a text of more than ``max_bytes`` comes in slices.
+
+    ``may_cut(before, at)`` tells for arrays of neighbouring bytes where a slice
+    may begin. Yields (rows, data, offsets, first, last): a slice of a long text
+    is its only row; first and last are true for the text's first and last one.
+    Where nothing may be cut for long, a slice is as long as need be.
+    """
+    for rows, data, offs in text_blocks(batches, max_bytes):
+        if rows.num_rows > 1 or len(data) <= max_bytes:
+            yield rows, data, offs, True, True
+            continue
+        at = 0
+        while at < len(data):
+            to = at + max_bytes
+            if to >= len(data):
+                to = len(data)
+            else:
+                back = np.flatnonzero(may_cut(data[at:to], data[at + 1:to + 1]))
+                if len(back):
+                    to = at + 1 + int(back[-1])
+                else:
+                    while to < len(data) - 1:
+                        ahead = np.flatnonzero(may_cut(data[to:to + max_bytes][:-1], data[to + 1:to + max_bytes]))
+                        if len(ahead):
+                            to += 1 + int(ahead[0])
+                            break
+                        to = min(to + max_bytes - 1, len(data))
+                    else:
+                        to = len(data)
+            yield rows, data[at:to], np.array([0, to - at]), at == 0, to == len(data)
+            at = to
+
+
+def string_array(data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: pa.DataType = pa.large_string()) -> pa.Array:
+    """The spans of ``data`` as an Arrow array; spans are in order and don't overlap."""
+    size = end - start
+    at = np.append(0, np.cumsum(size))
+    step = np.zeros(len(data) + 1, np.int8)
+    step[start[size > 0]] = 1
+    np.subtract.at(step, end[size > 0], 1)
+    inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    return pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[inside])])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, kneser_ney, licenses, packing, quality, quality_rules, simhash, suffix_dedup, token_counts
+from . import byte_bpe, decontaminate, huffman, kneser_ney, licenses, packing, quality, quality_rules, simhash, suffix_dedup, token_counts
 from .common import read
 
 
@@ -65,6 +65,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op9_licenses_paragraphs": op9_licenses_paragraphs,
     "op10_token_counts": op10_token_counts,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
