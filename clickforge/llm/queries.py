@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, huffman, kneser_ney, licenses, packing, quality, quality_rules, simhash, suffix_dedup, token_counts
+from . import byte_bpe, decontaminate, divergence, huffman, kneser_ney, licenses, packing, quality, quality_rules, simhash, suffix_dedup, token_counts
 from .common import read
 
 
@@ -65,6 +65,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op9_licenses_paragraphs": op9_licenses_paragraphs,
     "op10_token_counts": op10_token_counts,
+    "op11_divergence": op11_divergence,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -89,4 +94,5 @@ ORACLE: dict[str, str] = {
     "op6_decontamination": decontaminate.oracle_sql(),
     "op7_quality_rules": quality_rules.oracle_sql(),
     "op9_licenses": licenses.oracle_sql(),
+    "op11_divergence": divergence.oracle_sql(),
 }
