@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, divergence, huffman, kneser_ney, licenses, packing, quality, quality_rules, simhash, suffix_dedup, token_counts
+from . import byte_bpe, collocations, decontaminate, divergence, huffman, kneser_ney, licenses, packing, quality, quality_rules, simhash, suffix_dedup, token_counts
 from .common import read
 
 
@@ -69,6 +69,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"), min_docs=30, top=50)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_licenses_paragraphs": op9_licenses_paragraphs,
     "op10_token_counts": op10_token_counts,
     "op11_divergence": op11_divergence,
+    "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
