@@ -1,13 +1,12 @@
 """CTR correction, exact quantiles and post-processing.
 
 Each step of these chains needs a table-wide scalar (a mean, a percentile)
-of the *previous* step's output. Chaining "aggregate, join back, aggregate
-again" over the rows would re-derive the source once per step and double
-the plan each time. Instead the scores are reduced ONCE to a checkpointed
-``(group, value, count)`` table; every step maps values deterministically,
-so all scalars of the chain are weighted aggregates over that small table.
-The rows are then touched by one projection with the final scalars
-(broadcast when they are one row, or one row per group).
+of the *previous* step's output. For the CTR correction the scores are reduced
+ONCE to a checkpointed ``(group, value, count)`` table; every step maps values
+deterministically, so all scalars of the chain are weighted aggregates over it.
+Post-processing takes its bounds by selection inside sketched brackets and its
+means from the rows. The rows are then touched by one projection with the final
+scalars (broadcast when they are one row, or one row per group).
 """
 
 from __future__ import annotations
@@ -96,44 +95,89 @@ def ctr_correction(df: DataFrame, p: str = "p", target: float = TRAIN_TARGET_CTR
     return d.withColumn(out, val).drop("__m1", "__m2")
 
 
+#: Size of the quantile sketch, and how far (in ranks of one) a bracket reaches to both
+#: sides: some four times the error that a sketch of this size makes once in a hundred.
+SKETCH_K = 4096
+BRACKET = 0.005
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = (),
-                    buckets: int | None = None, prefix: str = "q", counts: DataFrame | None = None) -> DataFrame:
+                    buckets: int | None = None, prefix: str = "q", bracket: float = BRACKET) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy ``linear``, DuckDB
-    ``quantile_cont``) per group, without holding a group's values in memory.
-
-    Values collapse to ``(value, n)``; exclusive running counts in ascending
-    order come from ``value_prefix_sums``; the value at position i is the one
-    with ``before <= i < before + n``. Output: one row per group with columns
-    ``q<idx>`` in the order of ``qs``. ``counts`` may pass a ``value_counts``
-    table (column ``__v``) instead of ``df``.
+    ``quantile_cont``) per group, by selection inside sketched brackets.
+
+    One pass merges a KLL sketch per group, which brackets each quantile between
+    two values; a second counts the rows below each bracket and collapses only
+    the rows inside to ``(value, n)``, so a hundredth of the rows is shuffled
+    and ordered. Positions are then looked up by running counts. A bracket that
+    misses its position (the counts tell) is widened and the passes repeated,
+    up to the whole range. Output: one row per group with columns ``q<idx>`` in
+    the order of ``qs``; NULL and NaN are left out.
     """
     keys = list(keys)
-    if counts is None:
-        counts = value_counts(df, value, keys)
-    d = counts.where(F.col(V).isNotNull() & ~F.isnan(V)).select(*keys, V, F.col(C).alias("__n"))
-    tot = d.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    d = value_prefix_sums(d, keys, V, ["__n"], descending=False, buckets=buckets)
-    d = _with_scalar(d, tot, keys)
-    aggs = []
-    for i, q in enumerate(qs):
-        pos = (F.col("__total") - 1) * q
-        lo, hi = F.floor(pos), F.ceil(pos)
-        cover = lambda t: (F.col("__n_before") <= t) & (t < F.col("__n_before") + F.col("__n"))
-        aggs += [F.max(F.when(cover(lo), F.col(V))).alias(f"__lo{i}"),
-                 F.max(F.when(cover(hi), F.col(V))).alias(f"__hi{i}"),
-                 F.first(pos - lo).alias(f"__f{i}")]
-    a = d.groupBy(*keys).agg(*aggs)
-    return a.select(*keys, *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}"))
-                             .alias(f"{prefix}{i}") for i in range(len(qs))])
-
-
-def _outlier_bounds(vc: DataFrame, keys: Sequence[str]) -> DataFrame:
+    d = df.select(*keys, F.col(value).cast("double").alias(V)).where(F.col(V).isNotNull() & ~F.isnan(V))
+    sketch = materialize_table(d.groupBy(*keys).agg(F.kll_sketch_agg_double(V, F.lit(SKETCH_K)).alias("__sketch"), F.count(F.lit(1)).alias("__total"),
+                                                    F.min(V).alias("__min"), F.max(V).alias("__max")))  # a row a group
+    at = lambda r: F.kll_sketch_get_quantile_double("__sketch", F.lit(float(r)))
+    while True:
+        ends = [f(i, q) for i, q in enumerate(qs) for f in (
+            lambda i, q: (F.col("__min") if q - bracket <= 0 else at(q - bracket)).alias(f"__lo{i}"),
+            lambda i, q: (F.col("__max") if q + bracket >= 1 else at(q + bracket)).alias(f"__hi{i}"))]
+        ranges = materialize_table(sketch.select(*keys, "__total", *ends))
+        inside = [(F.col(V) >= F.col(f"__lo{i}")) & (F.col(V) <= F.col(f"__hi{i}")) for i in range(len(qs))]
+        some = inside[0]
+        for x in inside[1:]:
+            some = some | x
+        # one row for each value inside a bracket, and one for all values outside
+        found = materialize_table(_with_scalar(d, ranges, keys).groupBy(*keys, F.when(some, F.col(V)).alias("__in")).agg(
+            F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(V) < F.col(f"__lo{i}")).alias(f"__below{i}") for i in range(len(qs))]))
+        below = found.groupBy(*keys).agg(*[F.sum(f"__below{i}").alias(f"__below{i}") for i in range(len(qs))])
+        scalars = join_small(ranges, below, keys)
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.col(f"__lo{i}").alias("lo"), F.col(f"__hi{i}").alias("hi"),
+                                            F.col(f"__below{i}").alias("below")) for i, q in enumerate(qs)]))
+        wanted = materialize_table(scalars.select(*keys, "__total", each.alias("x")).select(
+            *keys, "__total", F.col("x.i").alias("__q"), (F.col("x.q") * (F.col("__total") - 1)).alias("__pos"), "x.lo", "x.hi", "x.below"))
+        values = _with_scalar(found.where(F.col("__in").isNotNull()).select(*keys, F.col("__in").alias(V), "__n"),
+                              wanted.groupBy(*keys).agg(F.collect_list(F.struct("__q", "lo", "hi")).alias("__x")), keys)
+        values = values.withColumn("__x", F.explode("__x")).where((F.col(V) >= F.col("__x.lo")) & (F.col(V) <= F.col("__x.hi")))
+        values = values.select(*keys, F.col("__x.__q").alias("__q"), V, "__n")
+        running = value_prefix_sums(values, [*keys, "__q"], V, ["__n"], descending=False, buckets=buckets)
+        placed = join_small(running, wanted.drop("lo", "hi"), [*keys, "__q"])
+        start = F.col("below") + F.col("__n_before")
+        cover = lambda t: (start <= t) & (t < start + F.col("__n"))
+        picked = materialize_table(placed.groupBy(*keys, "__q").agg(
+            F.max(F.when(cover(F.floor("__pos")), F.col(V))).alias("__low"), F.max(F.when(cover(F.ceil("__pos")), F.col(V))).alias("__high"),
+            F.first(F.col("__pos") - F.floor("__pos")).alias("__part")))
+        missed = join_small(wanted, picked, [*keys, "__q"]).where("__low is null or __high is null")
+        if missed.isEmpty():
+            break
+        bracket *= 8
+    value_at = F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("__q") == i, value_at)).alias(f"{prefix}{i}") for i in range(len(qs))])
+
+
+def _outlier_bounds(df: DataFrame, p: str, keys: Sequence[str]) -> DataFrame:
     """P1 bounds ``[max(0.1*q01, 1e-4), min(1.1*q99, 0.9999)]`` per group."""
-    q = exact_quantiles(None, V, [0.01, 0.99], keys, counts=vc)
+    q = exact_quantiles(df, p, [0.01, 0.99], keys)
     return q.select(*keys, F.greatest(F.col("q0") * 0.1, F.lit(SERVING_LO)).alias("__lo"),
                     F.least(F.col("q1") * 1.1, F.lit(SERVING_HI)).alias("__hi"))
 
 
+def _spread(df: DataFrame, x: Column, keys: Sequence[str]) -> DataFrame:
+    """Distinct values ``__nd`` and population std ``__sd`` of ``x`` per group. The
+    number matters only below DIVERSITY_THRESHOLD: a sketch tells which groups
+    may have so few values, and only theirs are collapsed and counted."""
+    keys = list(keys)
+    d = df.select(*keys, x.alias("__x"))
+    stats = materialize_table(d.groupBy(*keys).agg(F.approx_count_distinct("__x", 0.01).alias("__about"), F.stddev_pop("__x").alias("__sd")))
+    few = _with_scalar(d, stats.drop("__sd"), keys).where(F.col("__about") < 2 * DIVERSITY_THRESHOLD)
+    exact = few.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__exact"))
+    if not keys:
+        exact = exact.where("__exact > 0")
+        return stats.join(F.broadcast(exact), F.lit(True), "left").select(F.coalesce("__exact", "__about").alias("__nd"), "__sd")
+    return join_small(stats, exact, keys).select(*keys, F.coalesce("__exact", "__about").alias("__nd"), "__sd")
+
+
 def content_noise(key: str, seed: int) -> Column:
     """Standard normal noise from ``md5(key || seed)`` (Box-Muller): the same for
     a row wherever and however often it is computed."""
@@ -155,42 +199,24 @@ def post_process(df: DataFrame, p: str = "p", target: float = SERVING_TARGET_CTR
     """P1 -> P2 -> P3 -> clip to [1e-4, 0.9999], each switchable.
     ``keys=['batch_id']`` reproduces the reference's per-batch processing.
 
-    Without P2 every scalar comes from the value-count table. P2 adds row
-    noise, so its output is checkpointed once and P3's mean is taken there.
+    Scalars are aggregates over the rows, bounds come from sketched brackets: no
+    table of all distinct scores. P2 adds row noise, so its output is written
+    once and P3's mean is taken there.
     """
     keys = list(keys)
     d = df
-    vc = value_counts(df, p, keys)
-    bounds = materialize_table(_outlier_bounds(vc, keys)) if outliers else None  # a row a group, read twice
-    x = F.col(p)
+    x = F.col(p).cast("double")
     if outliers:
-        d = _with_scalar(d, bounds, keys)
+        d = _with_scalar(d, materialize_table(_outlier_bounds(df, p, keys)), keys)  # a row a group
         x = _clip(x, F.col("__lo"), F.col("__hi"))
     if diversity:
-        vx = _clip(F.col(V), F.col("__lo"), F.col("__hi")) if outliers else F.col(V)
-        base = _with_scalar(vc, bounds, keys) if outliers else vc
-        st = base.groupBy(*keys, vx.alias("__x")).agg(F.sum(C).alias(C))
-        mu = st.groupBy(*keys).agg(_wmean(F.col("__x")).alias("__mu"),
-                                   F.count(F.lit(1)).alias("__nd"))
-        sd = _with_scalar(st, mu, keys).groupBy(*keys).agg(
-            F.first("__nd").alias("__nd"),
-            F.sqrt(_wmean((F.col("__x") - F.col("__mu")) * (F.col("__x") - F.col("__mu")))).alias("__sd"))
-        d = _with_scalar(d, sd, keys)
+        d = _with_scalar(d, _spread(d, x, keys), keys)
         noise = content_noise(key, seed) * F.greatest(F.col("__sd") * NOISE_FACTOR, F.lit(1e-6))
         x = F.when(F.col("__nd") < DIVERSITY_THRESHOLD, _clip(x + noise, SERVING_LO, SERVING_HI)).otherwise(x)
         d = d.withColumn(p, x).drop("__lo", "__hi", "__nd", "__sd").transform(materialize_table)
         x = F.col(p)
-        if alignment:
-            m = d.groupBy(*keys).agg(F.avg(p).alias("__m"))
-            d = _with_scalar(d, m, keys)
-            x = _aligned(x, target)
-        return d.withColumn(p, _clip(x, SERVING_LO, SERVING_HI)).drop("__m")
     if alignment:
-        # mean of the P1 output, from the value counts
-        vx = _clip(F.col(V), F.col("__lo"), F.col("__hi")) if outliers else F.col(V)
-        base = _with_scalar(vc, bounds, keys) if outliers else vc
-        m = base.groupBy(*keys).agg(_wmean(vx).alias("__m"))
-        d = _with_scalar(d, m, keys)
+        d = _with_scalar(d, d.groupBy(*keys).agg(F.avg(x).alias("__m")), keys)
         x = _aligned(x, target)
     return d.withColumn(p, _clip(x, SERVING_LO, SERVING_HI)).drop("__lo", "__hi", "__m")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from clickforge.session import materialize as materialize_table
 
-from clickforge.operators.ranking import join_small, row_index, value_prefix_sums
+from clickforge.operators.ranking import join_small, laid_out, tie_blocks, value_prefix_sums
 
 # Fixed values from the reference metrics.
 EPS = 1e-15                 # probability clip for losses and AP
@@ -122,20 +122,47 @@ def ranking_from_counts(sc: DataFrame, keys: Sequence[str], buckets: int | None
                       F.when(two, ap_sum / P).otherwise(F.lit(0.0)).alias("ap"))
 
 
+def ranking_from_rows(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str = "p",
+                      buckets: int | None = None, bounded: bool = False, single_class_auc: float | None = None) -> DataFrame:
+    """G12 + G13 per group straight from the predictions: one range shuffle of
+    (keys, score, label), no table of distinct scores (see ``tie_blocks``).
+    Same results as :func:`ranking_from_counts`."""
+    keys = list(keys)
+    lo, hi = EPS, 1 - EPS
+    d = df.where(F.col(y).isNotNull()).select(*keys, F.col(p).cast("double").alias("__s"), F.col(y).alias("__y")).where(_finite(F.col("__s")))
+    blocks, totals = tie_blocks(d, keys, "__s", "__y", hi, lo, buckets)
+    n, pos = F.col("__n"), F.col("__pos")
+    sums = blocks.groupBy(*keys).agg(
+        F.sum(pos * (F.col("__n_before") - F.col("__pos_before"))).alias("__auc_wrong"),
+        F.sum(pos * (n - pos)).alias("__auc_ties"),
+        F.sum(F.when((F.col("__s") > lo) & (F.col("__s") < hi),
+                     pos * (F.col("__pos_before") + pos) / (F.col("__n_before") + n))).alias("__ap_mid"))
+    a = join_small(totals, sums, keys, "left", bounded=bounded)
+    P, N = F.col("__pos"), F.col("__n")
+    pairs = P * (N - P)
+    auc = (pairs - F.coalesce("__auc_wrong", F.lit(0)) - 0.5 * F.coalesce("__auc_ties", F.lit(0))) / pairs
+    # AP thresholds are clipped scores: those from hi on share one, those up to lo the last
+    ap = (F.coalesce("__ap_mid", F.lit(0.0)) + F.coalesce(F.col("__top_pos") * F.col("__top_pos") / F.nullif("__top_n", F.lit(0)), F.lit(0.0))
+          + F.col("__low_pos") * P / N) / P
+    two = (P > 0) & (P < N)
+    one = F.lit(single_class_auc).cast("double")
+    return a.select(*keys, F.when(two, auc).otherwise(one).alias("auc"), F.when(two, ap).otherwise(F.lit(0.0)).alias("ap"))
+
+
 def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "clicked", p: str = "p",
                     buckets: int | None = None, bounded: bool = False) -> DataFrame:
     """G12 + G13 per group over a prediction table."""
-    return ranking_from_counts(score_counts(df, keys, y, p), keys, buckets, bounded)
+    return ranking_from_rows(df, keys, y, p, buckets, bounded)
 
 
-def repair_counts(sc: DataFrame, keys: Sequence[str], bounded: bool = False) -> DataFrame:
-    """B16 on ``score_counts``: a group that holds any NULL, NaN or infinite score
-    has all its scores clipped, NaN and NULL become 0.5; others stay as they are."""
+def repaired_scores(df: DataFrame, keys: Sequence[str], y: str, p: str, bounded: bool = False) -> DataFrame:
+    """B16 on predictions: a group that holds any NULL, NaN or infinite score has
+    all its scores clipped, NaN and NULL become 0.5; others stay as they are."""
     keys = list(keys)
-    bad = sc.groupBy(*keys).agg(F.max((~_finite(F.col("__s"))).cast("int")).alias("__any_bad"))
-    s = F.when(F.col("__any_bad") == 1, repair(F.col("__s"))).otherwise(F.col("__s"))
-    return join_small(sc, bad, keys, "left", bounded=bounded).groupBy(*keys, s.alias("__s")).agg(
-        F.sum("__n").alias("__n"), F.sum("__pos").alias("__pos"))
+    d = df.where(F.col(y).isNotNull()).select(*keys, y, F.col(p).cast("double").alias(p))
+    bad = materialize_table(d.groupBy(*keys).agg(F.max((~_finite(F.col(p))).cast("int")).alias("__any_bad")))  # a row a group
+    return join_small(d, bad, keys, "left", bounded=bounded).withColumn(
+        p, F.when(F.col("__any_bad") == 1, repair(F.col(p))).otherwise(F.col(p))).drop("__any_bad")
 
 
 def base_from_counts(sc: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,11 +203,12 @@ def metric_row(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicke
     combined score and threshold metrics 0); the CTR block is always computed.
     """
     keys = list(keys)
-    sc = score_counts(df, keys, y, p)
     if repaired:
-        sc = repair_counts(sc, keys, bounded)
-    base = base_from_counts(sc, keys)
-    rank = ranking_from_counts(sc, keys, buckets=buckets, bounded=bounded)
+        df = repaired_scores(df, keys, y, p, bounded)
+    rows = df.where(F.col(y).isNotNull()).select(*keys, F.col(p).cast("double").alias("__s"), F.lit(1).cast("long").alias("__n"),
+                                                 F.col(y).cast("long").alias("__pos"))
+    base = base_from_counts(rows, keys)  # one partial aggregate over the rows
+    rank = ranking_from_rows(df, keys, y, p, buckets=buckets, bounded=bounded)
     j = join_small(base, rank, keys, "left", bounded=bounded)
     n, npos = F.col("n"), F.col("n_pos")
     ok = (npos > 0) & (npos < n) & (F.col("__bad") == 0)
@@ -258,32 +286,28 @@ def class_weights(df: DataFrame, y: str = "clicked", keys: Sequence[str] = ()) -
 
 def ap_rowwise(df: DataFrame, keys: Sequence[str] = ("model",), y: str = "clicked",
                p: str = "p", key: str = "row_key", buckets: int | None = None,
-               prefix_len: int | None = None, bounded: bool = False, digits: int | None = 6) -> DataFrame:
+               bounded: bool = False, digits: int | None = 6) -> DataFrame:
     """Row-by-row AP (precision at every positive in score order), ties
     broken by ``key`` ascending.
 
-    Two levels keep every window partition small: distinct scores get their
-    exclusive row/positive counts from ``value_prefix_sums``; rows sharing a
-    score are then numbered by ``row_index`` split on a prefix of the md5 key,
-    so a score carrying a third of the table is still spread over
-    ``16**prefix_len`` partitions.
+    The rows are laid out once in the order (group, score, key), split anywhere,
+    within ties too; each part's totals are carried into the next ones. Only the
+    clicks are read again: their position is known, and their number among the
+    clicks comes from a window over them alone, part by part.
     """
     keys = list(keys)
     s = F.when(_finite(F.col(p)), F.col(p)).otherwise(repair(F.col(p)))  # B16: such rows keep their place
-    base = df.where(F.col(y).isNotNull()).select(*keys, s.alias("__s"), F.col(y).cast("long").alias("__y"), key)
-    d = base.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__pos")) \
-        .transform(materialize_table)
-    d = value_prefix_sums(d, keys, "__s", ["__n", "__pos"], descending=True, buckets=buckets,
-                          bounded=bounded).drop("__n", "__pos")
-    r = row_index(base, [*keys, "__s"], F.col(key).cast("string"), prefix_len=prefix_len, sums=["__y"], bounded=False, name="__i")
-    r = join_small(r.where(F.col("__y") == 1), d, [*keys, "__s"], "left")
-    prec = (F.col("__pos_before") + F.col("__y_cum")) / (F.col("__n_before") + F.col("__i") + 1)
-    s = r.groupBy(*keys).agg(F.sum(prec).alias("__ap_sum"))
-    tot = base.groupBy(*keys).agg(F.sum("__y").alias("__P"))
-    out = join_small(tot, s, keys, "left").select(
-        *keys, F.when(F.col("__P") > 0, F.coalesce(F.col("__ap_sum"), F.lit(0.0)) / F.col("__P"))
-        .otherwise(F.lit(0.0)).alias("ap_rowwise"))
-    return round_doubles(out, digits)
+    base = df.where(F.col(y).isNotNull()).select(*keys, s.alias("__s"), F.col(y).cast("long").alias("__y"),
+                                                 F.col(key).cast("string").alias("__k"))
+    rows, carry = laid_out(base, keys, [F.col("__s").desc(), F.col("__k").asc()], sums=["__y"], parts=buckets)
+    clicks = rows.where("__y = 1").select(*keys, "__part", "__i")
+    nth = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__i"))
+    clicks = join_small(clicks.withColumn("__nth", nth), carry, [*keys, "__part"], "left", bounded=bounded)
+    prec = (F.col("__y_before") + F.col("__nth")) / (F.col("__n_before") + F.col("__i") - F.col("__first") + 1)
+    out = clicks.groupBy(*keys).agg((F.sum(prec) / F.count(F.lit(1))).alias("ap_rowwise"))
+    groups = carry.select(*keys).distinct()
+    out = join_small(groups, out, keys, "left") if keys else out
+    return round_doubles(out.select(*keys, F.coalesce("ap_rowwise", F.lit(0.0)).alias("ap_rowwise")), digits)
 
 
 def round_doubles(df: DataFrame, digits: int | None) -> DataFrame:

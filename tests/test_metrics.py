@@ -110,3 +110,49 @@ def test_ctr_score_steps(spark):
     df = spark.createDataFrame([(b,) for b in [0.00005, 0.0003, 0.0007, 0.0015, 0.003, 0.02]], "b double")
     got = [r[0] for r in df.select(M.ctr_score_expr(F.col("b"))).collect()]
     assert got == pytest.approx([1.0, 0.9, 0.7, 0.5, 0.7, 0.0])
+
+
+def rowwise(y, p, keys):
+    order = sorted(range(len(y)), key=lambda i: (-p[i], keys[i]))
+    tp, total = 0, 0.0
+    for n, i in enumerate(order, 1):
+        tp += y[i]
+        total += y[i] * tp / n
+    return total / sum(y) if sum(y) else 0.0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_range_layout_carries_over_parts(spark, parts):
+    """A score that a third of the rows share, ties across parts and batches, single classes, one huge and many small groups."""
+    rng = np.random.default_rng(parts)
+    rows = []
+    for i in range(4000):
+        g = "hot" if i < 2500 else f"g{i % 9}"
+        p = 0.125 if i < 1300 else float(rng.choice([rng.random(), 0.5, 0.0, 1.0, 1e-20, 1 - 1e-17]))
+        rows.append((g, int(rng.random() < 0.2) if g != "g3" else 0, p, f"k{i * 7919 % 4000:04d}"))
+    rows += [(None, 1, 0.3, "a"), (None, 0, 0.3, "b"), ("alone", 1, 0.3, "c"), ("hot", None, 0.9, "d")]
+    df = spark.createDataFrame(rows, "g string, clicked int, p double, k string").repartition(7)
+    auc = {r["g"]: r for r in M.ranking_from_rows(df, ["g"], buckets=parts).collect()}
+    old = {r["g"]: r for r in M.ranking_from_counts(M.score_counts(df, ["g"]), ["g"]).collect()}
+    by_row = {r["g"]: r["ap_rowwise"] for r in M.ap_rowwise(df, ["g"], key="k", buckets=parts, digits=None).collect()}
+    assert set(auc) == set(old) == set(by_row)
+    for g in auc:
+        mine = [r for r in rows if r[0] == g and r[1] is not None]
+        y, p, k = ([r[j] for r in mine] for j in (1, 2, 3))
+        want = np_auc(y, p)
+        assert auc[g]["auc"] == (None if want is None else pytest.approx(want, abs=1e-12))
+        assert auc[g]["ap"] == pytest.approx(np_ap(y, p) if 0 < sum(y) < len(y) else 0.0, abs=1e-12)
+        assert old[g]["ap"] == pytest.approx(auc[g]["ap"], abs=1e-12)
+        assert by_row[g] == pytest.approx(rowwise(y, p, k), abs=1e-12)
+    whole = M.ranking_from_rows(df, [], buckets=parts).first()
+    y, p = [r[1] for r in rows if r[1] is not None], [r[2] for r in rows if r[1] is not None]
+    assert whole["auc"] == pytest.approx(np_auc(y, p), abs=1e-12) and whole["ap"] == pytest.approx(np_ap(y, p), abs=1e-12)
+
+
+def test_one_exchange_of_the_rows(spark):
+    """The layout shuffles the rows once, by range; what follows reads blocks and clicks."""
+    from clickforge.operators.ranking import BLOCK, tie_blocks
+    df = spark.range(1000).selectExpr("id % 3 as g", "cast(id % 50 = 0 as int) as y", "id / 1000.0 as p")
+    blocks, totals = tie_blocks(df, ["g"], "p", "y", 1.0, 0.0, 4)
+    assert blocks.agg(F.sum("__pos")).first()[0] == 20 and totals.agg(F.sum("__n")).first()[0] == 1000
+    assert blocks.count() == 20 and set(blocks.columns) <= {"g", *BLOCK}

@@ -60,6 +60,28 @@ def test_exact_quantiles_equal_numpy(spark):
         assert r[f"q{i}"] == pytest.approx(float(np.percentile(v, q * 100)), abs=1e-12)
 
 
+@pytest.mark.parametrize("bracket", [0.005, 1e-9])
+def test_quantiles_of_groups_and_brackets_that_miss(spark, bracket):
+    """Hot values, small groups, NULL and NaN; brackets too narrow to hold a position are widened."""
+    rng = np.random.default_rng(5)
+    groups = {"hot": np.append(np.full(1500, 0.25), rng.random(3000)), "one": np.array([0.5]), "two": np.array([1.0, -2.0]), None: rng.normal(size=900)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("one", None), ("two", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    qs = [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]
+    got = {r["k"]: r for r in CAL.exact_quantiles(df, "v", qs, ["k"], bracket=bracket).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert [got[k][f"q{i}"] for i in range(len(qs))] == pytest.approx([float(np.percentile(v, q * 100)) for q in qs], abs=1e-12)
+
+
+def test_few_distinct_scores_are_counted_exactly(spark):
+    df = spark.createDataFrame([(g, float(i % n)) for g, n in (("few", 999), ("just", 1000), ("many", 4000)) for i in range(4000)], "g string, p double")
+    got = {r["g"]: r for r in CAL._spread(df, F.col("p"), ["g"]).collect()}
+    assert got["few"]["__nd"] == 999 and got["just"]["__nd"] == 1000 and got["many"]["__nd"] >= 2000
+    assert got["few"]["__sd"] == pytest.approx(float(np.std([i % 999 for i in range(4000)])), rel=1e-12)
+    assert CAL._spread(df.where("g = 'few'"), F.col("p"), []).first()["__nd"] == 999
+
+
 def test_generated_ids_are_dense(spark):
     _, te = V.split_train_test(V.impressions(spark, SF_SMALL).select("row_key"))
     ids = SPL.generated_ids(te).select("ID").collect()
