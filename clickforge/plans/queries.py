@@ -387,6 +387,17 @@ def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.metric_row(long, ["model"], bounded=True)
 
 
+@register("stacking_oof")
+def stacking_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W8 + E7: base models' out-of-fold scores, the meta-learner fitted on them,
+    and the metric record (G22) of each."""
+    fm, a, _ = _train_features(spark, sf_dir)
+    fits = ML.base_fits(rounds=10)
+    wide = materialize_table(ML.stacking_oof(a, fm.feature_order, fits))
+    long = wide.unpivot(["row_key", "clicked"], [*fits, "p_stack"], "model", "p")
+    return M.metric_row(long, ["model"], bounded=True)
+
+
 @register("stacking_ensemble")
 def stacking_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7 + E8 + E10: stacking meta-learner and the two-level ensemble with

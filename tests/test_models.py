@@ -49,15 +49,66 @@ def test_patience_acts_on_real_losses(cv):
     assert all(r["rounds"] == r["best_iteration"] + ML.PATIENCE for r in cv[0].collect())
 
 
+def flagged(table):
+    held = F.col("row_key").endswith("5") | F.col("row_key").endswith("2")
+    return ML.with_weights(ML.assemble(table, ["a", "b", "c"]), 4.0).withColumn(ML.VALID, held)
+
+
+def scores(model, rows):
+    return [r["p"] for r in ML.positive_probability(model.transform(rows)).orderBy("row_key").collect()]
+
+
 def test_boosting_gives_the_model_of_the_best_round(table):
-    data = ML.with_weights(ML.assemble(table, ["a", "b", "c"]), 4.0).withColumn(ML.VALID, F.col("row_key").endswith("5") | F.col("row_key").endswith("2"))
+    data = flagged(table)
     model, losses, best = ML.boost(data, ML.GBT_A, patience=3)
     assert model.getNumTrees == best == losses.index(min(losses)) + 1 and len(losses) == best + 3
     valid = data.where(ML.VALID)
-    assert model.evaluateEachIteration(valid) == losses[:best]
-    again = ML.gbt(ML.GBT_A, best).fit(data.where(~F.col(ML.VALID)))
-    pick = lambda m: [r["p"] for r in ML.positive_probability(m.transform(valid)).orderBy("row_key").collect()]
-    assert pick(model) == pick(again)
+    assert model.evaluateEachIteration(valid.withColumn("w", F.lit(1.0))) == pytest.approx(losses[:best], rel=1e-9)  # the metric has no class weight
+
+
+@pytest.mark.parametrize("preset, n", [("GBT_A", 12), ("GBT_CV", 4)])  # later, rounding turns a tie of splits of GBT_CV
+def test_resumed_boosting_grows_the_trees_of_a_plain_fit(table, monkeypatch, preset, n):
+    monkeypatch.setattr(ML, "WRITE_ROUNDS", 3)
+    preset = getattr(ML, preset)
+    rounds = ML.Boosting(flagged(table), preset)
+    for _ in range(2):
+        rounds.step()
+    first = [t.toDebugString for t in rounds.trees]
+    rounds.run(max_iter=n, patience=100)  # goes on, over checkpoints of the margin
+    assert len(rounds.trees) == len(rounds.losses) == n and [t.toDebugString for t in rounds.trees[:2]] == first
+    rows = rounds.state.withColumn("row_key", F.monotonically_increasing_id())
+    fitted, valid = rows.where(~F.col(ML.VALID)), rows.where(ML.VALID)
+    plain = ML.gbt(preset, n).fit(fitted)
+    assert [t.numNodes for t in rounds.trees] == [t.numNodes for t in plain.trees]
+    assert scores(rounds.model(), valid) == pytest.approx(scores(plain, valid), rel=1e-6)
+    assert rounds.losses == pytest.approx(plain.evaluateEachIteration(valid.withColumn("w", F.lit(1.0))), rel=1e-6)
+    assert scores(rounds.model(2), valid) == pytest.approx(scores(ML.gbt(preset, 2).fit(fitted), valid), rel=1e-6)
+
+
+def test_no_row_is_scored_by_a_model_that_saw_it(table):
+    """Each base model knows the keys it was fitted on: a row's meta-features never come from one that holds its key."""
+    from pyspark.ml.classification import LogisticRegression
+    seen = {}
+
+    def watched(name):
+        def fit(rows):
+            keys, folds = zip(*[(r["row_key"], r["fold"]) for r in rows.select("row_key", "fold").collect()])
+            missing = ({0, 1, 2} - set(folds)).pop()
+            seen[name, missing] = set(keys)
+            return LogisticRegression(labelCol="__y", regParam=0.1).fit(rows)
+        return fit
+
+    wide = ML.oof_matrix(table, ["a", "b", "c"], {"one": watched("one"), "two": watched("two")}, k=3).collect()
+    assert len(wide) == N and len(seen) == 6
+    for r in wide:
+        assert all(r["row_key"] not in seen[name, r["fold"]] and 0 < r[name] < 1 for name in ("one", "two"))
+
+
+def test_stack_on_out_of_fold_scores(table):
+    out = ML.stacking_oof(table, ["a", "b", "c"], {k: v for k, v in ML.base_fits(rounds=3).items() if k != "gbt_b"}, k=3).collect()
+    assert len(out) == N and {r["fold"] for r in out} == {0, 1, 2}
+    pos, neg = ([r["p_stack"] for r in out if r["clicked"] == y] for y in (1, 0))
+    assert sum(p > n for p in pos for n in neg) / (len(pos) * len(neg)) > 0.7
 
 
 def test_same_seed_same_folds(table, cv):
@@ -78,7 +129,7 @@ def test_comparison_reports_a_failed_model(table):
 
     rows = {r["model"]: r for r in ML.compare_models(table, ["a", "b", "c"], max_iter=3, extra={"broken": broken}).collect()}
     assert set(rows) == {"gbt_a", "gbt_b", "logistic", "broken"}
-    assert rows["broken"]["error"] == "ArithmeticError" and rows["broken"]["auc"] == 0.5
+    assert rows["broken"]["error"] == "ArithmeticError: no fit" and rows["broken"]["auc"] == 0.5
     assert all(rows[m]["error"] is None and rows[m]["auc"] > 0.6 for m in ("gbt_a", "gbt_b", "logistic"))
 
 
