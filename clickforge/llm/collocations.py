@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, mix64, pack_arrays, save, string_array, text_slices, unpack_arrays, word_spans
+from .common import drop, mix64, pack_arrays, save, shuffle_partitions, string_array, text_slices, unpack_arrays, word_spans
 
 BLOCK_BYTES = 6 << 20
 #: Words of a phrase at most.
@@ -42,7 +42,7 @@ LONGEST = 4
 #: Windows of a prefix class, about: what a task unites at once.
 CLASS_WINDOWS = 3 << 19
 #: Frequent paths of a class, about, when parts are looked up.
-CLASS_PATHS = 1 << 19
+CLASS_PATHS = 1 << 14
 BLOCKS = "block long, lang string, n long, n_words int, words array<string>, counts array<long>, body binary"
 BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("n_words", pa.int32()),
                           ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("body", pa.binary())])
@@ -336,7 +336,7 @@ def frequent_paths(blocks: DataFrame, vocabulary: DataFrame, classes: int, least
 def part_counts(paths: DataFrame) -> DataFrame:
     """For every candidate and cut: words, size, count a, k, and counts l and r of both parts."""
     spark = paths.sparkSession
-    classes = max(1, paths.count() // CLASS_PATHS)
+    classes = max(shuffle_partitions(spark), paths.count() // CLASS_PATHS)
     paths = save(paths.withColumn("class", F.pmod("w1", F.lit(classes))), "frequent")
     again = lambda: spark.read.schema(paths.schema).parquet(paths.shared_path)
     cuts = "lang string, w1 long, w2 long, w3 long, w4 long, size int, a long, k int, l long, r long, q1 long, q2 long, q3 long, class long"
