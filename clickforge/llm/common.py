@@ -97,7 +97,7 @@ def out_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection on uint64 that spreads all bits."""
-    x = x.astype(np.uint64, copy=True)
+    x = x.astype(np.uint64)
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -108,32 +108,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 class PrefixHash:
     """Hashes of substrings in O(1) each: polynomial prefix sums modulo 2**64
-    over a random table of byte values, finished with :func:`mix64`."""
+    over a random table of byte values, finished with :func:`mix64`. Strings can
+    be made that share a hash: what must be exact compares bytes as well."""
+
+    #: Of all seeds, which differ in their byte values; so a process holds the powers once.
+    BASE = 0x4F1BBCDCBFA53E0B * 8 + 5 & (1 << 64) - 1
+    POWERS_KEPT = 4 << 20
+    _powers = _inverses = np.ones(1, np.uint64)
 
     def __init__(self, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        self.base = int(rng.integers(0, 2**62)) * 8 + 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) >= n:
+        self.table = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64)
+
+    @classmethod
+    def _grow(cls, n: int) -> None:
+        have = len(cls._powers)
+        if n <= have <= max(cls.POWERS_KEPT, 2 * n):
             return
-        for name, base in (("powers", self.base), ("inverses", self.inverse)):
+        for name, base in (("_powers", cls.BASE), ("_inverses", pow(cls.BASE, -1, 1 << 64))):
             p = np.ones(1, np.uint64)
             while len(p) < n:
                 p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-            setattr(self, name, p)
+            setattr(cls, name, p)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.powers[:len(data)], out=out[1:])
+        np.take(self.table, data, out=out[1:])
+        out[1:] *= self._powers[:len(data)]
+        np.cumsum(out[1:], out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((prefix[end] - prefix[start]) * self.inverses[start])
+        self._grow(len(prefix))
+        out = prefix[end]
+        out -= prefix[start]
+        out *= self._inverses[start]
+        return mix64(out)
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, delimiters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

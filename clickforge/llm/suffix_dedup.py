@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import PrefixHash, documents, drop, mix64, pack_arrays, save, shuffle_partitions, text_blocks, unpack_arrays
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Samples that a bucket holds at most, about; more input makes more buckets.
 BUCKET_SAMPLES = 2_000_000
 NO_ID = -(1 << 63)
@@ -134,9 +134,14 @@ class Block:
         """Places of the cover with enough bytes behind, in documents of enough bytes."""
         depth = self.length - self.v + 1
         last = np.where(self.sizes >= self.length, self.sizes - depth + 1, 0)  # sample starts of each document
-        place = np.arange(last.sum()) - np.repeat(np.cumsum(last) - last, last)
-        here = self.cover[place % self.v]
-        return (place + np.repeat(self.offs[:-1], last))[here]
+        doc = np.flatnonzero(last)
+        # A document's places, from a pattern of the cover; only samples are ever laid out.
+        turns, places = -(-last[doc] // self.v), np.flatnonzero(self.cover)
+        turn = np.arange(int(turns.sum())) - np.repeat(np.cumsum(turns) - turns, turns)
+        at = (turn[:, None] * self.v + places).reshape(-1)
+        of = np.repeat(np.repeat(doc, turns), len(places))
+        fit = at < last[of]
+        return at[fit] + self.offs[of[fit]]
 
     def earliest(self, *keys: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether each place is the first of its keys, in the order of the corpus."""
@@ -152,9 +157,9 @@ class Block:
         d = self.doc(at)
         low, high = np.maximum(at - self.v + 1, self.offs[d]), np.minimum(at, self.offs[d + 1] - self.length)
         fit = low <= high
-        step = np.bincount(low[fit], minlength=len(self.data) + 2).astype(np.int64)
-        step[:len(self.data) + 2] -= np.bincount(high[fit] + 1, minlength=len(self.data) + 2)
-        return np.cumsum(step)[:len(self.data)] > 0
+        step = np.bincount(low[fit], minlength=len(self.data) + 2)
+        step -= np.bincount(high[fit] + 1, minlength=len(self.data) + 2)
+        return np.cumsum(step, out=step)[:len(self.data)] > 0
 
 
 class Deduplicator:
@@ -171,7 +176,7 @@ class Deduplicator:
         return Block(r["block"], r["n_bytes"], r["ids"], r["sizes"], r["text"], self.length, self.v, self.cover)
 
     def bucket(self, h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(48)) * np.uint64(self.buckets) >> np.uint64(16)).astype(np.int64)
+        return ((h >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
     def _rows(self, block: int, sorted_hash: np.ndarray, local: bytes, body) -> pa.Table:
         """A row for each bucket; ``body(a, b)`` packs the entries of one."""
@@ -280,7 +285,7 @@ class Deduplicator:
         b = self.open(left)
         done, still = (np.frombuffer(b"".join(right.column(c).to_pylist()), "<u4").astype(np.int64) for c in ("done", "open"))
         at = np.flatnonzero(b.suffixes(still) & ~b.suffixes(done))
-        h, h2 = (p.spans(p.prefix(b.data), at, at + self.length) for p in (PrefixHash(17), PrefixHash(19)))
+        h, h2 = (p.spans(p.prefix(b.data), at, at + self.length) for p in map(PrefixHash, (17, 19)))
         first = b.earliest(h2, h, at=at)
         local = int((~first).sum()).to_bytes(4, "little") + pack_arrays(at[~first].astype(np.uint32))
         at, h, h2 = at[first], h[first], h2[first]
@@ -334,7 +339,7 @@ def deduplicate(docs: DataFrame, length: int = 100, keep: list[str] | None = Non
     blocks = save(to_blocks(docs, keep), "blocks")
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     work = Deduplicator(length, 1)
-    work.buckets = int(min(1 << 16, max(4 * shuffle_partitions(spark), size * len(work.cover) / work.v / BUCKET_SAMPLES)))
+    work.buckets = int(max(4 * shuffle_partitions(spark), size * len(work.cover) / work.v / BUCKET_SAMPLES))
     text = blocks.select("block", "n_bytes", "ids", "sizes", "text")
 
     def with_marks(marks: DataFrame, f, schema: str, of: DataFrame = text) -> DataFrame:

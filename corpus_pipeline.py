@@ -26,15 +26,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that of the smallest doc_id. Of rows
-    that share a doc_id one stays; rows without doc_id can't be named and stay."""
-    groups = save(simhash.near_duplicates(docs, shingle=3, max_distance=3).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.select(docs.columns)
-    alike = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn("nth_of_id", F.row_number().over(alike)).where("nth_of_id = 1 or doc_id is null").select(docs.columns)
+    """One row of each SimHash component: that of the smallest doc_id and, where
+    this has several texts, the smallest hash of one. Other rows of the same
+    doc_id stay if they belong to another component; rows without doc_id can't
+    be named and stay."""
+    named = docs.withColumn("row_text", F.xxhash64("text"))
+    groups = save(simhash.near_groups(named, 3, 3, "row_text").where("doc_id is not null").select("group", "doc_id", "row_text"), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row_text")).alias("first"))
+    gone = groups.join(first, "group").where(F.struct("doc_id", "row_text") != F.col("first")).select("doc_id", "row_text").distinct()
+    kept = named.join(gone, ["doc_id", "row_text"], "left_anti")
+    if not groups.groupBy("doc_id", "row_text").count().where("count > 1").isEmpty():  # whole rows repeat
+        alike = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+        kept = kept.withColumn("nth_of_row", F.row_number().over(alike)).where("nth_of_row = 1 or doc_id is null")
+    return kept.select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

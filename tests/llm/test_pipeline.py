@@ -102,8 +102,28 @@ def test_hard_tables(spark, tmp_path, which):
 
 
 def test_rows_of_one_id(spark):
-    d = spark.createDataFrame([(1, "one text here", "x"), (1, "one text here", "x"), (1, "quite another text", "x"), (None, "one text here", "x"),
-                               (2, "one text here", "x")], "doc_id long, text string, lang string")
-    out = P.without_near_copies(spark, d, "")
-    assert sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == [1]
-    assert out.where("doc_id is null").count() == 1
+    """One row of each component stays, whatever ids its rows share with others."""
+    schema = "doc_id long, text string, lang string"
+    a, b = "one text here that stands alone", "quite another text of other words"
+    cases = [([(5, a), (7, a), (5, b), (3, b)], [(3, b), (5, a)]),
+             ([(1, a), (1, a), (1, b), (2, a)], [(1, a), (1, b)]),
+             ([(None, a), (None, None), (1, a), (2, None), (2, "")], None)]
+    for rows, want in cases:
+        out = P.without_near_copies(spark, spark.createDataFrame([(*r, "x") for r in rows], schema), "")
+        assert out.columns == ["doc_id", "text", "lang"]
+        got = sorted((r["doc_id"], r["text"]) for r in out.where("doc_id is not null").collect())
+        if want:
+            assert got == want
+        else:
+            assert out.where("doc_id is null").count() == 2 and len(got) == 2 and got[0] == (1, a) and got[1][0] == 2
+
+
+def test_every_component_keeps_one_row(spark):
+    docs = data.repeated(spark)
+    groups = {}
+    for r in docs.where("doc_id is not null").collect():
+        groups.setdefault(brute.fingerprint(r["text"]), []).append(r)
+    ids = {k: i for i, k in enumerate(groups)}
+    smallest = brute.components({i: k for k, i in ids.items()}, 3)
+    kept = P.without_near_copies(spark, docs, "").where("doc_id is not null").collect()
+    assert sorted(smallest[ids[brute.fingerprint(r["text"])]] for r in kept) == sorted(set(smallest.values()))
