@@ -136,9 +136,9 @@ def value_prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequ
 
 
 def laid_out(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Sequence[str] = (),
-             parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+             parts: int | None = None, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """The rows in the order (keys, *order), by ONE range shuffle: a written table
-    of keys, sums, ``__part`` and ``__i`` (a row's place within its part), and what each
+    of keys, sums, what ``keep`` names, ``__part`` and ``__i`` (a row's place within its part), and what each
     part carries into the next ones: one row per (keys, __part) with ``__first``
     (the place of the group's first row there), and ``__n_before`` and
     ``<c>_before`` of the parts before.
@@ -153,8 +153,8 @@ def laid_out(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums:
     by = [F.col(k).asc() for k in keys] + list(order)
     d = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     row = F.monotonically_increasing_id()  # a part's number, and the row's in it
-    d = materialize(d.select(*keys, *sums, row.alias("__row")).select(
-        *keys, *sums, F.shiftright("__row", 33).cast("int").alias("__part"), F.col("__row").bitwiseAND((1 << 33) - 1).alias("__i")))
+    d = materialize(d.select(*keys, *sums, *keep, row.alias("__row")).select(
+        *keys, *sums, *keep, F.shiftright("__row", 33).cast("int").alias("__part"), F.col("__row").bitwiseAND((1 << 33) - 1).alias("__i")))
     totals = d.groupBy(*keys, "__part").agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__n"),
                                             *[F.sum(c).alias(c) for c in sums])
     w = Window.partitionBy(*keys).orderBy("__part") if keys else Window.orderBy("__part")  # parts + groups rows

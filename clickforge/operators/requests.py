@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickforge.functions import exprs as X
-from clickforge.operators.ranking import join_small
+from clickforge.operators.ranking import join_small, laid_out
 
 # Fixed values from the reference request scorer.
 DEFAULT_FEATURES = {
@@ -33,6 +33,7 @@ DEFAULT_HOUR = 12
 DEFAULT_POSITION = 1
 USER_HASH_MOD, ID_ENC_MOD, PAIR_MOD, CONTEXT_MOD = 1_000_000, 10_000, 100_000, 1_000
 BASELINE_CTR = 0.0201
+BATCH_REQUESTS = 15_000
 # CTR tiers: upper bounds (exclusive) and names
 CTR_TIERS = [(0.01, "very_low"), (0.02, "low"), (0.05, "medium"), (0.1, "high")]
 TOP_TIER = "very_high"
@@ -165,6 +166,35 @@ def score_requests(req: DataFrame, prior: DataFrame, factor: DataFrame, key: str
                     *response_columns(p, raw, F.col("bid_amount")))
 
 
+def process_batches(scored: DataFrame, size: int = BATCH_REQUESTS, order: str = "event_id", target: float = BASELINE_CTR) -> DataFrame:
+    """Post-processing (P1, P3, clip) of scored requests per ``size`` of them in
+    request order, as the batch scorer does. Adds ``batch_no`` and renews the
+    decision fields; failed requests stay at the baseline and move no mean.
+
+    Positions come from one range shuffle, bounds from a sketch per batch."""
+    from clickforge.operators.calibrate import post_process
+
+    keep = [c for c in scored.columns if c not in ("ctr_prediction", "predicted_click", "confidence", "ctr_category", "recommendation",
+                                                   "postprocessing_applied")]
+    d = scored.withColumn("__bid", F.when(F.col("ctr_prediction") > 0, F.col("expected_revenue") / F.col("ctr_prediction")))
+    rows, carry = laid_out(d, [], [F.col(order).asc()], keep=[*keep, "__bid"])
+    rows = join_small(rows, carry, ["__part"], bounded=True)  # a row a part
+    rows = rows.withColumn("batch_no", F.floor((F.col("__n_before") + F.col("__i") - F.col("__first")) / size).cast("long"))
+    rows = rows.drop("__part", "__i", "__first", "__n", "__n_before")
+    done = post_process(rows.where("success").withColumn("__p", F.col("raw_prediction")), "__p", target, ["batch_no"], diversity=False, key=order)
+    done = done.unionByName(rows.where("not success").withColumn("__p", F.lit(BASELINE_CTR)))
+    return done.select(*[c for c in keep if c not in ("raw_prediction", "expected_revenue")], "batch_no",
+                       *response_columns(F.col("__p"), F.col("raw_prediction"), F.col("__bid")))
+
+
+def failed_batch(req: DataFrame, error: str, keep: Sequence[str] = ("event_id", "ts", "clicked")) -> DataFrame:
+    """What a batch that can't be scored gives: the baseline for every request, and the error's text."""
+    base = F.lit(BASELINE_CTR)
+    out = req.select(*keep, F.lit("error").alias("model_used"), F.lit(False).alias("success"), F.lit(-1).cast("long").alias("batch_no"),
+                     *response_columns(base, base, F.col("bid_amount")))
+    return out.withColumn("confidence", F.lit(0.0)).withColumn("ctr_category", F.lit("low")).withColumn("error", F.lit(error))
+
+
 def serving_stats(resp: DataFrame, keys: Sequence[str] = ("model_used",), recent: int = 1000,
                   order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """G27 + W7: success/failure rates, post-processing share and mean change,

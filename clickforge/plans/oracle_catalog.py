@@ -44,6 +44,8 @@ ORACLE: dict[str, str] = {
     "recent_predictions": OR.recent_predictions_sql(),
     "stream_scoring": OR.request_responses_sql(),
     "stream_window_stats": OR.stream_window_stats_sql(),
+    "processed_requests": OR.processed_requests_sql(),
+    "stream_processed_requests": OR.processed_requests_sql(),
     "experiment_log": OM.experiment_log_sql(),
     "experiment_summary": OM.experiment_summary_sql(),
     "sample_rows": OM.sample_rows_sql(),

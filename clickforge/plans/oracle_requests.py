@@ -104,6 +104,23 @@ select event_id, round(ctr_prediction, 9) as ctr_prediction, predicted_click, ct
   postprocessing_applied from scored"""
 
 
+def processed_requests_sql() -> str:
+    clip = lambda x: f"greatest(least({x}, 0.9999), 0.0001)"
+    return scored_ctes() + f""",
+src AS (select *, cast(floor((row_number() over (order by event_id) - 1) / 15000) as bigint) as batch_no from scored),
+q AS (select batch_no, greatest(quantile_cont(raw_prediction, 0.01) * 0.1, 0.0001) as lo,
+        least(quantile_cont(raw_prediction, 0.99) * 1.1, 0.9999) as hi from src where success group by batch_no),
+a AS (select s.event_id, s.batch_no, greatest(least(s.raw_prediction, q.hi), q.lo) as p1 from src s join q on q.batch_no = s.batch_no where s.success),
+m AS (select batch_no, avg(p1) as m from a group by batch_no),
+b AS (select a.event_id, {clip("case when abs(m.m - 0.0201) > 0.001 and m.m > 0 then " + clip("a.p1 * (0.0201 / m.m)") + " else a.p1 end")} as p
+      from a join m on m.batch_no = a.batch_no),
+r AS (select src.event_id, src.batch_no, src.success, src.raw_prediction, coalesce(b.p, 0.0201) as p from src left join b on b.event_id = src.event_id)
+select event_id, batch_no, success, round(raw_prediction, 9) as raw_prediction, round(p, 9) as ctr_prediction,
+  case when p < 0.01 then 'very_low' when p < 0.02 then 'low' when p < 0.05 then 'medium' when p < 0.1 then 'high' else 'very_high' end as ctr_category,
+  case when p > 0.0201 then 'show' else 'skip' end as recommendation
+from r"""
+
+
 def serving_stats_sql() -> str:
     return scored_ctes() + """,
 base AS (

@@ -321,6 +321,8 @@ from clickforge.streaming import serving as ST  # noqa: E402
 
 register("stream_scoring")(ST.stream_scoring)
 register("stream_window_stats")(ST.stream_window_stats)
+register("processed_requests")(ST.processed_requests)
+register("stream_processed_requests")(ST.stream_processed_requests)
 
 
 # -------------------------------------------------------- models (rows-only)
