@@ -27,14 +27,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, **options) -> DataFrame:
     """Write an intermediate table to the shared folder and read it again: cuts
-    lineage, so lost executors never send later jobs back before this point."""
+    lineage, so lost executors never send later jobs back before this point.
+    ``options`` are the writer's."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # what the write shuffled goes when it ends, not at some later garbage collection
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

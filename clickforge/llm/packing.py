@@ -7,8 +7,10 @@ and the multiset of remaining lengths that comes closest to capacity: a subset
 sum over bitsets, length by length with bounded multiplicity, whose counts are
 found by going back over the bitsets. A multiset is repeated as often as the
 counts allow, so the plan grows with the distinct lengths, not the documents.
-On the cluster every piece gets its rank within its length and looks up its
-sequence and offset in the plan.
+On the cluster every piece knows its number among its task's pieces of the same
+length; the counts of the tasks before give its rank within its length, and the
+rank its sequence and offset in the plan. Ids are written once where they are
+cut, and neither shuffled nor sorted.
 
 Cases: null text is empty text and holds the end id alone; empty tables give
 empty results; repeated rows and ids are packed as documents of their own;
@@ -19,45 +21,65 @@ windows, so no piece exceeds one.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, save, shuffle_partitions, text_blocks, worker_cache
+from .common import documents, save, text_blocks, worker_cache
 from .units import UnitEncoder
 
-PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary"
-PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()),
-                         ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-PACKED = "doc_id long, start long, length int, doc_tokens long, sequence_id long, offset long, ids binary"
-PACKED_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()),
-                          ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
-                          ("ids", pa.binary())])
+PIECES = "doc_id long, start long, length int, doc_tokens long, part int, nth long, ids binary"
+PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()),
+                         ("part", pa.int32()), ("nth", pa.int64()), ("ids", pa.binary())])
+#: Tasks up to which their counts before (window longs a task) are broadcast; beyond, pieces meet them by a shuffle.
+BROADCAST_PARTS = 2048
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """Token ids of every document and ``end_id``, cut at multiples of ``window``
-    (ids: little-endian uint16)."""
+    (ids: little-endian uint32). ``nth`` numbers the pieces of one length that a
+    task (``part``) cuts; to be written before it is used, for both belong to one run."""
 
     def cut(batches):
         encoder = worker_cache(f"units:{tokenizer}", lambda: UnitEncoder(tokenizer))
+        part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for rows, data, offs in text_blocks(batches):
             ids, at = encoder.encode_block(data, offs)
-            which, start, length, total, out = [], [], [], [], []
-            for d in range(rows.num_rows):
-                own = np.append(ids[at[d]:at[d + 1]], np.uint16(end_id))
-                for s in range(0, len(own), window):
-                    part = own[s:s + window]
-                    which.append(d), start.append(s), length.append(len(part)), total.append(len(own))
-                    out.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(which, pa.int64())), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int32()), pa.array(total, pa.int64()), pa.array(out, pa.binary())],
-                schema=PIECE_ARROW)
+            own = np.diff(at)
+            # The ids of all texts with an end behind each, and the pieces as ranges of them.
+            whole = np.full(len(ids) + len(own), end_id, "<u4")
+            whole[np.arange(len(ids)) + np.repeat(np.arange(len(own)), own)] = ids
+            total = own + 1
+            n = -(-total // window)
+            doc = np.repeat(np.arange(len(n)), n)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * window
+            length = np.minimum(total[doc] - start, window)
+            order = np.argsort(length, kind="stable")
+            sizes, first, count = np.unique(length[order], return_index=True, return_counts=True)
+            nth = np.empty(len(doc), np.int64)
+            nth[order] = np.arange(len(doc)) - np.repeat(first, count) + seen[length[order]]
+            seen[sizes] += count
+            # Pieces lie end to end, so the array of their bytes is the ids as they are.
+            ends = np.append(0, np.cumsum(length)) * 4
+            for a in range(0, len(doc), PIECE_ROWS):
+                z = min(a + PIECE_ROWS, len(doc))
+                body = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer((ends[a:z + 1] - ends[a]).astype(np.int32)),
+                                                                  pa.py_buffer(whole[ends[a] // 4:ends[z] // 4])])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).take(pa.array(doc[a:z])), pa.array(start[a:z]), pa.array(length[a:z], pa.int32()), pa.array(total[doc[a:z]]),
+                     pa.array(np.full(z - a, part, np.int32)), pa.array(nth[a:z]), body], schema=PIECE_ARROW)
 
     return documents(docs).mapInArrow(cut, PIECES)
 
 
+#: Bytes of ids that a writer gathers before it writes them; Spark's default would hold 128 MB a task.
+ROW_GROUP = 16 << 20
+#: Pieces of a batch: a few megabytes of ids.
+PIECE_ROWS = 1024
+
+
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """The multiset that fills one window: the longest length, and those whose
     sum with it is the largest within ``capacity``."""
@@ -116,38 +138,41 @@ def lookup(windows: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndar
 
 
 def pack(cut: DataFrame, window: int = 2048) -> DataFrame:
-    """Sequence and offset of every piece; ids as little-endian uint32.
+    """Sequence and offset of every piece of a written table of :func:`pieces`.
 
-    Ranks within a length are counted in salted groups, so a length that many
-    pieces share (full windows, copies) is spread over all partitions.
+    A piece's rank within its length is its number in its task, and the pieces
+    of that length in the tasks before: a row of sums a task, at most.
     """
-    spark = cut.sparkSession
-    windows = plan({r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}, window)
+    tallies = save(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "tallies")
+    windows = plan({r["length"]: r["n"] for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect()}, window)
     table = lookup(windows)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(32, shuffle_partitions(spark)))))
-    before = (salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-              .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
-              .drop("n"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids"))
-    ranked = (salted.withColumn("rank", rank - 1).join(before, ["length", "salt"])
-              .select("doc_id", "start", "length", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank"), "ids"))
-
-    def place(batches):
-        for b in batches:
-            length, rank = b.column(2).to_numpy(), b.column(4).to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for k in np.unique(length):
-                mine = np.flatnonzero(length == k)
-                first_rank, first_seq, copies, first_off = table[int(k)]
-                e = np.searchsorted(first_rank, rank[mine], "right") - 1
-                turn = rank[mine] - first_rank[e]
-                sequence[mine] = first_seq[e] + turn // copies[e]
-                offset[mine] = first_off[e] + turn % copies[e] * k
-            ids = [np.frombuffer(x, np.uint16).astype("<u4").tobytes() for x in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(sequence), pa.array(offset),
-                                              pa.array(ids, pa.binary())], schema=PACKED_ARROW)
-
-    return ranked.mapInArrow(place, PACKED)
+    before = tallies.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("n"))
+
+    def lay_out(t: pa.Table) -> pa.Table:
+        row = np.zeros(window, np.int64)
+        row[t.column("length").to_numpy() - 1] = t.column("n").to_numpy()
+        return pa.table([t.column("part")[:1].combine_chunks(), pa.array([row], pa.list_(pa.int64()))], names=["of_part", "before"])
+
+    by_part = save(before.groupBy("part").applyInArrow(lambda t: lay_out(t), "of_part int, before array<long>"), "before")
+    few = by_part.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        length, rank = lengths.to_numpy(), ranks.to_numpy()
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        for k in np.unique(length):
+            mine = np.flatnonzero(length == k)
+            first_rank, first_seq, copies, first_off = table[int(k)]
+            e = np.searchsorted(first_rank, rank[mine], "right") - 1
+            turn = rank[mine] - first_rank[e]
+            sequence[mine] = first_seq[e] + turn // copies[e]
+            offset[mine] = first_off[e] + turn % copies[e] * k
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    ranked = cut.join(F.broadcast(by_part) if few else by_part, F.col("part") == F.col("of_part")).withColumn(
+        "rank", F.col("nth") + F.get("before", F.col("length") - 1)).drop("before", "of_part", "nth", "part")
+    return (ranked.withColumn("place", place("length", "rank"))
+            .select("doc_id", "start", "length", "doc_tokens", "place.sequence_id", "place.offset", "ids"))
 
 
 def sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:
@@ -162,4 +187,5 @@ def sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFra
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
-    return pack(save(pieces(docs, tokenizer, window, end_id), "pieces"), window)
+    cut = pieces(docs, tokenizer, window, end_id)
+    return pack(save(cut, "pieces", **{"parquet.block.size": ROW_GROUP}), window)

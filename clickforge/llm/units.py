@@ -4,7 +4,7 @@ Both kinds of vocabulary used here (byte-level, and lower-cased words) always
 start a new token at white space after other text, and at ASCII punctuation
 after a letter. Blocks of texts are cut there with numpy; the library encodes
 each distinct unit once per worker, and the ids of a text are gathered from
-that cache. Where a cut is not certain (white space outside ASCII, say), none
+that cache. Units are found by a hash and compared byte by byte. Where a cut is not certain (white space outside ASCII, say), none
 is made and the unit is longer; a text that holds a special string goes to the
 library whole.
 """
@@ -19,7 +19,9 @@ import numpy as np
 from .common import PrefixHash
 
 #: Units a worker's cache may hold; a full cache is emptied, which costs time only.
-CACHE_UNITS = 3_000_000
+CACHE_UNITS = 1_000_000
+#: Units the library encodes at a time; what it returns for one takes a kilobyte or so.
+BATCH_UNITS = 4096
 
 
 class UnitEncoder:
@@ -51,9 +53,11 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted; where the unit's other numbers are
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint16)
+        self.text_start, self.text_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint8)  # of the units, to tell apart those of one hash
 
     def _cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Sorted starts of the block's units; every text's start is one."""
@@ -69,14 +73,23 @@ class UnitEncoder:
         return np.flatnonzero(first)
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        found = [e.ids for e in self.plain.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint16, int(size.sum()))
+        size, parts = np.zeros(len(units), np.int64), []
+        for k in range(0, len(units), BATCH_UNITS):
+            found = [e.ids for e in self.plain.encode_batch_fast([u.decode() for u in units[k:k + BATCH_UNITS]], add_special_tokens=False)]
+            size[k:k + len(found)] = [len(x) for x in found]
+            parts.append(np.fromiter((i for x in found for i in x), np.uint16))
+        ids = np.concatenate(parts)
         start = len(self.pool) + np.cumsum(size) - size
         at = np.searchsorted(self.keys, keys)
+        self.slot = np.insert(self.slot, at, np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32))
         self.keys = np.insert(self.keys, at, keys)
-        self.start, self.size = np.insert(self.start, at, start), np.insert(self.size, at, size)
+        self.start, self.size = np.append(self.start, start), np.append(self.size, size)
         self.pool = np.concatenate([self.pool, ids])
+        raw = np.frombuffer(b"".join(units), np.uint8)
+        wide = np.fromiter(map(len, units), np.int64, len(units))
+        self.text_start = np.append(self.text_start, len(self.text) + np.cumsum(wide) - wide)
+        self.text_size = np.append(self.text_size, wide)
+        self.text = np.concatenate([self.text, raw])
 
     def encode_block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offs) - 1
@@ -98,6 +111,13 @@ class UnitEncoder:
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
             self._learn(keys[new], [low[a:b] for a, b in spans])
             at = np.searchsorted(self.keys, keys)
+        at = self.slot[at]
+        # Units of one hash but other bytes, which some texts are made for: their texts go to the library whole.
+        here, wide = starts[first], ends[first] - starts[first]
+        other = _differ(folded, here, wide, self.text, self.text_start[at], self.text_size[at])[inverse]
+        other |= _differ(folded, starts, ends - starts, folded, here[inverse], wide[inverse])
+        if other.any():
+            alone = sorted({*alone, *(np.searchsorted(offs, starts[other], "right") - 1).tolist()})
         size = self.size[at][inverse]
         ends_at = np.cumsum(size)
         where = np.repeat(self.start[at][inverse] - (ends_at - size), size) + np.arange(ends_at[-1])
@@ -115,6 +135,17 @@ class UnitEncoder:
         return np.concatenate(parts), np.append(0, np.cumsum(counts))
 
 
+def _differ(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``a`` and ``b`` hold other bytes."""
+    out = a_size != b_size
+    size = np.where(out, 0, a_size)
+    ends = np.cumsum(size)
+    step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+    unlike = np.flatnonzero(a[np.repeat(a_at, size) + step] != b[np.repeat(b_at, size) + step])
+    out[np.searchsorted(ends, unlike, "right")] = True
+    return out
+
+
 def _places(raw: bytes, what: bytes):
     at = raw.find(what)
     while at >= 0:

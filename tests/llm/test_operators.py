@@ -18,6 +18,8 @@ import brute  # noqa: E402
 import data  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from clickforge.llm.common import save  # noqa: E402
+from clickforge.llm.units import UnitEncoder  # noqa: E402
 from clickforge.llm import (  # noqa: E402
     components, decontaminate, huffman, kneser_ney, licenses, packing, quality, quality_rules, simhash, suffix_dedup, token_counts)
 
@@ -114,13 +116,31 @@ def test_fill_is_a_best_subset_sum():
         assert sum(k * n for k, n in chosen.items()) == max(counts) + max(sums)
 
 
+def test_units_of_one_hash_are_told_apart():
+    """Complementary Thue-Morse words have one polynomial hash modulo 2**64, whatever its base."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, two = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    encoder, lib = UnitEncoder(BYTE), Tokenizer.from_file(BYTE)
+    texts = [one, two, f"x {two} y", "plain words", one]
+    for group in (texts, texts[::-1], [two], [one], ["words", two + " " + one]):
+        raw = [t.encode() for t in group]
+        ids, at = encoder.encode_block(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(b) for b in raw])))
+        assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in group]
+
+
+@pytest.mark.parametrize("parts", [0, 2048])
 @pytest.mark.parametrize("which", ["documents", "repeated", "empty"])
-def test_packing_is_whole(spark, which):
+def test_packing_is_whole(spark, monkeypatch, which, parts):
+    monkeypatch.setattr(packing, "BROADCAST_PARTS", parts)
+    check_packing(spark, which)
+
+
+def check_packing(spark, which):
     table = getattr(data, which)(spark)
     lib = Tokenizer.from_file(BYTE)
     ids = lambda t: np.array(lib.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
     want = Counter((r["doc_id"], ids(r["text"]).tobytes()) for r in table.collect())
-    cut = packing.pieces(table, BYTE, window=64)
+    cut = save(packing.pieces(table, BYTE, window=64), "pieces")
     out = packing.pack(cut, window=64).collect()
     sequences = {}
     for r in out:
@@ -141,7 +161,7 @@ def test_packing_is_whole(spark, which):
 
 
 def test_sequences_are_joined_and_padded(spark, docs):
-    packed = packing.pack(packing.pieces(docs, BYTE, window=64), window=64)
+    packed = packing.pack(save(packing.pieces(docs, BYTE, window=64), "pieces"), window=64)
     rows = packed.collect()
     for r in packing.sequences(packed, window=64, pad_id=7).collect():
         parts = sorted((x["offset"], x["ids"]) for x in rows if x["sequence_id"] == r["sequence_id"])
