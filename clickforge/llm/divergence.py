@@ -31,7 +31,7 @@ from .common import drop, pack_arrays, save, string_array, text_slices, unpack_a
 
 SLICE_BYTES = 4 << 20
 #: Terms of a shard: what a task holds of one group's vocabulary.
-SHARD_TERMS = 1 << 20
+SHARD_TERMS = 1 << 14
 SCALE, PRIOR = 1_000_000_000, 5
 
 COUNTS = "lang string, source string, term string, n long, docs long"
