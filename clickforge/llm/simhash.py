@@ -21,8 +21,7 @@ all anchors afterwards.
 
 Cases: null or empty text has fingerprint 0 and links like any other; fewer
 words than a shingle count as one shingle; null doc_ids are kept with a null
-component; repeated rows and ids are kept, and unlike texts of one doc_id don't
-link through it; empty tables give empty results;
+component; repeated rows and ids are kept; empty tables give empty results;
 further columns are ignored; texts of any length are read whole.
 """
 
@@ -239,26 +238,37 @@ def tiled(members: DataFrame, most: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    return near_groups(docs, shingle, max_distance).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    """doc_id, fingerprint (16 hex digits) and component_id of every document.
+    Documents are their doc_ids: one that several rows share links what they link."""
+    found = _linked(docs, shingle, max_distance, (), by_text=False)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+                        F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def near_groups(docs: DataFrame, shingle: int, max_distance: int, *keep: str) -> DataFrame:
-    """doc_id, print, the columns named in ``keep``, group (the smallest print
-    of the component, which names it even where doc_ids repeat) and component_id
-    (its smallest doc_id) of every row; without doc_id: nulls."""
+    """doc_id, print, the columns named in ``keep``, and group of every row: texts
+    are linked by themselves, whatever their doc_ids, and a group has the name of
+    its smallest print. Rows without doc_id have no group."""
+    found = _linked(docs, shingle, max_distance, keep, by_text=True)
+    return found.select("doc_id", "print", *keep, F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("group"))
+
+
+def _linked(docs: DataFrame, shingle: int, max_distance: int, keep: tuple, by_text: bool) -> DataFrame:
+    """doc_id, print, ``keep`` and component of every row. Points, one for each
+    print, are named by their print or by their smallest doc_id."""
     if not 0 <= max_distance <= 3:
         raise ValueError("two segments with one differing bit each cover distances up to 3")
     spark = docs.sparkSession
     prints = save(fingerprints(docs, shingle, *keep), "prints")
-    points = prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("first_id"))
+    points = prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
+    points = points.withColumn("node", F.col("print")) if by_text else points
     points = save(points.coalesce(1 + prints.count() // FILE_POINTS), "points")
     buckets = max(4 * shuffle_partitions(spark), points.count() * 115 // BUCKET_ROWS)
 
     def replicate(batches):
         code = GolayCode()
         for b in batches:
-            p = b.column(0).to_numpy().view(np.uint64)
+            p, node = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
             for a in range(0, len(p), CHUNK):
                 who, key, home = keyed(p[a:a + CHUNK], code)
                 bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
@@ -266,17 +276,16 @@ def near_groups(docs: DataFrame, shingle: int, max_distance: int, *keep: str) ->
                 who, key, home = who[order] + a, key[order], home[order].astype(np.uint8)
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(cuts))
-                body = [pack_arrays(key[x:y], p[who[x:y]], home[x:y]) for x, y in zip(cuts[used], cuts[used + 1])]
+                body = [pack_arrays(key[x:y], p[who[x:y]], node[who[x:y]], home[x:y]) for x, y in zip(cuts[used], cuts[used + 1])]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.diff(cuts)[used], pa.int32()),
                                                   pa.array(body, pa.binary())], schema=KEYED_ARROW)
 
     def compare(t: pa.Table) -> pa.Table:
-        parts = [unpack_arrays(x.as_py(), n, np.uint64, np.uint64, np.uint8)
+        parts = [unpack_arrays(x.as_py(), n, np.uint64, np.uint64, np.int64, np.uint8)
                  for x, n in zip(t.column("body"), t.column("n").to_pylist())]
-        key, print_, home = (np.concatenate(x) for x in zip(*parts))
+        key, print_, node, home = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(key, kind="stable")
-        key, print_, home = key[order], print_[order], home[order]
-        node = print_.view(np.int64)  # a print is a point, and its own name
+        key, print_, node, home = key[order], print_[order], node[order], home[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         n = np.diff(np.append(first, len(key)))
         homes = np.flatnonzero(home)
@@ -297,16 +306,13 @@ def near_groups(docs: DataFrame, shingle: int, max_distance: int, *keep: str) ->
                          pa.array(print_[rest].view(np.int64)), pa.array(node[rest]), pa.array(home[rest].astype(bool))], schema=LINKS_ARROW)
         return pa.concat_tables([links, left])
 
-    found = save(points.select("print").mapInArrow(replicate, KEYED).groupBy("bucket").applyInArrow(lambda t: compare(t), LINKS), "links")
+    found = save(points.mapInArrow(replicate, KEYED).groupBy("bucket").applyInArrow(lambda t: compare(t), LINKS), "links")
     edges = found.where("a is not null").select("a", "b")
     large = found.where("key is not null").drop("a", "b")
     if not large.isEmpty():
         edges = edges.unionAll(save(tiled(large, max_distance), "links-large"))
     components = connected_components(edges)
     drop(found)
-    labelled = points.join(components, points["print"] == components["node"], "left").select(
-        "print", F.coalesce("component", "print").alias("group"), "first_id")
-    first = labelled.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    named = prints.join(labelled.join(first, "group").drop("first_id"), "print", "left")
-    known = F.col("doc_id").isNotNull()
-    return named.select("doc_id", "print", *keep, *(F.when(known, F.col(c)).alias(c) for c in ("group", "component_id")))
+    labelled = points.join(components, points["node"] == components["node"], "left").select(
+        "print", F.coalesce("component", points["node"]).alias("component"))
+    return prints.join(labelled, "print", "left").select("doc_id", "print", *keep, "component")
