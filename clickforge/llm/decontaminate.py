@@ -114,20 +114,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 13, slack: int =
     n = F.size("words")
     same = (F.col("start") >= F.col("first")) & (F.slice("around", F.greatest(F.col("start") - F.col("first") + 1, F.lit(1)), n) == F.col("words"))
     anchor = anchor.select("doc_id", "th", "win", "start", n.alias("n"), F.col("term2").isNull().alias("single"), same.alias("exact"))
-    second = (postings.join(_small(searches.where("term2 is not null").select("win", F.col("term2").alias("term"), "off2")), "term")
-              .select("doc_id", "th", "win", F.explode(F.sequence(F.col("pos") - F.col("off2") - slack, F.col("pos") - F.col("off2") + slack)).alias("start"))
-              .distinct())
-    key = ["doc_id", "th", "win", "start"]
-    met = anchor.join(second.withColumnRenamed("doc_id", "d2"), [
-        F.col("doc_id").eqNullSafe(F.col("d2")), *(anchor[k] == second[k] for k in key[1:])], "left_semi").where("not single")
+    second = (postings.join(_small(searches.where("term2 is not null").select(F.col("win").alias("w2"), F.col("term2").alias("term"), "off2")), "term")
+              .select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "w2", (F.col("pos") - F.col("off2")).alias("start2")))
+    # starts within the slack lie in one stretch of 2 * slack + 1 or in two beside each other
+    stretch = lambda start: F.floor(start / (2 * slack + 1)).cast("long")
+    second = second.withColumn("s2", stretch(F.col("start2"))).distinct()
+    both = F.array_distinct(F.array(stretch(F.col("start") - slack), stretch(F.col("start") + slack)))
+    met = (anchor.where("not single").withColumn("stretch", F.explode(both)).join(second, [
+        F.col("doc_id").eqNullSafe(F.col("d2")), F.col("th") == F.col("t2"), F.col("win") == F.col("w2"), F.col("stretch") == F.col("s2"),
+        F.abs(F.col("start") - F.col("start2")) <= slack], "left_semi").drop("stretch").distinct())
     return windows, met.unionAll(anchor.where("single and exact")).drop("single")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, slack: int = 2) -> DataFrame:
     """Per document: n_words, n_hit (words in exact matches), n_items, items
-    (sorted ids, comma-joined), contaminated (some hit, at least 1 word in ``share``)."""
-    windows, found = matches(docs, benchmark, size, slack=0)
-    exact = save(found.where("exact").select("doc_id", "th", "win", "start", "n"), "matches")
+    (sorted ids, comma-joined), contaminated (some hit, at least 1 word in
+    ``share``), and n_near (proximity matches that aren't exact)."""
+    windows, found = matches(docs, benchmark, size, slack)
+    found = save(found.select("doc_id", "th", "win", "start", "n", "exact").distinct(), "matches")
+    exact = found.where("exact").drop("exact")
+    near = found.where("not exact").groupBy(F.col("doc_id").alias("d3"), F.col("th").alias("t3")).agg(F.count("*").alias("n_near"))
     spans = exact.select("doc_id", "th", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     order = Window.partitionBy("doc_id", "th").orderBy("start", "end")
     reached = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -142,14 +148,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
                         F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return (every.join(per, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "left")
+            .join(near, F.col("doc_id").eqNullSafe(F.col("d3")) & (F.col("th") == F.col("t3")), "left")
             .select("doc_id", F.col("th").alias("text_hash"), "n_words", n_hit.alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"),
-                    ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated")))
+                    ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+                    F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")))
 
 
 def oracle_sql() -> str:
-    """The query's result in DuckDB's SQL: every window joined by its text."""
+    """The query's result in DuckDB's SQL: every window joined by its text, and
+    for proximity the places of each window's two rarest terms."""
     words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + r"'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
@@ -162,9 +171,22 @@ dw AS (SELECT rid, s, n, array_to_string(w[s:s + n - 1], ' ') AS x
 hits AS (SELECT DISTINCT rid, s, n, x FROM dw SEMI JOIN iw USING (n, x)),
 pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hits) GROUP BY rid),
 it AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items
-       FROM hits JOIN iw USING (n, x) GROUP BY rid)
+       FROM hits JOIN iw USING (n, x) GROUP BY rid),
+occ AS (SELECT rid, unnest(w) AS term, unnest(range(0, len(w))) AS p FROM d),
+freq AS (SELECT term, count(*) AS c FROM occ SEMI JOIN (SELECT DISTINCT unnest(w) AS term FROM i) USING (term) GROUP BY term),
+win AS (SELECT DISTINCT x, n, string_split(x, ' ') AS w FROM iw),
+wt AS (SELECT x, n, unnest(w) AS term, unnest(range(0, len(w))) AS off FROM win),
+wk AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c, term, off) AS k, count(*) OVER (PARTITION BY x) AS have FROM wt JOIN freq USING (term)),
+t1 AS (SELECT x, n, term, off FROM wk WHERE k = 1 AND have = n),
+t2 AS (SELECT x, term, off FROM (SELECT wk.x, wk.term, wk.off, row_number() OVER (PARTITION BY wk.x ORDER BY wk.k) AS j
+       FROM wk JOIN t1 ON wk.x = t1.x AND wk.term <> t1.term) WHERE j = 1),
+one AS (SELECT rid, x, n, p - off AS s FROM t1 JOIN occ USING (term)),
+two AS (SELECT DISTINCT rid, x, unnest(range(p - off - 2, p - off + 3)) AS s FROM t2 JOIN occ USING (term)),
+nr AS (SELECT rid, count(*) AS n_near FROM (SELECT DISTINCT rid, x, s FROM one SEMI JOIN two USING (rid, x, s)) a
+       WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.rid = a.rid AND h.x = a.x AND h.s = a.s + 1) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos ON d.rid = pos.rid LEFT JOIN it ON d.rid = it.rid
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos ON d.rid = pos.rid LEFT JOIN it ON d.rid = it.rid LEFT JOIN nr ON d.rid = nr.rid
 """

@@ -5,15 +5,12 @@ written once. From them come integer ratios, and for each (language, source,
 ratio) a mergeable quantile sketch: a histogram with 64 linear and then 32
 buckets a power of two, so a quantile is at most 1/32 too small. Sketches are
 plain (bucket, count) rows: partial sums merge in any order to the same result.
-A ratio's bounds are its upper (lower) quantile moved outwards by ``slack``
-times its distance from the median, at least by the ratio's margin. A join on
-language and source brings the bounds to the documents.
-
-Those bounds, which :func:`oracle_sql` states too, follow the junk once it is
-more than a twentieth of a group. :func:`robust_bounds` are the ones that a
-minority of any kind can't move: the median and ``spread`` times the median
-distance from it, both read from the same sketch; a group of few documents
-takes those of its language, or of all documents.
+A ratio may lie ``spread`` times the median distance from the median on either
+side, at least the ratio's margin; both medians are read from the same sketch
+and hold still until half of a group is bad. A group of fewer than ``min_docs``
+documents has the bounds of its language, and if that has too few as well, those
+of all documents: sketches merge. A join on language and source brings the
+bounds to the documents.
 
 Cases: null or empty text has no words, fails the base rule and is not kept;
 null languages and sources are groups of their own; empty tables give empty
@@ -93,27 +90,8 @@ def sketches(usable: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
-def bounds(sketch: DataFrame, quantile_pct: int = 95, slack: int = 2) -> DataFrame:
+def bounds(sketch: DataFrame, spread: int = 7, min_docs: int = 20) -> DataFrame:
     """One row a language and source: lowest and highest value that each ratio may have."""
-    group = ["lang", "source", "ratio"]
-    up = Window.partitionBy(*group).orderBy("value")
-    total = F.sum("n").over(Window.partitionBy(*group))
-    ranked = sketch.select(*group, "value", F.sum("n").over(up).alias("upto"), total.alias("total"))
-    at = lambda pct: F.min(F.when(100 * F.col("upto") >= pct * F.col("total"), F.col("value")))
-    q = ranked.groupBy(*group).agg(at(100 - quantile_pct).alias("low"), at(50).alias("mid"), at(quantile_pct).alias("high"))
-    margin = F.create_map(*[x for k, (_, _, m) in RATIOS.items() for x in (F.lit(k), F.lit(m))])[F.col("ratio")]
-    q = q.select(*group, (F.col("low") - F.greatest(slack * (F.col("mid") - F.col("low")), margin)).alias("low"),
-                 (F.col("high") + F.greatest(slack * (F.col("high") - F.col("mid")), margin)).alias("high"))
-    pick = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{k}_{c}")
-    return q.groupBy("lang", "source").agg(*[pick(k, c) for k in RATIOS for c in ("low", "high")])
-
-
-def robust_bounds(sketch: DataFrame, spread: int = 7, min_docs: int = 20) -> DataFrame:
-    """As :func:`bounds`, from the median and the median distance from it, which
-    hold still until half of a group is bad. For normal values seven times that
-    distance is where ``bounds`` ends too, with 95 % and a slack of 2. A group of
-    fewer than ``min_docs`` documents has the bounds of its language, and if
-    that has too few as well, those of all documents: sketches merge."""
     # level 0: language and source, 1: language, 2: all
     sketch = (sketch.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
               .groupBy("level", F.when(F.col("level") < 2, F.col("lang")).alias("lang"),
@@ -143,14 +121,12 @@ def robust_bounds(sketch: DataFrame, spread: int = 7, min_docs: int = 20) -> Dat
             .select("lang", "source", *[f"at.{c}" for c in names]))
 
 
-def apply_rules(docs: DataFrame, quantile_pct: int = 95, slack: int = 2, window: int = 8, min_words: int = 20,
-                max_repeat_pct: int = 30, robust: bool = False) -> DataFrame:
-    """The counts of every document, base_failed, and kept by base and adaptive
-    rules; with ``robust`` the adaptive ones are :func:`robust_bounds`."""
+def apply_rules(docs: DataFrame, spread: int = 7, min_docs: int = 20, window: int = 8, min_words: int = 20,
+                max_repeat_pct: int = 30) -> DataFrame:
+    """The counts of every document, base_failed, and kept by base and adaptive rules."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     counted = save(text_counts(docs, window).withColumn("base_failed", failed), "counts")
-    sketch = sketches(counted.where("not base_failed"))
-    limits = save(robust_bounds(sketch) if robust else bounds(sketch, quantile_pct, slack), "bounds")
+    limits = save(bounds(sketches(counted.where("not base_failed")), spread, min_docs), "bounds")
     limits = limits.withColumnRenamed("lang", "b_lang").withColumnRenamed("source", "b_source")
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source")), "left")
     inside = F.lit(True)
@@ -170,6 +146,8 @@ def oracle_sql() -> str:
     tests = " AND ".join(f"c.{k} <= b.{k}_high" + (f" AND c.{k} >= b.{k}_low" if both else "") for k, (_, both, _) in RATIOS.items())
     values = ", ".join(f"CASE WHEN NOT base_failed THEN {e.replace(' div ', ' // ')} END AS {k}" for k, (e, _, _) in RATIOS.items())
     picks = ", ".join(f"max(CASE WHEN ratio = '{k}' THEN low END) AS {k}_low, max(CASE WHEN ratio = '{k}' THEN high END) AS {k}_high" for k in RATIOS)
+    chosen = ", ".join(f"CASE WHEN g.docs >= 20 THEN g.{x} WHEN y.docs >= 20 THEN y.{x} ELSE z.{x} END AS {x}"
+                       for k in RATIOS for x in (f"{k}_low", f"{k}_high"))
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS words,
@@ -189,13 +167,19 @@ c AS (SELECT *, {values} FROM (SELECT *, (n_words < 20 OR 100 * n_repeat_words >
 r AS ({ratios}),
 k AS (SELECT lang, source, ratio, margin, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS value, count(*) AS n
       FROM r GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY value) AS upto,
-        sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM k),
-q AS (SELECT lang, source, ratio, margin, min(CASE WHEN 100 * upto >= 5 * total THEN value END) AS low,
-        min(CASE WHEN 100 * upto >= 50 * total THEN value END) AS mid,
-        min(CASE WHEN 100 * upto >= 95 * total THEN value END) AS high FROM u GROUP BY ALL),
-e AS (SELECT lang, source, ratio, low - greatest(2 * (mid - low), margin) AS low, high + greatest(2 * (high - mid), margin) AS high FROM q),
-b AS (SELECT lang, source, {picks} FROM e GROUP BY lang, source)
+lv AS (SELECT 0 AS level, lang, source, ratio, margin, value, n FROM k
+       UNION ALL SELECT 1, lang, NULL, ratio, margin, value, sum(n) FROM k GROUP BY lang, ratio, margin, value
+       UNION ALL SELECT 2, NULL, NULL, ratio, margin, value, sum(n) FROM k GROUP BY ratio, margin, value),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY value) AS upto,
+        sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM lv),
+m AS (SELECT *, min(CASE WHEN 2 * upto >= total THEN value END) OVER (PARTITION BY level, lang, source, ratio) AS mid FROM u),
+f AS (SELECT *, abs(value - mid) AS far, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY abs(value - mid)) AS near FROM m),
+q AS (SELECT level, lang, source, ratio, margin, mid, total, min(CASE WHEN 2 * near >= total THEN far END) AS far FROM f GROUP BY ALL),
+e AS (SELECT level, lang, source, ratio, total, mid - greatest(7 * far, margin) AS low, mid + mid // 32 + greatest(7 * far, margin) AS high FROM q),
+l AS (SELECT level, lang, source, max(total) AS docs, {picks} FROM e GROUP BY level, lang, source),
+b AS (SELECT g.lang, g.source, {chosen} FROM (SELECT * FROM l WHERE level = 0) g
+      LEFT JOIN (SELECT * FROM l WHERE level = 1) y ON g.lang IS NOT DISTINCT FROM y.lang
+      LEFT JOIN (SELECT * FROM l WHERE level = 2) z ON true)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        CASE WHEN base_failed THEN false ELSE coalesce({tests}, true) END AS kept
 FROM c LEFT JOIN b ON c.lang IS NOT DISTINCT FROM b.lang AND c.source IS NOT DISTINCT FROM b.source

@@ -35,18 +35,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
-def op7_quality_rules_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op7_quality_rules, whose SQL fixes its bounds, with bounds that bad documents can't move."""
-    return quality_rules.apply_rules(read(spark, sf_dir, "documents"), robust=True).drop("lang", "source")
-
-
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = huffman.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -85,7 +80,6 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
-    "op7_quality_rules_robust": op7_quality_rules_robust,
     "op8_token_files": op8_token_files,
     "op9_licenses": op9_licenses,
     "op9_licenses_paragraphs": op9_licenses_paragraphs,

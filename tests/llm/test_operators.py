@@ -339,7 +339,7 @@ def test_contamination(spark, which):
     from pyspark.sql import functions as F
     table = getattr(data, which)(spark)
     bench = spark.createDataFrame([(*r, 1, "x") for r in bench_rows()], "item_id long, text string, n int, term string")
-    got = decontaminate.contamination(table, bench).select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+    got = decontaminate.contamination(table, bench).select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated", "n_near")
     if which == "empty":
         assert got.count() == 0
     else:
@@ -359,8 +359,9 @@ def test_proximity_matches(spark):
     moved = item.replace("two three", "two extra three")
     table = spark.createDataFrame([(1, f"x {item} y"), (2, f"x {moved} y"), (3, "nothing here")], "doc_id long, text string")
     _, found = decontaminate.matches(table, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    rows = {(r["doc_id"], r["exact"]) for r in found.collect()}
-    assert (1, True) in rows and (2, True) not in rows and not any(d == 3 for d, _ in rows)
+    assert {(r["doc_id"], r["exact"]) for r in found.collect()} == {(1, True), (2, False)}
+    near = decontaminate.contamination(table, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in near.collect()} == {1: (13, 0), 2: (0, 1), 3: (0, 0)}
 
 
 def test_quality_rules(spark):
@@ -385,9 +386,9 @@ def prose_rows(n, junk, source, start=0):
 
 
 @pytest.mark.parametrize("junk", [5, 10, 20, 30])
-def test_junk_does_not_move_the_robust_bounds(spark, junk):
+def test_junk_does_not_move_the_bounds(spark, junk):
     table = spark.createDataFrame(prose_rows(100, junk, "s"), "doc_id long, text string, lang string, source string")
-    kept = {r["doc_id"] for r in quality_rules.apply_rules(table, robust=True).where("kept").collect()}
+    kept = {r["doc_id"] for r in quality_rules.apply_rules(table).where("kept").collect()}
     assert kept == set(range(100 - junk))
 
 
@@ -396,8 +397,9 @@ def test_a_small_group_is_judged_by_its_language_or_all(spark, lang):
     """Groups of five with one or three junk documents beside one large group of English."""
     few = [(i, t, lang, s) for i, t, _, s in prose_rows(5, 1, "few", 500) + prose_rows(5, 3, None, 600)]
     table = spark.createDataFrame(prose_rows(100, 0, "many") + few, "doc_id long, text string, lang string, source string")
-    kept = {r["doc_id"] for r in quality_rules.apply_rules(table, robust=True).where("kept").collect()}
+    kept = {r["doc_id"] for r in quality_rules.apply_rules(table).where("kept").collect()}
     assert kept == {*range(100), *range(500, 504), *range(600, 602)}
+    same(spark, quality_rules.apply_rules(table).drop("lang", "source"), duck(spark, quality_rules.oracle_sql(), table))
 
 
 def test_licenses(spark):
