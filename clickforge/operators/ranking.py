@@ -164,6 +164,15 @@ def laid_out(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums:
     return d, carry
 
 
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "row_idx", parts: int | None = None) -> DataFrame:
+    """0-based position of each row within ``keys`` (few groups: the carry is
+    broadcast) under a total order of any type. Parts come from sampled range
+    bounds of the values themselves, so texts that share a prefix fill them evenly."""
+    rows, carry = laid_out(df, keys, order, parts=parts, keep=[c for c in df.columns if c not in keys])
+    rows = join_small(rows, carry, [*keys, "__part"], bounded=True)  # at most parts + groups rows
+    return rows.select(*df.columns, (F.col("__n_before") + F.col("__i") - F.col("__first")).alias(name))
+
+
 BLOCK = {"__part": "int", "__block": "boolean", "__s": "double", "__n": "long", "__pos": "long", "__n_before": "long", "__pos_before": "long",
          "__top_n": "long", "__top_pos": "long", "__low_pos": "long"}
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clickforge.functions import exprs as X
@@ -57,8 +57,10 @@ def request_features(req: DataFrame, context_keys: Sequence[str] = ("bid_amount"
     hash buckets (md5 form), J2 codes, X-8 day parts, X-9 weekend, X-10
     position, X-11 time of day of the *event*, X-12 other context keys; all
     float32. ``day_of_week`` comes from the event time when the request has
-    no such field."""
-    cols = {k: F.lit(v) for k, v in DEFAULT_FEATURES.items()}
+    no such field. A default feature that the request brings as a column of
+    its own keeps the request's number."""
+    cols = {k: F.coalesce(X.parse_number(F.col(k).cast("string")), F.lit(v)) if k in req.columns else F.lit(v)
+            for k, v in DEFAULT_FEATURES.items()}
     u, a = F.col("user_id").cast("string"), F.col("ad_id").cast("string")
     cols["user_hash"] = X.md5_mod(u, USER_HASH_MOD)
     cols["user_id_encoded"] = X.md5_mod(u, ID_ENC_MOD)
@@ -91,6 +93,48 @@ def request_features(req: DataFrame, context_keys: Sequence[str] = ("bid_amount"
     return req.select(*keep, *[v.cast("float").alias(k) for k, v in cols.items()])
 
 
+def context_values(context: Column) -> Column:
+    """A request's context (JSON text) as a map of typed values; NULL or anything
+    but a JSON object is an empty context."""
+    return F.coalesce(F.try_parse_json(context).try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def context_number(v: Column) -> Column:
+    """X-12 of one value: a number, or text that reads as one, is itself; true
+    and false are 1 and 0; null and any other text get their md5 bucket."""
+    text = v.try_cast("string")
+    hashed = X.md5_mod(F.coalesce(text, F.lit("None")), CONTEXT_MOD).cast("double")
+    truth = F.when(F.schema_of_variant(v) == "BOOLEAN", v.try_cast("boolean").cast("double"))
+    return F.coalesce(truth, X.parse_number(text), hashed)
+
+
+def open_features(req: DataFrame, context: str = "context", keep: Sequence[str] = ("event_id",)) -> DataFrame:
+    """X-12 + X-18 where the context's keys aren't known beforehand: ``features``,
+    a map of float32 per request. It holds ``context_<key>`` for every key but the
+    named ones, and the default features; a key with the name of a default
+    feature overrides it instead. Nothing is collected, so keys may be many."""
+    value = F.map_filter(context_values(F.col(context)), lambda k, _: ~k.isin(*NAMED_CONTEXT))
+    found = F.transform_values(value, lambda _, v: context_number(v).cast("float"))
+    found = F.transform_keys(found, lambda k, _: F.when(k.isin(*DEFAULT_FEATURES), k).otherwise(F.concat(F.lit("context_"), k)))
+    defaults = F.create_map(*[x for k, v in DEFAULT_FEATURES.items() for x in (F.lit(k), F.lit(v).cast("float"))])
+    # the found map is bound once: a lambda that named it would work it out anew for every default
+    whole = F.transform(F.array(found), lambda m: F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(m, k)), m))
+    return req.select(*keep, whole[0].alias("features"))
+
+
+def context_keys(req: DataFrame, context: str = "context") -> DataFrame:
+    """Which keys the contexts hold: one row a key, the requests that bring it and
+    those whose value is a number. Aggregated before it is shuffled."""
+    each = req.select(F.explode(context_values(F.col(context))).alias("key", "value"))
+    number = X.parse_number(F.col("value").try_cast("string")).isNotNull()
+    return each.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.count_if(number).alias("numeric"))
+
+
+def known_features(features: DataFrame, names: Sequence[str], keep: Sequence[str] = ("event_id",)) -> DataFrame:
+    """B12 for :func:`open_features`: a column per feature that a model knows, absent ones 0."""
+    return features.select(*keep, *[F.coalesce(F.col("features")[n], F.lit(0.0)).cast("float").alias(n) for n in names])
+
+
 def ctr_tier(p: Column) -> Column:
     """X-14."""
     e = F.lit(TOP_TIER)
@@ -113,12 +157,19 @@ def response_columns(p: Column, raw: Column, bid: Column | None = None) -> list[
     ]
 
 
-def response_struct(df: DataFrame) -> Column:
-    """X-19: the nested response record (serialise with ``to_json``)."""
+def response_struct(df: DataFrame, version: str = "1") -> Column:
+    """X-19: the nested response record (serialise with ``to_json``). What ``df``
+    has no column for (user, ad, latency) is NULL."""
+    own = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None).cast(kind)).alias(c)
+    supported = F.struct(*[F.lit(True).alias(c) for c in ("calibration", "ensemble", "postprocessing")])
     return F.struct(
+        own("user_id", "string"), own("ad_id", "string"),
         F.col("ctr_prediction"), F.col("predicted_click"), F.col("confidence"), F.col("ctr_category"),
         F.col("recommendation"), F.col("expected_revenue"),
-        F.struct(F.col("model_used"), F.col("postprocessing_applied")).alias("processing_pipeline"))
+        F.struct(F.col("model_used"), F.col("postprocessing_applied")).alias("processing_pipeline"),
+        F.struct(F.col("model_used").alias("model_name"), F.lit(version).alias("version"),
+                 supported.alias("features_supported")).alias("model_info"),
+        F.struct(own("latency_ms", "double"), F.col("ts").alias("timestamp")).alias("performance"))
 
 
 def fit_ad_prior(req: DataFrame, y: str = "clicked", key: str = "ad_id", smoothing: float = 100.0) -> DataFrame:
@@ -239,12 +290,45 @@ def recent_rows(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str]
 def api_usage(resp: DataFrame, flags: Sequence[str] = ()) -> DataFrame:
     """Calls, errors, success rate ``1 - errors/max(1, calls)`` and the
     usage rate of each pipeline flag column in ``flags``."""
-    aggs = [F.count(F.lit(1)).alias("total_api_calls"),
-            F.count(F.when(~F.col("success"), 1)).alias("api_error_count")]
-    aggs += [F.count(F.when(F.col(f), 1)).alias(f"{f}_count") for f in flags]
-    a = resp.agg(*aggs)
+    return _usage_rates(resp.agg(*_usage_counts(flags)), flags)
+
+
+def _usage_counts(flags: Sequence[str]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("total_api_calls"), F.count(F.when(~F.col("success"), 1)).alias("api_error_count"),
+            *[F.count(F.when(F.col(f), 1)).alias(f"{f}_count") for f in flags]]
+
+
+def _usage_rates(a: DataFrame, flags: Sequence[str]) -> DataFrame:
     out = a.withColumn("api_success_rate",
                        1.0 - F.col("api_error_count") / F.greatest(F.col("total_api_calls"), F.lit(1)))
     for f in flags:
         out = out.withColumn(f"{f}_rate", F.col(f"{f}_count") / F.greatest(F.col("total_api_calls"), F.lit(1)))
     return out
+
+
+#: Options of a call; a request without one of them has it switched on.
+OPTIONS = ("use_calibration", "use_ensemble", "use_postprocessing")
+PIPELINE_FLAGS = ("full_pipeline", "calibration", "ensemble", "postprocessing")
+
+
+def pipeline_flags(df: DataFrame) -> DataFrame:
+    """Whether a call asked for the full pipeline or, if not, for which parts of it."""
+    asked = {o: F.coalesce(F.col(o), F.lit(True)) if o in df.columns else F.lit(True) for o in OPTIONS}
+    full = asked[OPTIONS[0]] & asked[OPTIONS[1]] & asked[OPTIONS[2]]
+    return df.select("*", full.alias("full_pipeline"), *[(~full & asked[o]).alias(o.removeprefix("use_")) for o in OPTIONS])
+
+
+def observed_usage(resp: DataFrame, flags: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """G28 without a scan of its own: the counters of :func:`api_usage` are taken
+    while ``resp`` is scored and written. Use the returned table in ONE action;
+    then :func:`usage_report` gives the record."""
+    seen = Observation()
+    return resp.observe(seen, *_usage_counts(flags)), seen
+
+
+def usage_report(resp: DataFrame, seen: Observation, flags: Sequence[str]) -> DataFrame:
+    """The one row of counters and rates that :func:`observed_usage` took."""
+    counts = seen.get
+    names = ["total_api_calls", "api_error_count", *[f"{f}_count" for f in flags]]
+    one = resp.sparkSession.range(1).select(*[F.lit(int(counts[n])).cast("long").alias(n) for n in names])
+    return _usage_rates(one, flags)

@@ -41,6 +41,10 @@ ORACLE: dict[str, str] = {
     "response_records": OR.response_records_sql(),
     "serving_stats": OR.serving_stats_sql(),
     "api_usage": OR.api_usage_sql(),
+    "api_usage_pipeline": OR.api_usage_pipeline_sql(),
+    "open_context_features": OR.open_context_features_sql(),
+    "context_keys": OR.context_keys_sql(),
+    "stream_serving_stats": OR.serving_stats_sql(),
     "recent_predictions": OR.recent_predictions_sql(),
     "stream_scoring": OR.request_responses_sql(),
     "stream_window_stats": OR.stream_window_stats_sql(),

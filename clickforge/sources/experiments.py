@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,23 @@ def next_experiment_num(spark: SparkSession, table_path: str) -> int:
     return int(r["m"] or 0) + 1
 
 
+def claim_experiment_num(spark: SparkSession, table_path: str) -> int:
+    """O3 for several writers: the next number that nobody has claimed. A claim is
+    the exclusive creation of a marker beside the table, so of two writers that
+    saw the same highest number one goes on to the following one."""
+    jvm, num = spark._jvm, next_experiment_num(spark, table_path)
+    fs = jvm.org.apache.hadoop.fs.Path(table_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    while True:
+        marker = jvm.org.apache.hadoop.fs.Path(f"{table_path.rstrip('/')}_numbers/{num}")
+        try:
+            fs.create(marker, False).close()
+            return num
+        except Py4JJavaError:
+            if not fs.exists(marker):  # not a clash: the folder can't be written
+                raise
+            num += 1
+
+
 def _fmt(c: str, digits: int) -> Column:
     return F.when(F.col(c).isNull() | F.isnan(c), F.lit("nan")).otherwise(F.format_string(f"%.{digits}f", F.col(c)))
 

@@ -25,6 +25,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, skip_corrupt: bool =
     return reader.parquet(table_path(sf_dir, name))
 
 
+def read_with_manifest(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """A1: the readable rows of a folder of Parquet files, and its manifest: each
+    file listed there, its bytes, the rows read and whether none could be
+    (``skipped``: unreadable, or empty). Listing reads no file's content."""
+    # the option holds for this scan alone; files of a given schema need no footer to be planned
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+              .select(F.regexp_replace("path", "^file:/+", "/").alias("file"), F.col("length").alias("bytes")))
+    read = rows.groupBy(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    manifest = listed.join(read, "file", "left").select("file", "bytes", F.coalesce("rows", F.lit(0)).alias("rows"),
+                                                        F.col("rows").isNull().alias("skipped"))
+    return rows, manifest
+
+
 def load_pair(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A2: both sides must be non-empty. ``isEmpty`` reads at most one row."""
     if train.isEmpty():

@@ -100,3 +100,16 @@ def requests_from_events(ev: DataFrame) -> DataFrame:
         ((F.col("event_type") == "click") & (k < 10)).cast("int").alias("clicked"),
         k.alias("k"),
     )
+
+
+def context_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose context is JSON text with keys that vary from row to row:
+    those of ``events.props`` and some more, a few contexts broken or missing."""
+    i = F.col("event_id")
+    text = F.concat(
+        F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "value": '), F.coalesce(_s("value"), F.lit("null")),
+        F.lit(', "referrer": "'), F.col("event_type"), F.lit('", "returning": '), F.when(i % 2 == 0, "true").otherwise("false"),
+        F.lit(', "campaign_'), _s(i % 3), F.lit('": "c'), _s(i % 7), F.lit('", "hour": 5'),
+        F.when(i % 4 == 0, ', "feat_e_1": "70"').otherwise(""), F.lit("}"))
+    broken = F.when(i % 11 == 3, "k=1").when(i % 13 == 5, None).otherwise(text)
+    return read_table(spark, sf_dir, "events").select("event_id", broken.alias("context"))

@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from clickforge.session import materialize as materialize_table
 
@@ -141,3 +144,86 @@ def stream_processed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     late, score = ad_prior_scorer(spark, sf_dir)
     out = processed_stream(V.requests_from_events(event_stream(spark, sf_dir)).where(late), score)
     return M.round_doubles(out.select(PROCESSED), 9)
+
+
+#: Pieces of a model's serving state; a model may have any share of all requests.
+SHARDS = 16
+COUNTERS = "total long, successful long, processed long, raised long, mean double, m2 double"
+RECENT = "micros array<long>, ids array<long>, preds array<double>"
+
+
+def _serving_update(recent: int):
+    """The state's step: counters, Welford's mean and squares of the adjustments,
+    and the ``recent`` latest successful predictions; a batch at a time."""
+
+    def step(key, frames, state):
+        n, ok, processed, raised, mean, m2, micros, ids, preds = state.get if state.exists else (0, 0, 0, 0, 0.0, 0.0, [], [], [])
+        micros, ids, preds = np.array(micros, np.int64), np.array(ids, np.int64), np.array(preds, float)
+        for f in frames:
+            change = (f["ctr_prediction"] - f["raw_prediction"]).to_numpy(float)
+            own, own_mean = len(change), change.mean()
+            shift = own_mean - mean
+            m2 += float(((change - own_mean) ** 2).sum()) + shift * shift * n * own / (n + own)
+            mean += shift * own / (n + own)
+            n += own
+            good = f["success"].to_numpy(bool)
+            ok, processed, raised = ok + int(good.sum()), processed + int(f["postprocessing_applied"].sum()), raised + int((change > 0).sum())
+            micros, ids, preds = (np.append(a, f.loc[good, c].to_numpy(a.dtype)) for a, c in
+                                  ((micros, "micros"), (ids, "event_id"), (preds, "ctr_prediction")))
+            last = np.lexsort((ids, micros))[-recent:]
+            micros, ids, preds = micros[last], ids[last], preds[last]
+        new = (n, ok, processed, raised, float(mean), float(m2), micros.tolist(), ids.tolist(), preds.tolist())
+        state.update(new)
+        yield pd.DataFrame([(*key, *new)], columns=["model_used", "shard", "total", "successful", "processed", "raised", "mean", "m2",
+                                                    "micros", "ids", "preds"])
+
+    return step
+
+
+def serving_state(scored: DataFrame, recent: int = 1000, name: str = "serving") -> DataFrame:
+    """W7 + G27 on a stream: keyed state per (model, shard), where the shard is a
+    hash of the request, so that no model's requests have to meet in one task. A
+    micro-batch's changed states go to a folder named by its batch id, which a
+    replay writes anew. Returns the latest state of each piece."""
+    spark = scored.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    s = scored.select("model_used", F.pmod(F.xxhash64("event_id"), F.lit(SHARDS)).cast("int").alias("shard"),
+                      F.unix_micros(X.ntz_as_utc(F.col("ts"))).alias("micros"), "event_id", "ctr_prediction", "raw_prediction",
+                      "success", "postprocessing_applied")
+    states = s.groupBy("model_used", "shard").applyInPandasWithState(
+        _serving_update(recent), f"model_used string, shard int, {COUNTERS}, {RECENT}", f"{COUNTERS}, {RECENT}", "update",
+        GroupStateTimeout.NoTimeout)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/chk") \
+        .trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    fields = [c for c in out.columns if c not in ("model_used", "shard", "batch_id")]
+    return out.groupBy("model_used", "shard").agg(F.max_by(F.struct(*fields), "batch_id").alias("s")).select("model_used", "shard", "s.*")
+
+
+def merged_stats(states: DataFrame, recent: int = 1000) -> DataFrame:
+    """The pieces' states merged per model: the columns of ``requests.serving_stats``."""
+    of = states.groupBy("model_used")
+    whole = of.agg(F.sum("total").alias("total_requests"), F.sum("successful").alias("successful_predictions"),
+                   F.sum("processed").alias("__processed"), F.sum("raised").alias("positive_adjustments"),
+                   (F.sum(F.col("total") * F.col("mean")) / F.sum("total")).alias("avg_adjustment"))
+    spread = states.join(F.broadcast(whole.select("model_used", "avg_adjustment")), "model_used").groupBy("model_used").agg(  # a row a model
+        F.sum(F.col("m2") + F.col("total") * (F.col("mean") - F.col("avg_adjustment")) ** 2).alias("__m2"))
+    latest = states.select("model_used", F.explode(F.arrays_zip("micros", "ids", "preds")).alias("r")).select("model_used", "r.*")
+    latest = RQ.recent_rows(latest, ["model_used"], recent, ["micros", "ids"])
+    seen = latest.groupBy("model_used").agg(F.avg("preds").alias("ctr_mean"), F.stddev_pop("preds").alias("ctr_std"),
+                                            F.min("preds").alias("ctr_min"), F.max("preds").alias("ctr_max"))
+    n = F.col("total_requests")
+    return whole.join(spread, "model_used").join(seen, "model_used", "left").select(
+        "model_used", "total_requests", "successful_predictions", (n - F.col("successful_predictions")).alias("failed_predictions"),
+        (F.col("__processed") / n).alias("postprocessing_rate"), "avg_adjustment", F.sqrt(F.col("__m2") / n).alias("adjustment_std"),
+        "positive_adjustments", (F.col("successful_predictions") / n).alias("success_rate"),
+        ((n - F.col("successful_predictions")) / n).alias("failure_rate"), "ctr_mean", "ctr_std", "ctr_min", "ctr_max")
+
+
+def stream_serving_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7 + G27 from the stream's state, equal to the batch ``serving_stats``."""
+    return M.round_doubles(merged_stats(serving_state(scored_stream(spark, sf_dir))), 9)
