@@ -1,20 +1,24 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark.
 
-The model has order two. Words and word pairs are counted in the tasks, merged
-by bucket, and each bucket is written as a shard of sorted arrays to the shared
-folder: hashes of words with their counts (a word's id is its rank among all
-hashes), and keys of pairs with theirs. Workers map the shards into memory and
-look up the distinct words and pairs of a block in sorted order, so a worker
-holds pages it has touched, not the model. A pair lies with the shard of its
-first word; pairs of very frequent first words are spread over all shards.
-
-    P(w | v) = max(c(v w) - D, 0) / c(v) + g(v) P(w)
-    P(w)     = max(a(w) - D', 0) / A + g' / (V + 1)
-
-c counts tokens and pairs, a(w) distinct words before w; D is one of three
-discounts by count (1, 2, 3 and more), from the counts of counts; g makes the
-sum one, and one share of V + 1 is left for words never seen. A text begins
-after an end token and ends with one.
+Words are counted in the tasks, merged by bucket, and each bucket is written as
+a shard of sorted word hashes to the shared folder; a word's id is its rank
+among all. N-grams of the model's order are counted as columns of ids. Their
+shard is that of their last word but one, so a shard holds contexts whole, and
+with them the suffixes, whose numbers of distinct words before are the counts of
+the order below; and so on down to single words. A shard keeps sorted hashes of
+n-grams with counts, and of contexts with their totals. N-grams whose last word
+but one is very frequent are spread over all shards; their contexts' totals are
+summed by one more exchange. Workers map the shards into memory and look up the
+distinct n-grams of a block in sorted order, so a worker holds pages it has
+touched, not the model.
+
+    P(w | u v) = max(c(u v w) - D, 0) / c(u v) + g(u v) P(w | v)
+
+c counts occurrences in the highest order and distinct words before the n-gram
+in lower ones; D is one of three discounts by count (1, 2, 3 and more), from the
+order's counts of counts; g makes the sum one, and single words leave one share
+of V + 1 for words never seen. A context never seen leaves all to the order
+below. A text begins after ``order - 1`` end tokens and ends with one.
 
 The shared folder (``spark.checkpoint.dir``) must be a file system that is
 mounted on all machines, for files elsewhere can't be mapped into memory.
@@ -43,6 +47,8 @@ from .common import (
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct keys a task gathers before it merges them.
 GATHER = 4_000_000
+#: N-grams a task gathers before it merges them, and hands them on if most are distinct.
+GRAMS = 1_500_000
 ENTRIES = "bucket int, n int, body binary"
 ENTRIES_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
 PARTS = "kind int, bucket int, n int, body binary"
@@ -151,16 +157,109 @@ def discounts(of_counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.1), k) for k, x in zip((1, 2, 3), d))])
 
 
+def gram_key(cols: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams given as columns of word ids."""
+    key = np.zeros(len(cols[0]), np.uint64)
+    for c in cols:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1))
+    return key
+
+
+def distinct(key: np.ndarray, cols: list[np.ndarray], n: np.ndarray | None = None):
+    """Distinct keys, sorted, with their columns and summed counts (without ``n``: occurrences)."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    if n is None:
+        n = np.diff(np.append(first, len(key)))
+    elif len(first):
+        n = np.add.reduceat(n[order], first)
+    return key[first], [c[order[first]] for c in cols], n.astype(np.int64)
+
+
+def pack_grams(cols: list[np.ndarray], n: np.ndarray) -> bytes:
+    halves = [x for c in cols for x in ((c & np.uint64(0xFFFFFFFF)).astype(np.uint32), (c >> np.uint64(32)).astype(np.uint8))]
+    return pack_arrays(*halves, n.astype(np.uint64))
+
+
+def unpack_grams(t: pa.Table, width: int):
+    """Distinct n-grams of a group's rows, as :func:`distinct` gives them."""
+    parts = [unpack_arrays(x.as_py(), n, *[np.uint32, np.uint8] * width, np.uint64) for x, n in zip(t.column("body"), t.column("n").to_pylist())]
+    cols = [np.concatenate([p[2 * j].astype(np.uint64) | p[2 * j + 1].astype(np.uint64) << np.uint64(32) for p in parts]) for j in range(width)]
+    return distinct(gram_key(cols), cols, np.concatenate([p[-1] for p in parts]).astype(np.int64))
+
+
+def by_bucket(bucket: np.ndarray, cols: list[np.ndarray], n: np.ndarray):
+    """(bucket, entries, body) of each bucket; n-grams in an order that packs well."""
+    sort = cols[0] if len(cols) == 1 else cols[-2] << np.uint64(32) | cols[0] & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((sort, bucket))
+    cols, n = [c[order] for c in cols], n[order]
+    for b, part in _groups(bucket[order]):
+        yield b, part.stop - part.start, pack_grams([c[part] for c in cols], n[part])
+
+
+class Grams:
+    """Counts of n-grams over the blocks of a task."""
+
+    def __init__(self, width: int):
+        self.width, self.parts, self.size = width, [], 0
+
+    def add(self, cols: list[np.ndarray]) -> None:
+        self.parts.append(distinct(gram_key(cols), cols))
+        self.size += len(self.parts[-1][0])
+
+    def merge(self) -> int:
+        if len(self.parts) > 1:
+            cols = [np.concatenate([p[1][j] for p in self.parts]) for j in range(self.width)]
+            self.parts = [distinct(np.concatenate([p[0] for p in self.parts]), cols, np.concatenate([p[2] for p in self.parts]))]
+        self.size = len(self.parts[0][0]) if self.parts else 0
+        return self.size
+
+    def rows(self, model: Model):
+        """Merged entries, a row a bucket; then none are held."""
+        if self.merge():
+            key, cols, n = self.parts[0]
+            for row in by_bucket(model.gram_bucket(key, cols[-2]), cols, n):
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ENTRIES_ARROW)], schema=ENTRIES_ARROW)
+        self.__init__(self.width)
+
+
+def histories(w: np.ndarray, at: np.ndarray, end: int, order: int) -> list[np.ndarray]:
+    """The ``order - 1`` words before each token, farthest first; before a text all are ends."""
+    here = np.arange(len(w))
+    place = here - np.repeat(at[:-1], np.diff(at))
+    return [np.where(place >= j, w[np.maximum(here - j, 0)], end) for j in range(order - 1, 0, -1)]
+
+
+def _put_counts(folder: str, name: str, k: int, n: np.ndarray) -> None:
+    """Counts in a byte each; those of 255 and more apart."""
+    many = np.flatnonzero(n >= 255)
+    _put(folder, f"{name}-{k}", np.minimum(n, 255).astype(np.uint8))
+    _put(folder, f"{name}-at-{k}", many.astype(np.uint64))
+    _put(folder, f"{name}-many-{k}", n[many].astype(np.uint64))
+
+
+STATS = ("total", "once", "twice", "more")
+
+
+def _put_contexts(folder: str, name: str, k: int, keys: np.ndarray, stats: list[np.ndarray]) -> None:
+    _put(folder, f"{name}-{k}", keys)
+    for s, n in zip(STATS, stats):
+        _put_counts(folder, f"{name}-{s}", k, n)
+
+
 class Model:
     """The sharded arrays, as the workers see them."""
 
-    def __init__(self, folder: str, sizes: np.ndarray, tokens: int):
-        self.folder, self.sizes, self.tokens = folder, sizes, tokens
+    OPEN = 4096  #: arrays kept mapped
+
+    def __init__(self, folder: str, sizes: np.ndarray, tokens: int, order: int):
+        self.folder, self.sizes, self.tokens, self.order = folder, sizes, tokens, order
         self.base = np.append(0, np.cumsum(sizes))
         self.words = int(self.base[-1])
+        self.kinds = 0
         self.hot = np.zeros(0, np.int64)
-        self.hot_follow = np.zeros((0, 3), np.int64)
-        self.pair_of_counts = self.word_of_counts = np.zeros(5, np.int64)
+        self.of_counts = np.zeros((order + 1, 5), np.int64)
         self.open: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
@@ -169,6 +268,8 @@ class Model:
     def shard(self, name: str, k: int, kind) -> np.ndarray:
         key = f"{name}-{k}"
         if key not in self.open:
+            if len(self.open) >= self.OPEN:
+                self.open.clear()
             self.open[key] = _get(self.folder, key, kind)
         return self.open[key]
 
@@ -179,13 +280,15 @@ class Model:
     def hash_bucket(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(48)) * np.uint64(self.buckets) >> np.uint64(16)).astype(np.int64)
 
-    def pair_bucket(self, keys: np.ndarray) -> np.ndarray:
-        """The shard of the first word; for very frequent ones, of the second word's hash."""
-        v = (keys >> np.uint64(32)).astype(np.int64)
-        out = np.searchsorted(self.base, v, "right") - 1
-        spread = np.isin(v, self.hot)
-        out[spread] = (mix64(keys[spread]) % np.uint64(self.buckets)).astype(np.int64)
-        return out
+    def word_bucket(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, ids.astype(np.int64), "right") - 1
+
+    def is_hot(self, ids: np.ndarray) -> np.ndarray:
+        return np.isin(ids.astype(np.int64), self.hot)
+
+    def gram_bucket(self, keys: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The shard of the last word but one; for very frequent ones, of the hash."""
+        return np.where(self.is_hot(v), (keys % np.uint64(self.buckets)).astype(np.int64), self.word_bucket(v))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes; -1: not a training word."""
@@ -198,63 +301,75 @@ class Model:
         return out
 
     def of_words(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Count, distinct words before, and words behind seen once, twice, more often; by sorted ids."""
-        out = [np.zeros(len(ids), np.int64) for _ in range(5)]
+        """Count, and count in the lowest order, by sorted ids."""
+        out = [np.zeros(len(ids), np.int64) for _ in range(2)]
         known = np.flatnonzero(ids >= 0)
-        for k, part in _groups(np.searchsorted(self.base, ids[known], "right") - 1):
+        for k, part in _groups(self.word_bucket(ids[known])):
             at = ids[known][part] - self.base[k]
-            for o, name, kind in zip(out, ("count", "before", "once", "twice", "more"), (np.uint64, *[np.uint32] * 4)):
-                o[known[part]] = self.shard(name, k, kind)[at]
-        spread = np.flatnonzero(np.isin(ids, self.hot))
-        row = np.searchsorted(self.hot, ids[spread])
-        for j in range(3):
-            out[2 + j][spread] = self.hot_follow[row, j]
+            for o, name in zip(out, ("count", "before")):
+                o[known[part]] = self.shard(name, k, np.uint64)[at]
         return tuple(out)
 
-    def of_pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pairs."""
-        out = np.zeros(len(keys), np.int64)
-        bucket = self.pair_bucket(keys)
+    def counts(self, name: str, k: int, at: np.ndarray) -> np.ndarray:
+        c = self.shard(name, k, np.uint8)[at].astype(np.int64)
+        many = np.flatnonzero(c == 255)
+        if len(many):
+            big = np.searchsorted(self.shard(f"{name}-at", k, np.uint64), at[many].astype(np.uint64))
+            c[many] = self.shard(f"{name}-many", k, np.uint64)[big]
+        return c
+
+    def find(self, name: str, keys: np.ndarray, bucket: np.ndarray, counts: list[str]) -> list[np.ndarray]:
+        """The named counts of sorted distinct keys; 0 for keys that aren't there."""
+        out = [np.zeros(len(keys), np.int64) for _ in counts]
         order = np.argsort(bucket, kind="stable")
         for k, part in _groups(bucket[order]):
             here = order[part]
-            have = self.shard("pair", k, np.uint64)
+            have = self.shard(name, k, np.uint64)
             if len(have):
                 at = np.minimum(np.searchsorted(have, keys[here]), len(have) - 1)
-                c = self.shard("times", k, np.uint8)[at].astype(np.int64)
-                many = np.flatnonzero(c == 255)
-                if len(many):
-                    big = np.searchsorted(self.shard("many-at", k, np.uint32), at[many])
-                    c[many] = self.shard("many", k, np.uint32)[big]
-                out[here] = np.where(have[at] == keys[here], c, 0)
+                there = np.flatnonzero(have[at] == keys[here])
+                for o, c in zip(out, counts):
+                    o[here[there]] = self.counts(c, k, at[there])
+        return out
+
+    def contexts(self, order: int, keys: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        """Total, and words behind with count 1, 2 and more, of sorted distinct contexts that end in ``v``."""
+        out, hot = [np.zeros(len(keys), np.int64) for _ in STATS], self.is_hot(v)
+        for name, which in ((f"ctx{order}", ~hot), (f"hot{order}", hot)):
+            bucket = self.word_bucket(v[which]) if name.startswith("ctx") else (keys[which] % np.uint64(self.buckets)).astype(np.int64)
+            for o, x in zip(out, self.find(name, keys[which], bucket, [f"{name}-{s}" for s in STATS])):
+                o[which] = x
         return out
 
     def score(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base and model log10 probability of each text."""
-        distinct, inverse = np.unique(hashes, return_inverse=True)
-        ids = self.ids(distinct)
-        count, before, once, twice, more = self.of_words(ids)
-        d, dw = discounts(self.pair_of_counts), discounts(self.word_of_counts)
-        total = float(self.word_of_counts[4])
+        words, inverse = np.unique(hashes, return_inverse=True)
+        ids = self.ids(words)
+        count, before = self.of_words(ids)
+        d, n, total = discounts(self.of_counts[1]), self.of_counts[1], float(self.of_counts[1][4])
         if total:
-            n1, n2 = self.word_of_counts[:2]
-            left = (dw[1] * n1 + dw[2] * n2 + dw[3] * (self.kinds - n1 - n2)) / total
-            low = np.maximum(before - dw[np.minimum(before, 3)], 0) / total + left / (self.words + 1)
+            left = (d[1] * n[0] + d[2] * n[1] + d[3] * (self.kinds - n[0] - n[1])) / total
+            low = np.maximum(before - d[np.minimum(before, 3)], 0) / total + left / (self.words + 1)
         else:
-            low = np.full(len(distinct), 1 / (self.words + 1))
-        share = np.where(count > 0, (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(count, 1), 1.0)
+            low = np.full(len(words), 1 / (self.words + 1))
         base = np.log10((count + 1) / (self.tokens + self.words + 1))
-        # The word before each token; texts begin after an end.
-        end = int(np.searchsorted(distinct, END_HASH))
-        last = np.empty(len(inverse), np.int64)
-        last[1:] = inverse[:-1]
-        last[at[:-1]] = end
-        v, w = ids[last], ids[inverse]
-        both = (v >= 0) & (w >= 0)
-        pairs, back = np.unique((v[both] << 32 | w[both]).astype(np.uint64), return_inverse=True)
-        c = np.zeros(len(v), np.int64)
-        c[both] = self.of_pairs(pairs)[back]
-        p = np.where(v >= 0, np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(count[last], 1), 0) + share[last] * low[inverse]
+        w, p = ids[inverse], low[inverse]
+        history = histories(w, at, int(ids[np.searchsorted(words, END_HASH)]), self.order)
+        for k in range(2, self.order + 1):
+            own = history[self.order - k:]
+            seen = np.flatnonzero(np.logical_and.reduce([h >= 0 for h in own]))
+            cols = [h[seen].astype(np.uint64) for h in own]
+            keys, first, back = np.unique(gram_key(cols), return_index=True, return_inverse=True)
+            sums, *kinds = self.contexts(k, keys, cols[-1][first])
+            known = np.flatnonzero(w[seen] >= 0)
+            grams = [c[known] for c in cols] + [w[seen[known]].astype(np.uint64)]
+            g_keys, g_first, g_back = np.unique(gram_key(grams), return_index=True, return_inverse=True)
+            c = np.zeros(len(seen), np.int64)
+            c[known] = self.find(f"gram{k}", g_keys, self.gram_bucket(g_keys, grams[-2][g_first]), [f"times{k}"])[0][g_back]
+            d = discounts(self.of_counts[k])
+            share = sum(x * y for x, y in zip(d[1:], kinds)) / np.maximum(sums, 1)
+            new = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(sums, 1)[back] + share[back] * p[seen]
+            p[seen] = np.where(sums[back] > 0, new, p[seen])
         per = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
         return np.diff(at), per((count[inverse] > 0).astype(np.int64)), per(base[inverse]), per(np.log10(p))
 
@@ -266,11 +381,11 @@ def _groups(sorted_keys: np.ndarray):
         yield int(sorted_keys[a]), slice(int(a), int(b))
 
 
-def train(texts: DataFrame) -> Model:
-    """Count words, then pairs, of (doc_id, text) and write the model's shards."""
+def train(texts: DataFrame, order: int = 3) -> Model:
+    """Count words, then n-grams, of (doc_id, text) and write the model's shards."""
     spark: SparkSession = texts.sparkSession
     folder, buckets = local_path(new_path(spark, "lm")), 2 * shuffle_partitions(spark)
-    empty = Model(folder, np.zeros(buckets, np.int64), 0)
+    empty = Model(folder, np.zeros(buckets, np.int64), 0, order)
 
     def count_words(batches):
         tokens, held = Tokens(), Gathered()
@@ -283,19 +398,22 @@ def train(texts: DataFrame) -> Model:
         keys, counts = _entries(t)
         _put(folder, f"word-{k}", keys)
         _put(folder, f"count-{k}", counts.astype(np.uint64))
-        for name in ("before", "once", "twice", "more"):  # until counted: pairs may never name a word
-            _put(folder, f"{name}-{k}", np.zeros(len(keys), np.uint32))
-        return pa.table({"bucket": pa.array([k], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
+        # replaced once counted; with order one these are the lowest order's counts
+        _put(folder, f"before-{k}", (counts if order == 1 else 0 * counts).astype(np.uint64))
+        return pa.table({"bucket": pa.array([k], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "body": [pack_arrays(_of_counts(counts))]})
 
     written = (texts.mapInArrow(count_words, ENTRIES).groupBy("bucket")
-               .applyInArrow(lambda t: write_words(t), "bucket int, n long, total long").collect())  # a row a shard
+               .applyInArrow(lambda t: write_words(t), "bucket int, n long, total long, body binary").collect())  # a row a shard
     sizes = np.zeros(buckets, np.int64)
     for r in written:
         sizes[r["bucket"]] = r["n"]
-    model = Model(folder, sizes, sum(r["total"] for r in written))
-    model.kinds = 0
+    model = Model(folder, sizes, sum(r["total"] for r in written), order)
+    of_counts = lambda rows: sum(unpack_arrays(r["body"], 5, np.int64)[0] for r in rows)
     if not model.tokens:
         return model
+    if order == 1:
+        model.kinds, model.of_counts[1] = model.words, of_counts(written)
+        return model
 
     # Words of at least a quarter of a shard's mean share of the tokens: at most four a shard.
     limit = max(1, model.tokens // (4 * buckets))
@@ -309,72 +427,82 @@ def train(texts: DataFrame) -> Model:
     hot = spark.range(buckets).repartition(min(buckets, shuffle_partitions(spark)), "id").mapInArrow(frequent, "id long").collect()
     model.hot = np.sort(np.array([r["id"] for r in hot], np.int64))
 
-    def count_pairs(batches):
-        tokens, held = Tokens(), Gathered()
+    most = GRAMS
+
+    def count_grams(batches):
+        tokens, held = Tokens(), Grams(order)
         for _, data, offs in text_blocks(batches):
             hashes, at = tokens(data, offs)
-            distinct, inverse = np.unique(hashes, return_inverse=True)
-            ids = model.ids(distinct).astype(np.uint64)
+            words, inverse = np.unique(hashes, return_inverse=True)
+            ids = model.ids(words)
             w = ids[inverse]
-            v = np.empty_like(w)
-            v[1:] = w[:-1]
-            v[at[:-1]] = ids[np.searchsorted(distinct, END_HASH)]
-            held.add(v << np.uint64(32) | w)
-        yield from held.rows(model.pair_bucket)
-
-    def write_pairs(t: pa.Table) -> pa.Table:
-        k = t.column("bucket")[0].as_py()
-        keys, counts = _entries(t)
-        many = np.flatnonzero(counts >= 255)
-        _put(folder, f"pair-{k}", keys)
-        _put(folder, f"times-{k}", np.minimum(counts, 255).astype(np.uint8))
-        _put(folder, f"many-at-{k}", many.astype(np.uint32))
-        _put(folder, f"many-{k}", counts[many].astype(np.uint32))
-        v, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        spread = np.isin(v, model.hot)
-        kinds = [counts == 1, counts == 2, counts >= 3]
-        for name, which in zip(("once", "twice", "more"), kinds):
-            own = v[which & ~spread] - model.base[k]
-            _put(folder, f"{name}-{k}", np.bincount(own, minlength=int(model.sizes[k])).astype(np.uint32))
-        out = [(0, k, 5, pack_arrays(_of_counts(counts)))]
-        if spread.any():
-            ids = np.unique(v[spread])
-            row = np.searchsorted(ids, v)
-            out.append((2, k, len(ids), pack_arrays(ids, *(np.bincount(row[spread & which], minlength=len(ids)).astype(np.int64) for which in kinds))))
-        ids, n = np.unique(w, return_counts=True)
-        for b, part in _groups(np.searchsorted(model.base, ids, "right") - 1):
-            out.append((1, b, part.stop - part.start, pack_arrays(ids[part].astype(np.uint64), n[part].astype(np.uint32))))
+            held.add([c.astype(np.uint64) for c in (*histories(w, at, int(ids[np.searchsorted(words, END_HASH)]), order), w)])
+            if held.size > most and held.merge() > most // 2:
+                yield from held.rows(model)
+        yield from held.rows(model)
+
+    def write_level(t: pa.Table, k: int) -> pa.Table:
+        """Write a shard of n-grams of ``k`` words; rows of kind 0: counts of counts,
+        1: suffixes for the order below, 2: sums of spread contexts."""
+        b = t.column("bucket")[0].as_py()
+        keys, cols, n = unpack_grams(t, k)
+        _put(folder, f"gram{k}-{b}", keys)
+        _put_counts(folder, f"times{k}", b, n)
+        out = [(0, b, 5, pack_arrays(_of_counts(n)))]
+        ctx, hot = gram_key(cols[:-1]), model.is_hot(cols[-2])
+        for which in (~hot, hot):
+            order = np.argsort(ctx[which], kind="stable")
+            own, c = ctx[which][order], n[which][order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            stats = [np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for x in (c, c == 1, c == 2, c >= 3)]
+            if which is not hot:
+                _put_contexts(folder, f"ctx{k}", b, own[first], stats)
+                continue
+            owner = (own[first] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(owner, kind="stable")
+            for o, part in _groups(owner[order]):
+                here = order[part]
+                out.append((2, o, len(here), pack_arrays(own[first][here], *(x[here] for x in stats))))
+        rest, rest_cols, rest_n = distinct(gram_key(cols[1:]), cols[1:])
+        bucket = model.word_bucket(rest_cols[0]) if k == 2 else model.gram_bucket(rest, rest_cols[-2])
+        out += [(1, *row) for row in by_bucket(bucket, rest_cols, rest_n)]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), PARTS_ARROW)], schema=PARTS_ARROW)
 
-    parts = save(texts.mapInArrow(count_pairs, ENTRIES).groupBy("bucket").applyInArrow(lambda t: write_pairs(t), PARTS), "lm-parts")
+    def write_hot(t: pa.Table, k: int) -> pa.Table:
+        b = t.column("bucket")[0].as_py()
+        parts = [unpack_arrays(x.as_py(), n, np.uint64, *[np.int64] * 4) for x, n in zip(t.column("body"), t.column("n").to_pylist())]
+        keys, *stats = (np.concatenate([p[j] for p in parts]) for j in range(5))
+        _put_contexts(folder, f"hot{k}", b, distinct(keys, [])[0], [distinct(keys, [], x)[2] for x in stats])
+        return pa.table([pa.array([b], pa.int32()), pa.array([len(keys)], pa.int32()), pa.array([b""], pa.binary())], schema=ENTRIES_ARROW)
 
     def write_before(t: pa.Table) -> pa.Table:
-        k = t.column("bucket")[0].as_py()
-        ids, n = _entries(t)
-        before = np.zeros(int(model.sizes[k]), np.uint32)
-        before[ids.astype(np.int64) - model.base[k]] = n
-        _put(folder, f"before-{k}", before)
+        b = t.column("bucket")[0].as_py()
+        _, (ids,), n = unpack_grams(t, 1)
+        before = np.zeros(int(model.sizes[b]), np.uint64)
+        before[ids.astype(np.int64) - model.base[b]] = n
+        _put(folder, f"before-{b}", before)
         return pa.table([pa.array([0], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([pack_arrays(_of_counts(n))], pa.binary())], schema=ENTRIES_ARROW)
 
-    words = parts.where("kind = 1").drop("kind").groupBy("bucket").applyInArrow(lambda t: write_before(t), ENTRIES).collect()  # a row a shard
-    model.word_of_counts = sum(unpack_arrays(r["body"], 5, np.int64)[0] for r in words)
-    model.kinds = sum(r["n"] for r in words)
-    pairs = parts.where("kind = 0").collect()  # a row a shard
-    model.pair_of_counts = sum(unpack_arrays(r["body"], 5, np.int64)[0] for r in pairs)
-    follow = np.zeros((len(model.hot), 3), np.int64)
-    for r in parts.where("kind = 2").toLocalIterator():  # at most four words a shard, from each shard
-        ids, *n = unpack_arrays(r["body"], r["n"], *[np.int64] * 4)
-        follow[np.searchsorted(model.hot, ids)] += np.column_stack(n)
-    model.hot_follow = follow
-    drop(parts)
+    at_level = lambda write, k: lambda t: write(t, k)
+    entries, last = texts.mapInArrow(count_grams, ENTRIES), None
+    for k in range(order, 1, -1):
+        parts = save(entries.groupBy("bucket").applyInArrow(at_level(write_level, k), PARTS), "lm-parts")
+        if last is not None:
+            drop(last)
+        model.of_counts[k] = of_counts(parts.where("kind = 0").collect())  # a row a shard
+        parts.where("kind = 2").drop("kind").groupBy("bucket").applyInArrow(at_level(write_hot, k), ENTRIES).count()
+        entries, last = parts.where("kind = 1").drop("kind"), parts
+    words = entries.groupBy("bucket").applyInArrow(lambda t: write_before(t), ENTRIES).collect()  # a row a shard
+    model.of_counts[1], model.kinds = of_counts(words), sum(r["n"] for r in words)
+    drop(last)
     return model
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 3) -> DataFrame:
     """Score every whole text by a model of those outside fold ``held_out``."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_out, F.lit(False))
     d = documents(docs).withColumn("held_out", held)
-    model = train(d.where("not held_out").select("doc_id", "text"))
+    model = train(d.where("not held_out").select("doc_id", "text"), order)
 
     def run(batches):
         tokens, own = Tokens(), worker_cache(model.folder, lambda: model)

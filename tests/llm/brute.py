@@ -64,15 +64,18 @@ def components(prints, most):
     return {i: root(i) for i in ids}
 
 
-def lm(docs, folds, held_out):
+def lm(docs, folds, held_out, order=3):
     """(held_out, n_tokens, n_known, train_tokens, base, score) of (doc_id, text) rows."""
     tokens = [[x.translate(FOLD) for x in words(t)] + ["\0end"] for _, t in docs]
     held = [in_fold(i, folds, held_out) for i, _ in docs]
-    uni, pairs = Counter(), Counter()
+    grams = lambda t: [tuple((["\0end"] * (order - 1) + t)[i:i + order]) for i in range(len(t))]
+    uni, level = Counter(), {order: Counter()}
     for t, h in zip(tokens, held):
         if not h:
             uni.update(t)
-            pairs.update(zip(["\0end", *t], t))
+            level[order].update(grams(t))
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
     n, v = sum(uni.values()), len(uni)
 
     def discounts(counts):
@@ -80,20 +83,21 @@ def lm(docs, folds, held_out):
         y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
         return [0.0] + [min(max(k - (k + 1) * y * of[k] / of[k - 1] if of[k - 1] else k / 2, 0.1), k) for k in (1, 2, 3)]
 
-    before = Counter(w for _, w in pairs)
-    total = sum(before.values())
-    d, dw = discounts(pairs.values()), discounts(before.values())
-    left = sum(dw[min(c, 3)] for c in before.values()) / total if total else 1.0
-    follow = defaultdict(float)
-    for (x, _), c in pairs.items():
-        follow[x] += d[min(c, 3)]
-    out = []
-    for t, h in zip(tokens, held):
-        score = base = 0.0
-        for x, w in zip(["\0end", *t], t):
-            low = (max(before[w] - dw[min(before[w], 3)], 0) / total if total else 0) + left / (v + 1)
-            p = max(pairs[x, w] - d[min(pairs[x, w], 3)], 0) / uni[x] + follow[x] / uni[x] * low if uni[x] else low
-            score += math.log10(p)
-            base += math.log10((uni[w] + 1) / (n + v + 1))
-        out.append((h, len(t), sum(uni[w] > 0 for w in t), n, base, score))
-    return out
+    d = {k: discounts(level[k].values()) for k in level}
+    total, free = defaultdict(int), defaultdict(float)
+    for k in level:
+        for g, c in level[k].items():
+            total[g[:-1]] += c
+            free[g[:-1]] += d[k][min(c, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (v + 1)
+        lower = p(g[1:])
+        if not total[g[:-1]]:
+            return lower
+        c = level[len(g)][g]
+        return max(c - d[len(g)][min(c, 3)], 0) / total[g[:-1]] + free[g[:-1]] / total[g[:-1]] * lower
+
+    return [(h, len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t),
+             sum(math.log10(p(g)) for g in grams(t))) for t, h in zip(tokens, held)]

@@ -175,11 +175,20 @@ def test_sequences_are_joined_and_padded(spark, docs):
 
 @pytest.mark.parametrize("which", ["documents", "repeated", "empty"])
 def test_language_model(spark, which):
-    table = getattr(data, which)(spark)
+    scores_agree(getattr(data, which)(spark), 3)
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_language_model_of_other_orders(spark, docs, monkeypatch, order):
+    monkeypatch.setattr(kneser_ney, "GRAMS", 200)  # tasks hand on n-grams more than once
+    scores_agree(docs, order)
+
+
+def scores_agree(table, order):
     rows = [(r["doc_id"], r["text"]) for r in table.collect()]
-    want = sorted(((-1 if i is None else i, *x) for (i, _), x in zip(rows, brute.lm(rows, 7, 2))))
+    want = sorted(((-1 if i is None else i, *x) for (i, _), x in zip(rows, brute.lm(rows, 7, 2, order))))
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
-                 for r in kneser_ney.score(table).collect())
+                 for r in kneser_ney.score(table, order=order).collect())
     assert len(want) == len(got)
     for a, b in zip(want, got):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
