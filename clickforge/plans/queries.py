@@ -432,7 +432,7 @@ def stacking_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     fallback, evaluated per ensemble."""
     wide = V.predictions(spark, sf_dir).drop("segment").where(F.col("clicked").isNotNull())
     models = list(V.MODEL_COLUMNS)
-    st = ML.stacking(wide, models)
+    st = materialize_table(ML.stacking(wide, models))  # scored once, for four metric records
     strat = _ens.strategy_selection(wide, models)
     best = strat.where("selected").select("strategy", "combined_score")
     weights = _ens.weight_table(_ens.model_scores(_ens.to_long(wide, models, ["row_key", "clicked"])))
