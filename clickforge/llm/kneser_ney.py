@@ -49,6 +49,8 @@ END_HASH = np.uint64(0x9E3779B97F4A7C15)
 GATHER = 4_000_000
 #: N-grams a task gathers before it merges them, and hands them on if most are distinct.
 GRAMS = 1_500_000
+#: Bytes of text a bucket has at least, but for the first eight.
+BUCKET_BYTES = 4 << 20
 ENTRIES = "bucket int, n int, body binary"
 ENTRIES_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
 PARTS = "kind int, bucket int, n int, body binary"
@@ -82,7 +84,7 @@ def _get(folder: str, name: str, kind) -> np.ndarray:
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the sums of their counts."""
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
     return k[first], (np.add.reduceat(c, first) if len(first) else c).astype(np.int64)
@@ -167,7 +169,7 @@ def gram_key(cols: list[np.ndarray]) -> np.ndarray:
 
 def distinct(key: np.ndarray, cols: list[np.ndarray], n: np.ndarray | None = None):
     """Distinct keys, sorted, with their columns and summed counts (without ``n``: occurrences)."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     if n is None:
@@ -177,14 +179,28 @@ def distinct(key: np.ndarray, cols: list[np.ndarray], n: np.ndarray | None = Non
     return key[first], [c[order[first]] for c in cols], n.astype(np.int64)
 
 
+def indexed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted; a place of each; and where each key is among them."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])[:len(key)]
+    back = np.empty(len(key), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return key[new], order[new], back
+
+
 def pack_grams(cols: list[np.ndarray], n: np.ndarray) -> bytes:
+    """The first words ascend within the last but one (see :func:`by_bucket`), so their differences pack better."""
     halves = [x for c in cols for x in ((c & np.uint64(0xFFFFFFFF)).astype(np.uint32), (c >> np.uint64(32)).astype(np.uint8))]
+    halves[0] = np.diff(halves[0], prepend=np.zeros(1, np.uint32))  # modulo 2 ** 32
     return pack_arrays(*halves, n.astype(np.uint64))
 
 
 def unpack_grams(t: pa.Table, width: int):
     """Distinct n-grams of a group's rows, as :func:`distinct` gives them."""
     parts = [unpack_arrays(x.as_py(), n, *[np.uint32, np.uint8] * width, np.uint64) for x, n in zip(t.column("body"), t.column("n").to_pylist())]
+    for p in parts:
+        p[0] = np.cumsum(p[0], dtype=np.uint32)
     cols = [np.concatenate([p[2 * j].astype(np.uint64) | p[2 * j + 1].astype(np.uint64) << np.uint64(32) for p in parts]) for j in range(width)]
     return distinct(gram_key(cols), cols, np.concatenate([p[-1] for p in parts]).astype(np.int64))
 
@@ -359,11 +375,11 @@ class Model:
             own = history[self.order - k:]
             seen = np.flatnonzero(np.logical_and.reduce([h >= 0 for h in own]))
             cols = [h[seen].astype(np.uint64) for h in own]
-            keys, first, back = np.unique(gram_key(cols), return_index=True, return_inverse=True)
+            keys, first, back = indexed(gram_key(cols))
             sums, *kinds = self.contexts(k, keys, cols[-1][first])
             known = np.flatnonzero(w[seen] >= 0)
             grams = [c[known] for c in cols] + [w[seen[known]].astype(np.uint64)]
-            g_keys, g_first, g_back = np.unique(gram_key(grams), return_index=True, return_inverse=True)
+            g_keys, g_first, g_back = indexed(gram_key(grams))
             c = np.zeros(len(seen), np.int64)
             c[known] = self.find(f"gram{k}", g_keys, self.gram_bucket(g_keys, grams[-2][g_first]), [f"times{k}"])[0][g_back]
             d = discounts(self.of_counts[k])
@@ -384,7 +400,9 @@ def _groups(sorted_keys: np.ndarray):
 def train(texts: DataFrame, order: int = 3) -> Model:
     """Count words, then n-grams, of (doc_id, text) and write the model's shards."""
     spark: SparkSession = texts.sparkSession
-    folder, buckets = local_path(new_path(spark, "lm")), 2 * shuffle_partitions(spark)
+    # A bucket hands a row to each bucket of the next level: few texts get few buckets, however many partitions there are.
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    folder, buckets = local_path(new_path(spark, "lm")), min(2 * shuffle_partitions(spark), max(8, -(-size // BUCKET_BYTES)))
     empty = Model(folder, np.zeros(buckets, np.int64), 0, order)
 
     def count_words(batches):
@@ -402,8 +420,11 @@ def train(texts: DataFrame, order: int = 3) -> Model:
         _put(folder, f"before-{k}", (counts if order == 1 else 0 * counts).astype(np.uint64))
         return pa.table({"bucket": pa.array([k], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "body": [pack_arrays(_of_counts(counts))]})
 
-    written = (texts.mapInArrow(count_words, ENTRIES).groupBy("bucket")
-               .applyInArrow(lambda t: write_words(t), "bucket int, n long, total long, body binary").collect())  # a row a shard
+    # a row a shard; saved, for then what the words shuffled goes before the n-grams are
+    shards = save(texts.mapInArrow(count_words, ENTRIES).groupBy("bucket")
+                  .applyInArrow(lambda t: write_words(t), "bucket int, n long, total long, body binary"), "lm-words")
+    written = shards.collect()
+    drop(shards)
     sizes = np.zeros(buckets, np.int64)
     for r in written:
         sizes[r["bucket"]] = r["n"]

@@ -184,6 +184,15 @@ def test_language_model_of_other_orders(spark, docs, monkeypatch, order):
     scores_agree(docs, order)
 
 
+def test_language_model_buckets_follow_the_texts(spark, docs, monkeypatch):
+    """A bucket hands a row to each other one: the partitions alone must not raise them."""
+    monkeypatch.setattr(kneser_ney, "shuffle_partitions", lambda spark: 211)
+    assert kneser_ney.train(docs.select("doc_id", "text")).buckets == 8
+    scores_agree(docs, 3)
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 50)
+    scores_agree(docs, 2)
+
+
 def scores_agree(table, order):
     rows = [(r["doc_id"], r["text"]) for r in table.collect()]
     want = sorted(((-1 if i is None else i, *x) for (i, _), x in zip(rows, brute.lm(rows, 7, 2, order))))
