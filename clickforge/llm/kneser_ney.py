@@ -9,8 +9,8 @@ the order below; and so on down to single words. A shard keeps sorted hashes of
 n-grams with counts, and of contexts with their totals. N-grams whose last word
 but one is very frequent are spread over all shards; their contexts' totals are
 summed by one more exchange. Workers map the shards into memory and look up the
-distinct n-grams of a block in sorted order, so a worker holds pages it has
-touched, not the model.
+n-grams of a block shard by shard, so a worker holds pages it has touched, not
+the model.
 
     P(w | u v) = max(c(u v w) - D, 0) / c(u v) + g(u v) P(w | v)
 
@@ -20,6 +20,12 @@ order's counts of counts; g makes the sum one, and single words leave one share
 of V + 1 for words never seen. A context never seen leaves all to the order
 below. A text begins after ``order - 1`` end tokens and ends with one.
 
+A shard of n-grams or contexts is one file (:func:`_put_table`). A key's upper
+half gives its cell, about four keys, and 40 more bits are kept of each key, all
+64 where two keys of a shard would fall together; so what was counted is found
+exactly, and an n-gram never counted is taken for one that was once in 10**11.
+Counts, or a context's totals, are a byte: the code of a frequent one.
+
 The shared folder (``spark.checkpoint.dir``) must be a file system that is
 mounted on all machines, for files elsewhere can't be mapped into memory.
 
@@ -51,6 +57,12 @@ GATHER = 4_000_000
 GRAMS = 1_500_000
 #: Bytes of text a bucket has at least, but for the first eight.
 BUCKET_BYTES = 4 << 20
+#: Keys a cell of a table has on average.
+CELL = 4
+#: Places of a cell that all keys look at together.
+STEPS = 5
+#: Frequent values with a code of a byte; the next code: listed apart.
+LIST = 255
 ENTRIES = "bucket int, n int, body binary"
 ENTRIES_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
 PARTS = "kind int, bucket int, n int, body binary"
@@ -108,6 +120,16 @@ class Tokens:
         return out, at
 
 
+def coded(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the place of each token's among them."""
+    found = pa.array(hashes).dictionary_encode()
+    words = found.dictionary.to_numpy()
+    order = np.argsort(words)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return words[order], rank[found.indices.to_numpy()]
+
+
 class Gathered:
     """Counts of keys over the blocks of a task."""
 
@@ -163,10 +185,15 @@ def gram_key(cols: list[np.ndarray]) -> np.ndarray:
     """64-bit hashes of n-grams given as columns of word ids."""
     key = np.zeros(len(cols[0]), np.uint64)
     for c in cols:
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1))
+        key = mixed(key, c)
     return key
 
 
+def mixed(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams of hash ``key`` with one more word each."""
+    return mix64(key * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) + np.uint64(1))
+
+
 def distinct(key: np.ndarray, cols: list[np.ndarray], n: np.ndarray | None = None):
     """Distinct keys, sorted, with their columns and summed counts (without ``n``: occurrences)."""
     order = np.argsort(key)
@@ -179,16 +206,6 @@ def distinct(key: np.ndarray, cols: list[np.ndarray], n: np.ndarray | None = Non
     return key[first], [c[order[first]] for c in cols], n.astype(np.int64)
 
 
-def indexed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sorted; a place of each; and where each key is among them."""
-    order = np.argsort(key)
-    key = key[order]
-    new = np.append(True, key[1:] != key[:-1])[:len(key)]
-    back = np.empty(len(key), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return key[new], order[new], back
-
-
 def pack_grams(cols: list[np.ndarray], n: np.ndarray) -> bytes:
     """The first words ascend within the last but one (see :func:`by_bucket`), so their differences pack better."""
     halves = [x for c in cols for x in ((c & np.uint64(0xFFFFFFFF)).astype(np.uint32), (c >> np.uint64(32)).astype(np.uint8))]
@@ -208,7 +225,8 @@ def unpack_grams(t: pa.Table, width: int):
 def by_bucket(bucket: np.ndarray, cols: list[np.ndarray], n: np.ndarray):
     """(bucket, entries, body) of each bucket; n-grams in an order that packs well."""
     sort = cols[0] if len(cols) == 1 else cols[-2] << np.uint64(32) | cols[0] & np.uint64(0xFFFFFFFF)
-    order = np.lexsort((sort, bucket))
+    order = np.argsort(sort)
+    order = order[_bucket_order(bucket[order])]
     cols, n = [c[order] for c in cols], n[order]
     for b, part in _groups(bucket[order]):
         yield b, part.stop - part.start, pack_grams([c[part] for c in cols], n[part])
@@ -247,21 +265,107 @@ def histories(w: np.ndarray, at: np.ndarray, end: int, order: int) -> list[np.nd
     return [np.where(place >= j, w[np.maximum(here - j, 0)], end) for j in range(order - 1, 0, -1)]
 
 
-def _put_counts(folder: str, name: str, k: int, n: np.ndarray) -> None:
-    """Counts in a byte each; those of 255 and more apart."""
-    many = np.flatnonzero(n >= 255)
-    _put(folder, f"{name}-{k}", np.minimum(n, 255).astype(np.uint8))
-    _put(folder, f"{name}-at-{k}", many.astype(np.uint64))
-    _put(folder, f"{name}-many-{k}", n[many].astype(np.uint64))
+def _bucket_order(bucket: np.ndarray) -> np.ndarray:
+    """A stable order by bucket; numbers of 16 bits take numpy's radix sort."""
+    small = len(bucket) and bucket.max() < 1 << 16
+    return np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")
+
+
+def _cells(keys: np.ndarray, cells: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+
+
+def _put_table(folder: str, name: str, k: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
+    """A shard of sorted distinct keys with values, in one file: the cells' first keys as differences
+    from an even spread, 32 and 8 more bits of each key (32 and 32 where two would be the same), and
+    the values' codes."""
+    n, m, cells = len(keys), len(values), max(1, len(keys) // CELL)
+    cell = _cells(keys, cells)
+    even = np.arange(cells + 1) * n // cells
+    off = np.searchsorted(cell, np.arange(cells + 1)) - even
+    off = off.astype(np.int16) if np.abs(off).max() < 1 << 15 else off.astype(np.int64)
+    low = keys.astype(np.uint32)
+    short = np.sort((cell.astype(np.uint64) << np.uint64(40)) | (keys & np.uint64((1 << 40) - 1)))
+    tag = (keys >> np.uint64(32)).astype(np.uint32 if cells >= 1 << 24 or (short[1:] == short[:-1]).any() else np.uint8)
+    bits = 20 // m
+    packed, plain = np.zeros(n, np.int64), np.ones(n, bool)
+    for j, v in enumerate(values):
+        plain &= v < 1 << bits
+        packed |= np.minimum(v, (1 << bits) - 1) << (bits * j)
+    often = np.bincount(packed[plain], minlength=1 << 20)
+    used = np.flatnonzero(often)
+    used = used[np.argsort(-often[used], kind="stable")][:LIST]
+    code_of = np.full(1 << 20, LIST, np.uint8)
+    code_of[used] = np.arange(len(used))
+    code = np.where(plain, code_of[packed], LIST).astype(np.uint8)
+    book = np.array([used >> (bits * j) & ((1 << bits) - 1) for j in range(m)], np.int64)
+    at = np.flatnonzero(code == LIST)
+    rare = np.array([v[at] for v in values], np.int64)
+    head = np.array([n, cells, off.itemsize, tag.itemsize, len(used), len(at), m])
+    planes = sorted([np.append(low, np.zeros(STEPS + 1, np.uint32)), off, tag, code], key=lambda x: -x.itemsize)  # aligned so
+    _put(folder, f"{name}-{k}", np.concatenate([np.ascontiguousarray(x).reshape(-1).view(np.uint8) for x in (head, book, rare, at, *planes)]))
+
+
+class Table:
+    """A file of :func:`_put_table`, mapped."""
+
+    def __init__(self, folder: str, name: str):
+        raw = np.asarray(_get(folder, name, np.uint8))
+        self.n = 0
+        if not len(raw):
+            return
+        self.n, self.cells, off, tag, used, listed, m = (int(x) for x in raw[:56].view(np.int64))
+        place = 56
+
+        def take(kind, *shape):
+            nonlocal place
+            x = np.ndarray(shape, kind, raw, place)
+            place += x.nbytes
+            return x
+
+        self.book = np.append(take(np.int64, m, used), np.zeros((m, LIST + 1 - used), np.int64), axis=1)
+        self.rare, self.at = take(np.int64, m, listed), take(np.int64, listed)
+        planes = [("low", np.dtype(np.uint32), self.n + STEPS + 1), ("off", np.dtype(f"i{off}"), self.cells + 1),
+                  ("tag", np.dtype(f"u{tag}"), self.n), ("code", np.dtype(np.uint8), self.n)]
+        for x, kind, size in sorted(planes, key=lambda x: -x[1].itemsize):
+            setattr(self, x, take(kind, size))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys; -1: not there."""
+        out = np.full(len(keys), -1, np.int64)
+        if not self.n:
+            return out
+        cell = _cells(keys, self.cells)
+        at, end = (c * self.n // self.cells + self.off[c] for c in (cell, cell + 1))
+        low, tag = keys.astype(np.uint32), (keys >> np.uint64(32)).astype(self.tag.dtype)
+        for _ in range(STEPS):  # all at once: on, where these 32 bits differ
+            at += self.low[at] != low
+        left = np.flatnonzero(at < end)
+        while len(left):  # then those not settled
+            here = at[left]
+            same = self.low[here] == low[left]
+            same[same] = self.tag[here[same]] == tag[left[same]]
+            out[left[same]] = here[same]
+            left = left[~same & (here + 1 < end[left])]
+            at[left] += 1
+        return out
 
+    def values(self, at: np.ndarray, of) -> np.ndarray:
+        """What ``of`` makes of the values at these places; it is asked once a code."""
+        code = self.code[at]
+        out = np.take(of(self.book), code, axis=1)
+        listed = np.flatnonzero(code == LIST)
+        if len(listed):
+            out[:, listed] = of(self.rare[:, np.searchsorted(self.at, at[listed])])
+        return out
 
-STATS = ("total", "once", "twice", "more")
 
+def _put_counts(folder: str, name: str, k: int, n: np.ndarray) -> None:
+    """Counts in half the bytes where they fit."""
+    _put(folder, f"{name}-{k}", n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n.astype(np.uint64))
 
-def _put_contexts(folder: str, name: str, k: int, keys: np.ndarray, stats: list[np.ndarray]) -> None:
-    _put(folder, f"{name}-{k}", keys)
-    for s, n in zip(STATS, stats):
-        _put_counts(folder, f"{name}-{s}", k, n)
+
+STATS = 4  #: total, and words behind with count 1, 2 and more
 
 
 class Model:
@@ -276,19 +380,28 @@ class Model:
         self.kinds = 0
         self.hot = np.zeros(0, np.int64)
         self.of_counts = np.zeros((order + 1, 5), np.int64)
-        self.open: dict[str, np.ndarray] = {}
+        self.open: dict[str, np.ndarray | Table] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
 
-    def shard(self, name: str, k: int, kind) -> np.ndarray:
-        key = f"{name}-{k}"
+    def _opened(self, key: str, make):
         if key not in self.open:
             if len(self.open) >= self.OPEN:
                 self.open.clear()
-            self.open[key] = _get(self.folder, key, kind)
+            self.open[key] = make()
         return self.open[key]
 
+    def shard(self, name: str, k: int, kind) -> np.ndarray:
+        return self._opened(f"{name}-{k}", lambda: np.asarray(_get(self.folder, f"{name}-{k}", kind)))
+
+    def counts(self, name: str, k: int) -> np.ndarray:
+        raw = self.shard(name, k, np.uint8)
+        return raw.view(np.uint32 if len(raw) == 4 * self.sizes[k] else np.uint64)
+
+    def table(self, name: str, k: int) -> Table:
+        return self._opened(f"{name}-{k}", lambda: Table(self.folder, f"{name}-{k}"))
+
     @property
     def buckets(self) -> int:
         return len(self.sizes)
@@ -304,7 +417,16 @@ class Model:
 
     def gram_bucket(self, keys: np.ndarray, v: np.ndarray) -> np.ndarray:
         """The shard of the last word but one; for very frequent ones, of the hash."""
-        return np.where(self.is_hot(v), (keys % np.uint64(self.buckets)).astype(np.int64), self.word_bucket(v))
+        return self.spread_hot(keys, self.word_bucket(v), self.is_hot(v))
+
+    def spread(self, keys: np.ndarray) -> np.ndarray:
+        """Shards by other bits than tables tell keys by."""
+        return (mix64(keys) % np.uint64(self.buckets)).astype(np.int64)
+
+    def spread_hot(self, keys: np.ndarray, bucket: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        which, out = np.flatnonzero(hot), bucket.copy()
+        out[which] = self.spread(keys[which])
+        return out
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes; -1: not a training word."""
@@ -323,43 +445,43 @@ class Model:
         for k, part in _groups(self.word_bucket(ids[known])):
             at = ids[known][part] - self.base[k]
             for o, name in zip(out, ("count", "before")):
-                o[known[part]] = self.shard(name, k, np.uint64)[at]
+                o[known[part]] = self.counts(name, k)[at]
         return tuple(out)
 
-    def counts(self, name: str, k: int, at: np.ndarray) -> np.ndarray:
-        c = self.shard(name, k, np.uint8)[at].astype(np.int64)
-        many = np.flatnonzero(c == 255)
-        if len(many):
-            big = np.searchsorted(self.shard(f"{name}-at", k, np.uint64), at[many].astype(np.uint64))
-            c[many] = self.shard(f"{name}-many", k, np.uint64)[big]
-        return c
-
-    def find(self, name: str, keys: np.ndarray, bucket: np.ndarray, counts: list[str]) -> list[np.ndarray]:
-        """The named counts of sorted distinct keys; 0 for keys that aren't there."""
-        out = [np.zeros(len(keys), np.int64) for _ in counts]
-        order = np.argsort(bucket, kind="stable")
+    def find(self, name: str, keys: np.ndarray, bucket: np.ndarray, of, width: int, absent: float = 0) -> np.ndarray:
+        """The ``width`` numbers that ``of`` makes of the values of keys; ``absent`` for keys that aren't there."""
+        out, found = np.empty((width, len(keys))), np.full((width, len(keys)), absent, float)
+        order = _bucket_order(bucket)
+        keys = keys[order]
         for k, part in _groups(bucket[order]):
-            here = order[part]
-            have = self.shard(name, k, np.uint64)
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys[here]), len(have) - 1)
-                there = np.flatnonzero(have[at] == keys[here])
-                for o, c in zip(out, counts):
-                    o[here[there]] = self.counts(c, k, at[there])
+            table = self.table(name, k)
+            at = table.find(keys[part])
+            there = np.flatnonzero(at >= 0)
+            if len(there):
+                found[:, part.start + there] = table.values(at[there], of)
+        for o, x in zip(out, found):
+            o[order] = x
         return out
 
-    def contexts(self, order: int, keys: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
-        """Total, and words behind with count 1, 2 and more, of sorted distinct contexts that end in ``v``."""
-        out, hot = [np.zeros(len(keys), np.int64) for _ in STATS], self.is_hot(v)
-        for name, which in ((f"ctx{order}", ~hot), (f"hot{order}", hot)):
-            bucket = self.word_bucket(v[which]) if name.startswith("ctx") else (keys[which] % np.uint64(self.buckets)).astype(np.int64)
-            for o, x in zip(out, self.find(name, keys[which], bucket, [f"{name}-{s}" for s in STATS])):
-                o[which] = x
+    def contexts(self, order: int, keys: np.ndarray, bucket: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Total, and share left to the order below, of contexts; 0: never seen. ``bucket``, ``hot``: of their last word."""
+        d, out = discounts(self.of_counts[order]), np.zeros((2, len(keys)))
+        of = lambda v: np.array([v[0], sum(x * y for x, y in zip(d[1:], v[1:])) / np.maximum(v[0], 1)])
+        for name, which in ((f"ctx{order}", np.flatnonzero(~hot)), (f"hot{order}", np.flatnonzero(hot))):
+            if len(which):
+                own = keys[which]
+                out[:, which] = self.find(name, own, bucket[which] if name.startswith("ctx") else self.spread(own), of, 2)
         return out
 
+    def grams(self, order: int, keys: np.ndarray, bucket: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Counts of n-grams less their discounts, which may leave 0; -1: never seen."""
+        d = discounts(self.of_counts[order])
+        of = lambda v: np.maximum(v - d[np.minimum(v, 3)], 0)
+        return self.find(f"gram{order}", keys, self.spread_hot(keys, bucket, hot), of, 1, -1)[0]
+
     def score(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base and model log10 probability of each text."""
-        words, inverse = np.unique(hashes, return_inverse=True)
+        words, w = coded(hashes)
         ids = self.ids(words)
         count, before = self.of_words(ids)
         d, n, total = discounts(self.of_counts[1]), self.of_counts[1], float(self.of_counts[1][4])
@@ -369,25 +491,36 @@ class Model:
         else:
             low = np.full(len(words), 1 / (self.words + 1))
         base = np.log10((count + 1) / (self.tokens + self.words + 1))
-        w, p = ids[inverse], low[inverse]
-        history = histories(w, at, int(ids[np.searchsorted(words, END_HASH)]), self.order)
-        for k in range(2, self.order + 1):
-            own = history[self.order - k:]
-            seen = np.flatnonzero(np.logical_and.reduce([h >= 0 for h in own]))
-            cols = [h[seen].astype(np.uint64) for h in own]
-            keys, first, back = indexed(gram_key(cols))
-            sums, *kinds = self.contexts(k, keys, cols[-1][first])
-            known = np.flatnonzero(w[seen] >= 0)
-            grams = [c[known] for c in cols] + [w[seen[known]].astype(np.uint64)]
-            g_keys, g_first, g_back = indexed(gram_key(grams))
-            c = np.zeros(len(seen), np.int64)
-            c[known] = self.find(f"gram{k}", g_keys, self.gram_bucket(g_keys, grams[-2][g_first]), [f"times{k}"])[0][g_back]
-            d = discounts(self.of_counts[k])
-            share = sum(x * y for x, y in zip(d[1:], kinds)) / np.maximum(sums, 1)
-            new = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(sums, 1)[back] + share[back] * p[seen]
-            p[seen] = np.where(sums[back] > 0, new, p[seen])
+        p = low[w]
+        if self.order > 1 and self.tokens:
+            end = int(np.searchsorted(words, END_HASH))
+            known, bucket, hot = ids >= 0, np.maximum(self.word_bucket(ids), 0), self.is_hot(ids)
+            last, first = np.append(end, w[:-1]).astype(w.dtype), at[:-1]  # the word before each token
+            last[first] = end
+            own_id, own_known, last_bucket, last_hot = ids.astype(np.uint64)[w], known[w], bucket[last], hot[last]
+            one = gram_key([ids.astype(np.uint64)])
+            key, ends = one[last], one[end:end + 1]  # hashes of the contexts, and of the one before a text
+            for k in range(2, self.order + 1):
+                sums, share = np.zeros(len(w)), np.zeros(len(w))
+                if k == 2:  # a context is a word
+                    which, of_word = np.flatnonzero(known), np.zeros((2, len(words)))
+                    of_word[:, which] = self.contexts(k, one[which], bucket[which], hot[which])
+                    sums, share = of_word[:, last]
+                else:
+                    which = np.flatnonzero(seen)
+                    sums[which], share[which] = self.contexts(k, key[which], last_bucket[which], last_hot[which])
+                gram = mixed(key, own_id)
+                there = sums > 0
+                which = np.flatnonzero(own_known & there)
+                c = np.full(len(w), -1.0)
+                c[which] = self.grams(k, gram[which], last_bucket[which], last_hot[which])
+                p = np.where(there, np.maximum(c, 0) / np.maximum(sums, 1) + share * p, p)
+                # the next context is what was looked up for the token before
+                seen, key = np.append(True, c[:-1] >= 0), np.append(ends, gram[:-1])
+                ends = mixed(ends, ids.astype(np.uint64)[end:end + 1])
+                seen[first], key[first] = True, ends
         per = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
-        return np.diff(at), per((count[inverse] > 0).astype(np.int64)), per(base[inverse]), per(np.log10(p))
+        return np.diff(at), per((count > 0).astype(np.int64)[w]), per(base[w]), per(np.log10(p))
 
 
 def _groups(sorted_keys: np.ndarray):
@@ -415,9 +548,9 @@ def train(texts: DataFrame, order: int = 3) -> Model:
         k = t.column("bucket")[0].as_py()
         keys, counts = _entries(t)
         _put(folder, f"word-{k}", keys)
-        _put(folder, f"count-{k}", counts.astype(np.uint64))
+        _put_counts(folder, "count", k, counts)
         # replaced once counted; with order one these are the lowest order's counts
-        _put(folder, f"before-{k}", (counts if order == 1 else 0 * counts).astype(np.uint64))
+        _put_counts(folder, "before", k, counts if order == 1 else 0 * counts)
         return pa.table({"bucket": pa.array([k], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "body": [pack_arrays(_of_counts(counts))]})
 
     # a row a shard; saved, for then what the words shuffled goes before the n-grams are
@@ -442,7 +575,7 @@ def train(texts: DataFrame, order: int = 3) -> Model:
     def frequent(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
-                at = np.flatnonzero(np.asarray(model.shard("count", k, np.uint64)) > limit)
+                at = np.flatnonzero(model.counts("count", k) > limit)
                 yield pa.record_batch([pa.array(at + model.base[k], pa.int64())], names=["id"])
 
     hot = spark.range(buckets).repartition(min(buckets, shuffle_partitions(spark)), "id").mapInArrow(frequent, "id long").collect()
@@ -454,7 +587,7 @@ def train(texts: DataFrame, order: int = 3) -> Model:
         tokens, held = Tokens(), Grams(order)
         for _, data, offs in text_blocks(batches):
             hashes, at = tokens(data, offs)
-            words, inverse = np.unique(hashes, return_inverse=True)
+            words, inverse = coded(hashes)
             ids = model.ids(words)
             w = ids[inverse]
             held.add([c.astype(np.uint64) for c in (*histories(w, at, int(ids[np.searchsorted(words, END_HASH)]), order), w)])
@@ -467,20 +600,19 @@ def train(texts: DataFrame, order: int = 3) -> Model:
         1: suffixes for the order below, 2: sums of spread contexts."""
         b = t.column("bucket")[0].as_py()
         keys, cols, n = unpack_grams(t, k)
-        _put(folder, f"gram{k}-{b}", keys)
-        _put_counts(folder, f"times{k}", b, n)
+        _put_table(folder, f"gram{k}", b, keys, [n])
         out = [(0, b, 5, pack_arrays(_of_counts(n)))]
         ctx, hot = gram_key(cols[:-1]), model.is_hot(cols[-2])
         for which in (~hot, hot):
-            order = np.argsort(ctx[which], kind="stable")
+            order = np.argsort(ctx[which])
             own, c = ctx[which][order], n[which][order]
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
             stats = [np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for x in (c, c == 1, c == 2, c >= 3)]
             if which is not hot:
-                _put_contexts(folder, f"ctx{k}", b, own[first], stats)
+                _put_table(folder, f"ctx{k}", b, own[first], stats)
                 continue
-            owner = (own[first] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(owner, kind="stable")
+            owner = model.spread(own[first])
+            order = _bucket_order(owner)
             for o, part in _groups(owner[order]):
                 here = order[part]
                 out.append((2, o, len(here), pack_arrays(own[first][here], *(x[here] for x in stats))))
@@ -493,15 +625,15 @@ def train(texts: DataFrame, order: int = 3) -> Model:
         b = t.column("bucket")[0].as_py()
         parts = [unpack_arrays(x.as_py(), n, np.uint64, *[np.int64] * 4) for x, n in zip(t.column("body"), t.column("n").to_pylist())]
         keys, *stats = (np.concatenate([p[j] for p in parts]) for j in range(5))
-        _put_contexts(folder, f"hot{k}", b, distinct(keys, [])[0], [distinct(keys, [], x)[2] for x in stats])
+        _put_table(folder, f"hot{k}", b, distinct(keys, [])[0], [distinct(keys, [], x)[2] for x in stats])
         return pa.table([pa.array([b], pa.int32()), pa.array([len(keys)], pa.int32()), pa.array([b""], pa.binary())], schema=ENTRIES_ARROW)
 
     def write_before(t: pa.Table) -> pa.Table:
         b = t.column("bucket")[0].as_py()
         _, (ids,), n = unpack_grams(t, 1)
-        before = np.zeros(int(model.sizes[b]), np.uint64)
+        before = np.zeros(int(model.sizes[b]), np.int64)
         before[ids.astype(np.int64) - model.base[b]] = n
-        _put(folder, f"before-{b}", before)
+        _put_counts(folder, "before", b, before)
         return pa.table([pa.array([0], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([pack_arrays(_of_counts(n))], pa.binary())], schema=ENTRIES_ARROW)
 
     at_level = lambda write, k: lambda t: write(t, k)

@@ -193,6 +193,48 @@ def test_language_model_buckets_follow_the_texts(spark, docs, monkeypatch):
     scores_agree(docs, 2)
 
 
+@pytest.mark.parametrize("kind", ["spread", "alike", "crowded"])
+def test_language_model_tables_find_what_was_put(tmp_path, kind):
+    """Every key with its values, also where 40 bits and the cell are the same, and in cells of many keys."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    if kind == "alike":  # the cell and the lower 40 bits are those of another key
+        keys = np.append(keys, keys ^ np.uint64(1 << 40))
+    if kind == "crowded":
+        keys[:400] = np.uint64(7 << 60) | np.arange(400, dtype=np.uint64) << np.uint64(16)
+    keys = np.unique(keys)
+    total, once = (rng.integers(1, 4, len(keys)) for _ in range(2))
+    total[::50] = rng.integers(1, 2**62, len(total[::50]))
+    kneser_ney._put_table(str(tmp_path), "t", 0, keys, [total, once])
+    table = kneser_ney.Table(str(tmp_path), "t-0")
+    order = rng.permutation(len(keys))
+    at = table.find(keys[order])
+    assert (at == order).all()
+    assert (table.values(at, lambda v: v) == np.array([total, once])[:, order]).all()
+    assert (table.find(rng.integers(0, 2**64, 5000, dtype=np.uint64)) == -1).all()
+    assert (table.tag.itemsize == 4) == (kind == "alike")
+    assert (kneser_ney.Table(str(tmp_path), "none-0").find(keys) == -1).all()
+
+
+def test_language_model_discounts_that_leave_nothing(spark):
+    """Without an n-gram counted twice the discount of one is one; contexts of such n-grams are still found."""
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)]
+    again = next(i for i in range(1000, 2000) if brute.in_fold(i, 7, 2))
+    scores_agree(spark.createDataFrame([*texts, (again, texts[0][1] + " " + texts[1][1])], "doc_id long, text string"), 3)
+
+
+def test_language_model_size_on_disk(spark, tmp_path, monkeypatch):
+    """At most seven bytes for an n-gram or a context of many."""
+    monkeypatch.setattr(kneser_ney, "new_path", lambda spark, name: f"{tmp_path}/{name}")
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(2000)] for _ in range(20)]
+    kneser_ney.train(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    padded = [["", "", *t, ""] for t in texts]
+    entries = sum(len({tuple(t[i:i + n]) for t in padded for i in range(len(t) - n + 1 - cut)}) for n, cut in ((3, 0), (2, 0), (2, 1), (1, 1)))
+    size = sum(f.stat().st_size for f in (tmp_path / "lm").iterdir() if f.name.startswith(("gram", "ctx", "hot", "times")))
+    assert size < 7 * entries + 8 * 6 * 8 * 300  # and the frequent values of each table
+
+
 def scores_agree(table, order):
     rows = [(r["doc_id"], r["text"]) for r in table.collect()]
     want = sorted(((-1 if i is None else i, *x) for (i, _), x in zip(rows, brute.lm(rows, 7, 2, order))))
