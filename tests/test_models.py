@@ -254,3 +254,12 @@ def test_several_tasks_grow_one_model(table, monkeypatch):
     three = ML.Boosting(flagged(table), ML.GBT_B)
     three.grow(6)
     assert three.losses[:3] == pytest.approx(one.losses[:3], rel=1e-6) and three.losses == pytest.approx(one.losses, rel=0.02)
+
+
+def test_row_stats_skip_what_is_missing(spark):
+    from clickforge.functions import exprs as X
+    nan = float("nan")
+    d = spark.createDataFrame([(1, 1.0, 4.0, None), (2, None, nan, None), (3, 2.0, None, nan), (4, 1.0, 2.0, 6.0)], "i int, a double, b double, c double")
+    rows = {r["i"]: tuple(r)[4:] for r in X.with_row_stats(d, {"g": ["a", "b", "c"]}).collect()}
+    assert rows[1] == (2.5, pytest.approx(4.5 ** 0.5), 4.0, 1.0) and rows[2] == (None,) * 4 and rows[3] == (2.0, None, 2.0, 2.0)
+    assert rows[4] == (3.0, pytest.approx(7.0 ** 0.5), 6.0, 1.0)
