@@ -273,3 +273,10 @@ def test_kept_scores_are_the_best_rounds(table):
     valid = rounds.data.where(ML.VALID)
     want = {r["row_key"]: r["p"] for r in ML.positive_probability(rounds.model(best).transform(valid)).collect()}
     assert len(rounds.losses) > best and own.keys() == want.keys() and all(abs(own[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_what_the_library_refuses_is_refused(table):
+    data = flagged(table)
+    for bad in (data.withColumn("__y", F.when(F.col("row_key") != "k0007", F.col("__y"))), data.withColumn("w", F.lit(-1.0))):
+        with pytest.raises(Exception, match="MUST NOT"):
+            ML.boost(bad, ML.GBT_B, max_iter=2)
