@@ -272,6 +272,9 @@ def test_kept_scores_are_the_best_rounds(table):
     own = {r["row_key"]: r["p"] for r in rounds.validated().collect()}
     valid = rounds.data.where(ML.VALID)
     want = {r["row_key"]: r["p"] for r in ML.positive_probability(rounds.model(best).transform(valid)).collect()}
+    bare = ML.Boosting(flagged(table), ML.GBT_A)
+    assert bare.run(max_iter=20, patience=3, trees=False) == best and bare.losses == rounds.losses
+    assert {r["row_key"]: r["p"] for r in bare.validated().collect()} == own
     assert len(rounds.losses) > best and own.keys() == want.keys() and all(abs(own[k] - want[k]) < 1e-12 for k in want)
 
 
